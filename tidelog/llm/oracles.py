@@ -70,4 +70,23 @@ SELECT doc_id, digest, max(CASE WHEN whole THEN license END) AS license,
 FROM units LEFT JOIN known USING (d) GROUP BY doc_id, digest
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_mixing": OP2, "op7_licenses": OP7}
+OP10 = r"""
+WITH words AS (
+  SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents
+), windows AS (
+  SELECT doc_id, unnest(range(1, len(w) - 18)) AS i, w FROM words WHERE len(w) >= 20
+), hashed AS (
+  SELECT doc_id, i, md5(array_to_string(w[i:i + 19], ' ')) AS h FROM windows
+), ranked AS (
+  SELECT doc_id, i, row_number() OVER (PARTITION BY h ORDER BY doc_id, i) AS n FROM hashed
+), covered AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS k FROM ranked WHERE n > 1
+), gone AS (
+  SELECT doc_id, list(k) AS ks FROM covered GROUP BY doc_id
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(ks), 0)::BIGINT AS n_removed,
+  sha256(CASE WHEN ks IS NULL THEN array_to_string(w, ' ') ELSE array_to_string(list_select(w, list_filter(range(1, len(w) + 1), lambda k: NOT list_contains(ks, k))), ' ') END) AS kept_sha256
+FROM words LEFT JOIN gone USING (doc_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_mixing": OP2, "op7_licenses": OP7, "op10_repeats": OP10}

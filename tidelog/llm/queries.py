@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import licenses, mixing, packing
+from tidelog.llm import licenses, mixing, packing, repeats
 from tidelog.llm.oracles import ORACLE_SQL
 from tidelog.llm.storage import table
 
@@ -27,6 +27,11 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "digest", "license", F.array_join("line_licenses", ",").alias("line_licenses"), "n_rows")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_mixing, op3_packing, op7_licenses)}
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = repeats.remove_repeats(table(spark, sf_dir, "documents"), window=20)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_mixing, op3_packing, op7_licenses, op10_repeats)}
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
