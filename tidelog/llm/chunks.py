@@ -23,12 +23,12 @@ def text_bytes(docs: DataFrame, text_col: str = "text") -> int:
 
 
 def chunk_table(docs: DataFrame, total_bytes: int, rows: int = CHUNK_ROWS) -> DataFrame:
-    """``docs`` with a long column ``__chunk``, as a table in the warehouse that is bucketed by it."""
+    """``docs`` with long columns ``__chunk`` and ``__row`` (one of its own for each row), as a table in the warehouse that is bucketed by it."""
     buckets = min(MOST_BUCKETS, max(24, -(-total_bytes // BUCKET_BYTES)))
     # The low 33 bits of the id count the rows of a partition, the high bits are its number.
     at = F.monotonically_increasing_id()
     low = at.bitwiseAND(F.lit((1 << 33) - 1))
     chunk = at - low + F.floor(low / F.lit(rows))
     name = f"tidelog_chunks_{uuid.uuid4().hex}"
-    docs.withColumn("__chunk", chunk.cast("long")).write.format("parquet").option("compression", "zstd").bucketBy(buckets, "__chunk").saveAsTable(name)
+    docs.withColumns({"__chunk": chunk.cast("long"), "__row": at}).write.format("parquet").option("compression", "zstd").bucketBy(buckets, "__chunk").saveAsTable(name)
     return docs.sparkSession.table(name)

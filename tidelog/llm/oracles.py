@@ -9,6 +9,25 @@ def _text(x: str) -> str:
     return "'" + x.replace("'", "''") + "'"
 
 
+OP1 = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM words
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), common AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT x, y FROM common JOIN sizes a ON x = a.doc_id JOIN sizes b ON y = b.doc_id WHERE 100 * i >= 75 * (a.n + b.n - i)
+), reached AS (
+  SELECT doc_id AS x, doc_id AS y FROM documents
+  UNION
+  SELECT reached.x, links.y FROM reached JOIN links ON reached.y = links.x
+)
+SELECT x AS doc_id, coalesce(max(n), 0)::BIGINT AS n_shingles, min(y) AS component_id FROM reached LEFT JOIN sizes ON x = sizes.doc_id GROUP BY x
+"""
+
 OP2 = r"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
@@ -89,4 +108,4 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(ks), 0)::BIGINT AS n_remo
 FROM words LEFT JOIN gone USING (doc_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_mixing": OP2, "op7_licenses": OP7, "op10_repeats": OP10}
+ORACLE_SQL: dict[str, str] = {"op1_jaccard": OP1, "op2_mixing": OP2, "op7_licenses": OP7, "op10_repeats": OP10}
