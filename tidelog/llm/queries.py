@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import jaccard, licenses, mixing, packing, repeats
+from tidelog.llm import jaccard, language, licenses, mixing, packing, quality, repeats, tokens
 from tidelog.llm.oracles import ORACLE_SQL
 from tidelog.llm.storage import table
 
@@ -26,6 +26,27 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(sizes)
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 1
+    model = quality.fit_quality_model(docs, table(spark, sf_dir, "labels"), ~held_out)
+    return quality.score_quality(docs, model).withColumn("held_out", held_out)
+
+
+def op5_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2
+    model = language.fit_language_model(docs, ~held_out)
+    found = language.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan_licenses(table(spark, sf_dir, "documents"), licenses.known_digests(spark))
     return found.select("doc_id", "digest", "license", F.array_join("line_licenses", ",").alias("line_licenses"), "n_rows")
@@ -36,6 +57,6 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_jaccard, op2_mixing, op3_packing, op7_licenses, op10_repeats)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_jaccard, op2_mixing, op3_packing, op4_quality, op5_tokens, op6_language, op7_licenses, op10_repeats)}
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
