@@ -7,11 +7,11 @@ moves only that.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidelog.llm.storage import stored_buckets
+
 #: Rows in a chunk, at most; a pass holds one chunk of texts in memory.
 CHUNK_ROWS = 1024
 #: Text in a bucket, about, and the most buckets that Spark's defaults take kindly to.
@@ -29,6 +29,4 @@ def chunk_table(docs: DataFrame, total_bytes: int, rows: int = CHUNK_ROWS) -> Da
     at = F.monotonically_increasing_id()
     low = at.bitwiseAND(F.lit((1 << 33) - 1))
     chunk = at - low + F.floor(low / F.lit(rows))
-    name = f"tidelog_chunks_{uuid.uuid4().hex}"
-    docs.withColumns({"__chunk": chunk.cast("long"), "__row": at}).write.format("parquet").option("compression", "zstd").bucketBy(buckets, "__chunk").saveAsTable(name)
-    return docs.sparkSession.table(name)
+    return stored_buckets(docs.withColumns({"__chunk": chunk.cast("long"), "__row": at}), buckets, "__chunk", "chunks")

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tidelog.llm.chunks import chunk_table, text_bytes
 from tidelog.llm.setjoin import linked_components
 from tidelog.llm.sketch import SharedCells, shared_cells, width_bits
-from tidelog.llm.storage import stored
+from tidelog.llm.storage import release_table, stored
 from tidelog.llm.words import rolling, words_of
 
 SETS_SCHEMA = "row long, chunk long, id long, n_shingles long, digest binary, n long, shared long, score int, items array<long>"
@@ -70,7 +70,7 @@ def document_sets(chunks: DataFrame, total_bytes: int, size: int, num: int, den:
     return chunks.select("__chunk", "__row", "__id", "__text").groupBy("__chunk").cogroup(shared.groupBy("__chunk")).applyInArrow(sets, SETS_SCHEMA)
 
 
-def _labelled(docs: DataFrame, size: int, num: int, den: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+def _labelled(docs: DataFrame, size: int, num: int, den: int, id_col: str, text_col: str, keep_chunks: bool) -> tuple[DataFrame, DataFrame]:
     """The chunks of ``docs`` and, for each of their rows, ``row, chunk, id, n_shingles, label, keep``.
 
     ``label`` is the smallest id of its component, null for documents without links; ``keep`` is the row that stands for the component.
@@ -78,6 +78,8 @@ def _labelled(docs: DataFrame, size: int, num: int, den: int, id_col: str, text_
     total = text_bytes(docs, text_col)
     chunks = chunk_table(docs.select(*[F.col(f"`{c}`") for c in docs.columns], F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__text")), total)
     rows = stored(document_sets(chunks, total, size, num, den), "sets")
+    if not keep_chunks:
+        release_table(chunks)
     # Ids in order, null last; the row decides between equal ids.
     classes = stored(rows.where("digest IS NOT NULL").groupBy("digest").agg(F.min("row").alias("node"), F.min(F.struct(F.isnull("id"), "id", "row")).alias("best")), "classes")
     sets = stored(rows.where("items IS NOT NULL").join(classes.select(F.col("node").alias("row")), "row", "left_semi").select(F.col("row").alias("node"), "n", "shared", "score", "items"), "distinct_sets")
@@ -96,13 +98,13 @@ def jaccard_components(docs: DataFrame, size: int = 5, num: int = 3, den: int =
     id. Ids must be integers; null ids are above all others, so a component is null only if all its ids are. Repeated rows are all returned, with
     the same component. No rows give no rows; other columns are left out.
     """
-    _, rows = _labelled(docs.select(id_col, text_col), size, num, den, id_col, text_col)
+    _, rows = _labelled(docs.select(id_col, text_col), size, num, den, id_col, text_col, False)
     return rows.select(F.col("id").alias("doc_id"), "n_shingles", F.coalesce("label", "id").alias("component_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, size: int = 5, num: int = 3, den: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each component: that of the smallest id, and of repeated rows one."""
-    chunks, rows = _labelled(docs, size, num, den, id_col, text_col)
+    chunks, rows = _labelled(docs, size, num, den, id_col, text_col, True)
     gone = rows.where("keep IS NOT NULL AND keep != row").select(F.col("chunk").alias("__chunk"), F.col("row").alias("__row"))
     columns = docs.columns
 

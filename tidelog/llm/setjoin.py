@@ -51,15 +51,24 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return pairs.join(mine("b"), "b").join(mine("a"), "a").where(den * overlap >= num * (F.col("n_a") + F.col("n_b") - overlap)).select("a", "b")
 
 
-def linked_components(sets: DataFrame, num: int = 3, den: int = 4) -> DataFrame:
+def length_bands(n: Column, num: int, den: int) -> Column:
+    """The bands of lengths in which a set meets others: its own and the next. Sets that can link are in the same or in neighbouring bands."""
+    band = F.floor(F.log(n.cast("double")) / F.log(F.lit(den / num)) + 1e-9)
+    return F.array(band, band + 1)
+
+
+def linked_components(sets: DataFrame, num: int = 3, den: int = 4, banded: bool = False) -> DataFrame:
     """``(node, component)`` of the sets that are linked with any other: den * intersection >= num * union.
 
     ``sets(node long, n long, shared long, score int, items array<long>)`` holds different sets: ``n`` is the size of all,
-    ``items`` the ``shared`` items that may be met elsewhere, in the global order, and ``score`` is high for sets of frequent items.
+    ``items`` the ``shared`` items that may be met elsewhere, in the global order, and ``score`` is high for sets of frequent items. With ``banded``, columns are
+    split by bands of set lengths; overlaps may then be counted twice, which discards no more pairs than counting them once.
     """
     sized = sets.withColumn("p", prefix_length(F.col("n"), F.col("shared"), num, den)).where("p > 0")
     entry = F.struct("node", "n", "shared", "p").alias("x")
     entries = sized.select(F.explode(F.slice("items", 1, F.col("p").cast("int"))).alias("item"), "score", entry)
+    if banded:
+        entries = entries.withColumn("band", F.explode(length_bands(F.col("x.n"), num, den))).withColumn("item", F.xxhash64("item", "band")).drop("band")
 
     def counted(met: DataFrame) -> DataFrame:
         return _bounded(met.groupBy("a", "b").agg(F.count("*").alias("met")), num, den).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))

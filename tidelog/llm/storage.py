@@ -1,4 +1,4 @@
-"""Where intermediate tables live: always the folder that the cluster shares."""
+"""Where intermediate tables live: always the folder that the cluster shares, and until they are released."""
 
 from __future__ import annotations
 
@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
+#: What this driver has written and not released: paths and names of tables.
+_paths: list[str] = []
+_tables: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -19,14 +22,49 @@ def shared_dir(spark: SparkSession) -> str:
     return there.rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to a new place in the shared folder and read it back: its lineage ends there."""
+def stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Write ``df`` to a new place in the shared folder and read it back: its lineage ends there. ``keep`` exempts it from :func:`release`."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidelog/{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
+    if not keep:
+        _paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stored_buckets(df: DataFrame, buckets: int, column: str, name: str) -> DataFrame:
+    """Write ``df`` to a new table in the warehouse, bucketed by ``column``, and read it back."""
+    spark = df.sparkSession
+    name = f"tidelog_{name}_{uuid.uuid4().hex}"
+    df.write.format("parquet").option("compression", "zstd").bucketBy(buckets, column).saveAsTable(name)
+    _tables.append(name)
+    return spark.table(name)
+
+
+def mark() -> tuple[int, int]:
+    """A point in time, for :func:`release`."""
+    return len(_paths), len(_tables)
+
+
+def release(spark: SparkSession, since: tuple[int, int] = (0, 0)) -> None:
+    """Delete what was stored since a mark, or ever. DataFrames that still read it fail: call it when their results are written."""
+    for path in _paths[since[0] :]:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    for name in _tables[since[1] :]:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    del _paths[since[0] :], _tables[since[1] :]
+
+
+def release_table(df: DataFrame) -> None:
+    """Drop the table that :func:`stored_buckets` returned as ``df``."""
+    files = df.inputFiles()
+    name = files[0].rsplit("/", 2)[-2] if files else ""
+    if name in _tables:
+        df.sparkSession.sql(f"DROP TABLE {name}")
+        _tables.remove(name)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
