@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import jaccard, language, licenses, mixing, packing, quality, repeats, spotsigs, tokens
+from tidelog.llm import jaccard, language, licenses, mixing, neighbours, packing, quality, repeats, spotsigs, tokens
 from tidelog.llm.oracles import ORACLE_SQL
 from tidelog.llm.storage import table
 
@@ -56,11 +56,15 @@ def op8_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.probe_edits(table(spark, sf_dir, "documents"))
 
 
+def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), every=50, top=5)
+
+
 def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = repeats.remove_repeats(table(spark, sf_dir, "documents"), window=20)
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_jaccard, op2_mixing, op3_packing, op4_quality, op5_tokens, op6_language, op7_licenses, op8_spotsigs, op10_repeats)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_jaccard, op2_mixing, op3_packing, op4_quality, op5_tokens, op6_language, op7_licenses, op8_spotsigs, op9_neighbours, op10_repeats)}
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
