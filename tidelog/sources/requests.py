@@ -14,4 +14,4 @@ def request_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def request_documents(spark: SparkSession, path: str) -> DataFrame:
     """``(request_id, body)``, one request a file, named by its path."""
-    return spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("request_id"), F.col("value").alias("body"))
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("request_id"), F.col("value").alias("body"))
