@@ -22,11 +22,11 @@ EQUIVALENT = (
     ("licence", "license"),
     ("licenced", "licensed"),
     ("licences", "licenses"),
-    ("merchantability", "merchantability"),
     ("noncommercial", "non commercial"),
     ("organisation", "organization"),
     ("redistributions", "redistribution"),
     ("sub license", "sublicense"),
+    ("sublicence", "sublicense"),
     ("whilst", "while"),
 )
 
@@ -60,8 +60,7 @@ def canonical(text: Column) -> Column:
     out = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), COPYRIGHT_LINE, "\n")
     out = F.concat(F.lit(" "), F.trim(F.regexp_replace(out, r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
     for a, b in EQUIVALENT:
-        if a != b:
-            out = F.replace(out, F.lit(f" {a} "), F.lit(f" {b} "))
+        out = F.replace(out, F.lit(f" {a} "), F.lit(f" {b} "))
     return F.trim(out)
 
 
