@@ -81,8 +81,8 @@ class RuleModel:
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
 
 
-def grow_tree(x: np.ndarray, y: np.ndarray, rows: np.ndarray, depth: int, least: int, rng: np.random.Generator, path: tuple[Condition, ...] = ()) -> list[tuple[Condition, ...]]:
-    """The paths of a regression tree on ``rows``: each split takes the best of 16 quantiles of some statistics."""
+def grow_tree(x: np.ndarray, y: np.ndarray, rows: np.ndarray, bounds: list[np.ndarray], depth: int, least: int, rng: np.random.Generator, path: tuple[Condition, ...] = ()) -> list[tuple[Condition, ...]]:
+    """The paths of a regression tree on ``rows``: each split takes the best of the ``bounds`` of some statistics."""
     found = [path] if path else []
     if depth == 0 or len(rows) < 2 * least or y[rows].std() < 1e-6:
         return found
@@ -90,7 +90,7 @@ def grow_tree(x: np.ndarray, y: np.ndarray, rows: np.ndarray, depth: int, least:
     total, n = y[rows].sum(), len(rows)
     for k in rng.permutation(x.shape[1])[: max(3, x.shape[1] // 2)]:
         v = x[rows, k]
-        for bound in np.unique(np.quantile(v, np.linspace(0.02, 0.98, 17))):
+        for bound in bounds[k]:
             low = v <= bound
             m = int(low.sum())
             if least <= m <= n - least:
@@ -103,7 +103,7 @@ def grow_tree(x: np.ndarray, y: np.ndarray, rows: np.ndarray, depth: int, least:
     _, k, bound = best
     low = x[rows, k] <= bound
     for side, above in ((low, False), (~low, True)):
-        found += grow_tree(x, y, rows[side], depth - 1, least, rng, (*path, (k, above, bound)))
+        found += grow_tree(x, y, rows[side], bounds, depth - 1, least, rng, (*path, (k, above, bound)))
     return found
 
 
@@ -114,7 +114,7 @@ def _hits(x: np.ndarray, conditions: tuple[Condition, ...]) -> np.ndarray:
     return out
 
 
-def lasso_logistic(a: np.ndarray, y: np.ndarray, strength: float, rounds: int = 300) -> tuple[np.ndarray, float]:
+def lasso_logistic(a: np.ndarray, y: np.ndarray, strength: float, rounds: int = 500) -> tuple[np.ndarray, float]:
     """Weights and bias of L1-penalised logistic regression, by accelerated proximal gradient steps; the bias is free."""
     n = len(y)
     b = np.hstack([a, np.ones((n, 1))])
@@ -137,19 +137,21 @@ def lasso_logistic(a: np.ndarray, y: np.ndarray, strength: float, rounds: int =
 def fit_rules(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, seed: int = 11) -> RuleModel:
     """Rules and weights for ``y`` (0 or 1) from the statistics ``x``; one label alone, or no rows, gives a constant.
 
-    Trees fit what the trees before leave over, each on half of the rows; the lasso's strength is that with the least log loss on a fifth of
-    the rows.
+    Trees fit what the trees before leave over, each on half of the rows; the lasso's strength is the greatest whose log loss on a fifth of
+    the rows is about the least.
     """
     if not len(y) or y.min() == y.max():
         share = float(np.clip(y.mean() if len(y) else 0.5, 0.01, 0.99))
         return RuleModel((), (), float(np.log(share / (1 - share))))
     rng = np.random.default_rng(seed)
     rules: dict[tuple[Condition, ...], None] = {}
+    # The same few bounds for all trees, so that trees agree on rules.
+    bounds = [np.unique(np.quantile(x[:, k], np.linspace(0.01, 0.99, 33))) for k in range(x.shape[1])]
     f = np.full(len(y), np.log(y.mean() / (1 - y.mean())))
     for _ in range(trees):
         residual = y - 1 / (1 + np.exp(-f))
         rows = rng.choice(len(y), max(2, len(y) // 2), replace=False)
-        for path in grow_tree(x, residual, rows, depth, max(5, len(y) // 400), rng):
+        for path in grow_tree(x, residual, rows, bounds, depth, max(5, len(y) // 400), rng):
             rules[path] = None
             if len(path) == depth:
                 hit = _hits(x, path)
@@ -169,7 +171,9 @@ def fit_rules(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, see
         p = 1 / (1 + np.exp(-np.clip(a[test] @ w + b, -30, 30)))
         return -np.mean(np.log(np.where(y[test] > 0, p, 1 - p) + 1e-9))
 
-    strength = min((0.0003, 0.001, 0.003, 0.01), key=loss) if test.any() else 0.003
+    strengths = (0.03, 0.01, 0.003, 0.001)
+    losses = [loss(s) for s in strengths] if test.any() else [0.0, 0.0, 0.0, 0.0]
+    strength = next(s for s, x in zip(strengths, losses) if x <= min(losses) * 1.15 + 0.005) if test.any() else 0.003
     w, b = lasso_logistic(a, y, strength)
     k = len(paths)
     return RuleModel(
