@@ -1,12 +1,13 @@
 """All links between sets by Jaccard similarity, as a sparse product with its own transpose.
 
 A set is a row of items in one global order, rarest first. Two sets that are similar enough share an item among their
-first few, so only those columns of the incidence matrix are multiplied: equal columns meet in a join, and the overlaps of
-each pair add up in a group-by. Pairs whose sizes, shared rare items or counts can't reach the least overlap are discarded;
-those left are counted exactly.
+first few, so only those columns of the incidence matrix are multiplied: equal columns meet in a join, and what each pair
+has in common adds up in a group-by. Pairs that can't reach the least overlap, by their sizes, by how many items they may meet elsewhere, or by
+how far down they meet, are discarded; those left are counted exactly.
 
 Groups of near copies would make a product of all pairs. So each column first meets its most central set alone; what links
-there makes components, and the full product then leaves out pairs within a component, whose link would change nothing.
+there makes components. The full product then leaves out pairs within a component, whose link would change nothing, and pairs
+that share too little beyond what their common centre has.
 """
 
 from __future__ import annotations
@@ -32,23 +33,15 @@ def prefix_length(n: Column, shared: Column, num: int, den: int) -> Column:
     return shared - _ceil_div(num * n, den) + 1
 
 
-def _bounded(pairs: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs whose overlap can still reach the least: beyond what the prefixes share, no more than one set's rest."""
-    rest = F.greatest(F.col("a.shared") - F.col("a.p"), F.col("b.shared") - F.col("b.p"))
-    return pairs.where(F.col("met") + rest >= least_overlap(F.col("a.n"), F.col("b.n"), num, den))
-
+def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``(a, b, n_a, n_b, overlap)`` of pairs of nodes, counted exactly."""
+    mine = lambda x: sets.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("items").alias(f"items_{x}"))
+    both = pairs.join(mine("b"), "b").join(mine("a"), "a")
+    return both.select("a", "b", "n_a", "n_b", F.size(F.array_intersect("items_a", "items_b")).cast("long").alias("overlap"))
 
-def _fits(num: int, den: int) -> Column:
-    """Whether sizes and shared items allow a link."""
-    least = least_overlap(F.col("a.n"), F.col("b.n"), num, den)
-    return F.least(F.col("a.shared"), F.col("b.shared")) >= least
 
-
-def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs of nodes whose items overlap enough."""
-    mine = lambda x: sets.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("items").alias(f"items_{x}"))
-    overlap = F.size(F.array_intersect("items_a", "items_b"))
-    return pairs.join(mine("b"), "b").join(mine("a"), "a").where(den * overlap >= num * (F.col("n_a") + F.col("n_b") - overlap)).select("a", "b")
+def _linked(counted: DataFrame, num: int, den: int) -> DataFrame:
+    return counted.where(F.col("overlap") >= least_overlap(F.col("n_a"), F.col("n_b"), num, den)).select("a", "b")
 
 
 def length_bands(n: Column, num: int, den: int) -> Column:
@@ -65,24 +58,42 @@ def linked_components(sets: DataFrame, num: int = 3, den: int = 4, banded: bool
     split by bands of set lengths; overlaps may then be counted twice, which discards no more pairs than counting them once.
     """
     sized = sets.withColumn("p", prefix_length(F.col("n"), F.col("shared"), num, den)).where("p > 0")
-    entry = F.struct("node", "n", "shared", "p").alias("x")
-    entries = sized.select(F.explode(F.slice("items", 1, F.col("p").cast("int"))).alias("item"), "score", entry)
+    entry = F.struct("node", "n", "shared").alias("x")
+    entries = sized.select(F.posexplode(F.slice("items", 1, F.col("p").cast("int"))).alias("pos", "item"), "score", entry)
     if banded:
         entries = entries.withColumn("band", F.explode(length_bands(F.col("x.n"), num, den))).withColumn("item", F.xxhash64("item", "band")).drop("band")
+    least = least_overlap(F.col("a.n"), F.col("b.n"), num, den)
 
-    def counted(met: DataFrame) -> DataFrame:
-        return _bounded(met.groupBy("a", "b").agg(F.count("*").alias("met")), num, den).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
-
+    # Each column's most central set meets the others of the column.
     centres = entries.groupBy("item").agg(F.max(F.struct("score", "x")).alias("top"), F.count("*").alias("k")).where("k > 1").select("item", F.col("top.x").alias("a"))
-    star = centres.join(entries.select("item", F.col("x").alias("b")), "item").where(F.col("a.node") != F.col("b.node")).where(_fits(num, den))
-    first = stored(_verified(counted(star), sets, num, den), "links")
-    at_first = stored(components(first), "components")
-
-    labelled = entries.drop("score").withColumn("node", F.col("x.node")).join(at_first, "node", "left").select("item", "x", F.coalesce("component", "node").alias("c"))
-    labelled = stored(labelled, "entries")
-    open_items = labelled.groupBy("item").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("item")
-    still = labelled.join(open_items, "item")
-    a, b = still.select("item", F.col("x").alias("a"), F.col("c").alias("ca")), still.select("item", F.col("x").alias("b"), F.col("c").alias("cb"))
-    product = a.join(b, "item").where(F.col("ca") < F.col("cb")).where(_fits(num, den))
-    second = _verified(counted(product.select("a", "b")), sets, num, den)
-    return components(first.union(second))
+    star = centres.join(entries.select("item", F.col("x").alias("b")), "item").where(F.col("a.node") != F.col("b.node")).where(F.least("a.shared", "b.shared") >= least)
+    star = stored(_overlaps(star.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct(), sets), "star")
+    first = _linked(star, num, den)
+    at_first = components(first)
+
+    # What is known of each set: its component, the centre that it overlaps most (itself, if it is one), and by how much.
+    best = star.groupBy("b").agg(F.max(F.struct("overlap", "a")).alias("best")).select(F.col("b").alias("node"), "best")
+    heads = star.select(F.col("a").alias("node")).distinct().withColumn("head", F.lit(True))
+    known = sized.select("node", "shared").join(best, "node", "left").join(heads, "node", "left").join(at_first, "node", "left")
+    alone = F.col("head").isNotNull() | F.col("best").isNull()
+    known = known.select(
+        "node",
+        F.coalesce("component", "node").alias("c"),
+        F.when(alone, F.col("node")).otherwise(F.col("best.a")).alias("centre"),
+        F.when(alone, F.col("shared")).otherwise(F.col("best.overlap")).alias("of_centre"),
+    )
+    x = F.struct("x.node", "x.n", "x.shared", "pos", "c", "centre", "of_centre").alias("x")
+    labelled = stored(entries.drop("score").withColumn("node", F.col("x.node")).join(known, "node").select("item", x), "entries")
+
+    # The product: over columns with several components, of sets that could still meet the smallest set of the column so far down.
+    open_items = labelled.groupBy("item").agg(F.min("x.c").alias("lo"), F.max("x.c").alias("hi"), F.min("x.n").alias("n_lo")).where("lo < hi").select("item", "n_lo")
+    reach = F.col("x.shared") - least_overlap(F.col("x.n"), F.col("n_lo"), num, den)
+    still = labelled.join(open_items, "item").where(F.col("x.pos") <= reach)
+    product = still.select("item", F.col("x").alias("a")).join(still.select("item", F.col("x").alias("b")), "item").where(F.col("a.c") < F.col("b.c"))
+    # Of two similar sets, the first item that they share is as early as this in both.
+    product = product.where((F.col("a.pos") <= F.col("a.shared") - least) & (F.col("b.pos") <= F.col("b.shared") - least))
+    # Two sets share no more than what both have of a common centre, and of what it hasn't.
+    within = F.least("a.of_centre", "b.of_centre") + F.least(F.col("a.shared") - F.col("a.of_centre"), F.col("b.shared") - F.col("b.of_centre"))
+    product = product.where((F.col("a.centre") != F.col("b.centre")) | (within >= least))
+    second = product.groupBy(F.col("a.node").alias("a"), F.col("b.node").alias("b")).agg(F.count("*").alias("met")).drop("met")
+    return components(first.union(_linked(_overlaps(second, sets), num, den)))
