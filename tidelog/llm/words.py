@@ -28,18 +28,23 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-@lru_cache(8)
-def _powers(bits: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """The powers of an odd number modulo 2**64 and of its inverse, 2**bits + 1 of each."""
-    base = int(np.random.default_rng(1000 + seed).integers(1 << 62)) * 8 + 5
-    base %= 1 << 64
-    inverse = pow(base, -1, 1 << 64)
+#: An odd number, and its inverse modulo 2**64.
+BASE = 0x9D39247E33776D41
+INVERSE = pow(BASE, -1, 1 << 64)
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first powers of the base and of its inverse, ``n`` at least."""
+    return _ready(max(16, n.bit_length())) if n < 1 << 21 else _ready.__wrapped__(n.bit_length())
+
+
+@lru_cache(2)
+def _ready(bits: int) -> tuple[np.ndarray, np.ndarray]:
     out = []
-    for x in (base, inverse):
+    for x in (BASE, INVERSE):
         a = np.ones((1 << bits) + 1, np.uint64)
         a[1:] = np.uint64(x)
-        np.multiply.accumulate(a, out=a)
-        out.append(a)
+        out.append(np.multiply.accumulate(a))
     return out[0], out[1]
 
 
@@ -51,13 +56,15 @@ def _byte_values(seed: int, lower: bool) -> np.ndarray:
     return values
 
 
-def rolling(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
-    """A mixed hash of each run ``values[start:end]``."""
-    powers, inverse = _powers(max(10, int(len(values)).bit_length()), seed)
+def rolling(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A mixed hash of each run ``values[start:end]``; seeds give independent hashes."""
+    if seed:
+        values = mix(values + np.uint64(seed * 0x9E3779B97F4A7C15 % (1 << 64)))
+    powers, inverse = _powers(len(values))
     total = np.zeros(len(values) + 1, np.uint64)
     np.cumsum(values * powers[: len(values)], out=total[1:])
     length = (ends - starts).astype(np.uint64)
-    return mix((total[ends] - total[starts]) * inverse[starts] + length * np.uint64(0x9E3779B97F4A7C15))
+    return mix((total[ends] - total[starts]) * inverse[starts] + length * np.uint64(0xD6E8FEB86659FD93))
 
 
 class Words:
@@ -79,17 +86,17 @@ class Words:
         self.ends = np.flatnonzero(inside & right) + 1
         self.data = data
         self.at = np.searchsorted(self.starts, offsets)
-        self.hashes = rolling(_byte_values(seed, lower)[data], self.starts, self.ends, seed)
+        self.hashes = rolling(_byte_values(seed, lower)[data], self.starts, self.ends)
 
     def counts(self) -> np.ndarray:
         return np.diff(self.at)
 
-    def windows(self, size: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    def windows(self, size: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
         """(hash, index of the first word) of each run of ``size`` words within one text, in order."""
         counts = self.counts()
         room = np.repeat(self.at[1:], counts) - np.arange(len(self.hashes))
         starts = np.flatnonzero(room >= size)
-        return rolling(self.hashes, starts, starts + size, seed + 7), starts
+        return rolling(self.hashes, starts, starts + size, seed), starts
 
 
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
