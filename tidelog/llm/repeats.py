@@ -1,7 +1,7 @@
 """Remove passages that occur earlier in the corpus: exact, by a count-min prefilter and a second pass.
 
 A window is a run of consecutive words of one document. A first pass sketches the counts of all windows. The second pass
-groups exactly, by two independent hashes, those windows alone that the sketch estimates as repeated: estimates are never too low,
+groups exactly, by hashes of 96 bits, those windows alone that the sketch estimates as repeated: estimates are never too low,
 so none is lost. A chunk sends each of its distinct windows once, its first place, so a passage that all documents share meets as
 one row per chunk. Words covered by a window that starts earlier elsewhere are removed.
 """
@@ -25,6 +25,16 @@ FIRST = np.iinfo(np.int64).min
 PLACES_SCHEMA = "shard int, __chunk long, h binary, h2 binary, doc binary, pos binary"
 
 
+def _narrow(a: np.ndarray) -> bytes:
+    """Whole numbers in as few bytes each as the largest needs, after one byte that says how many."""
+    kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if not len(a) or int(a.max()) <= np.iinfo(k).max)
+    return bytes([np.dtype(kind).itemsize]) + a.astype(kind).tobytes()
+
+
+def _wide(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.uint64)
+
+
 def _in_order(chunk: pa.Table) -> pa.Table:
     """Rows by id, null first, and then by text."""
     return chunk.take(pc.sort_indices(chunk, sort_keys=[("__id", "ascending"), ("__text", "ascending")], null_placement="at_start"))
@@ -69,18 +79,25 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
             doc = np.searchsorted(words.at, starts, side="right") - 1
             found.append((hashes, rolling(words.hashes, starts, starts + window, 29), ids[i:j][doc], (starts - words.at[doc]).astype(np.uint32)))
         h, h2, doc, pos = (np.concatenate(x) for x in zip(*found))
-        h, first = np.unique(h, return_index=True)  # sorted, each at its first place
-        at = [0, *np.searchsorted(h, (np.arange(1, shards, dtype=np.float64) * (2.0**64 / shards)).astype(np.uint64)).tolist(), len(h)]
+        h, first = np.unique(h, return_index=True)  # each at its first place
+        edges = (np.arange(1, shards, dtype=np.float64) * (2.0**64 / shards)).astype(np.uint64)
+        order = np.lexsort((first, np.searchsorted(edges, h, side="right")))
+        at = [0, *np.searchsorted(h, edges).tolist(), len(h)]
+        h, h2, doc, pos = h[order], h2[first][order].astype(np.uint32), doc[first][order].astype(np.uint64), pos[first][order]
         full = [s for s in range(shards) if at[s + 1] > at[s]]
         number = rows["__chunk"][0].as_py() if len(rows) else 0
-        cut = lambda x: pa.array([x[at[s] : at[s + 1]].tobytes() for s in full], pa.binary())
-        return pa.table({"shard": pa.array(full, pa.int32()), "__chunk": pa.array([number] * len(full), pa.int64()), "h": cut(h), "h2": cut(h2[first]), "doc": cut(doc[first]), "pos": cut(pos[first])})
+        cut = lambda x, write: pa.array([write(x[at[s] : at[s + 1]]) for s in full], pa.binary())
+        # By document within a shard, so that steps from one to the next are small.
+        steps = lambda x: _narrow(x[:1]) + _narrow(np.diff(x))
+        return pa.table({"shard": pa.array(full, pa.int32()), "__chunk": pa.array([number] * len(full), pa.int64()), "h": cut(h, np.ndarray.tobytes), "h2": cut(h2, np.ndarray.tobytes), "doc": cut(doc, steps), "pos": cut(pos, _narrow)})
 
     def later(shard: pa.Table) -> pa.Table:
         read = lambda c, kind: [np.frombuffer(x, kind) for x in shard[c].to_pylist()]
         parts = read("h", np.uint64)
         number = shard["__chunk"].to_numpy()
-        h, h2, doc, pos = np.concatenate(parts), *(np.concatenate(read(c, kind)) for c, kind in (("h2", np.uint64), ("doc", np.int64), ("pos", np.uint32)))
+        h, h2 = np.concatenate(parts), np.concatenate(read("h2", np.uint32))
+        doc = np.concatenate([np.cumsum(np.concatenate([_wide(x[: 1 + x[0]]), _wide(x[1 + x[0] :])]), dtype=np.uint64) for x in shard["doc"].to_pylist()]).astype(np.int64)
+        pos = np.concatenate([_wide(x) for x in shard["pos"].to_pylist()])
         at = np.cumsum([0, *map(len, parts)])
         order = np.lexsort((np.repeat(number, np.diff(at)), pos, doc, h2, h))
         again = np.zeros(len(h), bool)
@@ -117,7 +134,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
 
     shared = shared_cells(chunks, keys, total, "__text")
     found = chunks.select("__chunk", "__id", "__text").groupBy("__chunk").cogroup(shared.groupBy("__chunk")).applyInArrow(places, PLACES_SCHEMA)
-    removed = found.groupBy("shard").applyInArrow(later, "__chunk long, h binary")
+    removed = found.repartition(shards, "shard").groupBy("shard").applyInArrow(later, "__chunk long, h binary")
     schema = T.StructType([*(docs.schema[c] for c in columns), *(T.StructField(c, T.LongType()) for c in added[:2]), T.StructField(added[2], T.StringType())])
     out = chunks.groupBy("__chunk").cogroup(removed.groupBy("__chunk")).applyInArrow(remove, schema)
     return out
