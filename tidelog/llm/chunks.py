@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from tidelog.llm.storage import stored_buckets
 
 #: Rows in a chunk, at most; a pass holds one chunk of texts in memory.
-CHUNK_ROWS = 1024
+CHUNK_ROWS = 512
 #: Text in a bucket, about, and the most buckets that Spark's defaults take kindly to.
-BUCKET_BYTES, MOST_BUCKETS = 16 << 20, 50_000
+BUCKET_BYTES, MOST_BUCKETS = 8 << 20, 50_000
 
 
 def text_bytes(docs: DataFrame, text_col: str = "text") -> int:

@@ -116,7 +116,8 @@ def shared_cells(chunks: DataFrame, keys: Keys, total_bytes: int, text_col: str
         return pa.table({"__chunk": pa.array([x[0] for x in out], pa.int64()), "cells": pa.array([x[1] for x in out], pa.binary()), "codes": pa.array([x[2] for x in out], pa.binary())})
 
     sketches = chunks.select("__chunk", text_col).mapInArrow(partition_sketches, SKETCH_SCHEMA)
-    return sketches.groupBy("shard").applyInArrow(merge, SHARED_SCHEMA)
+    # About a shard to a task, however large the partitions that a cluster likes: what a Python worker is sent stays small.
+    return sketches.repartition(shards, "shard").groupBy("shard").applyInArrow(merge, SHARED_SCHEMA)
 
 
 class SharedCells:
