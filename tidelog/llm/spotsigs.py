@@ -131,7 +131,7 @@ def probe_edits(docs: DataFrame, chain: int = 2, id_col: str = "doc_id", text_co
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("key", F.coalesce("doc_id", F.lit(LOWEST)))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    ranges = min(MOST_RANGES, max(2 * shuffle_partitions(spark), -(-total // (8 << 20))))
+    ranges = min(MOST_RANGES, max(2 * shuffle_partitions(spark), -(-total // (4 << 20))))
     cuts = rows.agg(F.percentile_approx("key", F.array(*[F.lit(i / ranges) for i in range(1, ranges)]), F.lit(10 * ranges))).first()[0] or []
     bounds = np.unique(np.array(cuts, np.int64))
 
