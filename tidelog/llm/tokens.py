@@ -1,6 +1,7 @@
 """Token counts of whole texts under a tokenizer file.
 
-Ordinary texts are encoded as they are. A huge text is encoded in overlapping chunks with offsets, and neighbouring chunks
+Ordinary texts are encoded as they are: plain ones by a faster library with the ranks of the same file, others by the
+file's own library. A huge text is encoded in overlapping chunks with offsets, and neighbouring chunks
 are spliced where that is proven to change nothing: at a boundary between two pre-tokens that both chunks have in their overlap, far enough
 from where the earlier one was cut off. The earlier chunk has it from a true start, so it is a boundary of the whole text; what follows it depends on
 the text from there on alone. When no such boundary is found the overlap is widened, until a chunk holds the rest.
@@ -8,6 +9,8 @@ the text from there on alone. When no such boundary is found the overlap is wide
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -21,6 +24,8 @@ from pyspark.sql import types as T
 CHUNK_CHARS, OVERLAP_CHARS, CALL_CHARS = 32_768, 512, 1 << 20
 #: Pre-tokens and characters before a cut that may be other than in the whole text: look-ahead, contractions, and parts of special strings.
 UNSURE_PRETOKENS, UNSURE_CHARS = 4, 64
+# Fixed value: how byte-level BPE splits a text.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 @lru_cache(4)
@@ -36,6 +41,41 @@ def tokenizer(path: str):
     return out
 
 
+#: Texts of these characters are split and merged alike by both libraries, whatever tables of Unicode they were built with.
+PLAIN = re.compile("[\t\n\r -~\u00c0-\u024f]*")
+
+
+def _bytes_of_letters() -> dict[str, int]:
+    """The byte that each letter of a byte-level vocabulary stands for: printable ones for themselves, the rest from 256 on, in order."""
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+    rest = [b for b in range(256) if b not in own]
+    return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
+@lru_cache(4)
+def plain_encoder(path: str):
+    """A faster encoder of plain texts with the ranks of the same file, or None if the file isn't byte-level BPE whose ids follow its merges."""
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    model, before = spec["model"], spec.get("pre_tokenizer") or {}
+    options = ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges")
+    if spec.get("normalizer") or spec.get("post_processor") or model.get("type") != "BPE" or any(model.get(x) for x in options):
+        return None
+    if before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True):
+        return None
+    pairs = [tuple(x.split(" ")) if isinstance(x, str) else tuple(x) for x in model["merges"]]
+    if [model["vocab"].get(a + b) for a, b in pairs] != list(range(256, 256 + len(pairs))):
+        return None
+    letters = _bytes_of_letters()
+    ranks = {bytes(letters[c] for c in token): i for token, i in model["vocab"].items() if i < 256 + len(pairs)}
+    special = {x["content"]: x["id"] for x in spec.get("added_tokens", ())}
+    if any(x.get(k) for x in spec.get("added_tokens", ()) for k in ("single_word", "lstrip", "rstrip", "normalized")):
+        return None
+    return tiktoken.Encoding("plain", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
+
+
 def boundaries(encoding) -> tuple[np.ndarray, np.ndarray]:
     """(first character, number of tokens before) of each pre-token of an encoding."""
     words = encoding.word_ids
@@ -80,7 +120,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 1024, chunk:
     """
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        library = tokenizer(tokenizer_path)
+        library, plain = tokenizer(tokenizer_path), plain_encoder(tokenizer_path)
 
         def encode(text: str):
             return library.encode(text, add_special_tokens=False)
@@ -97,6 +137,8 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 1024, chunk:
                     call, held = [], 0
                 if text and len(text) > 2 * chunk:
                     counts[i] = count_huge(text, encode, chunk, overlap)
+                elif text and plain and PLAIN.fullmatch(text):
+                    counts[i] = len(plain.encode(text, allowed_special="all"))
                 elif text:
                     call.append(i)
                     held += len(text)
