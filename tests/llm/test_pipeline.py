@@ -74,5 +74,5 @@ def test_same_rows_as_sql(spark, name):
 def test_draws_are_even(spark):
     from pyspark.sql import functions as F
 
-    low, mean = spark.range(5000).select((mixing.draw("s", F.col("id"))).alias("d")).agg(F.count_if("d < 0.25") / 5000, F.avg("d")).first()
+    low, mean = spark.range(5000).select((mixing.draw("s", F.col("id"))).alias("d")).agg(F.count_if(F.col("d") < 0.25) / 5000, F.avg("d")).first()
     assert abs(low - 0.25) < 0.03 and abs(mean - 0.5) < 0.03
