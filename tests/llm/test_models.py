@@ -21,6 +21,18 @@ def test_language_of_documents_held_out(spark):
     assert rows > 200 and right > 0.97 and rejected < 0.02
 
 
+@needs_tables
+def test_wrong_labels_do_not_reject_clean_documents(spark):
+    docs = table(spark, SF, "documents")
+    # Of 20 documents, one has the label of another language.
+    others = F.expr("element_at(map('en', 'fr', 'fr', 'de', 'de', 'es', 'es', 'en'), lang)")
+    noisy = docs.withColumn("lang", F.when(F.pmod(F.xxhash64("doc_id"), F.lit(20)) == 3, F.coalesce(others, "lang")).otherwise(F.col("lang")))
+    assert noisy.exceptAll(docs).count() > 20
+    found = language.identify(docs.withColumnRenamed("lang", "truth"), language.fit_language_model(noisy, F.lit(True)))
+    right, rejected = found.where(F.col("truth").isNotNull()).select(F.avg((F.col("truth") == F.col("lang_pred")).cast("int")), F.avg(F.col("rejected").cast("int"))).first()
+    assert right > 0.95 and rejected < 0.03
+
+
 def test_language_edges(spark):
     rows = [(i, t, x) for i, (t, x) in enumerate([("the cat and the dog " * 5, "en"), ("le chat et le chien " * 5, "fr")] * 10)] + [(90, None, "en"), (91, "", None), (92, "123 !?", None), (93, "LE CHAT", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({"score": F.lit("clash"), "extra": F.lit(1)})

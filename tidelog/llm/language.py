@@ -88,11 +88,12 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def train(examples: list[tuple[str, np.ndarray, np.ndarray]], dim: int = 12, epochs: int = 8, rate: float = 0.5, precision: float = 0.98, seed: int = 5) -> LanguageModel | None:
+def train(examples: list[tuple[str, np.ndarray, np.ndarray]], dim: int = 12, epochs: int = 8, rate: float = 0.5, precision: float = 0.98, most_lost: float = 0.01, seed: int = 5) -> LanguageModel | None:
     """Fit on ``(language, buckets, counts)``; every fifth example is held back to calibrate. No examples give no model.
 
     The temperature minimises the log loss of the examples held back; ``least`` is the lowest confidence at which those accepted
-    are right at ``precision`` or better.
+    are right at ``precision`` or better, but no higher than rejects a share of ``most_lost`` of those that are right: a wrong label counts as
+    an error at any confidence, and no threshold makes up for it.
     """
     if not examples:
         return None
@@ -125,9 +126,13 @@ def train(examples: list[tuple[str, np.ndarray, np.ndarray]], dim: int = 12, epo
     temperature = float(min(np.geomspace(0.05, 5, 40), key=loss))
     p = _softmax(logits / temperature)
     order = np.argsort(-p.max(axis=1), kind="stable")
-    right = np.cumsum((p.argmax(axis=1) == truth)[order]) / np.arange(1, len(order) + 1)
+    correct = p.argmax(axis=1) == truth
+    right = np.cumsum(correct[order]) / np.arange(1, len(order) + 1)
     good = np.flatnonzero(right >= precision)
     least = 1 / len(languages) if len(good) == len(order) or right[-1] >= precision else (float(p.max(axis=1)[order][good[-1]]) if len(good) else 1.0)
+    kept = np.sort(p.max(axis=1)[correct])
+    if len(kept):
+        least = min(least, float(kept[int(most_lost * len(kept))]))
     return LanguageModel(languages, table, bias, temperature, least)
 
 
