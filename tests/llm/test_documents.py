@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).parent))
 import brute  # noqa: E402
 
-from tidelog.llm import jaccard, licenses, mixing, packing, repeats, spotsigs, tokens  # noqa: E402
+from tidelog.llm import jaccard, licenses, mixing, packing, queries, repeats, spotsigs, tokens  # noqa: E402
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, score double, items string"
 
@@ -203,6 +203,21 @@ def test_similar_fingerprints(docs):
     assert sorted((key(r[0]), key(r[1])) for r in found) == want
 
 
+def test_spotsigs_query_finds_near_copies_that_are_not_neighbours(spark, tmp_path):
+    rng = random.Random(8)
+    prose = lambda: " ".join(f"the w{rng.randrange(10**6)} v{rng.randrange(10**6)}" for _ in range(60))
+    base = prose()
+    rows = [(i, prose()) for i in range(40)]
+    rows[5], rows[30], rows[38] = (5, base), (30, base + " the last word"), (38, base)
+    rows += [(50, None), (38, base), (None, base)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    found = queries.op8_spotsigs(spark, str(tmp_path))
+    assert found.columns[:7] == spotsigs.probe_edits(found.select("doc_id", F.lit("").alias("text"))).columns
+    got = [(r["doc_id"], r["component_id"]) for r in found.collect()]
+    assert len(got) == len(rows)
+    assert sorted(got, key=str) == sorted(((i, 5 if t and t.startswith(base) else i) for i, t in rows), key=str)
+
+
 def test_a_signature_is_an_anchor_and_its_chain():
     import pyarrow as pa
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidelog.llm import jaccard, language, licenses, mixing, neighbours, packing, quality, repeats, spotsigs, tokens
 from tidelog.llm.oracles import ORACLE_SQL
-from tidelog.llm.storage import table
+from tidelog.llm.storage import stored, table
 
 
 def op1_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +53,10 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spotsigs.probe_edits(table(spark, sf_dir, "documents"))
+    prints = ("fingerprint", "edited_fingerprint")
+    probed = spotsigs.probe_edits(table(spark, sf_dir, "documents")).withColumns({c: F.unhex(c) for c in prints})
+    found = spotsigs.with_components(stored(probed, "probed", free=True))
+    return found.withColumns({c: F.lower(F.hex(c)) for c in prints})
 
 
 def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -108,17 +108,37 @@ def similar(prints: DataFrame, num: int = 3, den: int = 4) -> DataFrame:
     Equal fingerprints are one class. Signatures are ordered from rare to common over all documents, and only sets in the same or the next band of lengths meet. Empty
     fingerprints link with nothing; the class of a row without links is its own id, that of others the smallest id.
     """
-    classes = prints.where("length(fingerprint) > 0").groupBy("fingerprint").agg(F.min("doc_id").alias("label"))
-    classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
-    items = classes.select("node", F.explode(F.array_distinct(F.expr("regexp_extract_all(fingerprint, '.{8}', 0)"))).alias("s")).select("node", F.conv("s", 16, 10).cast("long").alias("s"))
-    counts = items.groupBy("s").count()
-    ranked = items.join(counts, "s").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("count", "s"))).alias("x"))
-    sets = stored(ranked.select("node", F.size("x").cast("long").alias("n"), F.size("x").cast("long").alias("shared"), F.lit(0).alias("score"), F.col("x.s").alias("items")), "sets")
-    linked = linked_components(sets, num, den, banded=True)
-    named = classes.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    rows = prints.select("doc_id", F.unhex("fingerprint").alias("fingerprint"))
+    return with_components(rows, num, den).select("doc_id", "component_id")
+
+
+def with_components(rows: DataFrame, num: int = 3, den: int = 4) -> DataFrame:
+    """``rows`` with the ``component_id`` of :func:`similar`.
+
+    They have ``doc_id`` and ``fingerprint``, here as bytes, four for each signature, and should be stored, as they are read more than once.
+    """
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(np.frombuffer(x, ">u4")).astype(np.int64) for x in batch.column("fingerprint").to_pylist()]
+            items = pa.ListArray.from_arrays(np.cumsum([0, *map(len, sets)]).astype(np.int32), np.concatenate([np.zeros(0, np.int64), *sets]))
+            yield pa.record_batch({"node": batch.column("node"), "n": pa.array([len(x) for x in sets], pa.int64()), "s": items})
+
+    key = F.unhex(F.md5("fingerprint"))
+    classes = rows.where("length(fingerprint) > 0").groupBy("fingerprint").agg(F.min("doc_id").alias("label"))
+    classes = stored(classes.select(key.alias("key"), "fingerprint", "label", F.monotonically_increasing_id().alias("node")), "classes", free=True)
+    each = classes.select("node", "fingerprint").mapInArrow(found, "node long, n long, s array<long>")
+    items = each.select("node", "n", F.explode("s").alias("s"))
+    # A signature of one class alone is met nowhere else; only the others are counted, ordered and sent.
+    counts = stored(items.groupBy("s").count().where("count > 1"), "counts", free=True)
+    ranked = items.join(counts, "s").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("count", "s"))).alias("x"))
+    sets = ranked.select("node", "n", F.size("x").cast("long").alias("shared"), F.lit(0).alias("score"), F.col("x.s").alias("items"))
+    linked = linked_components(stored(sets.where(F.col("shared") * den >= F.col("n") * num), "sets", free=True), num, den, banded=True)
+    named = classes.select("key", "label", "node").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
     labels = named.groupBy("component").agg(F.min("label").alias("component_id"))
-    named = named.join(labels, "component").select("fingerprint", "component_id")
-    return prints.join(named, "fingerprint", "left").select("doc_id", F.coalesce("component_id", "doc_id").alias("component_id"))
+    named = stored(named.join(labels, "component").select(F.col("key").alias("__key"), "component_id"), "named", free=True)
+    both = rows.withColumn("__key", key).join(named, "__key", "left")
+    return both.select(*[F.col(f"`{c}`") for c in rows.columns if c != "component_id"], F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def probe_edits(docs: DataFrame, chain: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: What this driver has written and not released: paths and names of tables.
 _paths: list[str] = []
 _tables: list[str] = []
@@ -22,11 +23,19 @@ def shared_dir(spark: SparkSession) -> str:
     return there.rstrip("/")
 
 
-def stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
-    """Write ``df`` to a new place in the shared folder and read it back: its lineage ends there. ``keep`` exempts it from :func:`release`."""
+def stored(df: DataFrame, name: str, keep: bool = False, free: bool = False) -> DataFrame:
+    """Write ``df`` to a new place in the shared folder and read it back: its lineage ends there.
+
+    ``keep`` exempts it from :func:`release`. With ``free``, the shuffle files of the write are deleted as it ends, not when the driver next collects garbage.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidelog/{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true" if free else before)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     if not keep:
         _paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
