@@ -126,6 +126,11 @@ def test_best_fit_takes_the_tightest_bin():
     assert bins.tolist() == [0, 1, 0, 1, 1] and offsets.tolist() == [0, 0, 60, 50, 80] and capacity == [100, 100] and used == [100, 90]
 
 
+def test_pieces_just_over_half_of_a_length_open_longer_bins():
+    _, _, capacity, used = packing.best_fit(packing.np.full(600, 520), (512, 1024, 2048, 4096), packing.quadratic_cost)
+    assert sum(used) == 600 * 520 and sum(map(packing.quadratic_cost, capacity)) / sum(used) < 1.7
+
+
 def test_licenses(spark):
     notice = "Released under the MIT License."
     mit = next(t for n, t in licenses.KNOWN if n == "MIT" and len(t) > 500)

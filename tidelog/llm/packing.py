@@ -2,7 +2,7 @@
 
 Documents are cut into pieces no longer than the longest permitted length. Pieces are dealt by a hash into shards of
 bounded size, and each shard is packed by itself: longest piece first, into the open bin that it fills best; if none has
-room, a new bin is opened at the permitted length with the least cost per token that it can expect to hold. At the end each
+room, a new bin is opened. The lengths of new bins are those with which the whole shard costs least. At the end each
 bin shrinks to the shortest permitted length that holds its contents.
 """
 
@@ -27,22 +27,13 @@ def quadratic_cost(length: int, per_pair: float = 1 / 8192) -> float:
     return length + per_pair * length * length
 
 
-def best_fit(lengths: np.ndarray, permitted: Sequence[int], cost: Callable[[int], float]) -> tuple[np.ndarray, np.ndarray, list[int], list[int]]:
-    """Pack ``lengths``, given in falling order: (bin, offset) of each piece, and capacity and use of each bin.
-
-    Open bins are kept by the room they have left; the rooms in use are the bits of one number, so the tightest fit is its
-    lowest bit at or above the length. The fill that a new bin can expect is the smaller of its room and the tokens still to come.
-    """
-    permitted = sorted(permitted)
-    costs = {c: cost(c) for c in permitted}
+def _packed(lengths: np.ndarray, permitted: Sequence[int], opens: dict[int, int]) -> tuple[np.ndarray, np.ndarray, list[int], list[int]]:
+    """:func:`best_fit` where a piece for which no bin has room opens one of ``opens[c]``; ``c`` is the smallest permitted length that holds it."""
     open_by_room: dict[int, list[int]] = {}
     rooms = 0
     bins, offsets = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
     used: list[int] = []
-    room_of: list[int] = []
-    to_come = int(lengths.sum())
     for i, n in enumerate(lengths.tolist()):
-        to_come -= n
         fits = rooms >> n
         if fits:
             room = n + (fits & -fits).bit_length() - 1
@@ -50,14 +41,12 @@ def best_fit(lengths: np.ndarray, permitted: Sequence[int], cost: Callable[[int]
             if not open_by_room[room]:
                 rooms ^= 1 << room
         else:
-            room = min((c for c in permitted if c >= n), key=lambda c: (costs[c] / (n + min(c - n, to_come)), c))
+            room = opens[next(c for c in permitted if c >= n)]
             b = len(used)
             used.append(0)
-            room_of.append(room)
         bins[i], offsets[i] = b, used[b]
         used[b] += n
         left = room - n
-        room_of[b] = left
         if left:
             if not open_by_room.setdefault(left, []):
                 rooms |= 1 << left
@@ -65,6 +54,32 @@ def best_fit(lengths: np.ndarray, permitted: Sequence[int], cost: Callable[[int]
     return bins, offsets, [next(c for c in permitted if c >= u) for u in used], used
 
 
+def best_fit(lengths: np.ndarray, permitted: Sequence[int], cost: Callable[[int], float]) -> tuple[np.ndarray, np.ndarray, list[int], list[int]]:
+    """Pack ``lengths``, given in falling order: (bin, offset) of each piece, and capacity and use of each bin.
+
+    Open bins are kept by the room they have left; the rooms in use are the bits of one number, so the tightest fit is its
+    lowest bit at or above the length. Pieces are of a class by the smallest permitted length that holds them. Which length a class opens is
+    found by packing: class by class, longest first, and over again until none changes, the length is taken with which all bins cost least.
+    """
+    permitted = sorted(permitted)
+    opens = {c: c for c in permitted}
+    best = _packed(lengths, permitted, opens)
+    least = sum(map(cost, best[2]))
+    present = {next(c for c in permitted if c >= n) for n in set(lengths.tolist())}
+    changed = True
+    while changed:
+        changed = False
+        for own in sorted(present, reverse=True):
+            for other in permitted:
+                if other < own or other == opens[own]:
+                    continue
+                found = _packed(lengths, permitted, opens | {own: other})
+                total = sum(map(cost, found[2]))
+                if total < least:
+                    best, least, opens, changed = found, total, opens | {own: other}, True
+    return best
+
+
 def pack(sizes: DataFrame, permitted: Sequence[int] = (512, 1024, 2048, 4096), cost: Callable[[int], float] = quadratic_cost, seed: int = 7) -> DataFrame:
     """Packed pieces of ``sizes(doc_id long, size long)``: one row per piece, with its bin.
 
