@@ -2,6 +2,7 @@ import json
 
 import pytest
 
+from tidelog.functions.times import parse_instant
 from tidelog.operators import validate
 
 NOW = "2026-08-09T12:00:00Z"
@@ -36,6 +37,8 @@ CASES = [
     (entry(timestamp="2026-08-09T11:00:00+24:00"), TS + "contains an invalid timezone offset"),
     (entry(timestamp="2026-08-09T11:00:00-01:60"), TS + "contains an invalid timezone offset"),
     (entry(timestamp="2026-08-10T11:58:59.1234+23:59"), None),
+    *[(entry(timestamp=f"2026-08-08T11:00:00.5{x}"), None) for x in ("+00:00", "+01:00", "-03:00", "-11:30", "+14:00", "-23:59")],
+    (entry(timestamp="2026-08-09T11:06:00-01:00"), TS + "cannot be more than 5 minutes in the future"),
     (entry(timestamp="2026-08-09T12:05:00.000999Z"), None),
     (entry(timestamp="2026-08-09T12:05:00.001Z"), TS + "cannot be more than 5 minutes in the future"),
     (entry(level="critical"), "invalid level: 'critical'"),
@@ -63,12 +66,19 @@ def checked(spark):
 
 
 def test_first_failing_rule_is_the_reason(checked):
-    found = {r["index"]: r["reason"] for r in checked.collect()}
+    found = {r["index"]: r["reason"] for r in checked.select("index", "reason").collect()}
     assert [found[i] for i in range(len(CASES))] == [reason for _, reason in CASES]
 
 
+def test_instants_of_all_years_and_offsets(checked):
+    found = {r["index"]: r["t"] for r in validate.accepted(checked).selectExpr("index", "unix_micros(timestamp) AS t").collect()}
+    for i, (text, reason) in enumerate(CASES):
+        if reason is None:
+            assert found[i] == parse_instant(json.loads(text)["timestamp"], "x").micros
+
+
 def test_every_entry_is_accepted_or_rejected(checked):
-    accepted = {r["index"] for r in validate.accepted(checked).collect()}
+    accepted = {r["index"] for r in validate.accepted(checked).select("index").collect()}
     rejected = [r["index"] for r in validate.rejected(checked).collect()]
     assert accepted | set(rejected) == set(range(len(CASES))) and not accepted & set(rejected)
     assert rejected == sorted(rejected)

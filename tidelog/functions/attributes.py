@@ -22,8 +22,11 @@ def variant_text(v: Column) -> Column:
     return F.when(F.schema_of_variant(v).isin("DOUBLE", "FLOAT"), plain).otherwise(v.cast("string"))
 
 
+def texts(values: Column) -> Column:
+    """A map of variants with every value as text."""
+    return F.map_from_entries(F.transform(F.map_entries(values), lambda e: F.struct(e["key"], variant_text(e["value"]))))
+
+
 def normalized(attributes: Column) -> Column:
     """The map of keys to texts of a JSON object's text; of repeated keys the last counts; null for anything but an object."""
-    entries = F.try_parse_json(attributes)
-    pairs = F.map_entries(entries.cast("map<string,variant>"))
-    return F.when(F.schema_of_variant(entries).startswith("OBJECT<"), F.map_from_entries(F.transform(pairs, lambda e: F.struct(e["key"], variant_text(e["value"])))))
+    return texts(F.try_parse_json(attributes).try_cast("map<string,variant>"))

@@ -10,10 +10,22 @@ from datetime import datetime, timedelta, timezone
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Widths of the buckets that counts may ask for.
-BUCKETS = {"1m": "1 minute", "5m": "5 minutes", "1h": "1 hour", "1d": "1 day"}
+#: Widths in seconds of the buckets that counts may ask for.
+BUCKETS = {"1m": 60, "5m": 300, "1h": 3600, "1d": 86_400}
 ISO = r"\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d{1,6})?(Z|[+-]\d{2}:\d{2})"
 _ISO = re.compile(ISO, re.ASCII)
+# What follows an instant's name when it breaks a rule, in the order of the rules.
+INSTANT_REASONS = {
+    "type": "is required and must be a string",
+    "form": "must be a valid ISO 8601 date-time with timezone",
+    "month": "contains an invalid month",
+    "day": "contains an invalid day",
+    "hour": "contains an invalid hour",
+    "minute": "contains an invalid minute",
+    "second": "contains an invalid second",
+    "offset": "contains an invalid timezone offset",
+    "future": "cannot be more than 5 minutes in the future",
+}
 EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
 
 
@@ -32,8 +44,9 @@ def seconds_text(ts: Column) -> Column:
 
 
 def bucket_start(ts: Column, bucket: str) -> Column:
-    """Start of the bucket that holds ``ts``; buckets are aligned to 1970-01-01 UTC. Use one bucket width in a DataFrame."""
-    return F.window(ts, BUCKETS[bucket]).start
+    """Microseconds since 1970, UTC, at the start of the bucket that holds ``ts``; buckets are aligned to 1970."""
+    micros, width = F.unix_micros(ts.cast("timestamp")), F.lit(BUCKETS[bucket] * 1_000_000)
+    return micros - F.pmod(micros, width)
 
 
 def start_of_day(ts: Column) -> Column:
@@ -69,24 +82,23 @@ class Instant:
 
 def parse_instant(text: object, name: str) -> Instant:
     """An argument's ISO 8601 instant with zone; :class:`ArgumentError` gives the first rule that it breaks."""
-    if not isinstance(text, str):
-        raise ArgumentError(f"{name} is required and must be a string")
-    if not _ISO.fullmatch(text):
-        raise ArgumentError(f"{name} must be a valid ISO 8601 date-time with timezone")
+
+    def refuse(rule: str, broken: bool) -> None:
+        if broken:
+            raise ArgumentError(f"{name} {INSTANT_REASONS[rule]}")
+
+    refuse("type", not isinstance(text, str))
+    refuse("form", not _ISO.fullmatch(text))
     year, month, day, hour, minute, second = (int(text[i:j]) for i, j in ((0, 4), (5, 7), (8, 10), (11, 13), (14, 16), (17, 19)))
-    if not 1 <= month <= 12:
-        raise ArgumentError(f"{name} contains an invalid month")
+    refuse("month", not 1 <= month <= 12)
     leap = calendar.isleap(year)
-    if not 1 <= day <= (29 if month == 2 and leap else 28 if month == 2 else 30 if month in (4, 6, 9, 11) else 31):
-        raise ArgumentError(f"{name} contains an invalid day")
+    refuse("day", not 1 <= day <= (29 if month == 2 and leap else 28 if month == 2 else 30 if month in (4, 6, 9, 11) else 31))
     for value, most, unit in ((hour, 23, "hour"), (minute, 59, "minute"), (second, 59, "second")):
-        if value > most:
-            raise ArgumentError(f"{name} contains an invalid {unit}")
+        refuse(unit, value > most)
     offset = 0
     if not text.endswith("Z"):
         hours, minutes = int(text[-5:-3]), int(text[-2:])
-        if hours > 23 or minutes > 59:
-            raise ArgumentError(f"{name} contains an invalid timezone offset")
+        refuse("offset", hours > 23 or minutes > 59)
         offset = (hours * 60 + minutes) * (1 if text[-6] == "+" else -1)
     zone = 1 if text.endswith("Z") else 6
     fraction = text[20:-zone] if text[19] == "." else ""

@@ -36,10 +36,11 @@ def exact(count: Column) -> Column:
 
 
 def _counted(found: DataFrame, spec: BucketSpec) -> DataFrame:
-    group = F.col(spec.group_by) if spec.group_by else F.lit(None).cast("string")
-    counts = found.groupBy(bucket_start(F.col("timestamp"), spec.bucket).alias("at"), *([F.col(spec.group_by)] if spec.group_by else [])).agg(F.count("*").alias("n"))
-    out = counts.select(F.col("at"), group.alias("group"), exact(F.col("n")).alias("count")).orderBy("at", F.asc_nulls_first("group"))
-    return out.select(seconds_text(F.col("at")).alias("start"), "group", "count")
+    group = [F.col(spec.group_by).alias("group")] if spec.group_by else []
+    counts = found.groupBy(bucket_start(F.col("timestamp"), spec.bucket).alias("at"), *group).agg(F.count("*").alias("n"))
+    shown = F.col("group") if group else F.lit(None).cast("string").alias("group")
+    out = counts.orderBy("at", *([F.asc_nulls_first("group")] if group else []))
+    return out.select(seconds_text(F.timestamp_micros("at")).alias("start"), shown, exact(F.col("n")).alias("count"))
 
 
 def bucket_counts(logs: DataFrame, filters: LogFilters, spec: BucketSpec) -> DataFrame:

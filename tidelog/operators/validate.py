@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.functions.attributes import normalized
-from tidelog.functions.times import ISO, parse_instant
+from tidelog.functions.attributes import texts
+from tidelog.functions.times import INSTANT_REASONS, ISO, parse_instant
 from tidelog.operators.filters import blank
 from tidelog.schema import LEVELS
 
@@ -14,34 +14,32 @@ FUTURE_MS = 5 * 60 * 1000
 
 
 def _kind(v: Column) -> Column:
-    """The type of a variant; empty where there is none, ``VOID`` for a JSON null."""
+    """The type of a scalar variant; empty where there is none, ``VOID`` for a JSON null."""
     return F.coalesce(F.schema_of_variant(v), F.lit(""))
 
 
-def _field(name: str) -> Column:
-    return F.try_variant_get(F.col("v"), f"$.{name}", "variant")
+def _object(v: Column) -> Column:
+    """The fields of an object; null for anything else. Walked once: reading fields by path walks the document for each."""
+    return v.try_cast("map<string,variant>")
 
 
 def requests(bodies: DataFrame) -> DataFrame:
-    """``bodies(request_id, body)`` with the parsed body and ``refused``, the reason that the whole request is refused for, or null."""
-    parsed = bodies.select("request_id", "body", F.try_parse_json("body").alias("v"))
-    logs = F.try_variant_get(F.col("v"), "$.logs", "variant")
+    """``bodies(request_id, body)`` with its ``logs`` and ``refused``, the reason that the whole request is refused for, or null."""
+    parsed = bodies.select("request_id", "body", F.try_parse_json("body").alias("v")).withColumn("top", _object(F.col("v")))
+    parsed = parsed.withColumn("logs", F.col("top")["logs"].try_cast("array<variant>"))
     refused = (
         F.when(F.col("v").isNull(), "request body must be valid JSON")
-        .when(~_kind(F.col("v")).startswith("OBJECT<"), "request body must be an object")
-        .when(~_kind(logs).startswith("ARRAY<"), "logs must be an array")
-        .when(F.size(logs.cast("array<variant>")) == 0, "logs must contain at least one entry")
+        .when(F.col("top").isNull(), "request body must be an object")
+        .when(F.col("logs").isNull(), "logs must be an array")
+        .when(F.size("logs") == 0, "logs must contain at least one entry")
     )
-    return parsed.withColumn("refused", refused)
+    return parsed.select("request_id", "body", "logs", refused.alias("refused"))
 
 
 def entries(parsed: DataFrame) -> DataFrame:
     """``(request_id, index, v, raw)`` of the entries of requests that aren't refused, in order; ``raw`` is an entry's text."""
     # The variant keeps types, the text keeps the order of keys.
-    both = F.arrays_zip(
-        F.try_variant_get(F.col("v"), "$.logs", "variant").cast("array<variant>").alias("v"),
-        F.from_json("body", "logs array<string>")["logs"].alias("raw"),
-    )
+    both = F.arrays_zip(F.col("logs").alias("v"), F.from_json("body", "logs array<string>")["logs"].alias("raw"))
     found = parsed.where("refused IS NULL").select("request_id", F.posexplode(both).alias("index", "e"))
     return found.select("request_id", "index", F.col("e.v").alias("v"), F.col("e.raw").alias("raw"))
 
@@ -63,82 +61,94 @@ def instant_micros(text: Column) -> Column:
     sign, hours, minutes = _offset(text)
     seconds = F.unix_micros(F.concat(F.substring(text, 1, 19), F.lit("Z")).try_cast("timestamp"))
     fraction = F.rpad(F.regexp_extract(text, r"\.(\d+)", 1), 6, "0").try_cast("long")
-    return seconds + F.coalesce(fraction, F.lit(0)) - sign * (hours * 60 + minutes) * F.lit(60_000_000)
+    return seconds + F.coalesce(fraction, F.lit(0)) - sign * (hours * 60 + minutes).cast("long") * F.lit(60_000_000)
 
 
-def timestamp_reason(kind: Column, text: Column, now: str, name: str = "timestamp") -> Column:
-    """The first rule of instants that a value breaks, or null."""
+def timestamp_reason(kind: Column, text: Column, micros: Column, now: str, name: str = "timestamp") -> Column:
+    """The first rule of instants that a value breaks, or null; ``micros`` is :func:`instant_micros` of the text."""
     year, month, day = _part(text, 1, 4), _part(text, 6, 2), _part(text, 9, 2)
     leap = ((year % 4 == 0) & (year % 100 != 0)) | (year % 400 == 0)
     days = F.when(month == 2, F.when(leap, 29).otherwise(28)).when(month.isin(4, 6, 9, 11), 30).otherwise(31)
     _, hours, minutes = _offset(text)
     limit = parse_instant(now, "now").milliseconds + FUTURE_MS
-    return (
-        F.when(kind != "STRING", f"{name} is required and must be a string")
-        .when(~text.rlike(f"^{ISO}\\z"), f"{name} must be a valid ISO 8601 date-time with timezone")
-        .when(~month.between(1, 12), f"{name} contains an invalid month")
-        .when((day < 1) | (day > days), f"{name} contains an invalid day")
-        .when(_part(text, 12, 2) > 23, f"{name} contains an invalid hour")
-        .when(_part(text, 15, 2) > 59, f"{name} contains an invalid minute")
-        .when(_part(text, 18, 2) > 59, f"{name} contains an invalid second")
-        .when((hours > 23) | (minutes > 59), f"{name} contains an invalid timezone offset")
-        .when(F.floor(instant_micros(text) / 1000) > limit, f"{name} cannot be more than 5 minutes in the future")
+    broken = (
+        ("type", kind != "STRING"),
+        ("form", ~text.rlike(f"^{ISO}\\z")),
+        ("month", ~month.between(1, 12)),
+        ("day", (day < 1) | (day > days)),
+        ("hour", _part(text, 12, 2) > 23),
+        ("minute", _part(text, 15, 2) > 59),
+        ("second", _part(text, 18, 2) > 59),
+        ("offset", (hours > 23) | (minutes > 59)),
+        ("future", F.floor(micros / 1000) > limit),
     )
+    return F.coalesce(*[F.when(condition, f"{name} {INSTANT_REASONS[rule]}") for rule, condition in broken])
+
 
+def _good(v: Column) -> Column:
+    """Whether an attribute's value is a string, a finite number or a boolean."""
+    kind = _kind(v)
+    whole = kind.isin("STRING", "BOOLEAN", "BIGINT", "INT", "SMALLINT", "TINYINT") | kind.startswith("DECIMAL")
+    return F.coalesce(whole | (kind.isin("DOUBLE", "FLOAT") & (F.abs(F.when(kind.isin("DOUBLE", "FLOAT"), v).try_cast("double")) < F.lit(float("inf")))), F.lit(False))
 
-def _bad_keys(attributes: Column, raw: Column) -> Column:
-    """Keys of values that are no string, number or boolean: whole-number keys by size, and then the others in document order."""
-    values = attributes.try_cast("map<string,variant>")
+
+def _first_bad_key(values: Column, raw: Column) -> Column:
+    """The first key of a value that isn't :func:`_good`: whole-number keys by size, and then the others in document order."""
     keys = F.array_distinct(F.coalesce(F.json_object_keys(F.from_json(raw, "attributes string")["attributes"]), F.array().cast("array<string>")))
     number = r"^(0|[1-9]\d{0,8})\z"
     ordered = F.concat(
         F.transform(F.array_sort(F.transform(F.filter(keys, lambda k: k.rlike(number)), lambda k: k.cast("long"))), lambda k: k.cast("string")),
         F.filter(keys, lambda k: ~k.rlike(number)),
     )
-
-    def good(k: Column) -> Column:
-        v = values[k]
-        kind = _kind(v)
-        whole = kind.isin("STRING", "BOOLEAN", "BIGINT", "INT", "SMALLINT", "TINYINT") | kind.startswith("DECIMAL")
-        return whole | (kind.isin("DOUBLE", "FLOAT") & (F.abs(F.when(kind.isin("DOUBLE", "FLOAT"), v).try_cast("double")) < F.lit(float("inf"))))
-
-    return F.filter(ordered, lambda k: ~F.coalesce(good(k), F.lit(False)))
+    return F.get(F.filter(ordered, lambda k: ~_good(values[k])), 0)
 
 
 def with_reasons(found: DataFrame, now: str) -> DataFrame:
-    """Entries with ``reason``, null for those that are accepted. ``now`` is an ISO text."""
-    service, message, level = (F.try_variant_get(F.col("v"), f"$.{c}", "string") for c in ("service", "message", "level"))
-    kind = {c: _kind(_field(c)) for c in ("timestamp", "level", "service", "message", "attributes")}
-    attributes = _field("attributes")
-    bad = _bad_keys(attributes, F.col("raw"))
-    text = F.try_variant_get(F.col("v"), "$.timestamp", "string")
+    """Entries as plain columns with ``reason``, null for those that are accepted. ``now`` is an ISO text.
+
+    Each entry is walked once; the rules read what that has found.
+    """
+    names = ("timestamp", "level", "service", "message")
+    fields = found.withColumn("fields", _object(F.col("v")))
+    each = fields.select(
+        "request_id",
+        F.col("index").cast("int").alias("index"),
+        "raw",
+        F.col("fields").isNotNull().alias("whole"),
+        *[_kind(F.col("fields")[c]).alias(f"{c}_kind") for c in names],
+        *[F.col("fields")[c].try_cast("string").alias(c) for c in names],
+        F.col("fields")["attributes"].alias("attributes"),
+    )
+    each = each.withColumns({"values": _object(F.col("attributes")), "micros": F.when(F.col("timestamp").rlike(f"^{ISO}\\z"), instant_micros(F.col("timestamp")))})
+    level, service, message = (F.col(c) for c in names[1:])
     reason = F.coalesce(
-        F.when(~_kind(F.col("v")).startswith("OBJECT<"), "log entry must be an object"),
-        timestamp_reason(kind["timestamp"], text, now),
-        F.when(kind["level"] != "STRING", "level must be debug, info, warn, or error").when(~level.isin(*LEVELS), F.concat(F.lit("invalid level: '"), level, F.lit("'"))),
-        F.when((kind["service"] != "STRING") | blank(service), "service must be a non-empty string"),
-        F.when((kind["message"] != "STRING") | blank(message), "message must be a non-empty string"),
-        F.when((kind["attributes"] != "") & ~kind["attributes"].startswith("OBJECT<"), "attributes must be a flat object").when(
-            F.size(bad) > 0, F.concat(F.lit("invalid attribute '"), F.get(bad, 0), F.lit("': values must be strings, numbers, or booleans"))
+        F.when(~F.col("whole"), "log entry must be an object"),
+        timestamp_reason(F.col("timestamp_kind"), F.col("timestamp"), F.col("micros"), now),
+        F.when(F.col("level_kind") != "STRING", "level must be debug, info, warn, or error").when(~level.isin(*LEVELS), F.concat(F.lit("invalid level: '"), level, F.lit("'"))),
+        F.when((F.col("service_kind") != "STRING") | blank(service), "service must be a non-empty string"),
+        F.when((F.col("message_kind") != "STRING") | blank(message), "message must be a non-empty string"),
+        F.when(F.col("attributes").isNotNull() & F.col("values").isNull(), "attributes must be a flat object").when(
+            F.exists(F.map_values("values"), lambda v: ~_good(v)),
+            F.concat(F.lit("invalid attribute '"), _first_bad_key(F.col("values"), F.col("raw")), F.lit("': values must be strings, numbers, or booleans")),
         ),
     )
-    return found.withColumn("reason", reason)
+    return each.select("request_id", "index", "raw", "micros", *names[1:], "attributes", "values", reason.alias("reason"))
 
 
 def validated(checked: DataFrame) -> DataFrame:
-    """Checked entries as plain columns, which can be written once and read by all that follows; values of refused entries are null."""
+    """Checked entries with the types of stored logs, which can be written once and read by all that follows; values of refused entries are null."""
     good = lambda c: F.when(F.col("reason").isNull(), c)
-    text = F.try_variant_get(F.col("v"), "$.timestamp", "string")
     rows = checked.select(
         "request_id",
-        F.col("index").cast("int").alias("index"),
+        "index",
         "reason",
         "raw",
-        good(F.timestamp_micros(instant_micros(text))).alias("timestamp"),
-        *[good(F.try_variant_get(F.col("v"), f"$.{c}", "string")).alias(c) for c in ("level", "service", "message")],
-        good(F.coalesce(F.to_json(_field("attributes")), F.lit("{}"))).alias("attributes"),
+        good(F.timestamp_micros("micros")).alias("timestamp"),
+        *[good(F.col(c)).alias(c) for c in ("level", "service", "message")],
+        good(F.coalesce(F.to_json("attributes"), F.lit("{}"))).alias("attributes"),
+        good(F.coalesce(texts(F.col("values")), F.create_map().cast("map<string,string>"))).alias("attributes_normalized"),
     )
-    return rows.withColumns({"attributes_normalized": normalized(F.col("attributes")), "day": F.to_date("timestamp")})
+    return rows.withColumn("day", F.to_date("timestamp"))
 
 
 def accepted(rows: DataFrame) -> DataFrame:
@@ -146,9 +156,14 @@ def accepted(rows: DataFrame) -> DataFrame:
     return rows.where("reason IS NULL").drop("reason", "raw")
 
 
+def refusals(rows: DataFrame) -> DataFrame:
+    """``(request_id, index, reason, raw)`` of refused entries."""
+    return rows.where("reason IS NOT NULL").select("request_id", F.col("index").cast("int").alias("index"), "reason", "raw")
+
+
 def rejected(rows: DataFrame) -> DataFrame:
-    """``(request_id, index, reason, raw)`` of refused entries, in input order."""
-    return rows.where("reason IS NOT NULL").select("request_id", F.col("index").cast("int").alias("index"), "reason", "raw").orderBy("request_id", "index")
+    """:func:`refusals` in input order."""
+    return refusals(rows).orderBy("request_id", "index")
 
 
 def reports(parsed: DataFrame, checked: DataFrame) -> DataFrame:
