@@ -11,7 +11,7 @@ from tidelog.operators.ids import assign_ids
 from tidelog.operators.retention import Retention
 from tidelog.sources.logs import append_logs, read_logs
 from tidelog.sources.requests import request_documents, request_lines
-from tidelog.streaming.ingest import Places, ingest_batch, ingest_stream
+from tidelog.streaming.ingest import OVERLOADED, Places, committed, ingest_batch, ingest_stream
 
 NOW = "2026-08-09T12:00:00Z"
 
@@ -49,6 +49,64 @@ def test_a_shut_day_fails_the_whole_batch(spark, tmp_path):
     assert read_logs(spark, at.logs).count() == 1 and spark.read.parquet(at.rejected).count() == 1
 
 
+def test_a_replay_after_midnight_goes_by_its_first_clock(spark, tmp_path):
+    at, policy = places(tmp_path), Retention(1, 1)
+    both = bodies(spark, body("2026-08-08T13:00:00Z", "2026-08-09T09:00:00Z"))
+    for now in ("2026-08-09T12:00:00Z", "2026-08-10T12:00:00Z"):
+        ingest_batch(both, at, now, "run", 0, policy, early_days="reject")
+    assert sorted((r["id"], r["timestamp"].day) for r in read_logs(spark, at.logs).collect()) == [(1, 8), (2, 9)]
+    assert spark.read.parquet(at.reports).count() == 1
+
+
+def test_a_replay_leaves_nothing_of_what_it_replaces(spark, tmp_path):
+    at = places(tmp_path)
+    ingest_batch(bodies(spark, body("2026-08-08T10:00:00Z", "2026-08-09T09:00:00Z"), body("2026-08-08T10:00:00Z", level="x")), at, NOW, "a/b [c]", 0)
+    ingest_batch(bodies(spark, body("2026-08-09T11:00:00Z")), at, NOW, "other", 0)
+    ingest_batch(bodies(spark, body("2026-08-09T09:00:00Z")), at, NOW, "a/b [c]", 0)
+    rows = read_logs(spark, at.logs).collect()
+    assert len(rows) == len({r["id"] for r in rows}) == 2 and {r["timestamp"].hour for r in rows} == {9, 11}
+    assert spark.read.schema("reason string").parquet(at.rejected).count() == 0
+    assert committed(spark, at).count() == 2
+
+
+def test_a_batch_without_reports_is_not_committed(spark, tmp_path, monkeypatch):
+    from tidelog.streaming import ingest
+
+    at, both = places(tmp_path), bodies(spark, body("2026-08-08T10:00:00Z", "2026-08-09T09:00:00Z"))
+    ingest_batch(both, at, NOW, "run", 0)
+    write = ingest._replace
+
+    def dies(df, path, *rest):
+        if path == at.rejected:
+            raise OSError("lost")
+        write(df, path, *rest)
+
+    monkeypatch.setattr(ingest, "_replace", dies)
+    with pytest.raises(OSError):
+        ingest_batch(both, at, NOW, "run", 1)
+    assert committed(spark, at).count() == 2 and read_logs(spark, at.logs).count() == 4
+    monkeypatch.setattr(ingest, "_replace", write)
+    ingest_batch(both, at, NOW, "run", 1)
+    assert sorted(r["id"] for r in committed(spark, at).collect()) == [1, 2, 3, 4]
+
+
+def test_requests_beyond_the_limit_are_refused_whole(spark, tmp_path):
+    at = places(tmp_path)
+    ingest_batch(bodies(spark, body("2026-08-09T10:00:00Z"), "not json", body(*["2026-08-09T10:00:00Z"] * 2), body("2026-08-09T10:00:00Z")), at, NOW, "run", most_logs=3)
+    found = {r["request_id"]: (r["status"], r["error"], r["accepted"]) for r in spark.read.parquet(at.reports).collect()}
+    assert found == {"0": ("ok", None, 1), "1": ("bad_request", "request body must be valid JSON", 0), "2": ("ok", None, 2), "3": ("bad_request", OVERLOADED, 0)}
+
+
+def test_a_stream_is_cut_by_bytes(spark, tmp_path):
+    source, at = tmp_path / "in", places(tmp_path)
+    source.mkdir()
+    for i in range(4):
+        (source / f"{i}.txt").write_text(body(*[f"2026-08-09T0{i}:00:00Z"] * (1 + 30 * (i == 2))) + "\n")
+    ingest_stream(spark, str(source), at, str(tmp_path / "checkpoint"), lambda: NOW, "run", bytes_per_batch=250).awaitTermination()
+    sizes = {r["batch_id"]: r["n"] for r in read_logs(spark, at.logs).groupBy("batch_id").agg(F.count("*").alias("n")).collect()}
+    assert sum(sizes.values()) == 34 and len(sizes) >= 3 and 31 in sizes.values()
+
+
 def test_stream_takes_all_requests_once(spark, tmp_path):
     source = tmp_path / "in"
     source.mkdir()
@@ -94,6 +152,38 @@ def test_maintenance(spark, tmp_path):
     assert (again["createdPartitions"], again["droppedPartitions"], again["deletedCutoffRows"]) == ([], [], 0)
 
 
+class Lost(Exception):
+    pass
+
+
+@pytest.mark.parametrize("at_step", [0, 1, 2])
+def test_a_trim_that_is_cut_off_loses_nothing(spark, tmp_path, monkeypatch, at_step):
+    path, at = str(tmp_path / "t"), retention.cutoff("2026-08-11T12:00:00Z", Retention(2, 1))
+    table(spark, path, "2026-08-09T10:00:00Z", "2026-08-09T12:00:00Z", "2026-08-10T10:00:00Z")
+    steps, move = [], retention._move
+
+    def dies(*args):
+        if len(steps) == at_step:
+            raise Lost
+        steps.append(args)
+        move(*args)
+
+    monkeypatch.setattr(retention, "_move", dies)
+    if at_step < 2:
+        with pytest.raises(Lost):
+            retention.trim_cutoff_day(spark, path, at)
+    else:
+        retention.trim_cutoff_day(spark, path, at)
+    monkeypatch.setattr(retention, "_move", move)
+    if at_step == 1:  # meanwhile another batch writes that day
+        rows = read_logs(spark, path).where("id = 2").withColumns({"id": F.lit(9).cast("long"), "timestamp": F.lit("2026-08-09T13:00:00Z").cast("timestamp")}).withColumn("day", F.to_date("timestamp"))
+        append_logs(rows, path, "other")
+    deleted = retention.maintain(spark, path, "2026-08-11T12:00:00Z", Retention(2, 1)).first()["deletedCutoffRows"]
+    assert deleted == (1 if at_step == 0 else 0)
+    assert sorted(r["id"] for r in read_logs(spark, path).collect()) == [1, 2] + [9] * (at_step == 1)
+    assert not any((tmp_path / "t" / retention.STAGING).glob("*"))
+
+
 def test_trimming_a_day_to_nothing_drops_it(spark, tmp_path):
     path = str(tmp_path / "t")
     table(spark, path, "2026-08-09T10:00:00Z", "2026-08-10T10:00:00Z")

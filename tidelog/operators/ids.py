@@ -1,27 +1,60 @@
-"""Ids in arrival order."""
+"""Ids and running sums in an order, over sorted ranges."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidelog.names import unused
 from tidelog.scratch import new_path
 
 
+def quoted(columns: list[str] | tuple[str, ...]) -> list[str]:
+    return [f"`{c}`" for c in columns]
+
+
+def _sorted(rows: DataFrame, order: tuple) -> tuple[DataFrame, str, str]:
+    """``rows`` in ``order`` from the shared folder, and their columns of partition and place in it; all passes see the same."""
+    part, place = unused(rows.columns, "part", "place")
+    path, at = new_path(rows.sparkSession, "ordered"), F.monotonically_increasing_id()
+    rows.orderBy(*order).withColumns({part: F.shiftright(at, 33), place: at.bitwiseAND(F.lit((1 << 33) - 1))}).write.parquet(path)
+    return rows.sparkSession.read.parquet(path), part, place
+
+
+def _offsets(spark, parts: list, part: str, names: list[str]) -> DataFrame:
+    """What comes before each partition. One row for each partition of the sort is gathered: as many as spark.sql.shuffle.partitions, at most."""
+    before, rows = [0] * len(names), []
+    for number, *sums in sorted(parts):
+        rows.append((number, *before))
+        before = [a + (b or 0) for a, b in zip(before, sums)]
+    return F.broadcast(spark.createDataFrame(rows, ", ".join(f"`{x}` long" for x in (part, *names))))
+
+
+def numbered(rows: DataFrame, order: tuple[str, ...], name: str = "id") -> tuple[DataFrame, int]:
+    """``rows`` with a dense long column ``name``, counted from 1 in ``order``, and how many there are."""
+    staged, part, place = _sorted(rows, order)
+    parts = [tuple(x) for x in staged.groupBy(part).count().collect()]
+    (before,) = unused(staged.columns, "before")
+    found = staged.join(_offsets(rows.sparkSession, parts, part, [before]), part)
+    number = (F.col(before) + F.col(place) + 1).alias(name)
+    return found.select(number, *quoted([c for c in rows.columns if c != name])), sum(n for _, n in parts)
+
+
 def assign_ids(rows: DataFrame, order: tuple[str, ...], base: int = 0) -> DataFrame:
-    """``rows`` with a dense long ``id`` from ``base + 1`` on, rising in ``order``.
+    """``rows`` with a dense long ``id`` from ``base + 1`` on, rising in ``order``; only a count for each partition is gathered."""
+    found, _ = numbered(rows, order)
+    return found.withColumn("id", F.col("id") + F.lit(base))
+
+
+def running_sums(rows: DataFrame, order: tuple, sums: dict[str, str]) -> DataFrame:
+    """``rows`` with a long column for each of ``sums``: the sum of the named column over all rows before it in ``order``, 0 for the first.
 
-    The sorted rows are written to the shared folder first, with their partition and place in it, so both passes see the same; only a
-    count for each partition is gathered.
+    Sums run within the sorted partitions, each for itself; a sum for each partition is gathered and added. Nulls count as 0.
     """
-    spark = rows.sparkSession
-    path = new_path(spark, "ordered")
-    at = F.monotonically_increasing_id()
-    rows.orderBy(*order).withColumns({"__part": F.shiftright(at, 33), "__pos": at.bitwiseAND(F.lit((1 << 33) - 1))}).write.parquet(path)
-    staged = spark.read.parquet(path)
-    counts = staged.groupBy("__part").count()
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    # One row for each partition of the sort: as many as spark.sql.shuffle.partitions, at most.
-    offsets = counts.select("__part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__before"))
-    found = staged.join(F.broadcast(offsets), "__part")
-    return found.select((F.lit(base) + F.col("__before") + F.col("__pos") + 1).alias("id"), *[F.col(f"`{c}`") for c in rows.columns if c != "id"])
+    staged, part, place = _sorted(rows, order)
+    before = Window.partitionBy(part).orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
+    parts = [tuple(x) for x in staged.groupBy(part).agg(*[F.sum(c) for c in sums.values()]).collect()]
+    names = unused([*staged.columns, *sums], *[f"before_{x}" for x in sums])
+    found = staged.withColumns({x: F.coalesce(F.sum(c).over(before), F.lit(0)) for x, c in sums.items()})
+    found = found.join(_offsets(rows.sparkSession, parts, part, names), part)
+    return found.select(*quoted([c for c in rows.columns if c not in sums]), *[(F.col(x) + F.col(b)).alias(x) for x, b in zip(sums, names)])

@@ -13,6 +13,8 @@ from tidelog.schema import LOGS
 from tidelog.sources.logs import LAYOUT, read_logs
 
 DAY = timedelta(days=1)
+#: Beside the days of a table; readers skip names that begin so.
+STAGING = "_trim"
 
 
 @dataclass(frozen=True)
@@ -86,12 +88,45 @@ def drop_expired_days(spark: SparkSession, path: str, at: datetime) -> list[str]
     return [label(d) for d in gone]
 
 
+def _move(files, place, source: str, target: str) -> None:
+    if not files.rename(place(source), place(target)):
+        raise OSError(f"{source} could not be moved to {target}")
+
+
+def _merge(files, place, source: str, target: str) -> None:
+    """Move a day's batches into the day's folder, which may have others by now."""
+    for run in files.listStatus(place(source)):
+        for batch in files.listStatus(run.getPath()):
+            into = f"{target}/{run.getPath().getName()}"
+            files.mkdirs(place(into))
+            _move(files, place, batch.getPath().toString(), f"{into}/{batch.getPath().getName()}")
+
+
+def recover(spark: SparkSession, path: str) -> None:
+    """Finish trims that were cut off.
+
+    A trim writes the day's survivors beside the table (``new``), moves the day's folder there (``old``), moves the survivors in, and deletes what is
+    beside the table. Whatever it had come to, each row is in one of the three folders, and which are there says what is left to do.
+    """
+    files, place = _files(spark, f"{path}/{STAGING}")
+    hadoop = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
+    for found in files.listStatus(place) if files.exists(place) else []:
+        name = found.getPath().getName()
+        folder, staging = f"{path}/{name}", f"{path}/{STAGING}/{name}"
+        if files.exists(hadoop(f"{staging}/old")) and files.exists(hadoop(f"{staging}/new/{name}")):
+            _merge(files, hadoop, f"{staging}/new/{name}", folder)
+        # Without ``old`` the day is as it was; what was written beside it may be incomplete.
+        files.delete(hadoop(f"{staging}/new"), True)
+        files.delete(hadoop(staging), True)
+
+
 def trim_cutoff_day(spark: SparkSession, path: str, at: datetime) -> int:
     """Delete the rows of the cutoff's day that are before it; the number deleted.
 
-    The survivors are written beside the table and moved in after the day's folder has gone: overwriting a partition with no rows would leave
-    it as it is. Safe to repeat, but not while something else writes that day.
+    Overwriting a partition with no rows would leave it as it is, so folders are swapped. A trim that is cut off at any point loses nothing once
+    :func:`recover` has run, which this does first. Not while something else writes that day.
     """
+    recover(spark, path)
     day = at.date()
     if day not in list_days(spark, path):
         return 0
@@ -100,14 +135,14 @@ def trim_cutoff_day(spark: SparkSession, path: str, at: datetime) -> int:
     if not old:
         return 0
     files, _ = _files(spark, path)
-    place = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
-    folder, staging = f"{path}/day={day:%Y-%m-%d}", f"{path}/_trim"
-    files.delete(place(staging), True)
-    rows.where(F.col("timestamp") >= F.lit(at)).write.partitionBy(*LAYOUT).parquet(staging)
-    files.delete(place(folder), True)
-    if files.exists(place(f"{staging}/day={day:%Y-%m-%d}")):
-        files.rename(place(f"{staging}/day={day:%Y-%m-%d}"), place(folder))
-    files.delete(place(staging), True)
+    hadoop = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
+    name = f"day={day:%Y-%m-%d}"
+    folder, staging = f"{path}/{name}", f"{path}/{STAGING}/{name}"
+    rows.where(F.col("timestamp") >= F.lit(at)).write.partitionBy(*LAYOUT).parquet(f"{staging}/new")
+    _move(files, hadoop, folder, f"{staging}/old")
+    if files.exists(hadoop(f"{staging}/new/{name}")):
+        _move(files, hadoop, f"{staging}/new/{name}", folder)
+    files.delete(hadoop(staging), True)
     return old
 
 
@@ -126,10 +161,12 @@ def admit(logs: DataFrame, now: str, policy: Retention) -> DataFrame:
 
 
 def maintain(spark: SparkSession, path: str, now: str, policy: Retention, known: list[date] | None = None) -> DataFrame:
-    """One run: open days, drop expired ones, trim the cutoff's day; its report as one row. Safe to repeat.
+    """One run: open days, drop expired ones, trim the cutoff's day; its report as one row.
 
+    A run that is cut off is completed by the next: that drops and trims whatever the earlier one was to, and has a later cutoff.
     Days need no folder to be open; those reported as created are the window's days beyond ``known`` (by default the days that have rows).
     """
+    recover(spark, path)
     at = cutoff(now, policy)
     first, last = day_window(now, policy)
     have = set(list_days(spark, path) if known is None else known)

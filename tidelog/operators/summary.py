@@ -2,19 +2,40 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidelog.operators.ids import running_sums
 
-def nearest_rank(value: str, percent: float) -> Column:
-    """The ``ceil(percent / 100 * n)``-th smallest value."""
-    return F.expr(f"percentile_disc({percent / 100}) WITHIN GROUP (ORDER BY `{value}`)")
+PERCENTS = (50, 95, 99)
 
 
 def latency_summary(df: DataFrame, value: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """``samples, p50, p95, p99, average`` of the values that are not null, at two decimals; null where there are none."""
-    found = [F.round(nearest_rank(value, p), 2).alias(f"p{p}") for p in (50, 95, 99)]
-    return df.groupBy(*by).agg(F.count(F.col(value)).alias("samples"), *found, F.round(F.avg(value), 2).alias("average"))
+    """``samples, p50, p95, p99, average`` of the values that are not null, at two decimals; null where there are none.
+
+    A percentile is the ``ceil(percent / 100 * n)``-th smallest value. Values are counted, the counts are sorted by range and summed along it, and
+    the values at the ranks are picked: no group has to fit in a task.
+    """
+    keys = [f"g{i}" for i in range(len(by))]
+
+    def joined(left: DataFrame, right: DataFrame) -> DataFrame:
+        """By the keys, null with null."""
+        right = right.withColumnsRenamed({k: f"r{k}" for k in keys})
+        return left.join(right, reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"r{k}")) for k in keys], F.lit(True)), "left")
+
+    def at(percent: int) -> Column:
+        rank = F.ceil(F.col("all") * percent / 100)
+        place = F.col("before") - F.col("first")
+        return F.round(F.max(F.when((place < rank) & (rank <= place + F.col("n")), F.col("v"))), 2).alias(f"p{percent}")
+
+    named = df.select(*[F.col(c).alias(k) for c, k in zip(by, keys)], F.col(value).alias("v"))
+    totals = named.groupBy(*keys).agg(F.count("v").alias("samples"), F.round(F.avg("v"), 2).alias("average"))
+    ranked = running_sums(named.where("v IS NOT NULL").groupBy(*keys, "v").agg(F.count("*").alias("n")), (*keys, "v"), {"before": "n"})
+    groups = ranked.groupBy(*keys).agg(F.min("before").alias("first"), F.sum("n").alias("all"))
+    picked = joined(ranked, groups).groupBy(*keys).agg(*[at(p) for p in PERCENTS])
+    return joined(totals, picked).select(*[F.col(k).alias(c) for k, c in zip(keys, by)], "samples", *[f"p{p}" for p in PERCENTS], "average")
 
 
 def status_tally(reports: DataFrame) -> DataFrame:

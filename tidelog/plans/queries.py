@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidelog.functions.attributes import normalized
 from tidelog.functions.cursor import page_token
-from tidelog.functions.times import BUCKETS, day_label, day_of_label, micros_text, parse_instant
+from tidelog.functions.times import BUCKETS, ArgumentError, day_label, day_of_label, micros_text, parse_instant
 from tidelog.operators import buckets, filters, paging, retention, summary, validate
 from tidelog.operators.filters import LogFilters
 from tidelog.operators.ids import assign_ids
@@ -20,7 +20,7 @@ from tidelog.session import configure
 from tidelog.sources.logs import append_logs, from_events, read_logs
 from tidelog.sources.requests import request_documents, request_lines
 from tidelog.sources.synthetic import LEVELS, MESSAGES, SERVICES, synthetic_logs
-from tidelog.streaming.ingest import Places, ingest_batch, ingest_stream
+from tidelog.streaming.ingest import Places, committed, ingest_batch, ingest_stream, limited
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -84,11 +84,12 @@ _buckets()
 @register(
     "bucket_filtered",
     f"""{LOGS_SQL} SELECT strftime(time_bucket(INTERVAL '1 hour', timestamp, TIMESTAMP '1970-01-01'), '%Y-%m-%dT%H:%M:%SZ') AS start, level AS "group", count(*) AS count
-    FROM logs WHERE {RANGE} AND service = 'svc-2' AND contains(lower(message), lower('CLICK by')) AND json_extract_string(attributes, '$.k') = '42' GROUP BY ALL""",
+    FROM logs WHERE {RANGE} AND service <> 'svc-2' AND contains(lower(message), lower('BY user')) AND json_extract_string(attributes, '$.k') = '42' GROUP BY ALL""",
 )
 def bucket_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wanted = LogFilters(service="svc-2", since=SINCE, until=UNTIL, attributes={"k": "42"}, q="CLICK by")
-    return buckets.bucket_counts(with_map(logs(spark, sf_dir)), wanted, buckets.BucketSpec("1h", "level"))
+    wanted = LogFilters(since=SINCE, until=UNTIL, attributes={"k": "42"}, q="BY user")
+    others = logs(spark, sf_dir).where("service != 'svc-2'")
+    return buckets.bucket_counts(with_map(others), wanted, buckets.BucketSpec("1h", "level"))
 
 
 @register("bucket_recent", f"""{LOGS_SQL} SELECT strftime(time_bucket(INTERVAL '5 minutes', timestamp, TIMESTAMP '1970-01-01'), '%Y-%m-%dT%H:%M:%SZ') AS start, service AS "group", count(*) AS count
@@ -106,7 +107,6 @@ def _filters() -> None:
         "search_literal": (LogFilters(q="ERROR BY"), "contains(lower(message), lower('ERROR BY'))"),
         "search_no_wildcards": (LogFilters(q="er_or%"), "contains(lower(message), 'er_or%')"),
         "attr_equals": (LogFilters(attributes={"k": "42"}), "json_extract_string(attributes, '$.k') = '42'"),
-        "attr_several": (LogFilters(attributes={"k": "42", "j": "1"}), "json_extract_string(attributes, '$.k') = '42' AND json_extract_string(attributes, '$.j') = '1'"),
         "filters_combined": (LogFilters("svc-1", "info", SINCE, UNTIL, {"k": "7"}, "CLICK"), f"{RANGE} AND service = 'svc-1' AND level = 'info' AND json_extract_string(attributes, '$.k') = '7' AND contains(lower(message), 'click')"),
     }
     for name, (wanted, condition) in cases.items():
@@ -122,6 +122,13 @@ def _filters() -> None:
 _filters()
 
 
+@register("attr_several", "SELECT event_id + 1 AS id, event_id % 5 AS retries FROM events WHERE event_id % 2 = 0 AND event_id % 5 = 3")
+def attr_several(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = synthetic_logs(events(spark, sf_dir).select(F.col("event_id").alias("id")), "2026-08-09T12:00:00Z", "r")
+    wanted = LogFilters(attributes={"region": "eu-west", "retries": "3", "premium": "true"})
+    return filters.where(with_map(made), wanted).select("id", F.col("attributes_normalized")["retries"].cast("long").alias("retries"))
+
+
 @register("lookback", f"{LOGS_SQL} SELECT id, service FROM logs WHERE timestamp >= TIMESTAMP '2024-01-30 21:00:00'")
 def lookback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filters.look_back(logs(spark, sf_dir), NOW, 2).select("id", "service")
@@ -175,6 +182,13 @@ def row_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return buckets.row_count(logs(spark, sf_dir))
 
 
+@register("exact_counts", "SELECT user_id % 5 AS service, count(*) AS count FROM events GROUP BY 1")
+def exact_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts that a reader of JSON numbers gets exactly, or an error."""
+    counts = events(spark, sf_dir).groupBy((F.col("user_id") % 5).alias("service")).agg(F.count("*").alias("n"))
+    return counts.select("service", buckets.exact(F.col("n")).alias("count"))
+
+
 _RANKS = ", ".join(f"round(quantile_disc(value, {p / 100}), 2) AS p{p}" for p in (50, 95, 99))
 
 
@@ -293,7 +307,51 @@ def stream_ingested(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw.bodies(events(spark, sf_dir)).select("body").write.text(source)
     stream = ingest_stream(spark, source, places, new_path(spark, "checkpoint"), lambda: raw.NOW, "run", files_per_batch=4)
     stream.awaitTermination()
-    return _shown(read_logs(spark, places.logs))
+    return _shown(committed(spark, places))
+
+
+_POLICY = retention.Retention(137, 1)
+#: The first day that is open under the policy.
+_OPEN = "DATE '2024-01-16'"
+
+
+@register("ingest_late", f"""SELECT CASE WHEN CAST(timestamp AS DATE) < {_OPEN} THEN 'timestamp is outside the days that are kept' ELSE 'accepted' END AS outcome, count(*) AS entries FROM (
+    {LOGS_SQL} SELECT * FROM logs WHERE (id - 1) % 20 >= 14) GROUP BY 1""")
+def late_refused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of days that aren't open are refused by themselves; what is refused for other reasons is left out."""
+    places = _places(spark)
+    ingest_batch(raw.bodies(events(spark, sf_dir)), places, raw.NOW, "run", 0, _POLICY, early_days="reject")
+    late = spark.read.parquet(places.rejected).where("reason LIKE '%days that are kept'").groupBy(F.col("reason").alias("outcome")).agg(F.count("*").alias("entries"))
+    return late.union(committed(spark, places).groupBy(F.lit("accepted").alias("outcome")).agg(F.count("*").alias("entries")))
+
+
+@register("ingest_all_or_nothing", f"SELECT 'no partition of logs' AS error, count(*) AS entries FROM ({LOGS_SQL} SELECT * FROM logs WHERE (id - 1) % 20 >= 14)")
+def all_or_nothing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch with a row of a day that isn't open fails as a whole; the batch before it, of the same rows, stays as it is."""
+    bodies, places = raw.bodies(events(spark, sf_dir)), _places(spark)
+    ingest_batch(bodies, places, raw.NOW, "run", 0)
+    try:
+        ingest_batch(bodies, places, raw.NOW, "run", 1, _POLICY)
+        error = ""
+    except ArgumentError as e:
+        error = str(e)[:20]
+    return committed(spark, places).agg(F.count("*").alias("entries")).select(F.lit(error).alias("error"), "entries")
+
+
+@register("ingest_limited", "SELECT CASE WHEN error IS NULL THEN 'taken' ELSE error END AS outcome, count(*) AS requests FROM (SELECT event_id // 100 AS r, CASE WHEN max(event_id) >= 550 THEN 'too many logs are waiting' END AS error FROM events GROUP BY 1) GROUP BY 1")
+def limited_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of requests of 100 entries, those that end beyond 550 are refused."""
+    parsed = limited(validate.requests(raw.bodies(events(spark, sf_dir))), 550)
+    return parsed.groupBy(F.coalesce("refused", F.lit("taken")).alias("outcome")).agg(F.count("*").alias("requests"))
+
+
+@register("day_admission", "SELECT strftime(CAST(ts AS DATE), 'logs_%Y_%m_%d') AS label, CAST(ts AS DATE) BETWEEN DATE '2024-01-16' AND DATE '2024-02-01' AS open, count(*) AS rows FROM events GROUP BY ALL")
+def day_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The days of the rows, and whether the day window is open to them."""
+    rows = logs(spark, sf_dir).select(F.to_date("timestamp").alias("day"))
+    shut = retention.outside_window(rows, "2024-01-31T12:00:00Z", retention.Retention(15, 1)).select("day").distinct().withColumn("shut", F.lit(True))
+    days = rows.groupBy("day").agg(F.count("*").alias("rows")).join(shut, "day", "left")
+    return days.select(day_label(F.col("day")).alias("label"), F.col("shut").isNull().alias("open"), "rows")
 
 
 @register("request_lines", f"SELECT count(DISTINCT event_id // 100) AS requests, count(*) AS entries FROM events")
@@ -313,13 +371,18 @@ def document_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.agg(F.count_distinct("request_id").alias("requests"), F.count("*").alias("entries"))
 
 
-@register("maintenance", "SELECT '2024-01-16T12:00:00.000000Z' AS cutoff, (SELECT count(DISTINCT CAST(ts AS DATE)) FROM events WHERE ts < TIMESTAMP '2024-01-16') AS dropped, count(*) AS deleted FROM events WHERE ts >= TIMESTAMP '2024-01-16' AND ts < TIMESTAMP '2024-01-16 12:00:00'")
+@register(
+    "maintenance",
+    """SELECT '2024-01-16T12:00:00.000000Z' AS cutoff, (SELECT string_agg(strftime(d, 'logs_%Y_%m_%d'), ',' ORDER BY d) FROM (SELECT unnest(generate_series(TIMESTAMP '2024-01-16', TIMESTAMP '2024-02-01', INTERVAL 1 DAY)) AS d) WHERE CAST(d AS DATE) NOT IN (SELECT CAST(ts AS DATE) FROM events)) AS created,
+    (SELECT string_agg(strftime(d, 'logs_%Y_%m_%d'), ',' ORDER BY d) FROM (SELECT DISTINCT CAST(ts AS DATE) AS d FROM events WHERE ts < TIMESTAMP '2024-01-16')) AS dropped, count(*) AS deleted FROM events WHERE ts >= TIMESTAMP '2024-01-16' AND ts < TIMESTAMP '2024-01-16 12:00:00'""",
+)
 def maintenance(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "table")
     rows = with_map(logs(spark, sf_dir)).withColumn("timestamp", F.col("timestamp").cast("timestamp")).withColumn("day", F.to_date("timestamp"))
     append_logs(rows, path, "run")
     report = retention.maintain(spark, path, "2024-01-31T12:00:00Z", retention.Retention(15, 1))
-    return report.select(micros_text(F.col("cutoff")).alias("cutoff"), F.size("droppedPartitions").cast("long").alias("dropped"), F.col("deletedCutoffRows").alias("deleted"))
+    labels = [F.array_join(f"{c}Partitions", ",").alias(c) for c in ("created", "dropped")]
+    return report.select(micros_text(F.col("cutoff")).alias("cutoff"), *labels, F.col("deletedCutoffRows").alias("deleted"))
 
 
 @register("backfill_normalized", f"{LOGS_SQL} SELECT id, json_extract_string(attributes, '$.k') AS k FROM logs")

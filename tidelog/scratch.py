@@ -11,9 +11,11 @@ SETTING = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where that is unset, as in tests, a new local one is set."""
+    """The folder in ``spark.checkpoint.dir``; where that is unset and all runs on one machine, as in tests, a new local one is set."""
     there = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING, None)
     if not there:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError(f"{SETTING} must name a folder that the driver and all executors share")
         there = tempfile.mkdtemp(prefix="tidelog-shared-")
         spark.conf.set(SETTING, there)
     return there.rstrip("/")

@@ -16,7 +16,7 @@ def read_logs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def append_logs(logs: DataFrame, path: str, run_id: str, batch_id: int = 0) -> None:
-    """Write a batch; the job's commit publishes all of its rows or none. No rows are no change.
+    """Write a batch; the job's commit publishes it day by day. No rows are no change.
 
     Rows are rebalanced by day, which splits a day that holds most of them, and sorted so that row groups can be skipped by service and time.
     """
@@ -25,6 +25,17 @@ def append_logs(logs: DataFrame, path: str, run_id: str, batch_id: int = 0) -> N
     laid_out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*LAYOUT).parquet(path)
 
 
+def drop_batch(spark: SparkSession, path: str, run_id: str, batch_id: int) -> None:
+    """Delete what a batch has written to a table in folders by run and batch, or by day and these: an overwrite leaves folders for which it has no rows."""
+    jvm = spark._jvm
+    escape = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+    top = jvm.org.apache.hadoop.fs.Path(path)
+    files, own = top.getFileSystem(spark._jsc.hadoopConfiguration()), f"run_id={escape(run_id)}/batch_id={batch_id}"
+    days = [x.getPath() for x in files.listStatus(top) if x.getPath().getName().startswith("day=")] if files.exists(top) else []
+    for folder in (top, *days):
+        files.delete(jvm.org.apache.hadoop.fs.Path(folder, own), True)
+
+
 def from_events(events: DataFrame) -> DataFrame:
     """The event table as logs; instants stay as they are, without a zone."""
     kind = F.col("event_type")

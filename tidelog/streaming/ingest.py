@@ -5,16 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidelog.operators import validate
-from tidelog.operators.ids import assign_ids
+from tidelog.operators.ids import numbered, running_sums
 from tidelog.operators.retention import Retention, admit, outside_window
 from tidelog.schema import LOGS
 from tidelog.scratch import new_path
-from tidelog.sources.logs import append_logs
+from tidelog.sources.logs import append_logs, drop_batch, read_logs
+
+TAKEN = "base long, rows long, now string, run_id string, batch_id long"
+OVERLOADED = "too many logs are waiting"
 
 
 @dataclass(frozen=True)
@@ -27,15 +30,19 @@ class Places:
     ids: str
 
 
-def _base(spark: SparkSession, ids: str, run_id: str, batch_id: int) -> int:
-    """The last id before a batch. A batch that is run again finds its own base and reuses it."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(ids)
-    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
-        return 0
-    taken = spark.read.schema("base long, rows long, run_id string, batch_id long").parquet(ids)
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
+def _taken(spark: SparkSession, ids: str, run_id: str, batch_id: int) -> tuple[Row | None, int]:
+    """What a batch that is run again took before, and the last id that any batch has taken."""
+    if not _exists(spark, ids):
+        return None, 0
+    taken = spark.read.schema(TAKEN).parquet(ids)
     own = (F.col("run_id") == run_id) & (F.col("batch_id") == batch_id)
-    found = taken.agg(F.max(F.when(own, F.col("base"))).alias("own"), F.max(F.when(~own, F.col("base") + F.col("rows"))).alias("last")).first()
-    return found["own"] if found["own"] is not None else found["last"] or 0
+    found = taken.agg(F.max(F.when(own, F.struct("base", "rows", "now"))).alias("own"), F.max(F.col("base") + F.col("rows")).alias("last")).first()
+    return found["own"], found["last"] or 0
 
 
 def _replace(df: DataFrame, path: str, run_id: str, batch_id: int) -> None:
@@ -43,16 +50,35 @@ def _replace(df: DataFrame, path: str, run_id: str, batch_id: int) -> None:
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id", "batch_id").parquet(path)
 
 
-def ingest_batch(bodies: DataFrame, places: Places, now: str, run_id: str, batch_id: int = 0, policy: Retention | None = None, early_days: str = "fail") -> None:
+def committed(spark: SparkSession, places: Places) -> DataFrame:
+    """The logs of batches that have been written to the end, across days: those whose reports are there."""
+    done = spark.read.parquet(places.reports).select("run_id", "batch_id").distinct()
+    return read_logs(spark, places.logs).join(done, ["run_id", "batch_id"], "left_semi")
+
+
+def limited(parsed: DataFrame, most_logs: int) -> DataFrame:
+    """Requests of :func:`validate.requests`, first come first served: those that end beyond ``most_logs`` entries are refused, none is taken in part."""
+    size = F.when(F.col("refused").isNull(), F.size("logs")).otherwise(0)
+    before = running_sums(parsed.select("request_id", size.cast("long").alias("entries")), ("request_id",), {"before": "entries"})
+    over = before.where((F.col("before") + F.col("entries") > most_logs) & (F.col("entries") > 0)).select("request_id", F.lit(OVERLOADED).alias("over"))
+    return parsed.join(over, "request_id", "left").withColumn("refused", F.coalesce("refused", "over")).drop("over")
+
+
+def ingest_batch(bodies: DataFrame, places: Places, now: str, run_id: str, batch_id: int = 0, policy: Retention | None = None, early_days: str = "fail", most_logs: int | None = None) -> None:
     """Validate ``bodies(request_id, body)`` and write logs, refused entries and reports; written again, a batch replaces itself.
 
     With a ``policy``, a row whose day isn't open makes the whole batch fail before anything is written, or, with ``early_days="reject"``, is
-    refused by itself. Reports are written last, after the logs they speak of.
+    refused by itself. Beyond ``most_logs`` entries requests are refused. Ids and ``now`` are noted first; a batch that is run again goes by what it
+    noted, and all that it wrote is deleted before it writes. Reports are written last: only with them a batch counts as :func:`committed`.
     """
     spark = bodies.sparkSession
+    own, last = _taken(spark, places.ids, run_id, batch_id)
+    now = own["now"] if own else now
     path = new_path(spark, "bodies")
     bodies.write.parquet(path)
     parsed = validate.requests(spark.read.parquet(path))
+    if most_logs is not None:
+        parsed = limited(parsed, most_logs)
     # Parsed and checked once; what follows reads plain columns.
     rows = new_path(spark, "entries")
     validate.validated(validate.with_reasons(validate.entries(parsed), now)).write.parquet(rows)
@@ -64,26 +90,32 @@ def ingest_batch(bodies: DataFrame, places: Places, now: str, run_id: str, batch
         logs = validate.accepted(checked)
     elif policy:
         admit(logs, now, policy)
-    base = _base(spark, places.ids, run_id, batch_id)
-    numbered = assign_ids(logs, ("request_id", "index"), base)
-    count = numbered.count()
-    _replace(spark.createDataFrame([(base, count)], "base long, rows long"), places.ids, run_id, batch_id)
-    append_logs(numbered.select(*LOGS.fieldNames()), places.logs, run_id, batch_id)
-    _replace(validate.rejected(checked), places.rejected, run_id, batch_id)
+    found, count = numbered(logs, ("request_id", "index"))
+    base = own["base"] if own and own["rows"] == count else last
+    if own:
+        for place in (places.reports, places.rejected, places.logs):
+            drop_batch(spark, place, run_id, batch_id)
+    _replace(spark.createDataFrame([(base, count, now)], "base long, rows long, now string"), places.ids, run_id, batch_id)
+    append_logs(found.withColumn("id", F.col("id") + F.lit(base)).select(*LOGS.fieldNames()), places.logs, run_id, batch_id)
+    _replace(validate.refusals(checked), places.rejected, run_id, batch_id)
     _replace(validate.reports(parsed, checked), places.reports, run_id, batch_id)
 
 
-def ingest_stream(spark: SparkSession, source: str, places: Places, checkpoint: str, now: Callable[[], str], run_id: str, policy: Retention | None = None, early_days: str = "fail", files_per_batch: int = 100, interval: str | None = None) -> StreamingQuery:
+def ingest_stream(spark: SparkSession, source: str, places: Places, checkpoint: str, now: Callable[[], str], run_id: str, policy: Retention | None = None, early_days: str = "fail", files_per_batch: int = 100, bytes_per_batch: int | None = None, most_logs: int | None = None, interval: str | None = None) -> StreamingQuery:
     """A stream over files with one request a line; a request is never split between batches.
 
-    ``files_per_batch`` is the admission limit: what is beyond waits in the source. A batch that fails stops the stream, and is run again from the
-    checkpoint, whose name belongs to ``run_id``. Without ``interval`` the stream reads what is there and stops when that is written.
+    ``files_per_batch`` or, if given, ``bytes_per_batch`` says how much is admitted at once: what is beyond waits in the source, and
+    a larger file goes alone. Requests beyond ``most_logs`` entries of a batch are refused instead. A batch that fails stops the stream, and is run again
+    from the checkpoint, whose name belongs to ``run_id``. Without ``interval`` the stream reads what is there and stops when that is written.
     """
-    lines = spark.readStream.schema("value string").option("maxFilesPerTrigger", files_per_batch).text(source)
+    reader = spark.readStream.schema("value string")
+    # Spark takes one limit or the other.
+    reader = reader.option("maxBytesPerTrigger", bytes_per_batch) if bytes_per_batch else reader.option("maxFilesPerTrigger", files_per_batch)
+    lines = reader.text(source)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         bodies = batch.select(F.format_string(f"{run_id}-%06d-%020d", F.lit(batch_id), F.monotonically_increasing_id()).alias("request_id"), F.col("value").alias("body"))
-        ingest_batch(bodies, places, now(), run_id, batch_id, policy, early_days)
+        ingest_batch(bodies, places, now(), run_id, batch_id, policy, early_days, most_logs)
 
     trigger = {"processingTime": interval} if interval else {"availableNow": True}
     return lines.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**trigger).start()
