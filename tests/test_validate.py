@@ -97,7 +97,7 @@ def test_requests_are_refused_as_a_whole(spark):
         "f": None,
         "g": "request body must be valid JSON",
     }
-    report = {r["request_id"]: (r["status"], r["accepted"], r["rejected"]) for r in validate.reports(parsed, validate.with_reasons(validate.entries(parsed), NOW)).collect()}
+    report = {r["request_id"]: (r["status"], r["accepted"], r["rejected"]) for r in validate.reports(validate.with_reasons(validate.entries(parsed, refused=True), NOW)).collect()}
     assert report["f"] == ("all_invalid", 0, 1) and report["a"] == ("bad_request", 0, 0) and len(report) == 7
 
 

@@ -36,12 +36,17 @@ def requests(bodies: DataFrame) -> DataFrame:
     return parsed.select("request_id", "body", "logs", refused.alias("refused"))
 
 
-def entries(parsed: DataFrame) -> DataFrame:
-    """``(request_id, index, v, raw)`` of the entries of requests that aren't refused, in order; ``raw`` is an entry's text."""
+def entries(parsed: DataFrame, refused: bool = False) -> DataFrame:
+    """``(request_id, index, v, raw)`` of the entries of requests that aren't refused, in order; ``raw`` is an entry's text.
+
+    With ``refused``, a column of that name is kept, and each refused request has one row without an index.
+    """
     # The variant keeps types, the text keeps the order of keys.
     both = F.arrays_zip(F.col("logs").alias("v"), F.from_json("body", "logs array<string>")["logs"].alias("raw"))
-    found = parsed.where("refused IS NULL").select("request_id", F.posexplode(both).alias("index", "e"))
-    return found.select("request_id", "index", F.col("e.v").alias("v"), F.col("e.raw").alias("raw"))
+    rows = parsed if refused else parsed.where("refused IS NULL")
+    kept = ["request_id", *["refused"] * refused]
+    found = rows.select(*kept, F.posexplode_outer(F.when(F.col("refused").isNull(), both)).alias("index", "e"))
+    return found.select(*kept, "index", F.col("e.v").alias("v"), F.col("e.raw").alias("raw"))
 
 
 def _part(text: Column, at: int, n: int) -> Column:
@@ -109,9 +114,9 @@ def with_reasons(found: DataFrame, now: str) -> DataFrame:
     Each entry is walked once; the rules read what that has found.
     """
     names = ("timestamp", "level", "service", "message")
-    fields = found.withColumn("fields", _object(F.col("v")))
+    fields, more = found.withColumn("fields", _object(F.col("v"))), [c for c in found.columns if c not in ("index", "v", "raw")]
     each = fields.select(
-        "request_id",
+        *more,
         F.col("index").cast("int").alias("index"),
         "raw",
         F.col("fields").isNotNull().alias("whole"),
@@ -132,14 +137,14 @@ def with_reasons(found: DataFrame, now: str) -> DataFrame:
             F.concat(F.lit("invalid attribute '"), _first_bad_key(F.col("values"), F.col("raw")), F.lit("': values must be strings, numbers, or booleans")),
         ),
     )
-    return each.select("request_id", "index", "raw", "micros", *names[1:], "attributes", "values", reason.alias("reason"))
+    return each.select(*more, "index", "raw", "micros", *names[1:], "attributes", "values", reason.alias("reason"))
 
 
 def validated(checked: DataFrame) -> DataFrame:
     """Checked entries with the types of stored logs, which can be written once and read by all that follows; values of refused entries are null."""
     good = lambda c: F.when(F.col("reason").isNull(), c)
     rows = checked.select(
-        "request_id",
+        *[c for c in ("request_id", "refused") if c in checked.columns],
         "index",
         "reason",
         "raw",
@@ -153,12 +158,12 @@ def validated(checked: DataFrame) -> DataFrame:
 
 def accepted(rows: DataFrame) -> DataFrame:
     """The logs of accepted entries of :func:`validated`, still without ids, with their place in the input."""
-    return rows.where("reason IS NULL").drop("reason", "raw")
+    return rows.where("reason IS NULL").drop("reason", "raw", "refused")
 
 
 def refusals(rows: DataFrame) -> DataFrame:
     """``(request_id, index, reason, raw)`` of refused entries."""
-    return rows.where("reason IS NOT NULL").select("request_id", F.col("index").cast("int").alias("index"), "reason", "raw")
+    return rows.where("reason IS NOT NULL AND index IS NOT NULL").select("request_id", F.col("index").cast("int").alias("index"), "reason", "raw")
 
 
 def rejected(rows: DataFrame) -> DataFrame:
@@ -166,12 +171,12 @@ def rejected(rows: DataFrame) -> DataFrame:
     return refusals(rows).orderBy("request_id", "index")
 
 
-def reports(parsed: DataFrame, checked: DataFrame) -> DataFrame:
-    """One row for each request: ``request_id, status, error, accepted, rejected``.
+def reports(rows: DataFrame) -> DataFrame:
+    """One row for each request of checked entries that were made with ``refused``: ``request_id, status, error, accepted, rejected``.
 
     The status is ``ok``, ``all_invalid`` (nothing is written for it), or ``bad_request`` with its error.
     """
-    counts = checked.groupBy("request_id").agg(F.count_if(F.col("reason").isNull()).alias("accepted"), F.count_if(F.col("reason").isNotNull()).alias("rejected"))
-    good = counts.select("request_id", F.when(F.col("accepted") > 0, "ok").otherwise("all_invalid").alias("status"), F.lit(None).cast("string").alias("error"), "accepted", "rejected")
-    bad = parsed.where("refused IS NOT NULL").select("request_id", F.lit("bad_request").alias("status"), F.col("refused").alias("error"), F.lit(0).cast("long").alias("accepted"), F.lit(0).cast("long").alias("rejected"))
-    return good.unionByName(bad)
+    entry = F.col("index").isNotNull()
+    counts = rows.groupBy("request_id").agg(F.max("refused").alias("error"), F.count_if(entry & F.col("reason").isNull()).alias("accepted"), F.count_if(entry & F.col("reason").isNotNull()).alias("rejected"))
+    status = F.when(F.col("error").isNotNull(), "bad_request").when(F.col("accepted") > 0, "ok").otherwise("all_invalid")
+    return counts.select("request_id", status.alias("status"), "error", "accepted", "rejected")

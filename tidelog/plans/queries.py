@@ -242,9 +242,8 @@ def synthetic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.withColumn("timestamp", micros_text(F.col("timestamp")))
 
 
-def _checked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    parsed = validate.requests(raw.bodies(events(spark, sf_dir)))
-    return parsed, validate.with_reasons(validate.entries(parsed), raw.NOW)
+def _checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validate.with_reasons(validate.entries(validate.requests(raw.bodies(events(spark, sf_dir))), refused=True), raw.NOW)
 
 
 _REASON = "CASE event_id % 20 " + " ".join(f"WHEN {k} THEN '" + r.replace("'", "''") + "'" for k, r in raw.REASONS.items()) + " END"
@@ -259,12 +258,12 @@ def _shown(rows: DataFrame) -> DataFrame:
 
 @register("validate_accepted", _VALID)
 def validate_accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shown(validate.accepted(validate.validated(_checked(spark, sf_dir)[1])))
+    return _shown(validate.accepted(validate.validated(_checked(spark, sf_dir))))
 
 
 @register("validate_rejected", f"""SELECT lpad(CAST(event_id // 100 AS VARCHAR), 12, '0') AS request_id, CAST(row_number() OVER (PARTITION BY event_id // 100 ORDER BY event_id) - 1 AS INTEGER) AS index, {_REASON} AS reason FROM events QUALIFY reason IS NOT NULL""")
 def validate_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return validate.rejected(_checked(spark, sf_dir)[1]).select("request_id", "index", "reason")
+    return validate.rejected(_checked(spark, sf_dir)).select("request_id", "index", "reason")
 
 
 _REPORTS = f"SELECT lpad(CAST(event_id // 100 AS VARCHAR), 12, '0') AS request_id, count(*) FILTER (({_REASON}) IS NULL) AS accepted, count(*) FILTER (({_REASON}) IS NOT NULL) AS rejected FROM events GROUP BY 1"
@@ -272,17 +271,17 @@ _REPORTS = f"SELECT lpad(CAST(event_id // 100 AS VARCHAR), 12, '0') AS request_i
 
 @register("ingest_reports", f"SELECT request_id, CASE WHEN accepted > 0 THEN 'ok' ELSE 'all_invalid' END AS status, CAST(NULL AS VARCHAR) AS error, accepted, rejected FROM ({_REPORTS})")
 def ingest_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return validate.reports(*_checked(spark, sf_dir))
+    return validate.reports(_checked(spark, sf_dir))
 
 
 @register("status_tally", f"SELECT CASE WHEN accepted > 0 THEN 'ok' ELSE 'all_invalid' END AS status, count(*) AS requests FROM ({_REPORTS}) GROUP BY 1")
 def status_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return summary.status_tally(validate.reports(*_checked(spark, sf_dir)))
+    return summary.status_tally(validate.reports(_checked(spark, sf_dir)))
 
 
 @register("ingest_summary", f"SELECT CAST(sum(accepted) AS BIGINT) AS accepted, CAST(sum(rejected) AS BIGINT) AS rejected, count(*) FILTER (accepted = 0) AS failed_requests, round(sum(accepted) / 8.0::DOUBLE, 2) AS logs_per_second FROM ({_REPORTS})")
 def ingest_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return summary.ingest_summary(validate.reports(*_checked(spark, sf_dir)), 8.0)
+    return summary.ingest_summary(validate.reports(_checked(spark, sf_dir)), 8.0)
 
 
 def _places(spark: SparkSession) -> Places:

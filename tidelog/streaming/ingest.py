@@ -74,14 +74,14 @@ def ingest_batch(bodies: DataFrame, places: Places, now: str, run_id: str, batch
     spark = bodies.sparkSession
     own, last = _taken(spark, places.ids, run_id, batch_id)
     now = own["now"] if own else now
-    path = new_path(spark, "bodies")
-    bodies.write.parquet(path)
-    parsed = validate.requests(spark.read.parquet(path))
-    if most_logs is not None:
-        parsed = limited(parsed, most_logs)
+    parsed = validate.requests(bodies)
+    if most_logs is not None:  # which reads the requests twice
+        path = new_path(spark, "bodies")
+        bodies.write.parquet(path)
+        parsed = limited(validate.requests(spark.read.parquet(path)), most_logs)
     # Parsed and checked once; what follows reads plain columns.
     rows = new_path(spark, "entries")
-    validate.validated(validate.with_reasons(validate.entries(parsed), now)).write.parquet(rows)
+    validate.validated(validate.with_reasons(validate.entries(parsed, refused=True), now)).write.parquet(rows)
     checked = spark.read.parquet(rows)
     logs = validate.accepted(checked)
     if policy and early_days == "reject":
@@ -98,7 +98,7 @@ def ingest_batch(bodies: DataFrame, places: Places, now: str, run_id: str, batch
     _replace(spark.createDataFrame([(base, count, now)], "base long, rows long, now string"), places.ids, run_id, batch_id)
     append_logs(found.withColumn("id", F.col("id") + F.lit(base)).select(*LOGS.fieldNames()), places.logs, run_id, batch_id)
     _replace(validate.refusals(checked), places.rejected, run_id, batch_id)
-    _replace(validate.reports(parsed, checked), places.reports, run_id, batch_id)
+    _replace(validate.reports(checked), places.reports, run_id, batch_id)
 
 
 def ingest_stream(spark: SparkSession, source: str, places: Places, checkpoint: str, now: Callable[[], str], run_id: str, policy: Retention | None = None, early_days: str = "fail", files_per_batch: int = 100, bytes_per_batch: int | None = None, most_logs: int | None = None, interval: str | None = None) -> StreamingQuery:
