@@ -13,29 +13,29 @@ def quoted(columns: list[str] | tuple[str, ...]) -> list[str]:
     return [f"`{c}`" for c in columns]
 
 
-def _sorted(rows: DataFrame, order: tuple) -> tuple[DataFrame, str, str]:
+def _sorted(rows: DataFrame, order: tuple, path: str | None) -> tuple[DataFrame, str, str]:
     """``rows`` in ``order`` from the shared folder, and their columns of partition and place in it; all passes see the same."""
     part, place = unused(rows.columns, "part", "place")
-    path, at = new_path(rows.sparkSession, "ordered"), F.monotonically_increasing_id()
+    path, at = path or new_path(rows.sparkSession, "ordered"), F.monotonically_increasing_id()
     rows.orderBy(*order).withColumns({part: F.shiftright(at, 33), place: at.bitwiseAND(F.lit((1 << 33) - 1))}).write.parquet(path)
     return rows.sparkSession.read.parquet(path), part, place
 
 
-def _offsets(spark, parts: list, part: str, names: list[str]) -> DataFrame:
+def _offsets(spark, parts: list, part: str, names: dict[str, str]) -> DataFrame:
     """What comes before each partition. One row for each partition of the sort is gathered: as many as spark.sql.shuffle.partitions, at most."""
-    before, rows = [0] * len(names), []
+    before, rows = [0.0 if kind == "double" else 0 for kind in names.values()], []
     for number, *sums in sorted(parts):
         rows.append((number, *before))
         before = [a + (b or 0) for a, b in zip(before, sums)]
-    return F.broadcast(spark.createDataFrame(rows, ", ".join(f"`{x}` long" for x in (part, *names))))
+    return F.broadcast(spark.createDataFrame(rows, ", ".join(f"`{x}` {kind}" for x, kind in {part: "long", **names}.items())))
 
 
-def numbered(rows: DataFrame, order: tuple[str, ...], name: str = "id") -> tuple[DataFrame, int]:
-    """``rows`` with a dense long column ``name``, counted from 1 in ``order``, and how many there are."""
-    staged, part, place = _sorted(rows, order)
+def numbered(rows: DataFrame, order: tuple[str, ...], name: str = "id", path: str | None = None) -> tuple[DataFrame, int]:
+    """``rows`` with a dense long column ``name``, counted from 1 in ``order``, and how many there are. The sorted rows are written to ``path``."""
+    staged, part, place = _sorted(rows, order, path)
     parts = [tuple(x) for x in staged.groupBy(part).count().collect()]
     (before,) = unused(staged.columns, "before")
-    found = staged.join(_offsets(rows.sparkSession, parts, part, [before]), part)
+    found = staged.join(_offsets(rows.sparkSession, parts, part, {before: "long"}), part)
     number = (F.col(before) + F.col(place) + 1).alias(name)
     return found.select(number, *quoted([c for c in rows.columns if c != name])), sum(n for _, n in parts)
 
@@ -46,15 +46,16 @@ def assign_ids(rows: DataFrame, order: tuple[str, ...], base: int = 0) -> DataFr
     return found.withColumn("id", F.col("id") + F.lit(base))
 
 
-def running_sums(rows: DataFrame, order: tuple, sums: dict[str, str]) -> DataFrame:
-    """``rows`` with a long column for each of ``sums``: the sum of the named column over all rows before it in ``order``, 0 for the first.
+def running_sums(rows: DataFrame, order: tuple, sums: dict[str, str], path: str | None = None) -> DataFrame:
+    """``rows`` with a column for each of ``sums``: the sum of the named column of longs or doubles over all rows before it in ``order``, 0 for the first.
 
     Sums run within the sorted partitions, each for itself; a sum for each partition is gathered and added. Nulls count as 0.
     """
-    staged, part, place = _sorted(rows, order)
+    staged, part, place = _sorted(rows, order, path)
     before = Window.partitionBy(part).orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
     parts = [tuple(x) for x in staged.groupBy(part).agg(*[F.sum(c) for c in sums.values()]).collect()]
-    names = unused([*staged.columns, *sums], *[f"before_{x}" for x in sums])
+    kinds = [rows.schema[c].dataType.simpleString() for c in sums.values()]
+    names = dict(zip(unused([*staged.columns, *sums], *[f"before_{x}" for x in sums]), ["double" if k in ("double", "float") else "long" for k in kinds]))
     found = staged.withColumns({x: F.coalesce(F.sum(c).over(before), F.lit(0)) for x, c in sums.items()})
     found = found.join(_offsets(rows.sparkSession, parts, part, names), part)
     return found.select(*quoted([c for c in rows.columns if c not in sums]), *[(F.col(x) + F.col(b)).alias(x) for x, b in zip(sums, names)])

@@ -22,4 +22,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tidelog/{uuid.uuid4().hex}/{name}"
+    """A place of its own in the shared folder; what is there when the driver ends is deleted."""
+    folder = f"{shared_dir(spark)}/tidelog/{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(place)
+    files.deleteOnExit(place)
+    return f"{folder}/{name}"
