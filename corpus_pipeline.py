@@ -6,44 +6,50 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm import jaccard, language, mixing, packing, repeats
-from tidelog.llm.storage import release, stored, table
+from tidelog.llm.storage import Scope, table
 
+#: What a stage that was called by itself has stored, by the folder of its tables. The next stage over the same folder follows when the result of
+#: this one has been written, and deletes it.
+_last: dict[str, Scope] = {}
 
-def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+
+def _scope(spark: SparkSession, sf_dir: str) -> Scope:
+    if sf_dir in _last:
+        _last.pop(sf_dir).release()
+    return _last.setdefault(sf_dir, Scope(spark))
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, scope: Scope | None = None) -> DataFrame:
     """Documents whose language is known well enough; those without one get it."""
-    release(spark)
+    scope or _scope(spark, sf_dir)
     model = language.fit_language_model(docs, F.lit(True))
     found = language.identify(docs, model).where("NOT rejected")
     return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 
 
-def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, scope: Scope | None = None) -> DataFrame:
     """One document of each group of near copies."""
-    release(spark)
-    return jaccard.drop_near_duplicates(docs, size=5, num=3, den=4)
+    return jaccard.drop_near_duplicates(docs, size=5, num=3, den=4, scope=scope or _scope(spark, sf_dir))
 
 
-def substrings_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def substrings_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, scope: Scope | None = None) -> DataFrame:
     """Texts without passages that occur earlier; documents of which nothing is left go."""
-    release(spark)
-    kept = repeats.remove_repeats(docs, window=20).where("n_removed = 0 OR n_removed < n_words")
+    kept = repeats.remove_repeats(docs, window=20, scope=scope or _scope(spark, sf_dir)).where("n_removed = 0 OR n_removed < n_words")
     text = F.when(F.col("n_removed") == 0, F.col("text")).otherwise(F.col("kept_text"))
     return kept.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
-def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, scope: Scope | None = None) -> DataFrame:
     """Each document as often as its source's target asks for."""
-    release(spark)
-    return mixing.mix(docs, weights=(5, 2, 1), most=3.0)
+    return mixing.mix(docs, weights=(5, 2, 1), most=3.0, scope=scope or _scope(spark, sf_dir))
 
 
-def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, scope: Scope | None = None) -> DataFrame:
     """Bins of words, one row for each piece of a document."""
-    release(spark)
-    return packing.pack(docs.select("doc_id", mixing.word_count(F.col("text")).alias("size")))
+    return packing.pack(docs.select("doc_id", mixing.word_count(F.col("text")).alias("size")), scope=scope or _scope(spark, sf_dir))
 
 
-#: Each function takes (spark, docs, sf_dir); what an earlier stage stored is released once its result has been written.
+#: Each function takes (spark, docs, sf_dir).
 STAGES = [
     ("language", language_stage),
     ("near_duplicates", near_duplicates_stage),
@@ -54,11 +60,14 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        kept = stage(spark, docs, sf_dir)
-        docs = kept if stage is packing_stage else stored(kept, name, keep=True)
-    return docs
+    """The stages over ``documents``. Each stage's own files are deleted when its result is written, and that when the next one is."""
+    docs, whole = table(spark, sf_dir, "documents"), Scope(spark)
+    for name, stage in STAGES[:-1]:
+        with Scope(spark) as scope:
+            kept = whole.stored(stage(spark, docs, sf_dir, scope), name)
+        whole.drop(docs)
+        docs = kept
+    return packing_stage(spark, docs, sf_dir, whole)
 
 
 #: Language identification can't be written in SQL.
