@@ -67,3 +67,32 @@ def targets(sizes, weights, most):
         left -= sum(most * sizes[s] for s in cut)
         open_ -= set(cut)
     return out
+
+
+def spots(text, anchors, chain=2):
+    """SpotSigs signatures as tuples: an anchor and the content words after it; failing these the words, and failing these the text."""
+    found = [w for w in re.split(r"[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", (text or "").translate(LOWER)) if w]
+    content = [i for i, w in enumerate(found) if w not in anchors]
+    out = set()
+    for i, w in enumerate(found):
+        after = [k for k in content if k > i][:chain]
+        if w in anchors and len(after) == chain:
+            out.add((w, *(found[k] for k in after)))
+    return out or set(found) or ({text} if text else set())
+
+
+def likeness(a, b):
+    return len(a & b) / len(a | b) if a or b else 1.0
+
+
+def least_cost(lengths, permitted, cost):
+    """The cost of the best packing of a few pieces."""
+
+    def best(left, bins):
+        if not left:
+            return sum(cost(min(c for c in permitted if c >= b)) for b in bins)
+        n, rest = left[0], left[1:]
+        tries = [best(rest, bins[:i] + [b + n] + bins[i + 1 :]) for i, b in enumerate(bins) if b + n <= max(permitted)]
+        return min([*tries, best(rest, [*bins, n])])
+
+    return best(list(lengths), [])

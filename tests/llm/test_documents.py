@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).parent))
 import brute  # noqa: E402
 
-from tidelog.llm import jaccard, licenses, mixing, packing, queries, repeats, spotsigs, tokens  # noqa: E402
+from tidelog.llm import chunks, jaccard, language, licenses, mixing, packing, queries, repeats, spotsigs, tokens  # noqa: E402
+from tidelog.llm.storage import Scope  # noqa: E402
+from tidelog.scratch import shared_dir  # noqa: E402
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, score double, items string"
 
@@ -126,6 +128,26 @@ def test_best_fit_takes_the_tightest_bin():
     assert bins.tolist() == [0, 1, 0, 1, 1] and offsets.tolist() == [0, 0, 60, 50, 80] and capacity == [100, 100] and used == [100, 90]
 
 
+def test_packing_costs_little_more_than_the_best(spark):
+    rng = random.Random(4)
+    over = []
+    for _ in range(60):
+        lengths = sorted((rng.randint(20, 1000) for _ in range(rng.randint(1, 7))), reverse=True)
+        _, _, capacity, used = packing.best_fit(packing.np.array(lengths), (256, 512, 1024), packing.quadratic_cost)
+        assert sum(used) == sum(lengths) and all(u <= c for u, c in zip(used, capacity))
+        over.append(sum(map(packing.quadratic_cost, capacity)) / brute.least_cost(lengths, (256, 512, 1024), packing.quadratic_cost))
+    assert max(over) < 1.35 and sum(over) / len(over) < 1.03
+
+
+def test_packing_does_not_depend_on_the_cluster(spark):
+    sizes = spark.range(30_000).select(F.col("id").alias("doc_id"), (F.col("id") * 37 % 900).alias("size"))
+    pack = lambda: {(r["doc_id"], r["bin_id"], r["bin_offset"]) for r in packing.pack(sizes).collect()}
+    first = pack()
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    assert pack() == first
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
 def test_pieces_just_over_half_of_a_length_open_longer_bins():
     _, _, capacity, used = packing.best_fit(packing.np.full(600, 520), (512, 1024, 2048, 4096), packing.quadratic_cost)
     assert sum(used) == 600 * 520 and sum(map(packing.quadratic_cost, capacity)) / sum(used) < 1.7
@@ -181,31 +203,38 @@ def test_plain_texts_are_encoded_alike():
 
 
 def test_spotsigs_probe(docs, rows):
+    key = lambda x: -1 if x is None else x
+    anchors = set(spotsigs.ANCHORS.split())
     order = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
     found = spotsigs.probe_edits(docs).collect()
+    own = [brute.spots(t, anchors) for _, t in order]
+    label = brute.components([i for i, _ in order], own)
     want = []
     for k, (i, t) in enumerate(order):
         after, cut = order[(k + 1) % len(order)][1], len(t) // 4
-        want.append((-1 if i is None else i, len(t), hashlib.sha256((t[: len(t) - cut] + after[:cut]).encode()).hexdigest()))
-    assert sorted((-1 if r[0] is None else r[0], r[1], r[2]) for r in found) == sorted(want)
-    assert all(0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 for r in found)
+        edited = t[: len(t) - cut] + after[:cut]
+        spots = brute.spots(edited, anchors)
+        sizes = (16 * len(own[k]), 16 * len(spots))
+        want.append((key(i), len(t), hashlib.sha256(edited.encode()).hexdigest(), *sizes, brute.likeness(own[k], spots), brute.likeness(own[k], own[(k + 1) % len(own)]), key(i if label[k] is None else label[k])))
+    got = [(key(r[0]), r[1], r[2], len(r["fingerprint"]), len(r["edited_fingerprint"]), r["near_edited"], r["near_next"], key(r["component_id"])) for r in found]
+    assert sorted(got) == sorted(want)
     by_text = {}
-    plain = {(-1 if r["doc_id"] is None else r["doc_id"]): r["fingerprint"] for r in found if r["doc_id"] is not None}
+    plain = {key(r["doc_id"]): r["fingerprint"] for r in found if r["doc_id"] is not None}
     for i, t in order:
         if i is not None:
             by_text.setdefault(t, set()).add(plain[i])
     assert all(len(x) == 1 for x in by_text.values())
 
 
-def test_similar_fingerprints(docs):
-    prints = [r for r in spotsigs.fingerprints(docs).collect()]
-    sets = [{r["fingerprint"][i : i + 8] for i in range(0, len(r["fingerprint"]), 8)} for r in prints]
-    ids = [r["doc_id"] for r in prints]
-    label = brute.components(ids, sets)
+def test_similar_fingerprints(docs, rows):
     key = lambda x: -1 if x is None else x
-    want = sorted((key(i), key(i if c is None else c)) for i, c in zip(ids, label))
-    found = spotsigs.similar(spotsigs.fingerprints(docs)).collect()
-    assert sorted((key(r[0]), key(r[1])) for r in found) == want
+    anchors = set(spotsigs.ANCHORS.split())
+    sets = [brute.spots(t, anchors) for _, t in rows]
+    label = brute.components([i for i, _ in rows], sets)
+    want = sorted((key(i), len(s), key(i if c is None else c)) for (i, _), s, c in zip(rows, sets, label))
+    assert sorted((key(r[0]), r[1], key(r[2])) for r in spotsigs.similar(docs).collect()) == want
+    prints = {r["doc_id"]: len(r["fingerprint"]) for r in spotsigs.fingerprints(docs).collect()}
+    assert all(prints[i] == 16 * len(s) for (i, _), s in zip(rows, sets) if i is not None)
 
 
 def test_spotsigs_query_finds_near_copies_that_are_not_neighbours(spark, tmp_path):
@@ -217,7 +246,6 @@ def test_spotsigs_query_finds_near_copies_that_are_not_neighbours(spark, tmp_pat
     rows += [(50, None), (38, base), (None, base)]
     spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
     found = queries.op8_spotsigs(spark, str(tmp_path))
-    assert found.columns[:7] == spotsigs.probe_edits(found.select("doc_id", F.lit("").alias("text"))).columns
     got = [(r["doc_id"], r["component_id"]) for r in found.collect()]
     assert len(got) == len(rows)
     assert sorted(got, key=str) == sorted(((i, 5 if t and t.startswith(base) else i) for i, t in rows), key=str)
@@ -230,6 +258,80 @@ def test_a_signature_is_an_anchor_and_its_chain():
     assert len(a) == 2 and len(b) == 2 and len(set(a) & set(b)) == 1 and not len(c) and not len(d)
 
 
+CLASHES = ("row", "chunk", "id", "content", "rest", "__row", "__chunk", "__id", "__text", "__target", "__source", "__source_size", "__copy", "number", "part", "place", "has_letter", "SIZE", "source_size", "target", "rate", "copies", "key", "kind", "range", "digest", "label", "keep", "v", "bin_id")
+
+
+@pytest.mark.parametrize("operator", [jaccard.drop_near_duplicates, repeats.remove_repeats, mixing.mix, mixing.plan_mix, lambda d: language.identify(d, None)])
+def test_columns_with_the_names_of_internals_keep_their_values(docs, operator):
+    named = docs.drop("size", "score", "items", "n_chars").withColumns({c: F.concat(F.lit(f"{c}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))) for c in CLASHES})
+    out = operator(named)
+    replaced = {c for c in out.columns if c.lower() in ("source_size", "target", "rate", "copies")} if operator is mixing.plan_mix else set()
+    same = [c for c in CLASHES if c not in replaced and c != "SIZE" * (operator is mixing.plan_mix)]
+    found = out.select("doc_id", *[F.col(f"`{c}`") for c in same]).collect()
+    assert found and all(r[c] == f"{c}:{'-' if r['doc_id'] is None else r['doc_id']}" for r in found for c in same)
+
+
+def test_columns_keep_their_types(docs):
+    typed = docs.withColumns({"text": F.col("text").cast("varchar(100000)"), "n": F.struct(F.lit(1).alias("a")), "l": F.array(F.lit(1.5))})
+    for operator in (jaccard.drop_near_duplicates, repeats.remove_repeats):
+        out = operator(typed)
+        assert out.select(*typed.columns).dtypes == typed.dtypes and {(r["n"]["a"], *r["l"]) for r in out.collect()} == {(1, 1.5)}
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(1)
+    long = " ".join(rng.choices([f"w{i}" for i in range(5000)], k=1_700_000))
+    rows = [(1, long), (2, "short " * 30), (3, long + " end"), (4, None), (5, long[:200])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(1)
+    assert len(long) > 9_000_000
+    found = jaccard.jaccard_components(docs).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == {1: 1, 2: 2, 3: 1, 4: 4, 5: 5}
+    n = {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in repeats.remove_repeats(docs).drop("text", "kept_text").collect()}
+    assert n[1] == (1_700_000, 0) and n[3][1] >= 1_700_000 and n[5][1] >= 20 and n[2] == (30, 29) and n[4] == (0, 0)
+    assert chunks.chunk_table(docs, F.col("text"), "doc_id", 20_000_000, Scope(spark), []).select("chunk").distinct().count() >= 2
+
+
+def test_chunks_are_cut_by_bytes(spark):
+    texts = spark.range(3000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), (F.col("id") % 100 * 300).cast("int")).alias("text")).repartition(2)
+    total = chunks.text_bytes(texts)
+    found = chunks.chunk_table(texts, F.col("text"), "doc_id", total, Scope(spark), []).groupBy("chunk").agg(F.sum(F.length("content")).alias("n"), F.min("row").alias("row"), F.count("*").alias("rows")).collect()
+    assert sum(r["n"] for r in found) == total and sum(r["rows"] for r in found) == 3000 and len(found) > 10
+    assert all(r["n"] <= chunks.LEAST_CHUNK + 30_000 and r["row"] == r["chunk"] for r in found)
+
+
+def test_hot_passages_over_many_chunks(spark, monkeypatch):
+    """A passage in every text, many chunks, and more shards than partitions."""
+    monkeypatch.setattr(chunks, "LEAST_CHUNK", 3000)
+    monkeypatch.setattr(chunks, "chunk_bytes", lambda total: 3000)
+    rng = random.Random(5)
+    passage = " ".join(f"p{i}" for i in range(30))
+    rows = [(i, " ".join(rng.choices(["a", "b", "c", "d"], k=40)) + f" u{i} {passage} " + ("same text " * 30 if i % 3 == 0 else f"v{i}")) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    sets = [brute.shingles(t) for _, t in rows]
+    want = [c if c is not None else i for (i, _), c in zip(rows, brute.components([i for i, _ in rows], sets))]
+    assert [r["component_id"] for r in jaccard.jaccard_components(docs).orderBy("doc_id").collect()] == want
+    found = repeats.remove_repeats(docs).orderBy("doc_id").collect()
+    assert [(r["n_removed"], r["kept_text"]) for r in found] == [(n, " ".join(kept)) for kept, n in brute.removed(rows)]
+
+
+def _files(spark):
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tidelog")
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    return {x.getPath().getName() for x in files.listStatus(place)} if files.exists(place) else set()
+
+
+def test_a_scope_deletes_its_own_files_and_no_others(spark, docs):
+    kept = jaccard.jaccard_components(docs)
+    before, tables = _files(spark), len(spark.catalog.listTables())
+    with Scope(spark) as scope:
+        for operator in (jaccard.jaccard_components, jaccard.drop_near_duplicates, repeats.remove_repeats, mixing.mix, spotsigs.probe_edits, spotsigs.similar):
+            assert operator(docs, scope=scope).count() > 0
+        packing.pack(docs.select("doc_id", "size"), scope=scope).count()
+        assert _files(spark) > before
+    assert _files(spark) == before and len(spark.catalog.listTables()) == tables
+    assert kept.count() == docs.count()
+
+
 @pytest.mark.parametrize(
     "operator",
     [
@@ -238,7 +340,8 @@ def test_a_signature_is_an_anchor_and_its_chain():
         repeats.remove_repeats,
         mixing.mix,
         spotsigs.probe_edits,
-        lambda d: spotsigs.similar(spotsigs.fingerprints(d)),
+        spotsigs.similar,
+        lambda d: tokens.count_tokens(d, __import__("public_tokenizers").path("byte_bpe_50k.json")),
         lambda d: packing.pack(d.select("doc_id", "size")),
         lambda d: licenses.scan_licenses(d, licenses.known_digests(d.sparkSession)),
     ],

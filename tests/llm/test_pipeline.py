@@ -13,7 +13,7 @@ import brute  # noqa: E402
 import corpus_pipeline  # noqa: E402
 from tidelog.llm import mixing  # noqa: E402
 from tidelog.llm.queries import ORACLE_SQL, QUERIES  # noqa: E402
-from tidelog.llm.storage import stored, table  # noqa: E402
+from tidelog.llm.storage import Scope, table  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
@@ -21,12 +21,12 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables he
 
 def test_each_stage_does_its_work(spark):
     docs = table(spark, SF, "documents")
-    seen = [docs.toPandas()]
+    seen, scope = [docs.toPandas()], Scope(spark)
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, SF)
         if name != "packing":
             assert out.columns == docs.columns
-        docs = stored(out, name, keep=True)
+        docs = scope.stored(out, name)
         seen.append(docs.toPandas())
     first, known, different, trimmed, mixed, packed = seen
     assert len(known) >= 0.98 * len(first[first["text"].str.contains("[a-z]", na=False)])

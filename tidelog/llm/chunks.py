@@ -1,32 +1,66 @@
-"""Documents as a bucketed table of small chunks, so that later passes over the texts need no shuffle of them.
+"""Documents as a bucketed table of chunks, so that later passes over the texts need no shuffle of them.
 
 Two-pass operators must meet the same documents again with what was learned about them. Each input partition is rewritten
 where it is read, in chunks of neighbouring rows, and bucketed by chunk number; a pass that brings something back for a chunk
-moves only that.
+moves only that. A chunk is cut by bytes, so what a task holds at once is bounded however long the texts are: a text that is longer than a
+chunk has one of its own, or the end of one. Chunks grow with the square root of the corpus, as there is a message from each to each shard.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.storage import stored_buckets
+from tidelog.llm.storage import Scope
 
-#: Rows in a chunk, at most; a pass holds one chunk of texts in memory.
-CHUNK_ROWS = 512
-#: Text in a bucket, about, and the most buckets that Spark's defaults take kindly to.
+#: Text of a chunk: what a pass holds in memory at once.
+LEAST_CHUNK, MOST_CHUNK = 2 << 20, 64 << 20
+#: Text in a bucket, about, and the most buckets that Spark's defaults take kindly to. A bucket is what a task reads; it holds a chunk of that at once.
 BUCKET_BYTES, MOST_BUCKETS = 8 << 20, 50_000
 
 
 def text_bytes(docs: DataFrame, text_col: str = "text") -> int:
-    return docs.select(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
+    return docs.select(F.sum(F.octet_length(F.col(f"`{text_col}`").cast("string")))).first()[0] or 0
+
+
+def chunk_bytes(total_bytes: int) -> int:
+    return min(MOST_CHUNK, max(LEAST_CHUNK, math.isqrt(total_bytes << 10)))
+
+
+def _numbers(limit: int) -> Column:
+    """The chunk of each row: the number of the chunk's first row. Rows and sizes alone go through Python, in the order of the partition."""
+
+    @F.pandas_udf("long")
+    def number(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        held, chunk = 0, None
+        for rows, sizes in batches:
+            rows, ends = rows.to_numpy(), held + np.cumsum(sizes.to_numpy())
+            slot = np.maximum(ends - 1, 0) // limit
+            last = np.concatenate([[max(held - 1, 0) // limit], slot[:-1]])
+            first = slot != last
+            if len(rows) and chunk is None:
+                first[0] = True
+            at = np.maximum.accumulate(np.where(first, np.arange(len(rows)), -1))
+            out = np.where(at >= 0, rows[at], -1 if chunk is None else chunk)
+            if len(rows):
+                held, chunk = int(ends[-1]), int(out[-1])
+            yield pd.Series(out)
+
+    return number.asNondeterministic()("row", "size")
+
 
+def chunk_table(docs: DataFrame, content: Column, id_col: str, total_bytes: int, scope: Scope, rest: list[str]) -> DataFrame:
+    """``(chunk long, row long, id long, content, rest)`` of ``docs``, as a table in the warehouse that is bucketed by chunk.
 
-def chunk_table(docs: DataFrame, total_bytes: int, rows: int = CHUNK_ROWS) -> DataFrame:
-    """``docs`` with long columns ``__chunk`` and ``__row`` (one of its own for each row), as a table in the warehouse that is bucketed by it."""
+    ``row`` is a number of its own for each row. ``rest`` has the columns of that name in a struct, where none can clash; it is left out if there are none.
+    """
     buckets = min(MOST_BUCKETS, max(24, -(-total_bytes // BUCKET_BYTES)))
-    # The low 33 bits of the id count the rows of a partition, the high bits are its number.
-    at = F.monotonically_increasing_id()
-    low = at.bitwiseAND(F.lit((1 << 33) - 1))
-    chunk = at - low + F.floor(low / F.lit(rows))
-    return stored_buckets(docs.withColumns({"__chunk": chunk.cast("long"), "__row": at}), buckets, "__chunk", "chunks")
+    kept = [F.struct(*[F.col(f"`{c}`") for c in rest]).alias("rest")] if rest else []
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"), content.alias("content"), *kept)
+    rows = rows.withColumn("size", F.coalesce(F.octet_length("content"), F.lit(0)).cast("long"))
+    return scope.bucketed(rows.withColumn("chunk", _numbers(chunk_bytes(total_bytes))).drop("size"), buckets, "chunk", "chunks")

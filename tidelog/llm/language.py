@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidelog.llm.words import sliced
+from tidelog.names import unused
 
 BUCKET_BITS = 15
 SIZES = (2, 3, 4)
@@ -178,13 +179,14 @@ def identify(docs: DataFrame, model: LanguageModel | None, text_col: str = "text
     """
     added = ["lang_pred", "score", "rejected"]
     columns = [c for c in docs.columns if c not in added]
-    letter = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
-    plain = docs.select(*[F.col(f"`{c}`") for c in columns], F.col(text_col).alias("__text"), letter.alias("__letter"))
+    letter = F.coalesce(F.col(f"`{text_col}`").rlike(r"\p{L}"), F.lit(False))
+    content, has_letter = unused(columns, "content", "has_letter")
+    plain = docs.select(*[F.col(f"`{c}`") for c in columns], F.col(f"`{text_col}`").alias(content), letter.alias(has_letter))
 
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, scores, letters = [], [], batch.column("__letter").to_pylist()
-            for _, _, data, offsets in sliced(batch.column("__text"), SLICE) if model else ():
+            names, scores, letters = [], [], batch.column(has_letter).to_pylist()
+            for _, _, data, offsets in sliced(batch.column(content), SLICE) if model else ():
                 p = model.probabilities(model.scores(data, offsets))
                 best = p.argmax(axis=1)
                 names += [model.languages[k] for k in best.tolist()]

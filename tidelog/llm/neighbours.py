@@ -1,9 +1,12 @@
 """Approximate nearest neighbours by cosine: a graph built by NN-descent, searched greedily.
 
-Different vectors are numbered and kept in blocks of consecutive numbers, one row with arrays for each block. NN-descent rounds are joins by
-block: every edge is sent to its end, each node pairs the neighbours of both directions, the vectors of these are fetched once for
+Different directions are numbered and kept in blocks of consecutive numbers, one row with arrays for each block. Each node begins with the nearest
+of a few that are numbered near it. NN-descent rounds, at every size, are joins by block: every edge is sent to its end, each node pairs the
+neighbours of both directions and a few nodes drawn at random, the vectors of these are fetched once for
 a block, and pairs that come nearer than what their ends have are sent there. Rounds end when few edges change.
 
+Vectors are sent in single precision and measured in double, so that near copies are told apart.
+
 A search keeps, for each query, the ``width`` nearest nodes seen. In each round, nodes not yet expanded are looked up in the graph by block, their
 neighbours are scored where their vectors are, and what is near enough goes back to the query, until no query has a node to expand.
 """
@@ -18,14 +21,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelog.llm.storage import stored
+from tidelog.llm.storage import Scope
+from tidelog.llm.words import mix
+from tidelog.operators.ids import numbered
 
-#: Nodes in a block.
-BLOCK = 4096
+#: Nodes in a block, nodes among which each finds its first neighbours, and random nodes that it tries in a round.
+BLOCK, FIRST, DRAWN = 2048, 256, 4
 GRAPH = "block long, vecs binary, nbr binary, sim binary, fresh binary"
-IDX, F32 = np.int64, np.float32
-#: Stands for the nearness of edges that haven't been measured: below every cosine.
-UNKNOWN = -1.5
+IDX, F32, F64 = np.int64, np.float32, np.float64
+#: How far a measured nearness may be from the exact one.
+ROUNDING = 1e-6
 
 
 @dataclass(frozen=True)
@@ -58,14 +63,24 @@ def _join(table: pa.Table, column: str, kind) -> np.ndarray:
     return np.concatenate([np.zeros(0, kind), *(np.frombuffer(x, kind) for x in table[column].to_pylist())])
 
 
+def unit(raw: np.ndarray) -> np.ndarray:
+    """Vectors of length one in double precision; scaled first, so that squares neither overflow nor vanish."""
+    raw = raw.astype(F64)
+    if len(raw):
+        raw /= np.abs(raw).max(axis=1, keepdims=True)
+        raw /= np.linalg.norm(raw, axis=1, keepdims=True)
+    return raw
+
+
 def nearest_k(dst: np.ndarray, src: np.ndarray, sim: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each ``dst`` its ``k`` nearest different ``src``, nearest first."""
-    order = np.lexsort((-sim, src, dst))
-    dst, src, sim = dst[order], src[order], sim[order]
+    """For each ``dst`` its ``k`` nearest different ``src``, nearest first; of equally near ones others for each ``dst``. The first of repeated pairs counts."""
+    order = np.lexsort((src, dst))
     first = np.ones(len(dst), bool)
-    first[1:] = (dst[1:] != dst[:-1]) | (src[1:] != src[:-1])
-    dst, src, sim = dst[first], src[first], sim[first]
-    order = np.lexsort((src, -sim, dst))
+    first[1:] = (np.diff(dst[order]) != 0) | (np.diff(src[order]) != 0)
+    order = order[first]
+    dst, src, sim = dst[order], src[order], sim[order]
+    tie = mix(dst.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ src.astype(np.uint64))
+    order = np.lexsort((tie, -sim, dst))
     dst, src, sim = dst[order], src[order], sim[order]
     start = np.flatnonzero(np.diff(dst, prepend=-1) != 0)
     rank = np.arange(len(dst)) - np.repeat(start, np.diff(start, append=len(dst)))
@@ -91,7 +106,7 @@ class _Graph:
         self.vecs = np.frombuffer(row["vecs"], F32).reshape(-1, dim)
         self.start, self.m = self.block * BLOCK, len(self.vecs)
         self.nbr = np.frombuffer(row["nbr"], IDX).reshape(self.m, k)
-        self.sim = np.frombuffer(row["sim"], F32).reshape(self.m, k)
+        self.sim = np.frombuffer(row["sim"], F64).reshape(self.m, k)
         self.fresh = np.frombuffer(row["fresh"], np.uint8).reshape(self.m, k).astype(bool)
 
     def sampled(self, sample: int, round_: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -107,93 +122,94 @@ class _Graph:
         return rows[at], places[at], self.nbr[rows[at], places[at]], fresh[at]
 
 
+    def tried(self, sample: int, round_: int, nodes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, neighbour, fresh) of the sampled edges and of nodes drawn at random, which count as fresh."""
+        rows, _, nbr, fresh = self.sampled(sample, round_)
+        far = np.random.default_rng((round_, self.block, 2)).integers(0, nodes, (self.m, DRAWN))
+        more, place = np.nonzero(far != np.arange(self.m)[:, None] + self.start)
+        return np.concatenate([rows, more]), np.concatenate([nbr, far[more, place]]), np.concatenate([fresh, np.ones(len(more), bool)])
+
+
 def _grouped(df: DataFrame):
     return df.groupBy("block")
 
 
-def number_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame, int, int]:
-    """``(vec_id, vector, node)`` of all vectors that take part, equal vectors with one node; how many nodes, and the dimension.
+def number_vectors(vectors: DataFrame, id_col: str, vector_col: str, scope: Scope) -> tuple[DataFrame, int, int]:
+    """``(vec_id, vector, node)`` of all vectors that take part, those of equal direction with one node; how many nodes, and the dimension.
 
     Null and zero vectors, and those with null or non-finite components, take no part, nor do those of another than the most frequent length.
     """
     usable = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vector", lambda x: x != 0)
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector")).where(F.col("vec_id").isNotNull() & F.col("vector").isNotNull()).where(usable)
+    rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{vector_col}`").cast("array<double>").alias("vector")).where(F.col("vec_id").isNotNull() & F.col("vector").isNotNull()).where(usable)
     sizes = rows.groupBy(F.size("vector").alias("dim")).count().orderBy(F.desc("count"), "dim").limit(1).collect()
     dim = sizes[0]["dim"] if sizes else 0
-    at = F.monotonically_increasing_id()
-    distinct = rows.where(F.size("vector") == dim).groupBy("vector").agg(F.min("vec_id").alias("first"))
-    placed = stored(distinct.withColumns({"part": F.shiftright(at, 33), "pos": at.bitwiseAND(F.lit((1 << 33) - 1))}), "distinct")
-    counts = placed.groupBy("part").count()
-    # One row for each partition.
-    offsets = counts.select("part", F.coalesce(F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    nodes = placed.join(F.broadcast(offsets), "part").select("vector", (F.col("before") + F.col("pos")).alias("node"))
-    numbered = stored(rows.join(nodes, "vector").select("vec_id", "vector", "node"), "numbered")
-    return numbered, placed.count(), dim
-
-
-def build_index(vectors: DataFrame, k: int = 30, sample: int = 15, least_change: float = 0.15, id_col: str = "vec_id", vector_col: str = "embedding") -> tuple[Index, DataFrame]:
+    # A quotient is rounded once, so vectors of the same direction have the same quotients; 0.0 makes one zero of both.
+    largest = F.array_max(F.transform("vector", F.abs))
+    rows = rows.where(F.size("vector") == dim).withColumn("largest", largest).withColumn("way", F.transform("vector", lambda x: x / F.col("largest") + F.lit(0.0))).drop("largest")
+    found, nodes = numbered(rows.select("way").distinct(), ("way",), "node", scope.place("ways"))
+    ways = scope.stored(found.select("way", (F.col("node") - 1).alias("node")), "numbered_ways")
+    return scope.stored(rows.join(ways, "way").select("vec_id", "vector", "node"), "numbered"), nodes, dim
+
+
+def build_index(vectors: DataFrame, k: int = 30, sample: int = 12, least_change: float = 0.1, id_col: str = "vec_id", vector_col: str = "embedding", scope: Scope | None = None) -> tuple[Index, DataFrame]:
     """The graph of the ``k`` nearest found for every node, and the numbered vectors. A round that changes less than ``least_change`` of the edges is the last."""
-    numbered, nodes, dim = number_vectors(vectors, id_col, vector_col)
-    each = numbered.groupBy("node").agg(F.any_value("vector").alias("vector")).withColumn("block", F.floor(F.col("node") / BLOCK))
+    scope = Scope.of(scope, vectors)
+    rows, nodes, dim = number_vectors(vectors, id_col, vector_col, scope)
+    each = rows.groupBy("node").agg(F.any_value("vector").alias("vector")).withColumn("block", F.floor(F.col("node") / BLOCK))
 
     def first(block: pa.Table) -> pa.Table:
         block = block.sort_by("node")
-        raw = np.array(block["vector"].to_pylist(), np.float64).reshape(-1, dim)
-        # Scaled first, so that squares neither overflow nor vanish.
-        raw /= np.abs(raw).max(axis=1, keepdims=True)
-        vecs = (raw / np.linalg.norm(raw, axis=1, keepdims=True)).astype(F32)
+        vecs = unit(np.array(block["vector"].to_pylist(), F64).reshape(-1, dim)).astype(F32)
         number, m = block["block"][0].as_py(), len(vecs)
-        nbr, sim = np.full((m, k), -1, IDX), np.full((m, k), -2, F32)
-        n = min(k if nodes <= BLOCK else k // 2, m - 1)
-        for i in range(0, m, 512):
-            s = vecs[i : i + 512] @ vecs.T
-            s[np.arange(len(s)), np.arange(i, i + len(s))] = -3
-            if n:
-                top = np.argpartition(-s, n - 1, axis=1)[:, :n]
-                value = np.take_along_axis(s, top, 1)
-                order = np.argsort(-value, axis=1, kind="stable")
-                nbr[i : i + len(s), :n] = np.take_along_axis(top, order, 1) + number * BLOCK
-                sim[i : i + len(s), :n] = np.take_along_axis(value, order, 1)
-        if nodes > BLOCK:
-            far = np.random.default_rng((0, number)).integers(0, nodes - 1, (m, k - n))
-            nbr[:, n:] = far + (far >= np.arange(m)[:, None] + number * BLOCK)
-            sim[:, n:] = UNKNOWN
-        return _arrow(block=[number], vecs=[vecs.tobytes()], nbr=[nbr.tobytes()], sim=[sim.tobytes()], fresh=[np.ones((m, k), np.uint8).tobytes()])
-
-    # Each node starts with the nearest of its block, an exact answer for a part of the nodes, and, where there are more blocks, with any others.
-    graph = stored(_grouped(each).applyInArrow(first, GRAPH), "graph")
-    changed, round_ = nodes * k, 0
-    while nodes > BLOCK and changed >= least_change * nodes * k:
+        nbr, sim = np.full((m, k), -1, IDX), np.full((m, k), -2, F64)
+        for i in range(0, m, FIRST):
+            own = unit(vecs[i : i + FIRST])
+            s = own @ own.T
+            np.fill_diagonal(s, -3)
+            n = min(k, len(own) - 1)
+            top = np.argsort(-s, axis=1, kind="stable")[:, :n]
+            nbr[i : i + len(own), :n] = top + i + number * BLOCK
+            sim[i : i + len(own), :n] = np.take_along_axis(s, top, 1)
+        return _arrow(block=[number], vecs=[vecs.tobytes()], nbr=[nbr.tobytes()], sim=[sim.tobytes()], fresh=[(nbr >= 0).astype(np.uint8).tobytes()])
+
+    graph = scope.stored(_grouped(each).applyInArrow(first, GRAPH), "graph")
+    # As many edges as there can be: with few nodes a list isn't full.
+    edges, round_ = nodes * min(k, max(nodes - 1, 0)), 0
+    changed = edges
+    while edges and changed >= least_change * edges:
         round_ += 1
-        graph = stored(_descend(graph, dim, k, sample, round_), "graph")
+        new = _descend(graph, dim, k, sample, round_, nodes, scope)
+        scope.drop(graph)
+        graph = new
         changed = graph.select(F.sum(F.length(F.replace(F.hex("fresh"), F.lit("00"), F.lit(""))) / 2)).first()[0] or 0
-    return Index(graph, numbered.select("vec_id", "node"), nodes, dim), numbered
+    return Index(graph, rows.select("vec_id", "node"), nodes, dim), rows
 
 
-def _descend(graph: DataFrame, dim: int, k: int, sample: int, round_: int) -> DataFrame:
-    """One round of NN-descent."""
+def _descend(graph: DataFrame, dim: int, k: int, sample: int, round_: int, nodes: int, scope: Scope) -> DataFrame:
+    """One round of NN-descent, stored."""
+    wide = sample + DRAWN
 
     def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 g = _Graph(pa.Table.from_batches([batch.slice(i, 1)]), dim, k)
-                rows, _, nbr, fresh = g.sampled(sample, round_)
+                rows, nbr, fresh = g.tried(sample, round_, nodes)
                 parts = list(_cut(nbr, nbr, rows + g.start, fresh.astype(np.uint8)))
                 yield from _arrow(block=[b for b, _ in parts], u=[x[0].tobytes() for _, x in parts], v=[x[1].tobytes() for _, x in parts], fresh=[x[2].tobytes() for _, x in parts]).to_batches()
 
     def candidates(own: pa.Table, sent: pa.Table) -> pa.Table:
         g = _Graph(own, dim, k)
         u, v, kind = _join(sent, "u", IDX), _join(sent, "v", IDX), _join(sent, "fresh", np.uint8).astype(bool)
-        rows, _, nbr, fresh = g.sampled(sample, round_)
+        rows, nbr, fresh = g.tried(sample, round_, nodes)
         rng = np.random.default_rng((round_, g.block, 1))
         lists = []
         for which in (True, False):
-            c = np.full((g.m, 2 * sample), -1, IDX)
-            at, rank = _first_of_each(rows[fresh == which], g.m, sample, np.zeros(int((fresh == which).sum())))
+            c = np.full((g.m, 2 * wide), -1, IDX)
+            at, rank = _first_of_each(rows[fresh == which], g.m, wide, np.zeros(int((fresh == which).sum())))
             c[rows[fresh == which][at], rank] = nbr[fresh == which][at]
             back = np.flatnonzero(kind == which)
-            at, rank = _first_of_each(u[back] - g.start, g.m, sample, rng.random(len(back)))
-            c[u[back][at] - g.start, sample + rank] = v[back][at]
+            at, rank = _first_of_each(u[back] - g.start, g.m, wide, rng.random(len(back)))
+            c[u[back][at] - g.start, wide + rank] = v[back][at]
             lists.append(c)
         wanted = np.unique(np.concatenate([x[x >= 0] for x in lists]))
         asks = list(_cut(wanted, wanted))
@@ -213,25 +229,26 @@ def _descend(graph: DataFrame, dim: int, k: int, sample: int, round_: int) -> Da
         return _arrow(block=asked["src"].to_pylist(), ids=[x.tobytes() for x in ids], vecs=[g.vecs[x - g.start].tobytes() for x in ids], least=[g.sim[x - g.start, -1].tobytes() for x in ids])
 
     def paired(lists: pa.Table, fetched: pa.Table) -> pa.Table:
-        ids, least = _join(fetched, "ids", IDX), _join(fetched, "least", F32)
-        vecs = _join(fetched, "vecs", F32).reshape(-1, dim)
+        ids, least = _join(fetched, "ids", IDX), _join(fetched, "least", F64)
+        vecs = unit(_join(fetched, "vecs", F32).reshape(-1, dim))
         order = np.argsort(ids)
+        ids, least, vecs = ids[order], least[order], vecs[order]
         row = lists.to_pylist()[0]
-        new, old = (np.frombuffer(row[c], IDX).reshape(-1, 2 * sample) for c in "ab")
+        new, old = (np.frombuffer(row[c], IDX).reshape(-1, 2 * wide) for c in "ab")
         out: list[tuple] = []
         for i in range(0, len(new), 256):
             a = new[i : i + 256]
             b = np.concatenate([a, old[i : i + 256]], axis=1)
-            ia, ib = (order[np.minimum(np.searchsorted(ids, x, sorter=order), len(ids) - 1)] for x in (a, b))
+            ia, ib = (np.minimum(np.searchsorted(ids, x), len(ids) - 1) for x in (a, b))
             s = np.matmul(vecs[ia], vecs[ib].transpose(0, 2, 1))
-            ok = (a >= 0)[:, :, None] & (b >= 0)[:, None, :] & (a[:, :, None] != b[:, None, :])
-            for mine, other, index, axis in ((a, b, ia, 2), (b, a, ib, 1)):
-                x, y, z = np.nonzero(ok & (s > np.expand_dims(least[index], axis)))
-                dst, src = (mine[x, y], other[x, z]) if axis == 2 else (mine[x, z], other[x, y])
-                out.append((dst, src, s[x, y, z]))
-        found = nearest_k(*(np.concatenate(x) for x in zip(*out)), k) if out else (np.zeros(0, IDX), np.zeros(0, IDX), np.zeros(0, F32))
+            s[(a < 0)[:, :, None] | (b < 0)[:, None, :] | (a[:, :, None] == b[:, None, :])] = -3
+            for near, mine, other in ((least[ia][:, :, None], 1, 2), (least[ib][:, None, :], 2, 1)):
+                at = np.nonzero(s > near)
+                ends = {1: a[at[0], at[1]], 2: b[at[0], at[2]]}
+                out.append((ends[mine], ends[other], s[at]))
+        found = nearest_k(*(np.concatenate(x) for x in zip(*out)), k) if out else (np.zeros(0, IDX), np.zeros(0, IDX), np.zeros(0, F64))
         parts = list(_cut(found[0], *found))
-        return _arrow(block=[b for b, _ in parts], dst=[x[0].astype(IDX).tobytes() for _, x in parts], other=[x[1].astype(IDX).tobytes() for _, x in parts], sim=[x[2].astype(F32).tobytes() for _, x in parts])
+        return _arrow(block=[b for b, _ in parts], dst=[x[0].astype(IDX).tobytes() for _, x in parts], other=[x[1].astype(IDX).tobytes() for _, x in parts], sim=[x[2].astype(F64).tobytes() for _, x in parts])
 
     def merged(own: pa.Table, updates: pa.Table) -> pa.Table:
         g = _Graph(own, dim, k)
@@ -241,11 +258,10 @@ def _descend(graph: DataFrame, dim: int, k: int, sample: int, round_: int) -> Da
         has = g.nbr >= 0
         dst = np.concatenate([np.nonzero(has)[0] + g.start, _join(updates, "dst", IDX)])
         src = np.concatenate([g.nbr[has], _join(updates, "other", IDX)])
-        sim = np.concatenate([g.sim[has], _join(updates, "sim", F32)])
-        # What was there comes first among equals, so it isn't taken for fresh.
+        sim = np.concatenate([g.sim[has], _join(updates, "sim", F64)])
         d, s, v = nearest_k(dst, src, sim, k)
         rank = np.arange(len(d)) - np.searchsorted(d, d)
-        nbr, near, new = np.full(g.nbr.shape, -1, IDX), np.full(g.sim.shape, -2, F32), np.zeros(g.nbr.shape, np.uint8)
+        nbr, near, new = np.full(g.nbr.shape, -1, IDX), np.full(g.sim.shape, -2, F64), np.zeros(g.nbr.shape, np.uint8)
         nbr[d - g.start, rank], near[d - g.start, rank] = s, v
         before = np.sort((np.nonzero(has)[0] << 40) + g.nbr[has])
         stale = np.sort((np.nonzero(has & ~fresh)[0] << 40) + g.nbr[has & ~fresh])
@@ -255,13 +271,15 @@ def _descend(graph: DataFrame, dim: int, k: int, sample: int, round_: int) -> Da
         return _arrow(block=[g.block], vecs=[g.vecs.tobytes()], nbr=[nbr.tobytes()], sim=[near.tobytes()], fresh=[new.tobytes()])
 
     sent = graph.mapInArrow(ends, "block long, u binary, v binary, fresh binary")
-    lists = stored(_grouped(graph).cogroup(_grouped(sent)).applyInArrow(candidates, "kind int, block long, src long, a binary, b binary"), "lists")
+    lists = scope.stored(_grouped(graph).cogroup(_grouped(sent)).applyInArrow(candidates, "kind int, block long, src long, a binary, b binary"), "lists")
     fetched = _grouped(graph).cogroup(_grouped(lists.where("kind = 1"))).applyInArrow(served, "block long, ids binary, vecs binary, least binary")
     updates = _grouped(lists.where("kind = 0")).cogroup(_grouped(fetched)).applyInArrow(paired, "block long, dst binary, other binary, sim binary")
-    return _grouped(graph).cogroup(_grouped(updates)).applyInArrow(merged, GRAPH)
+    out = scope.stored(_grouped(graph).cogroup(_grouped(updates)).applyInArrow(merged, GRAPH), "graph")
+    scope.drop(lists)
+    return out
 
 
-def _adjacency(index: Index, k: int, back: int) -> DataFrame:
+def _adjacency(index: Index, k: int, back: int, scope: Scope) -> DataFrame:
     """``(block, vecs, at, ids)``: for each node its neighbours and the nearest ``back`` nodes that have it as theirs."""
     dim = index.dim
 
@@ -276,39 +294,38 @@ def _adjacency(index: Index, k: int, back: int) -> DataFrame:
     def both(own: pa.Table, sent: pa.Table) -> pa.Table:
         g = _Graph(own, dim, k)
         rows, places = np.nonzero(g.nbr >= 0)
-        dst, src, _ = nearest_k(_join(sent, "u", IDX), _join(sent, "v", IDX), _join(sent, "sim", F32), back)
+        dst, src, _ = nearest_k(_join(sent, "u", IDX), _join(sent, "v", IDX), _join(sent, "sim", F64), back)
         node, other = np.concatenate([rows, dst - g.start]), np.concatenate([g.nbr[rows, places], src])
         pair = np.unique(np.stack([node, other]), axis=1) if len(node) else np.zeros((2, 0), IDX)
         return _arrow(block=[g.block], vecs=[g.vecs.tobytes()], at=[np.searchsorted(pair[0], np.arange(g.m + 1)).astype(IDX).tobytes()], ids=[pair[1].astype(IDX).tobytes()])
 
     sent = index.graph.mapInArrow(ends, "block long, u binary, v binary, sim binary")
-    return stored(_grouped(index.graph).cogroup(_grouped(sent)).applyInArrow(both, "block long, vecs binary, at binary, ids binary"), "adjacency")
+    return scope.stored(_grouped(index.graph).cogroup(_grouped(sent)).applyInArrow(both, "block long, vecs binary, at binary, ids binary"), "adjacency")
 
 
 STATE = "query long, block long, vec binary, ids binary, sims binary, seen binary, open int"
 
 
-def search(index: Index, queries: DataFrame, width: int = 200, k: int = 30, back: int = 60) -> DataFrame:
+def search(index: Index, queries: DataFrame, width: int = 200, k: int = 30, back: int = 60, scope: Scope | None = None) -> DataFrame:
     """``(query, node, near)``: the ``width`` nearest nodes found for each of ``queries(query, vector, node)``, whose search starts at ``node``."""
+    scope = Scope.of(scope, queries)
     dim = index.dim
-    graph = _adjacency(index, k, back)
+    graph = _adjacency(index, k, back, scope)
 
     def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            vecs = np.array(batch.column("vector").to_pylist(), np.float64).reshape(-1, dim)
-            vecs = vecs / np.abs(vecs).max(axis=1, keepdims=True)
-            vecs = (vecs / np.linalg.norm(vecs, axis=1, keepdims=True)).astype(F32)
+            vecs = unit(np.array(batch.column("vector").to_pylist(), F64).reshape(-1, dim)).astype(F32)
             n = len(vecs)
             nodes = batch.column("node").to_numpy().astype(IDX)
-            out = _arrow(query=batch.column("query").to_pylist(), block=(batch.column("query").to_numpy() // 50 // 64).tolist(), vec=[v.tobytes() for v in vecs], ids=[x.tobytes() for x in nodes], sims=[np.ones(1, F32).tobytes()] * n, seen=[b"\0"] * n)
+            out = _arrow(query=batch.column("query").to_pylist(), block=(nodes // BLOCK).tolist(), vec=[v.tobytes() for v in vecs], ids=[x.tobytes() for x in nodes], sims=[np.ones(1, F64).tobytes()] * n, seen=[b"\0"] * n)
             yield from out.append_column("open", pa.array([1] * n, pa.int32())).to_batches()
 
     def asks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
             for r in batch.to_pylist():
-                ids, sims, seen = np.frombuffer(r["ids"], IDX), np.frombuffer(r["sims"], F32), np.frombuffer(r["seen"], np.uint8)
-                least = sims[-1:] if len(sims) >= width else np.full(1, -2, F32)
+                ids, sims, seen = np.frombuffer(r["ids"], IDX), np.frombuffer(r["sims"], F64), np.frombuffer(r["seen"], np.uint8)
+                least = sims[-1:] if len(sims) >= width else np.full(1, -2, F64)
                 for b, (x,) in _cut(ids[seen == 0], ids[seen == 0]):
                     rows.append((b, r["query"], r["block"], r["vec"], x.tobytes(), least.tobytes()))
             yield from _rows(rows)
@@ -332,23 +349,23 @@ def search(index: Index, queries: DataFrame, width: int = 200, k: int = 30, back
         rows: list[tuple] = []
         if asked.num_rows:
             row = own.to_pylist()[0]
-            start, vecs = row["block"] * BLOCK, np.frombuffer(row["vecs"], F32).reshape(-1, dim)
+            start, vecs = row["block"] * BLOCK, unit(np.frombuffer(row["vecs"], F32).reshape(-1, dim))
             for r in asked.to_pylist():
                 ids = np.frombuffer(r["ids"], IDX)
-                sims = vecs[ids - start] @ np.frombuffer(r["vec"], F32)
-                near = sims > np.frombuffer(r["least"], F32)[0]
+                sims = vecs[ids - start] @ unit(np.frombuffer(r["vec"], F32).reshape(1, dim))[0]
+                near = sims > np.frombuffer(r["least"], F64)[0]
                 if near.any():
-                    rows.append((r["src"], r["query"], ids[near].tobytes(), sims[near].astype(F32).tobytes()))
+                    rows.append((r["src"], r["query"], ids[near].tobytes(), sims[near].tobytes()))
         c = list(zip(*rows)) or [[]] * 4
         return _arrow(block=list(c[0]), query=list(c[1]), ids=list(c[2]), sims=list(c[3]))
 
     def merged(states: pa.Table, found: pa.Table) -> pa.Table:
         got: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         for r in found.to_pylist():
-            got.setdefault(r["query"], []).append((np.frombuffer(r["ids"], IDX), np.frombuffer(r["sims"], F32)))
+            got.setdefault(r["query"], []).append((np.frombuffer(r["ids"], IDX), np.frombuffer(r["sims"], F64)))
         rows = []
         for r in states.to_pylist():
-            ids, sims = np.frombuffer(r["ids"], IDX), np.frombuffer(r["sims"], F32)
+            ids, sims = np.frombuffer(r["ids"], IDX), np.frombuffer(r["sims"], F64)
             more = got.get(r["query"], [])
             ids, sims = np.concatenate([ids, *(x for x, _ in more)]), np.concatenate([sims, *(x for _, x in more)])
             seen = np.zeros(len(ids), np.uint8)
@@ -362,46 +379,53 @@ def search(index: Index, queries: DataFrame, width: int = 200, k: int = 30, back
         return out.append_column("open", pa.array(list(c[6]), pa.int32()))
 
     ask = "block long, query long, src long, vec binary, ids binary, least binary"
-    state = stored(queries.select("query", "vector", "node").mapInArrow(begin, STATE), "state")
+    state = scope.stored(queries.select("query", "vector", "node").mapInArrow(begin, STATE), "state")
     while state.where("open > 0").limit(1).count():
         sent = state.where("open > 0").mapInArrow(asks, ask)
         spread = _grouped(graph).cogroup(_grouped(sent)).applyInArrow(expanded, ask)
         found = _grouped(graph).cogroup(_grouped(spread)).applyInArrow(scored, "block long, query long, ids binary, sims binary")
-        state = stored(_grouped(state).cogroup(_grouped(found)).applyInArrow(merged, STATE), "state")
+        new = scope.stored(_grouped(state).cogroup(_grouped(found)).applyInArrow(merged, STATE), "state")
+        scope.drop(state)
+        state = new
 
     def result(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = [np.frombuffer(x, IDX) for x in batch.column("ids").to_pylist()]
-            sims = _join(pa.Table.from_batches([batch]), "sims", F32)
+            sims = _join(pa.Table.from_batches([batch]), "sims", F64)
             yield pa.record_batch({"query": np.repeat(batch.column("query").to_numpy(), [len(x) for x in ids]).astype(np.int64), "node": np.concatenate([np.zeros(0, IDX), *ids]), "near": sims})
 
-    return state.mapInArrow(result, "query long, node long, near float")
+    return state.mapInArrow(result, "query long, node long, near double")
 
 
-def nearest(vectors: DataFrame, every: int = 50, top: int = 5, width: int = 200, k: int = 30, sample: int = 15, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, every: int = 50, top: int = 5, width: int = 200, k: int = 30, sample: int = 12, id_col: str = "vec_id", vector_col: str = "embedding", scope: Scope | None = None) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: for each row whose id is divisible by ``every``, the ``top`` nearest other rows found.
 
     All rows are indexed. ``score`` is the cosine of the original vectors in double precision; equal scores go by the smaller id. Null and zero
-    vectors, those with null or non-finite components, of an odd length, or without an id take no part; equal vectors are one node, of which the smallest ids
-    are returned. With fewer candidates all are returned; a single vector, or none, gives no rows. Ids must differ.
+    vectors, those with null or non-finite components, of an odd length, or without an id take no part; vectors of equal direction are one node, of which the
+    smallest ids are returned. With fewer candidates all are returned; a single vector, or none, gives no rows. Ids must differ.
     """
-    index, numbered = build_index(vectors, k, sample, 0.15, id_col, vector_col)
-    queries = stored(numbered.where(F.pmod("vec_id", F.lit(every)) == 0).select(F.col("vec_id").alias("query"), "vector", "node"), "queries")
-    found = search(index, queries, width, k)
-    # Nodes beyond those that single precision could confuse can't matter.
+    scope = Scope.of(scope, vectors)
+    index, rows = build_index(vectors, k, sample, id_col=id_col, vector_col=vector_col, scope=scope)
+    queries = scope.stored(rows.where(F.pmod("vec_id", F.lit(every)) == 0).select(F.col("vec_id").alias("query"), "vector", "node"), "queries")
+    found = search(index, queries, width, k, scope=scope)
+    # Nodes that rounding can't bring among the nearest don't matter; one node may hold the query alone.
     by_near = Window.partitionBy("query").orderBy(F.desc("near"), "node")
-    best = found.withColumn("r", F.row_number().over(by_near)).where(F.col("r") <= 4 * (top + 1)).select("query", "node")
-    # The smallest ids of each node, in two steps, since one vector may have very many rows.
+    within = F.nth_value("near", top + 1).over(by_near.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    best = found.withColumn("least", within).where(F.col("least").isNull() | (F.col("near") >= F.col("least") - ROUNDING)).select("query", "node")
+    # The smallest ids of each node, in two steps, since one direction may have very many rows.
     part = Window.partitionBy("node", F.pmod(F.xxhash64("vec_id"), F.lit(64))).orderBy("vec_id")
-    heads = numbered.withColumn("r", F.row_number().over(part)).where(F.col("r") <= top + 1)
+    heads = rows.withColumn("r", F.row_number().over(part)).where(F.col("r") <= top + 1)
     heads = heads.withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy("vec_id"))).where(F.col("r") <= top + 1).select("node", "vec_id", "vector")
     pairs = best.join(heads, "node").where("vec_id != query").join(queries.select("query", F.col("vector").alias("own")), "query")
 
     def cosine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = (np.array(batch.column(c).to_pylist(), np.float64).reshape(batch.num_rows, -1) for c in ("own", "vector"))
-            a, b = (x / np.abs(x).max(axis=1, keepdims=True) if len(x) else x for x in (a, b))
-            score = np.einsum("ij,ij->i", a, b) / (np.linalg.norm(a, axis=1) * np.linalg.norm(b, axis=1)) if len(a) else np.zeros(0)
+            a, b = (np.array(batch.column(c).to_pylist(), F64).reshape(batch.num_rows, -1) for c in ("own", "vector"))
+            with np.errstate(all="ignore"):
+                size, dot = np.linalg.norm(a, axis=1) * np.linalg.norm(b, axis=1), np.einsum("ij,ij->i", a, b)
+                score = dot / size
+            odd = ~(np.isfinite(size) & np.isfinite(dot) & (size > 1e-280))
+            score[odd] = np.einsum("ij,ij->i", unit(a[odd]), unit(b[odd]))
             yield pa.record_batch({"query_id": batch.column("query"), "vec_id": batch.column("vec_id"), "score": score})
 
     exact = pairs.select("query", "vec_id", "own", "vector").mapInArrow(cosine, "query_id long, vec_id long, score double")

@@ -15,10 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelog.llm.storage import shuffle_partitions, stored
+from tidelog.llm.storage import Scope
 
-#: Pieces in a shard, about; a shard is packed in one task.
-SHARD_PIECES = 50_000
+#: Pieces in a shard, about; a shard is packed in one task. Nothing else says how pieces are dealt, so a corpus is packed alike on any cluster.
+SHARD_PIECES = 8192
 SCHEMA = "doc_id long, copy long, piece int, start long, length long, bin_id string, bin_offset long, bin_used long, bin_capacity long"
 
 
@@ -80,7 +80,7 @@ def best_fit(lengths: np.ndarray, permitted: Sequence[int], cost: Callable[[int]
     return best
 
 
-def pack(sizes: DataFrame, permitted: Sequence[int] = (512, 1024, 2048, 4096), cost: Callable[[int], float] = quadratic_cost, seed: int = 7) -> DataFrame:
+def pack(sizes: DataFrame, permitted: Sequence[int] = (512, 1024, 2048, 4096), cost: Callable[[int], float] = quadratic_cost, seed: int = 7, scope: Scope | None = None) -> DataFrame:
     """Packed pieces of ``sizes(doc_id long, size long)``: one row per piece, with its bin.
 
     ``piece`` counts a document's pieces from 0, ``start`` is the piece's first token, ``bin_offset`` its place in the bin. Rows that
@@ -90,7 +90,7 @@ def pack(sizes: DataFrame, permitted: Sequence[int] = (512, 1024, 2048, 4096), c
     permitted = sorted(int(x) for x in permitted)
     longest = permitted[-1]
     # Identical rows are counted, so that every copy has a number without gathering the copies.
-    each = stored(sizes.select("doc_id", F.greatest(F.coalesce("size", F.lit(0)), F.lit(0)).cast("long").alias("size")).where("size > 0").groupBy("doc_id", "size").count(), "sizes")
+    each = Scope.of(scope, sizes).stored(sizes.select("doc_id", F.greatest(F.coalesce("size", F.lit(0)), F.lit(0)).cast("long").alias("size")).where("size > 0").groupBy("doc_id", "size").count(), "sizes")
     before = Window.partitionBy("doc_id").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
     pieces = (
         each.withColumn("first", F.coalesce(F.sum("count").over(before), F.lit(0)))
@@ -99,7 +99,7 @@ def pack(sizes: DataFrame, permitted: Sequence[int] = (512, 1024, 2048, 4096), c
         .select("doc_id", "copy", F.col("piece").cast("int").alias("piece"), (F.col("piece") * longest).alias("start"), F.least(F.lit(longest), F.col("size") - F.col("piece") * longest).alias("length"))
     )
     rows = each.select(F.sum(F.col("count") * (F.expr(f"(size - 1) div {longest}") + 1))).first()[0] or 0
-    shards = max(shuffle_partitions(sizes.sparkSession), -(-rows // SHARD_PIECES))
+    shards = max(1, -(-rows // SHARD_PIECES))
     dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "copy", "piece", F.lit(seed)), F.lit(shards)))
 
     def pack_shard(shard: pa.Table) -> pa.Table:
@@ -116,4 +116,4 @@ def pack(sizes: DataFrame, permitted: Sequence[int] = (512, 1024, 2048, 4096), c
             }
         )
 
-    return dealt.groupBy("shard").applyInArrow(pack_shard, SCHEMA)
+    return dealt.repartition(shards, "shard").groupBy("shard").applyInArrow(pack_shard, SCHEMA)

@@ -13,6 +13,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidelog.names import unused
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -21,33 +23,35 @@ def _share(part: Column, whole: Column) -> Column:
 
 
 def statistics(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep`` and a double for each statistic of the text; null counts as empty."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    base = docs.select(*[F.col(f"`{c}`") for c in keep], text.alias("__t")).withColumns(
+    """The columns ``keep`` and a double for each statistic of the text; null counts as empty. No kept column has the name of a statistic."""
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    t, chars, words, upper, symbols, digits, stops, lines, parts = unused(keep, "content", "chars", "words", "upper", "symbols", "digits", "stops", "lines", "parts")
+    base = docs.select(*[F.col(f"`{c}`") for c in keep], text.alias(t)).withColumns(
         {
-            "__chars": F.length("__t"),
-            "__words": F.regexp_count("__t", F.lit(WORD)),
-            "__upper": F.regexp_count("__t", F.lit(r"\p{Lu}")),
-            "__symbols": F.regexp_count("__t", F.lit(r"[^\p{L}\p{N}\s.,]")),
-            "__digits": F.regexp_count("__t", F.lit(r"\p{N}")),
-            "__stops": F.regexp_count("__t", F.lit(r"[.!?]")),
-            "__lines": F.split("__t", "\n"),
-            "__parts": F.split("__t", " "),
+            chars: F.length(t),
+            words: F.regexp_count(t, F.lit(WORD)),
+            upper: F.regexp_count(t, F.lit(r"\p{Lu}")),
+            symbols: F.regexp_count(t, F.lit(r"[^\p{L}\p{N}\s.,]")),
+            digits: F.regexp_count(t, F.lit(r"\p{N}")),
+            stops: F.regexp_count(t, F.lit(r"[.!?]")),
+            lines: F.split(t, "\n"),
+            parts: F.split(t, " "),
         }
     )
+    without = lambda x: F.length(t) - F.length(F.replace(t, F.lit(x), F.lit("")))
     return base.select(
         *[F.col(f"`{c}`") for c in keep],
-        F.log1p("__words").alias("log_words"),
-        _share(F.col("__chars"), F.col("__words")).alias("chars_per_word"),
-        _share(F.col("__upper"), F.col("__chars")).alias("upper_share"),
-        _share(F.col("__symbols"), F.col("__words")).alias("symbols_per_word"),
-        _share(F.col("__digits"), F.col("__chars")).alias("digit_share"),
-        _share(F.col("__stops"), F.col("__words")).alias("stops_per_word"),
-        _share(F.length("__t") - F.length(F.replace("__t", F.lit(","), F.lit(""))), F.col("__words")).alias("commas_per_word"),
-        _share(F.length("__t") - F.length(F.replace("__t", F.lit("|"), F.lit(""))), F.col("__words")).alias("bars_per_word"),
-        _share(F.size("__lines"), F.col("__words")).alias("lines_per_word"),
-        _share(F.size(F.array_distinct("__lines")), F.size("__lines")).alias("distinct_lines"),
-        _share(F.size(F.array_distinct("__parts")), F.size("__parts")).alias("distinct_words"),
+        F.log1p(words).alias("log_words"),
+        _share(F.col(chars), F.col(words)).alias("chars_per_word"),
+        _share(F.col(upper), F.col(chars)).alias("upper_share"),
+        _share(F.col(symbols), F.col(words)).alias("symbols_per_word"),
+        _share(F.col(digits), F.col(chars)).alias("digit_share"),
+        _share(F.col(stops), F.col(words)).alias("stops_per_word"),
+        _share(without(","), F.col(words)).alias("commas_per_word"),
+        _share(without("|"), F.col(words)).alias("bars_per_word"),
+        _share(F.size(lines), F.col(words)).alias("lines_per_word"),
+        _share(F.size(F.array_distinct(lines)), F.size(lines)).alias("distinct_lines"),
+        _share(F.size(F.array_distinct(parts)), F.size(parts)).alias("distinct_words"),
     )
 
 

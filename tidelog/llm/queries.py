@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm import jaccard, language, licenses, mixing, neighbours, packing, quality, repeats, spotsigs, tokens
 from tidelog.llm.oracles import ORACLE_SQL
-from tidelog.llm.storage import stored, table
+from tidelog.llm.storage import table
+
+
+def _remainder(n: int) -> Column:
+    """Of the id's checksum; a null id counts as the empty text, whose checksum is 0."""
+    return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(n))
 
 
 def op1_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,7 +33,7 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 1
+    held_out = _remainder(3) == 1
     model = quality.fit_quality_model(docs, table(spark, sf_dir, "labels"), ~held_out)
     return quality.score_quality(docs, model).withColumn("held_out", held_out)
 
@@ -41,7 +46,7 @@ def op5_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2
+    held_out = _remainder(4) == 2
     model = language.fit_language_model(docs, ~held_out)
     found = language.identify(docs.select("doc_id", "text"), model)
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
@@ -53,10 +58,7 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prints = ("fingerprint", "edited_fingerprint")
-    probed = spotsigs.probe_edits(table(spark, sf_dir, "documents")).withColumns({c: F.unhex(c) for c in prints})
-    found = spotsigs.with_components(stored(probed, "probed", free=True))
-    return found.withColumns({c: F.lower(F.hex(c)) for c in prints})
+    return spotsigs.probe_edits(table(spark, sf_dir, "documents"))
 
 
 def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm.components import components
-from tidelog.llm.storage import stored
+from tidelog.llm.storage import Scope
 
 
 def _ceil_div(a: Column, b: int) -> Column:
@@ -50,13 +50,16 @@ def length_bands(n: Column, num: int, den: int) -> Column:
     return F.array(band, band + 1)
 
 
-def linked_components(sets: DataFrame, num: int = 3, den: int = 4, banded: bool = False) -> DataFrame:
+def linked_components(sets: DataFrame, num: int = 3, den: int = 4, banded: bool = False, scope: Scope | None = None) -> DataFrame:
     """``(node, component)`` of the sets that are linked with any other: den * intersection >= num * union.
 
     ``sets(node long, n long, shared long, score int, items array<long>)`` holds different sets: ``n`` is the size of all,
     ``items`` the ``shared`` items that may be met elsewhere, in the global order, and ``score`` is high for sets of frequent items. With ``banded``, columns are
     split by bands of set lengths; overlaps may then be counted twice, which discards no more pairs than counting them once.
+
+    What is known of a column is stored before its entries meet it, so joins by column read plain shuffles, and Spark splits a column that very many sets have.
     """
+    scope = Scope.of(scope, sets)
     sized = sets.withColumn("p", prefix_length(F.col("n"), F.col("shared"), num, den)).where("p > 0")
     entry = F.struct("node", "n", "shared").alias("x")
     entries = sized.select(F.posexplode(F.slice("items", 1, F.col("p").cast("int"))).alias("pos", "item"), "score", entry)
@@ -66,10 +69,12 @@ def linked_components(sets: DataFrame, num: int = 3, den: int = 4, banded: bool
 
     # Each column's most central set meets the others of the column.
     centres = entries.groupBy("item").agg(F.max(F.struct("score", "x")).alias("top"), F.count("*").alias("k")).where("k > 1").select("item", F.col("top.x").alias("a"))
+    centres = scope.stored(centres, "centres")
     star = centres.join(entries.select("item", F.col("x").alias("b")), "item").where(F.col("a.node") != F.col("b.node")).where(F.least("a.shared", "b.shared") >= least)
-    star = stored(_overlaps(star.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct(), sets), "star")
+    star = scope.stored(_overlaps(star.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct(), sets), "star")
+    scope.drop(centres)
     first = _linked(star, num, den)
-    at_first = components(first)
+    at_first = components(first, scope)
 
     # What is known of each set: its component, the centre that it overlaps most (itself, if it is one), and by how much.
     best = star.groupBy("b").agg(F.max(F.struct("overlap", "a")).alias("best")).select(F.col("b").alias("node"), "best")
@@ -83,12 +88,14 @@ def linked_components(sets: DataFrame, num: int = 3, den: int = 4, banded: bool
         F.when(alone, F.col("shared")).otherwise(F.col("best.overlap")).alias("of_centre"),
     )
     x = F.struct("x.node", "x.n", "x.shared", "pos", "c", "centre", "of_centre").alias("x")
-    labelled = stored(entries.drop("score").withColumn("node", F.col("x.node")).join(known, "node").select("item", x), "entries")
+    labelled = scope.stored(entries.drop("score").withColumn("node", F.col("x.node")).join(known, "node").select("item", x), "entries")
 
     # The product: over columns with several components, of sets that could still meet the smallest set of the column so far down.
     open_items = labelled.groupBy("item").agg(F.min("x.c").alias("lo"), F.max("x.c").alias("hi"), F.min("x.n").alias("n_lo")).where("lo < hi").select("item", "n_lo")
+    open_items = scope.stored(open_items, "open_items")
     reach = F.col("x.shared") - least_overlap(F.col("x.n"), F.col("n_lo"), num, den)
-    still = labelled.join(open_items, "item").where(F.col("x.pos") <= reach)
+    still = scope.stored(labelled.join(open_items, "item").where(F.col("x.pos") <= reach).select("item", "x"), "still")
+    scope.drop(labelled, open_items)
     product = still.select("item", F.col("x").alias("a")).join(still.select("item", F.col("x").alias("b")), "item").where(F.col("a.c") < F.col("b.c"))
     # Of two similar sets, the first item that they share is as early as this in both.
     product = product.where((F.col("a.pos") <= F.col("a.shared") - least) & (F.col("b.pos") <= F.col("b.shared") - least))
@@ -96,4 +103,6 @@ def linked_components(sets: DataFrame, num: int = 3, den: int = 4, banded: bool
     within = F.least("a.of_centre", "b.of_centre") + F.least(F.col("a.shared") - F.col("a.of_centre"), F.col("b.shared") - F.col("b.of_centre"))
     product = product.where((F.col("a.centre") != F.col("b.centre")) | (within >= least))
     second = product.groupBy(F.col("a.node").alias("a"), F.col("b.node").alias("b")).agg(F.count("*").alias("met")).drop("met")
-    return components(first.union(_linked(_overlaps(second, sets), num, den)))
+    links = scope.stored(first.union(_linked(_overlaps(second, sets), num, den)), "links")
+    scope.drop(star, still)
+    return components(links, scope)

@@ -16,13 +16,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidelog.llm.storage import shuffle_partitions
+from tidelog.llm.chunks import MOST_CHUNK, chunk_bytes
 
 CELLS_PER_BYTE = 3
-#: Text for which a shard holds the cells, about.
-SHARD_BYTES = 8 << 20
-SKETCH_SCHEMA = "shard int, __chunk long, cells binary, counts binary"
-SHARED_SCHEMA = "__chunk long, cells binary, codes binary"
+SKETCH_SCHEMA = "shard int, chunk long, cells binary, counts binary"
+SHARED_SCHEMA = "chunk long, cells binary, codes binary"
 #: Keys of a run of texts: they may repeat, and each occurrence counts.
 Keys = Callable[[pa.Array], Iterable[np.ndarray]]
 
@@ -31,8 +29,9 @@ def width_bits(total_bytes: int) -> int:
     return max(24, math.ceil(math.log2(CELLS_PER_BYTE * total_bytes + 1)))
 
 
-def shard_count(session, total_bytes: int) -> int:
-    return max(4 * shuffle_partitions(session), -(-total_bytes // SHARD_BYTES))
+def shard_count(total_bytes: int) -> int:
+    """How many shards hold the cells, or windows, of the corpus: each for the text of some chunks, so that both ends of a message grow together."""
+    return max(24, -(-total_bytes // min(MOST_CHUNK, 4 * chunk_bytes(total_bytes))))
 
 
 def cells_of(keys: np.ndarray, bits: int) -> np.ndarray:
@@ -62,31 +61,35 @@ def decode(data: bytes) -> np.ndarray:
     return np.cumsum(steps, dtype=np.uint64)[steps != np.iinfo(kind).max]
 
 
-def by_chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
-    """The rows of each batch by chunk."""
+def by_chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.ChunkedArray]]:
+    """The contents of each chunk, from rows in the order of chunks."""
+    held: list[pa.Array] = []
+    number = None
     for batch in batches:
-        chunk = batch.column("__chunk").to_numpy()
-        if len(chunk) and (np.diff(chunk) < 0).any():
-            order = np.argsort(chunk, kind="stable")
-            batch, chunk = batch.take(pa.array(order)), chunk[order]
+        chunk = batch.column("chunk").to_numpy()
         at = [0, *(np.flatnonzero(np.diff(chunk)) + 1).tolist(), len(chunk)]
         for i, j in zip(at, at[1:]):
             if j > i:
-                yield int(chunk[i]), batch.slice(i, j - i)
+                if held and chunk[i] != number:
+                    yield number, pa.chunked_array(held)
+                    held = []
+                number = int(chunk[i])
+                held.append(batch.column("content").slice(i, j - i))
+    if held:
+        yield number, pa.chunked_array(held)
 
 
-def shared_cells(chunks: DataFrame, keys: Keys, total_bytes: int, text_col: str = "text") -> DataFrame:
+def shared_cells(chunks: DataFrame, keys: Keys, total_bytes: int) -> DataFrame:
     """For each chunk, rows of the cells of its keys that count two or more in all, with ``codes`` for how many.
 
     ``codes`` has a byte per cell, rising with the merged count and equal wherever the cell is met.
     """
-    spark = chunks.sparkSession
-    bits, shards = width_bits(total_bytes), shard_count(spark, total_bytes)
+    bits, shards = width_bits(total_bytes), shard_count(total_bytes)
 
     def partition_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edges = (np.arange(1, shards, dtype=np.float64) * (2.0**bits / shards)).astype(np.uint64)
-        for chunk, rows in by_chunk(batches):
-            found = [cells_of(k, bits) for k in keys(rows.column(text_col))]
+        for chunk, content in by_chunk(batches):
+            found = [cells_of(k, bits) for part in content.chunks for k in keys(part)]
             cells, counts = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
             counts = np.minimum(counts, 255).astype(np.uint8)
             at = [0, *np.searchsorted(cells, edges).tolist(), len(cells)]
@@ -95,7 +98,7 @@ def shared_cells(chunks: DataFrame, keys: Keys, total_bytes: int, text_col: str
                 yield pa.record_batch(
                     {
                         "shard": pa.array(full, pa.int32()),
-                        "__chunk": pa.array([chunk] * len(full), pa.int64()),
+                        "chunk": pa.array([chunk] * len(full), pa.int64()),
                         "cells": pa.array([encode(cells[at[s] : at[s + 1]]) for s in full], pa.binary()),
                         "counts": pa.array([counts[at[s] : at[s + 1]].tobytes() for s in full], pa.binary()),
                     }
@@ -112,10 +115,11 @@ def shared_cells(chunks: DataFrame, keys: Keys, total_bytes: int, text_col: str
         codes = np.empty(len(cells), np.uint8)
         codes[order] = np.repeat(code, np.diff(first, append=len(cells)))
         at = np.cumsum([0, *map(len, parts)])
-        out = [(chunk, encode(p[c > 0]), c[c > 0].tobytes()) for chunk, p, c in ((chunk, p, codes[i:j]) for chunk, p, i, j in zip(shard["__chunk"].to_pylist(), parts, at, at[1:])) if c.any()]
-        return pa.table({"__chunk": pa.array([x[0] for x in out], pa.int64()), "cells": pa.array([x[1] for x in out], pa.binary()), "codes": pa.array([x[2] for x in out], pa.binary())})
+        out = [(chunk, encode(p[c > 0]), c[c > 0].tobytes()) for chunk, p, c in ((chunk, p, codes[i:j]) for chunk, p, i, j in zip(shard["chunk"].to_pylist(), parts, at, at[1:])) if c.any()]
+        return pa.table({"chunk": pa.array([x[0] for x in out], pa.int64()), "cells": pa.array([x[1] for x in out], pa.binary()), "codes": pa.array([x[2] for x in out], pa.binary())})
 
-    sketches = chunks.select("__chunk", text_col).mapInArrow(partition_sketches, SKETCH_SCHEMA)
+    # A bucket's files are read one after another; sorted, a chunk's rows are together.
+    sketches = chunks.select("chunk", "content").sortWithinPartitions("chunk").mapInArrow(partition_sketches, SKETCH_SCHEMA)
     # About a shard to a task, however large the partitions that a cluster likes: what a Python worker is sent stays small.
     return sketches.repartition(shards, "shard").groupBy("shard").applyInArrow(merge, SHARED_SCHEMA)
 

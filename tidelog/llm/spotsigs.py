@@ -18,8 +18,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelog.llm.setjoin import linked_components
-from tidelog.llm.storage import shuffle_partitions, stored
+from tidelog.llm.chunks import chunk_bytes, chunk_table, text_bytes
+from tidelog.llm.jaccard import document_sets, labelled_rows
+from tidelog.llm.storage import Scope
 from tidelog.llm.words import Words, mix, sliced
 
 # Common words of English, French, German and Spanish.
@@ -31,8 +32,8 @@ ANCHORS = (
 )
 #: Everything ASCII that is neither a letter nor a digit.
 SEPARATORS = tuple(b for b in range(128) if not chr(b).isalnum())
-#: Rows that are fingerprinted at once, and the most ranges of ids.
-ROWS, MOST_RANGES = 256, 10_000
+#: Rows that are fingerprinted at once; keys that are drawn for each range of ids to find where it ends.
+ROWS, DRAWN = 256, 20
 LOWEST = -(1 << 63)
 
 
@@ -47,7 +48,7 @@ def _anchor_hashes(anchors: str) -> np.ndarray:
 
 
 def signature_sets(texts: pa.Array, chain: int = 2, anchors: str = ANCHORS) -> Iterator[np.ndarray]:
-    """The sorted distinct signatures of each text, as 32-bit numbers.
+    """The sorted distinct signatures of each text, as 64-bit numbers.
 
     A text without a whole chain has the hashes of its words instead; one without words, but not empty, the hash of its bytes; an empty
     one has none.
@@ -66,21 +67,25 @@ def signature_sets(texts: pa.Array, chain: int = 2, anchors: str = ANCHORS) -> I
         h = np.zeros(len(spots), np.uint64)
         for k in range(chain - 1, -1, -1):
             h = mix(h + words.hashes[content[following + k]])
-        h = (mix(h + words.hashes[spots]) >> np.uint64(32)).astype(np.uint32)
+        h = mix(h + words.hashes[spots])
         at = np.searchsorted(spots, words.at)
         for k in range(len(offsets) - 1):
             if at[k + 1] > at[k]:
                 yield np.unique(h[at[k] : at[k + 1]])
             elif words.at[k + 1] > words.at[k]:
-                yield np.unique((words.hashes[words.at[k] : words.at[k + 1]] >> np.uint64(32)).astype(np.uint32))
+                yield np.unique(words.hashes[words.at[k] : words.at[k + 1]])
             else:
                 raw = data[offsets[k] : offsets[k + 1]].tobytes()
-                yield np.frombuffer(hashlib.blake2b(raw, digest_size=4).digest() if raw else b"", np.uint32)
+                yield np.frombuffer(hashlib.blake2b(raw, digest_size=8).digest() if raw else b"", np.uint64)
 
 
 def written(signatures: np.ndarray) -> str:
-    """A fingerprint as text: eight hex digits for each signature, in order."""
-    return signatures.astype(">u4").tobytes().hex()
+    """A fingerprint as text: sixteen hex digits for each signature, in order."""
+    return signatures.astype(">u8").tobytes().hex()
+
+
+def _digest(signatures: np.ndarray) -> bytes:
+    return hashlib.blake2b(signatures.astype("<u8").tobytes(), digest_size=16).digest()
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -99,80 +104,92 @@ def fingerprints(docs: DataFrame, chain: int = 2, id_col: str = "doc_id", text_c
             yield pa.record_batch({"doc_id": batch.column("doc_id"), "fingerprint": pa.array([written(s) for s in signature_sets(batch.column("text"), chain)], pa.string())})
 
     schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("fingerprint", T.StringType())])
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(found, schema)
+    return docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(found, schema)
+
+
+def _classes(docs: DataFrame, chain: int, num: int, den: int, id_col: str, text_col: str, scope: Scope) -> DataFrame:
+    """``(id, digest, n_items, label)`` for each row of ``docs``; digest and label are null where no other fingerprint can be similar."""
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.record_batch({"id": batch.column("id"), "signatures": pa.array([s.tobytes() for s in signature_sets(batch.column("text"), chain)], pa.binary())})
+
+    total = text_bytes(docs, text_col)
+    prints = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(found, "id long, signatures binary")
+    chunks = chunk_table(prints, F.col("signatures"), "id", total, scope, [])
 
+    def sets_of(contents: pa.Array) -> Iterator[np.ndarray]:
+        for x in contents:
+            yield np.frombuffer(x.as_buffer(), np.uint64)
 
-def similar(prints: DataFrame, num: int = 3, den: int = 4) -> DataFrame:
-    """``(doc_id, component_id)`` for each row of ``prints(doc_id, fingerprint)``: classes of fingerprints linked by den * intersection >= num * union.
+    rows = scope.stored(document_sets(chunks, sets_of, total, num, den), "prints", free=True)
+    scope.drop(chunks)
+    return labelled_rows(rows, num, den, scope, banded=True)
+
+
+def similar(docs: DataFrame, chain: int = 2, num: int = 3, den: int = 4, id_col: str = "doc_id", text_col: str = "text", scope: Scope | None = None) -> DataFrame:
+    """``(doc_id, n_signatures, component_id)`` for each row of ``docs``: classes of fingerprints linked by den * intersection >= num * union.
 
     Equal fingerprints are one class. Signatures are ordered from rare to common over all documents, and only sets in the same or the next band of lengths meet. Empty
     fingerprints link with nothing; the class of a row without links is its own id, that of others the smallest id.
     """
-    rows = prints.select("doc_id", F.unhex("fingerprint").alias("fingerprint"))
-    return with_components(rows, num, den).select("doc_id", "component_id")
+    rows = _classes(docs, chain, num, den, id_col, text_col, Scope.of(scope, docs))
+    return rows.select(F.col("id").alias("doc_id"), F.col("n_items").alias("n_signatures"), F.coalesce("label", "id").alias("component_id"))
 
 
-def with_components(rows: DataFrame, num: int = 3, den: int = 4) -> DataFrame:
-    """``rows`` with the ``component_id`` of :func:`similar`.
+def _cuts(rows: DataFrame, ranges: int) -> np.ndarray:
+    """Keys at which ranges begin, from keys drawn by a hash: ``DRAWN`` for each range, however many rows there are. Where they lie decides how even ranges are, and nothing else."""
+    count = rows.count()
+    share = min(1.0, ranges * DRAWN / max(count, 1))
+    drawn = rows.where(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))).select("key").toPandas()["key"].to_numpy(np.int64)
+    return np.unique(np.quantile(np.sort(drawn), np.arange(1, ranges) / ranges, method="nearest")) if len(drawn) else drawn
 
-    They have ``doc_id`` and ``fingerprint``, here as bytes, four for each signature, and should be stored, as they are read more than once.
-    """
 
-    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [np.unique(np.frombuffer(x, ">u4")).astype(np.int64) for x in batch.column("fingerprint").to_pylist()]
-            items = pa.ListArray.from_arrays(np.cumsum([0, *map(len, sets)]).astype(np.int32), np.concatenate([np.zeros(0, np.int64), *sets]))
-            yield pa.record_batch({"node": batch.column("node"), "n": pa.array([len(x) for x in sets], pa.int64()), "s": items})
-
-    key = F.unhex(F.md5("fingerprint"))
-    classes = rows.where("length(fingerprint) > 0").groupBy("fingerprint").agg(F.min("doc_id").alias("label"))
-    classes = stored(classes.select(key.alias("key"), "fingerprint", "label", F.monotonically_increasing_id().alias("node")), "classes", free=True)
-    each = classes.select("node", "fingerprint").mapInArrow(found, "node long, n long, s array<long>")
-    items = each.select("node", "n", F.explode("s").alias("s"))
-    # A signature of one class alone is met nowhere else; only the others are counted, ordered and sent.
-    counts = stored(items.groupBy("s").count().where("count > 1"), "counts", free=True)
-    ranked = items.join(counts, "s").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("count", "s"))).alias("x"))
-    sets = ranked.select("node", "n", F.size("x").cast("long").alias("shared"), F.lit(0).alias("score"), F.col("x.s").alias("items"))
-    linked = linked_components(stored(sets.where(F.col("shared") * den >= F.col("n") * num), "sets", free=True), num, den, banded=True)
-    named = classes.select("key", "label", "node").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    labels = named.groupBy("component").agg(F.min("label").alias("component_id"))
-    named = stored(named.join(labels, "component").select(F.col("key").alias("__key"), "component_id"), "named", free=True)
-    both = rows.withColumn("__key", key).join(named, "__key", "left")
-    return both.select(*[F.col(f"`{c}`") for c in rows.columns if c != "component_id"], F.coalesce("component_id", "doc_id").alias("component_id"))
-
-
-def probe_edits(docs: DataFrame, chain: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Fingerprints of texts and of edited texts, whose last quarter is replaced by the start of the next document, and how alike they are.
-
-    Returns ``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next`` for each row. The next document is that of the
+def probe_edits(docs: DataFrame, chain: int = 2, num: int = 3, den: int = 4, id_col: str = "doc_id", text_col: str = "text", scope: Scope | None = None) -> DataFrame:
+    """Fingerprints of texts and of edited texts, whose last quarter is replaced by the start of the next document, how alike they are, and classes.
+
+    Returns ``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, component_id`` for each row. The next document is that of the
     next id, for the last the first; a null id is below all others, and rows that share an id follow each other by text. A null text is empty. A
-    document alone is its own next. Texts are dealt once, in ranges of ids; only the first row of a range is also sent to the range before.
+    document alone is its own next. ``component_id`` is that of :func:`similar`.
+
+    Texts are dealt once, in ranges of ids; only the first row of a range is also sent to the range before. Classes come first, and are dealt with them.
     """
+    scope = Scope.of(scope, docs)
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("key", F.coalesce("doc_id", F.lit(LOWEST)))
+    classes = _classes(docs, chain, num, den, id_col, text_col, scope)
+    linked = classes.where("digest IS NOT NULL AND NOT (label <=> id)").select(F.col("id").alias("doc_id"), "digest", F.col("label").alias("component")).distinct()
+    linked = scope.stored(linked, "linked", free=True)
+
+    key = F.coalesce("doc_id", F.lit(LOWEST)).alias("key")
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text")).select("doc_id", "text", key)
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    ranges = min(MOST_RANGES, max(2 * shuffle_partitions(spark), -(-total // (4 << 20))))
-    cuts = rows.agg(F.percentile_approx("key", F.array(*[F.lit(i / ranges) for i in range(1, ranges)]), F.lit(10 * ranges))).first()[0] or []
-    bounds = np.unique(np.array(cuts, np.int64))
+    ranges = max(24, -(-total // (2 * chunk_bytes(total))))
+    bounds = _cuts(rows, ranges)
 
     @F.pandas_udf("int")
     def range_of(keys: pd.Series) -> pd.Series:
         return pd.Series(np.searchsorted(bounds, keys.to_numpy(), side="right").astype(np.int32))
 
-    dealt = rows.withColumn("range", range_of("key"))
-    # One row per range, of which there are MOST_RANGES at most.
+    # One row for each range.
     firsts = rows.groupBy(range_of("key").alias("range")).agg(F.min("key").alias("key")).orderBy("key").collect()
     before = [(first["key"], firsts[i - 1]["range"]) for i, first in enumerate(firsts)]
     heads = spark.createDataFrame(before, "key long, range int")
-    tails = rows.join(F.broadcast(heads), "key").select(*rows.columns, "range", F.lit(True).alias("tail"))
-    together = dealt.withColumn("tail", F.lit(False)).unionByName(tails).repartition(ranges, "range").sortWithinPartitions("range", "tail", "key", "text")
+    none = {"digest": F.lit(None).cast("binary"), "component": F.lit(None).cast("long")}
+    tails = rows.join(F.broadcast(heads), "key").select(*rows.columns, F.lit(2).alias("kind"), "range").withColumns(none)
+    dealt = rows.select(*rows.columns, F.lit(1).alias("kind"), range_of("key").alias("range")).withColumns(none)
+    known = linked.select("doc_id", F.lit(None).cast("string").alias("text"), key, F.lit(0).alias("kind"), "digest", "component")
+    known = known.withColumn("range", range_of("key"))
+    # In a range, by key: the classes of a key's rows, then the rows; the tail is last.
+    order = ("range", F.col("kind") == 2, "key", "kind", "text")
+    together = dealt.unionByName(tails).unionByName(known).repartition(ranges, "range").sortWithinPartitions(*order)
 
     def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple | None = None  # a row that waits for the next
+        at_key, components = None, {}
 
         def out(pairs: list[tuple]) -> pa.RecordBatch:
             edited = []
-            for (_, text, _), (_, following, _) in pairs:
+            for (_, text, *_), (_, following, *_) in pairs:
                 cut = len(text) // 4
                 edited.append((text[: len(text) - cut] + following[:cut]) if cut else text)
             prints = list(signature_sets(pa.array(edited, pa.large_string()), chain))
@@ -185,6 +202,7 @@ def probe_edits(docs: DataFrame, chain: int = 2, id_col: str = "doc_id", text_co
                     "edited_fingerprint": pa.array([written(p) for p in prints], pa.string()),
                     "near_edited": pa.array([likeness(a[2], p) for (a, _), p in zip(pairs, prints)], pa.float64()),
                     "near_next": pa.array([likeness(a[2], b[2]) for a, b in pairs], pa.float64()),
+                    "component_id": pa.array([a[3] for a, _ in pairs], pa.int64()),
                 }
             )
 
@@ -192,13 +210,19 @@ def probe_edits(docs: DataFrame, chain: int = 2, id_col: str = "doc_id", text_co
             for at in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(at, ROWS)
                 texts, pairs = batch.column("text"), []
-                for doc_id, text, number, tail, signatures in zip(batch.column("doc_id").to_pylist(), texts.to_pylist(), batch.column("range").to_pylist(), batch.column("tail").to_pylist(), signature_sets(texts, chain)):
-                    row = (doc_id, text, signatures)
+                columns = (batch.column(c).to_pylist() for c in ("doc_id", "key", "range", "kind", "digest", "component"))
+                for doc_id, key, number, kind, digest, component, text, signatures in zip(*columns, texts.to_pylist(), signature_sets(texts, chain)):
+                    if (number, key) != at_key:
+                        at_key, components = (number, key), {}
+                    if kind == 0:
+                        components[digest] = component
+                        continue
+                    row = (doc_id, text, signatures, components.get(_digest(signatures), doc_id) if components else doc_id)
                     if held and held[0] == number:
                         pairs.append((held[1], row))
-                    held = None if tail else (number, row)
+                    held = None if kind == 2 else (number, row)
                 if pairs:
                     yield out(pairs)
 
-    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return together.select("doc_id", "text", "range", "tail").mapInArrow(probed, schema)
+    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, component_id long"
+    return together.select("doc_id", "text", "key", "range", "kind", "digest", "component").mapInArrow(probed, schema)
