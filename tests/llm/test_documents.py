@@ -3,6 +3,7 @@
 import hashlib
 import random
 import sys
+import textwrap
 from pathlib import Path
 
 import pytest
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).parent))
 import brute  # noqa: E402
 
-from tidelog.llm import chunks, jaccard, language, licenses, mixing, packing, queries, repeats, spotsigs, tokens  # noqa: E402
+from tidelog.llm import chunks, jaccard, known_licenses, language, licenses, mixing, packing, queries, repeats, spotsigs, tokens  # noqa: E402
 from tidelog.llm.storage import Scope  # noqa: E402
 from tidelog.scratch import shared_dir  # noqa: E402
 
@@ -153,15 +154,38 @@ def test_pieces_just_over_half_of_a_length_open_longer_bins():
     assert sum(used) == 600 * 520 and sum(map(packing.quadratic_cost, capacity)) / sum(used) < 1.7
 
 
+def scanned(spark, rows):
+    return licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"), licenses.known_digests(spark)).collect()
+
+
 def test_licenses(spark):
     notice = "Released under the MIT License."
-    mit = next(t for n, t in licenses.KNOWN if n == "MIT" and len(t) > 500)
-    rows = [(1, notice), (2, "Copyright (c) 2020 X\n" + mit.replace("license", "licence").upper()), (3, f"prose\n  released UNDER the mit licence\nmore"), (4, None), (5, "copyright 2020"), (6, f"{notice} And more."), (1, notice), (None, "x\nLicensed under CC BY-NC 4.0.")]
-    found = licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"), licenses.known_digests(spark)).collect()
+    mit = next(t for n, t in known_licenses.TEXTS if n == "MIT" and len(t) > 500)
+    rows = [(1, notice), (2, "Copyright (c) 2020 X\n" + mit.replace("license", "licence").upper()), (3, "prose\n  released UNDER the mit licence\nmore"), (4, None), (5, "copyright 2020"), (6, f"{notice} And more."), (1, notice), (None, "x\nLicensed under CC BY-NC 4.0."), (7, "the licence licence terms"), (8, "the license license terms")]
+    found = scanned(spark, rows)
     got = {r["doc_id"]: (r["license"], r["line_licenses"], r["n_rows"]) for r in found}
-    assert got == {1: ("MIT", ["MIT"], 2), 2: ("MIT", ["MIT"], 1), 3: (None, ["MIT"], 1), 4: (None, [], 1), 5: (None, [], 1), 6: (None, [], 1), None: (None, ["CC-BY-NC-4.0"], 1)}
+    assert got == {1: ("MIT", ["MIT"], 2), 2: ("MIT", ["MIT"], 1), 3: (None, ["MIT"], 1), 4: (None, [], 1), 5: (None, [], 1), 6: (None, [], 1), None: (None, ["CC-BY-NC-4.0"], 1), 7: (None, [], 1), 8: (None, [], 1)}
     empty = hashlib.sha256(b"").hexdigest()
     assert {r["doc_id"] for r in found if r["digest"] == empty} == {4, 5}
+    assert len({r["digest"] for r in found if r["doc_id"] in (7, 8)}) == 1
+
+
+@pytest.mark.parametrize("width", [40, 72, 100])
+def test_licence_files_however_they_are_wrapped(spark, width):
+    titles = {"MIT": "MIT License", "ISC": "ISC License", "BSD-3-Clause": "BSD 3-Clause License", "Zlib": "zlib License"}
+    wrap = lambda t: "\n".join(" * " + x for x in textwrap.wrap(t, width))
+    whole = [(n, t) for n, t in known_licenses.TEXTS if len(t) > 300]
+    rows = [(i, f"{titles.get(n, '')}\n\nCopyright (c) 1999-2024, Some Holder <some@example.org>\n(c) Copyright 2001 by another\nAll rights reserved.\n\n{wrap(t)}\n") for i, (n, t) in enumerate(whole)]
+    assert [(r["doc_id"], r["license"]) for r in sorted(scanned(spark, rows))] == [(i, n) for i, (n, _) in enumerate(whole)]
+
+
+@pytest.mark.skipif(not Path("/usr/share/common-licenses/GPL-3").exists(), reason="no licence files here")
+def test_digests_of_whole_texts(spark):
+    names = {"Apache-2.0": "Apache-2.0", "BSD": "BSD-3-Clause", "CC0-1.0": "CC0-1.0", "GFDL-1.2": "GFDL-1.2", "GFDL-1.3": "GFDL-1.3", "GPL-1": "GPL-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2": "LGPL-2.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0", "Artistic": "Artistic-1.0-Perl"}
+    rows = [(i, Path("/usr/share/common-licenses", f).read_text(errors="replace")) for i, f in enumerate(names)]
+    again = [(100 + i, "\r\n".join(textwrap.wrap(" ".join(t.split()), 60))) for i, t in rows if names[list(names)[i]] == "MPL-2.0"]
+    found = {r["doc_id"]: r["license"] for r in scanned(spark, rows + again)}
+    assert [found[i] for i in range(len(names))] == list(names.values()) and all(found[i] == "MPL-2.0" for i, _ in again)
 
 
 def test_tokens(docs, rows):

@@ -64,6 +64,73 @@ def test_quality_edges(spark):
     assert none.rules == () and quality.score_quality(docs.where("false"), none).count() == 0
 
 
+def test_scores_of_quality_against_a_plain_version(spark):
+    """Statistics, rules and the logistic, each computed again without Spark."""
+    import math
+    import re
+
+    texts = ["", "Plain words, and more words.", "SHOUT!! 12 | 34\nSHOUT!! 12 | 34", "é À la carte; ok? 5€", None, "a  b\n\n c" * 40]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+    def plain(t):
+        t = t or ""
+        words, chars, lines, parts = len(re.findall(r"[^\x20\x09-\x0d]+", t)), len(t), t.split("\n"), t.split(" ")
+        upper, digits = sum(c.isupper() for c in t), sum(c.isnumeric() for c in t)
+        symbols = sum(not (c.isalpha() or c.isnumeric() or c in " \t\n\x0b\x0c\r.,") for c in t)
+        per = lambda a, b: a / max(b, 1)
+        return [math.log1p(words), per(chars, words), per(upper, chars), per(symbols, words), per(digits, chars), per(sum(t.count(c) for c in ".!?"), words), per(t.count(","), words), per(t.count("|"), words), per(len(lines), words), per(len(set(lines)), len(lines)), per(len(set(parts)), len(parts))]
+
+    want = {i: plain(t) for i, t in enumerate(texts)}
+    for r in quality.statistics(docs).collect():
+        assert list(r)[1:] == pytest.approx(want[r["doc_id"]])
+    rules = ((((0, True, 1.0), (3, False, 0.5)), 1.5), (((9, False, 0.9),), -2.0))
+    model = quality.RuleModel(rules, ((1, 0.0, 6.0, 3.0, 2.0, 0.7),), -0.25)
+    for r in quality.score_quality(docs, model).collect():
+        x = want[r["doc_id"]]
+        total = -0.25 + 1.5 * (x[0] > 1.0 and x[3] <= 0.5) - 2.0 * (x[9] <= 0.9) + (min(6.0, max(0.0, x[1])) - 3.0) / 2.0 * 0.7
+        assert r["score"] == pytest.approx(1 / (1 + math.exp(-total)))
+
+
+def test_scores_of_language_against_a_plain_version(spark):
+    """Subwords, buckets, means and the softmax, each computed again one by one."""
+    rng = np.random.default_rng(3)
+    model = language.LanguageModel(("de", "en"), rng.normal(size=(1 << language.BUCKET_BITS, 2)).astype(np.float32), np.array([0.1, -0.2]), 0.7, 0.0)
+    texts = ["The cat", "ein Über-Tier 5x", "a", "x  yz\nw", "mañana" * 30]
+
+    def plain(text):
+        data = [32, *(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in text.encode()), 32]
+        rows = []
+        for n in language.SIZES:
+            for i in range(len(data) - n + 1):
+                part = data[i : i + n]
+                if 32 in part[1:-1] or part[0] == part[-1] == 32:
+                    continue
+                code = part[0]
+                for b in part[1:]:
+                    code = (code * 0x01000193 & 0xFFFFFFFF) ^ b
+                h = ((code ^ code >> 15) * 0x2C1B3C6D) & 0xFFFFFFFF
+                h = ((h ^ h >> 12) * 0x297A2D39) & 0xFFFFFFFF
+                rows.append(model.table[h >> 32 - language.BUCKET_BITS].astype(float))
+        z = (np.mean(rows, axis=0) + model.bias) / model.temperature
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        return model.languages[int(p.argmax())], float(p.max())
+
+    found = language.identify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).orderBy("doc_id").collect()
+    for t, r in zip(texts, found):
+        name, score = plain(t)
+        assert r["lang_pred"] == name and r["score"] == pytest.approx(score, abs=1e-6)
+
+
+@needs_tables
+@pytest.mark.parametrize("name", ["op4_quality", "op6_language"])
+def test_null_ids_are_in_no_held_out_part_but_a_boolean(spark, tmp_path, name):
+    docs = table(spark, SF, "documents").limit(300)
+    docs.withColumn("doc_id", F.when(F.col("doc_id") > 0, F.col("doc_id"))).write.parquet(f"{tmp_path}/documents.parquet")
+    table(spark, SF, "labels").write.parquet(f"{tmp_path}/labels.parquet")
+    found = QUERIES[name](spark, str(tmp_path))
+    assert found.count() == 300 and found.where("held_out IS NULL").count() == 0
+
+
 def test_compiled_rules_score_as_the_model_does(spark):
     rng = np.random.default_rng(0)
     x = rng.random((600, len(quality.STATISTICS)))
@@ -101,6 +168,28 @@ def test_neighbours_of_few_vectors_are_exact(spark):
         assert [-s for s, _ in found[q]] == pytest.approx([s for s, _ in rows], abs=1e-7)
 
 
+def test_near_and_parallel_copies_are_told_apart(spark):
+    """Groups that are closer together than single precision can tell, and vectors of one direction."""
+    rng = np.random.default_rng(7)
+    base = rng.normal(size=16)
+    x = [*(base + 1e-5 * rng.normal(size=(600, 16))), *(base * 2.0**k for k in range(-30, 30)), *rng.normal(size=(500, 16))]
+    huge = [rng.normal(size=16) * 1e200, rng.normal(size=16) * 1e-200]
+    vectors = [(i, v.tolist()) for i, v in enumerate([*x, *huge])]
+    found = {}
+    for r in neighbours.nearest(spark.createDataFrame(vectors, "vec_id long, embedding array<double>"), every=20, top=5).orderBy("query_id", "rank").collect():
+        found.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    unit = neighbours.unit(np.array([v for _, v in vectors]))
+    hits = 0
+    for q, rows in found.items():
+        s = unit @ unit[q]
+        s[q] = -2
+        if 600 <= q < 660:  # all of one direction: the smallest ids
+            assert [i for i, _ in rows] == [i for i in range(600, 660) if i != q][:5]
+        hits += len(set(np.argsort(-s, kind="stable")[:5].tolist()) & {i for i, _ in rows})
+        assert all(abs(v - s[i]) < 1e-12 for i, v in rows)
+    assert len(found) == len(vectors) // 20 + 1 and hits / (5 * len(found)) >= 0.9
+
+
 def test_neighbours_of_one_vector_or_none(spark):
     df = spark.createDataFrame([(0, [1.0, 2.0])], "vec_id long, embedding array<float>")
     assert neighbours.nearest(df).count() == 0 and neighbours.nearest(df.where("false")).count() == 0

@@ -12,7 +12,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,35 +32,47 @@ def chunk_bytes(total_bytes: int) -> int:
     return min(MOST_CHUNK, max(LEAST_CHUNK, math.isqrt(total_bytes << 10)))
 
 
+class Cutter:
+    """Cuts the rows of one partition, as they come, into chunks of about ``limit`` bytes; a chunk is named by its first row."""
+
+    def __init__(self, limit: int):
+        self.limit, self.held, self.chunk = limit, 0, -1
+
+    def cut(self, rows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        if not len(rows):
+            return np.zeros(0, np.int64)
+        ends = self.held + np.cumsum(sizes)
+        slot = np.maximum(ends - 1, 0) // self.limit
+        first = np.diff(slot, prepend=max(self.held - 1, 0) // self.limit) != 0
+        first[0] |= self.chunk < 0
+        at = np.maximum.accumulate(np.where(first, np.arange(len(rows)), -1))
+        out = np.where(at >= 0, rows[at], self.chunk)
+        self.held, self.chunk = int(ends[-1]), int(out[-1])
+        return out
+
+
 def _numbers(limit: int) -> Column:
-    """The chunk of each row: the number of the chunk's first row. Rows and sizes alone go through Python, in the order of the partition."""
+    """The chunk of each row. Rows and sizes alone go through Python, in the order of the partition."""
 
-    @F.pandas_udf("long")
-    def number(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        held, chunk = 0, None
+    @F.arrow_udf("long")
+    def number(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        cutter = Cutter(limit)
         for rows, sizes in batches:
-            rows, ends = rows.to_numpy(), held + np.cumsum(sizes.to_numpy())
-            slot = np.maximum(ends - 1, 0) // limit
-            last = np.concatenate([[max(held - 1, 0) // limit], slot[:-1]])
-            first = slot != last
-            if len(rows) and chunk is None:
-                first[0] = True
-            at = np.maximum.accumulate(np.where(first, np.arange(len(rows)), -1))
-            out = np.where(at >= 0, rows[at], -1 if chunk is None else chunk)
-            if len(rows):
-                held, chunk = int(ends[-1]), int(out[-1])
-            yield pd.Series(out)
+            yield pa.array(cutter.cut(rows.to_numpy(), sizes.to_numpy()), pa.int64())
 
     return number.asNondeterministic()("row", "size")
 
 
+def bucket_count(total_bytes: int) -> int:
+    return min(MOST_BUCKETS, max(24, -(-total_bytes // BUCKET_BYTES)))
+
+
 def chunk_table(docs: DataFrame, content: Column, id_col: str, total_bytes: int, scope: Scope, rest: list[str]) -> DataFrame:
     """``(chunk long, row long, id long, content, rest)`` of ``docs``, as a table in the warehouse that is bucketed by chunk.
 
     ``row`` is a number of its own for each row. ``rest`` has the columns of that name in a struct, where none can clash; it is left out if there are none.
     """
-    buckets = min(MOST_BUCKETS, max(24, -(-total_bytes // BUCKET_BYTES)))
     kept = [F.struct(*[F.col(f"`{c}`") for c in rest]).alias("rest")] if rest else []
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"), content.alias("content"), *kept)
     rows = rows.withColumn("size", F.coalesce(F.octet_length("content"), F.lit(0)).cast("long"))
-    return scope.bucketed(rows.withColumn("chunk", _numbers(chunk_bytes(total_bytes))).drop("size"), buckets, "chunk", "chunks")
+    return scope.bucketed(rows.withColumn("chunk", _numbers(chunk_bytes(total_bytes))).drop("size"), bucket_count(total_bytes), "chunk", "chunks")

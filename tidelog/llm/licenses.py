@@ -1,8 +1,8 @@
 """Find licence texts by the digest of their canonical form, with DataFrame functions only.
 
-A text is made canonical (case, copyright lines, equivalent spellings, punctuation and white space), and its digest is
+A text is made canonical once, line by line (case, copyright and title lines, equivalent spellings, punctuation and white space), and its digest is
 joined with the digests of known texts. Whole documents and each of their lines are looked up: a licence file matches
-as a whole, a notice as a line.
+as a whole, however it is wrapped, a notice as a line.
 """
 
 from __future__ import annotations
@@ -12,66 +12,49 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Spellings that count as equal in licence texts.
-EQUIVALENT = (
-    ("acknowledgement", "acknowledgment"),
-    ("authorisation", "authorization"),
-    ("authorised", "authorized"),
-    ("favour", "favor"),
-    ("fulfil", "fulfill"),
-    ("licence", "license"),
-    ("licenced", "licensed"),
-    ("licences", "licenses"),
-    ("noncommercial", "non commercial"),
-    ("organisation", "organization"),
-    ("redistributions", "redistribution"),
-    ("sub license", "sublicense"),
-    ("sublicence", "sublicense"),
-    ("whilst", "while"),
-)
+from tidelog.llm.known_licenses import DIGESTS, EQUIVALENT, TEXTS, TITLES
 
-# Known notices and short licence texts, without their copyright lines.
-KNOWN = (
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "Licensed under the MIT License."),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    (
-        "ISC",
-        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. "
-        'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.',
-    ),
-    (
-        "MIT",
-        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: '
-        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
-        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
-    ),
+#: A line that begins with a copyright sign, or with the word and then a sign, a year, a bracket or the name of a company: other lines are a part of the text.
+COPYRIGHT_LINE = (
+    r"(?md)^[^\p{L}\p{N}©(\n]*(?:copyright(?:[^\p{L}\p{N}\n]*(?:[©<\[]|c\)|\d|by[^\p{L}\p{N}\n])|[^\n]*(?:19|20)\d\d|[^\n]*(?:inc|llc|ltd|corporation|foundation)[^\p{L}\p{N}\n]*$)"
+    r"|\(c\)[^\p{L}\p{N}\n]*(?:copyright|\d{4})|©)[^\n]*$"
 )
-COPYRIGHT_LINE = r"(^|\n)[ \t]*(copyright|\(c\)|©)[^\n]*"
+RESERVED_LINE = r"(?md)^[^\p{L}\p{N}\n]*all rights reserved[^\p{L}\p{N}\n]*$"
 #: Up to this many known texts (a few MB of digests) are broadcast; more are joined by a shuffle.
 MOST_BROADCAST = 20_000
 
 
-def canonical(text: Column) -> Column:
-    """Lower case, no copyright lines, words of letters and digits with single spaces, one spelling; null as empty."""
-    out = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), COPYRIGHT_LINE, "\n")
-    out = F.concat(F.lit(" "), F.trim(F.regexp_replace(out, r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
+def _any(text: Column, parts: Sequence[str]) -> Column:
+    found = F.lit(False)
+    for part in parts:
+        found = found | F.contains(text, F.lit(part))
+    return found
+
+
+def canonical_lines(text: Column) -> Column:
+    """The lines of a text that have words, in lower case and one spelling, with single spaces; without copyright and title lines. Null has none."""
+    out = F.lower(F.coalesce(text, F.lit("")))
+    # Most texts have none of these, and a look for them is cheaper than their removal.
+    out = F.when(_any(out, ("copyright", "(c)", "©", "all rights reserved")), F.regexp_replace(F.regexp_replace(out, COPYRIGHT_LINE, ""), RESERVED_LINE, "")).otherwise(out)
+    spelled = out
     for a, b in EQUIVALENT:
-        out = F.replace(out, F.lit(f" {a} "), F.lit(f" {b} "))
-    return F.trim(out)
+        spelled = F.regexp_replace(spelled, rf"(?<![\p{{L}}\p{{N}}]){a}(?![\p{{L}}\p{{N}}])", b)
+    out = F.when(_any(out, [a for a, _ in EQUIVALENT]), spelled).otherwise(out)
+    lines = F.split(F.regexp_replace(out, r"[^\p{L}\p{N}\n]+", " "), "\n")
+    return F.filter(F.transform(lines, lambda x: F.trim(x)), lambda x: (x != "") & ~x.isin(*TITLES))
 
 
-def digest(text: Column) -> Column:
-    return F.sha2(canonical(text), 256)
+def digest(lines: Column) -> Column:
+    """Of :func:`canonical_lines`, without spaces: words may be joined, hyphenated or broken across lines."""
+    return F.sha2(F.replace(F.array_join(lines, ""), F.lit(" "), F.lit("")), 256)
 
 
-def known_digests(spark: SparkSession, known: Sequence[tuple[str, str]] = KNOWN) -> DataFrame:
-    """One row per digest: the first name, by code point, of the known texts that have it."""
-    rows = spark.createDataFrame([tuple(x) for x in known], "license string, text string")
-    return rows.groupBy(digest(F.col("text")).alias("digest")).agg(F.min("license").alias("license"))
+def known_digests(spark: SparkSession, texts: Sequence[tuple[str, str]] = TEXTS, digests: Sequence[tuple[str, str]] = DIGESTS) -> DataFrame:
+    """One row per digest: the first name, by code point, of the known texts that have it; texts are given as such or by their digest."""
+    rows = spark.createDataFrame([tuple(x) for x in texts], "license string, text string").select("license", digest(canonical_lines(F.col("text"))).alias("digest"))
+    if digests:
+        rows = rows.union(spark.createDataFrame([tuple(x) for x in digests], "license string, digest string"))
+    return rows.groupBy("digest").agg(F.min("license").alias("license"))
 
 
 def scan_licenses(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -84,11 +67,11 @@ def scan_licenses(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", tex
     """
     if known.count() <= MOST_BROADCAST:
         known = F.broadcast(known)
-    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("digest", digest(F.col("text")))
-    lines = F.transform(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: x.rlike(r"[\p{L}\p{N}]")), lambda x: F.struct(digest(x).alias("d"), F.lit(False).alias("whole")))
-    whole = F.array(F.struct(F.col("digest").alias("d"), F.lit(True).alias("whole")))
-    units = own.select("doc_id", "digest", F.explode(F.concat(whole, lines)).alias("unit")).select("doc_id", "digest", "unit.d", "unit.whole")
-    found = units.join(known.select(F.col("digest").alias("d"), "license"), "d", "left")
+    own = docs.select(F.col(f"`{id_col}`").alias("doc_id"), canonical_lines(F.col(f"`{text_col}`").cast("string")).alias("lines")).select("doc_id", "lines", digest(F.col("lines")).alias("digest"))
+    unit = lambda d, whole: F.struct(d.alias("d"), F.lit(whole).alias("whole"))
+    units = F.concat(F.array(unit(F.col("digest"), True)), F.transform("lines", lambda x: unit(digest(F.array(x)), False)))
+    each = own.select("doc_id", "digest", F.explode(units).alias("unit")).select("doc_id", "digest", "unit.d", "unit.whole")
+    found = each.join(known.select(F.col("digest").alias("d"), "license"), "d", "left")
     names = F.sort_array(F.collect_set("license"))
     return found.groupBy("doc_id", "digest").agg(
         F.max(F.when(F.col("whole"), F.col("license"))).alias("license"),

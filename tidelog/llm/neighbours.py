@@ -18,7 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.llm.storage import Scope
@@ -397,6 +397,23 @@ def search(index: Index, queries: DataFrame, width: int = 200, k: int = 30, back
     return state.mapInArrow(result, "query long, node long, near double")
 
 
+def cosine(a: str, b: str) -> Column:
+    """Of two columns of vectors of doubles; scaled only where squares would overflow or vanish."""
+
+    def dot(x: Column, y: Column) -> Column:
+        return F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda total, z: total + z)
+
+    def measured(x: Column, y: Column) -> tuple[Column, Column]:
+        return dot(x, y), F.sqrt(dot(x, x)) * F.sqrt(dot(y, y))
+
+    def scaled(x: Column) -> Column:
+        largest = F.array_max(F.transform(x, F.abs))
+        return F.transform(x, lambda z: z / largest)
+
+    (near, size), (near_scaled, size_scaled) = measured(F.col(a), F.col(b)), measured(scaled(F.col(a)), scaled(F.col(b)))
+    return F.when((size > 1e-280) & (size < 1e300), near / size).otherwise(near_scaled / size_scaled)
+
+
 def nearest(vectors: DataFrame, every: int = 50, top: int = 5, width: int = 200, k: int = 30, sample: int = 12, id_col: str = "vec_id", vector_col: str = "embedding", scope: Scope | None = None) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: for each row whose id is divisible by ``every``, the ``top`` nearest other rows found.
 
@@ -418,16 +435,6 @@ def nearest(vectors: DataFrame, every: int = 50, top: int = 5, width: int = 200,
     heads = heads.withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy("vec_id"))).where(F.col("r") <= top + 1).select("node", "vec_id", "vector")
     pairs = best.join(heads, "node").where("vec_id != query").join(queries.select("query", F.col("vector").alias("own")), "query")
 
-    def cosine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = (np.array(batch.column(c).to_pylist(), F64).reshape(batch.num_rows, -1) for c in ("own", "vector"))
-            with np.errstate(all="ignore"):
-                size, dot = np.linalg.norm(a, axis=1) * np.linalg.norm(b, axis=1), np.einsum("ij,ij->i", a, b)
-                score = dot / size
-            odd = ~(np.isfinite(size) & np.isfinite(dot) & (size > 1e-280))
-            score[odd] = np.einsum("ij,ij->i", unit(a[odd]), unit(b[odd]))
-            yield pa.record_batch({"query_id": batch.column("query"), "vec_id": batch.column("vec_id"), "score": score})
-
-    exact = pairs.select("query", "vec_id", "own", "vector").mapInArrow(cosine, "query_id long, vec_id long, score double")
+    exact = pairs.select(F.col("query").alias("query_id"), "vec_id", cosine("own", "vector").alias("score"))
     ranked = exact.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")

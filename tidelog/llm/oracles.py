@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidelog.llm.licenses import EQUIVALENT, KNOWN
+from tidelog.llm.known_licenses import DIGESTS, EQUIVALENT, TEXTS, TITLES
 
 
 def _text(x: str) -> str:
@@ -62,25 +62,33 @@ SELECT doc_id, size, source_size, target, (size * (floor(rate) + CASE WHEN draw
 """
 
 
-def _canonical(text: str) -> str:
-    out = rf"regexp_replace(lower(coalesce({text}, '')), '(^|\n)[ \t]*(copyright|\(c\)|©)[^\n]*', chr(10), 'g')"
-    out = rf"' ' || trim(regexp_replace({out}, '[^\p{{L}}\p{{N}}]+', ' ', 'g')) || ' '"
-    for a, b in EQUIVALENT:
-        out = f"replace({out}, ' {a} ', ' {b} ')"
-    return f"trim({out})"
+_SPELLED = "MAP {" + ", ".join(f"{_text(a)}: {_text(b)}" for a, b in EQUIVALENT) + "}"
+
+
+def _lines(text: str) -> str:
+    """The canonical lines of a text: words are found and mapped one by one."""
+    after = r"[^\p{L}\p{N}]*([©<\[]|c\)|[0-9]|by[^\p{L}\p{N}])|.*(19|20)[0-9][0-9]|.*(inc|llc|ltd|corporation|foundation)[^\p{L}\p{N}]*$"
+    begins = rf"regexp_matches(l, '^[^\p{{L}}\p{{N}}©(]*(copyright({after})|\(c\)[^\p{{L}}\p{{N}}]*(copyright|[0-9][0-9][0-9][0-9])|©)')"
+    reserved = r"regexp_matches(l, '^[^\p{L}\p{N}]*all rights reserved[^\p{L}\p{N}]*$')"
+    lines = f"list_filter(string_split(lower(coalesce({text}, '')), chr(10)), lambda l: NOT {begins} AND NOT {reserved})"
+    words = rf"list_transform(regexp_extract_all(l, '[\p{{L}}\p{{N}}]+'), lambda w: coalesce({_SPELLED}[w], w))"
+    return f"list_filter(list_transform({lines}, lambda l: array_to_string({words}, ' ')), lambda l: l <> '' AND l NOT IN ({', '.join(map(_text, TITLES))}))"
 
 
 OP7 = rf"""
-WITH known AS (
-  SELECT sha256({_canonical("text")}) AS d, min(license) AS license
-  FROM (VALUES {", ".join(f"({_text(a)}, {_text(b)})" for a, b in KNOWN)}) AS k(license, text) GROUP BY 1
+WITH given AS (
+  SELECT * FROM (VALUES {", ".join(f"({_text(a)}, {_text(b)})" for a, b in TEXTS)}) AS k(license, text)
+), known AS (
+  SELECT d, min(license) AS license FROM (
+    SELECT license, sha256(replace(array_to_string(lines, ''), ' ', '')) AS d FROM (SELECT license, {_lines("text")} AS lines FROM given)
+    UNION ALL SELECT * FROM (VALUES {", ".join(f"({_text(a)}, {_text(b)})" for a, b in DIGESTS)}) AS k(license, d)
+  ) GROUP BY d
 ), own AS (
-  SELECT doc_id, text, sha256({_canonical("text")}) AS digest FROM documents
+  SELECT doc_id, lines, sha256(replace(array_to_string(lines, ''), ' ', '')) AS digest FROM (SELECT doc_id, {_lines("text")} AS lines FROM documents)
 ), units AS (
   SELECT doc_id, digest, digest AS d, true AS whole FROM own
   UNION ALL
-  SELECT doc_id, digest, sha256({_canonical("line")}) AS d, false AS whole
-  FROM (SELECT doc_id, digest, unnest(string_split(text, chr(10))) AS line FROM own) WHERE regexp_matches(line, '[\p{{L}}\p{{N}}]')
+  SELECT doc_id, digest, sha256(replace(line, ' ', '')) AS d, false AS whole FROM (SELECT doc_id, digest, unnest(lines) AS line FROM own)
 )
 SELECT doc_id, digest, max(CASE WHEN whole THEN license END) AS license,
   coalesce(string_agg(DISTINCT CASE WHEN NOT whole THEN license END, ',' ORDER BY CASE WHEN NOT whole THEN license END), '') AS line_licenses,
@@ -107,4 +115,16 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(ks), 0)::BIGINT AS n_remo
 FROM words LEFT JOIN gone USING (doc_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_jaccard": OP1, "op2_mixing": OP2, "op7_licenses": OP7, "op10_repeats": OP10}
+OP9 = """
+WITH usable AS (
+  SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.v, c.v) / (sqrt(list_inner_product(q.v, q.v)) * sqrt(list_inner_product(c.v, c.v))) AS score
+  FROM usable q JOIN usable c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM scored
+QUALIFY rank <= 5
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_jaccard": OP1, "op2_mixing": OP2, "op7_licenses": OP7, "op9_neighbours": OP9, "op10_repeats": OP10}

@@ -12,13 +12,12 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelog.llm.chunks import chunk_bytes, chunk_table, text_bytes
+from tidelog.llm.chunks import Cutter, bucket_count, chunk_bytes, text_bytes
 from tidelog.llm.jaccard import document_sets, labelled_rows
 from tidelog.llm.storage import Scope
 from tidelog.llm.words import Words, mix, sliced
@@ -110,13 +109,21 @@ def fingerprints(docs: DataFrame, chain: int = 2, id_col: str = "doc_id", text_c
 def _classes(docs: DataFrame, chain: int, num: int, den: int, id_col: str, text_col: str, scope: Scope) -> DataFrame:
     """``(id, digest, n_items, label)`` for each row of ``docs``; digest and label are null where no other fingerprint can be similar."""
 
+    total = text_bytes(docs, text_col)
+    limit = chunk_bytes(total)
+
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.record_batch({"id": batch.column("id"), "signatures": pa.array([s.tobytes() for s in signature_sets(batch.column("text"), chain)], pa.binary())})
+        cutter = Cutter(limit)
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
+                prints = [s.tobytes() for s in signature_sets(batch.column("text"), chain)]
+                chunk = cutter.cut(batch.column("row").to_numpy(), np.array([len(x) for x in prints], np.int64))
+                yield pa.record_batch({"chunk": pa.array(chunk, pa.int64()), "row": batch.column("row"), "id": batch.column("id"), "content": pa.array(prints, pa.binary())})
 
-    total = text_bytes(docs, text_col)
-    prints = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(found, "id long, signatures binary")
-    chunks = chunk_table(prints, F.col("signatures"), "id", total, scope, [])
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    # Fingerprints are cut where they are made; texts aren't stored.
+    chunks = scope.bucketed(numbered.mapInArrow(found, "chunk long, row long, id long, content binary"), bucket_count(total), "chunk", "prints")
 
     def sets_of(contents: pa.Array) -> Iterator[np.ndarray]:
         for x in contents:
@@ -166,9 +173,9 @@ def probe_edits(docs: DataFrame, chain: int = 2, num: int = 3, den: int = 4, id_
     ranges = max(24, -(-total // (2 * chunk_bytes(total))))
     bounds = _cuts(rows, ranges)
 
-    @F.pandas_udf("int")
-    def range_of(keys: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds, keys.to_numpy(), side="right").astype(np.int32))
+    @F.arrow_udf("int")
+    def range_of(keys: pa.Array) -> pa.Array:
+        return pa.array(np.searchsorted(bounds, keys.to_numpy(), side="right").astype(np.int32))
 
     # One row for each range.
     firsts = rows.groupBy(range_of("key").alias("range")).agg(F.min("key").alias("key")).orderBy("key").collect()

@@ -15,7 +15,7 @@ import pyarrow as pa
 
 SPACE = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 #: Bytes of text that are hashed at once; it bounds a worker's memory, not a text's length.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 
 def mix(x: np.ndarray) -> np.ndarray:
