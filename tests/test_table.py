@@ -6,8 +6,9 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from tidelog.functions.times import ArgumentError, add_days, day_label, day_of_label
+from tidelog.names import unused
 from tidelog.operators import retention
-from tidelog.operators.ids import assign_ids
+from tidelog.operators.ids import assign_ids, running_sums
 from tidelog.operators.retention import Retention
 from tidelog.sources.logs import append_logs, read_logs
 from tidelog.sources.requests import request_documents, request_lines
@@ -133,6 +134,20 @@ def test_ids_are_dense_and_in_order(spark):
     assert assign_ids(rows.limit(0), ("k",)).count() == 0
 
 
+def test_sums_run_over_all_rows_before(spark):
+    rows = spark.range(500).select(((F.col("id") * 7919) % 500).alias("k"), F.when(F.col("id") % 5 > 0, F.col("id")).alias("n"), (F.col("id") / 4).alias("x"), F.lit("kept").alias("part"), F.lit(0).alias("place")).repartition(6)
+    found = running_sums(rows, ("k",), {"before": "n", "share": "x"}).orderBy("k").collect()
+    n = x = 0
+    for r in found:
+        assert (r["before"], r["share"], r["part"], r["place"]) == (n, x, "kept", 0)
+        n, x = n + (r["n"] or 0), x + r["x"]
+    assert len(found) == 500 and running_sums(rows.limit(0), ("k",), {"before": "n"}).count() == 0
+
+
+def test_names_that_are_new():
+    assert unused(["a", "_A", "b"], "A", "c", "a") == ["__A", "c", "___a"]
+
+
 def table(spark, path, *times):
     rows = [(i, t, "info", "api", "m", "{}", {}) for i, t in enumerate(times)]
     df = spark.createDataFrame(rows, "id long, timestamp string, level string, service string, message string, attributes string, attributes_normalized map<string,string>")
