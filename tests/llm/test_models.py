@@ -199,11 +199,16 @@ def test_recall_over_several_blocks(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(9000, 16)).astype(np.float32)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
-    found = neighbours.nearest(df, every=100, top=5, width=100).groupBy("query_id").agg(F.collect_list("vec_id").alias("v")).collect()
-    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-    hits = 0
-    for r in found:
-        s = unit @ unit[r["query_id"]]
-        s[r["query_id"]] = -2
-        hits += len(set(np.argsort(-s)[:5].tolist()) & set(r["v"]))
-    assert len(found) == 90 and hits / 450 >= 0.9
+    exact = neighbours.exact_nearest(df, every=100, top=5).cache()
+    unit = neighbours.unit(x)
+    want = {(q, i) for q in range(0, 9000, 100) for i in [i for i in np.argsort(-(unit @ unit[q])).tolist() if i != q][:5]}
+    assert {(r["query_id"], r["vec_id"]) for r in exact.collect()} == want
+    assert neighbours.recall(neighbours.nearest(df, every=100, top=5, width=100), exact) >= 0.9
+
+
+@needs_tables
+def test_descent_finds_the_neighbours_of_a_small_table_too(spark):
+    vectors = table(spark, SF, "embeddings")
+    index, _ = neighbours.build_index(vectors)
+    assert index.nodes < neighbours.BLOCK
+    assert neighbours.recall(neighbours.nearest(vectors), neighbours.exact_nearest(vectors)) == 1.0

@@ -155,6 +155,7 @@ TEXTS = (
 # Digests of the canonical form of whole texts, as their publishers distribute them.
 DIGESTS: tuple[tuple[str, str], ...] = (
     ("Apache-2.0", "616beafc01d122b7fa90c42ab6fb5928871fd932cf7d4f8acfd9393299e0e712"),
+    ("Apache-2.0", "9385e77162734bf297f30f924cb02e25e9b96adc73405f38cf55279760020177"),
     ("Artistic-1.0-Perl", "0b2d9a8f02e70510bb78040ef79d0182a1ce0aeaffaab13a274e46e7ec26faa2"),
     ("CC0-1.0", "a1c5451395262a9c57097cf8ed1be6259bce24f74691c20b350916c920658336"),
     ("GFDL-1.2", "091d3d8b9fecc67ae1858f4c2d21c09ef1757c90b3919f795c6e8ff6e83f8019"),

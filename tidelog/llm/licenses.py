@@ -16,7 +16,7 @@ from tidelog.llm.known_licenses import DIGESTS, EQUIVALENT, TEXTS, TITLES
 
 #: A line that begins with a copyright sign, or with the word and then a sign, a year, a bracket or the name of a company: other lines are a part of the text.
 COPYRIGHT_LINE = (
-    r"(?md)^[^\p{L}\p{N}©(\n]*(?:copyright(?:[^\p{L}\p{N}\n]*(?:[©<\[]|c\)|\d|by[^\p{L}\p{N}\n])|[^\n]*(?:19|20)\d\d|[^\n]*(?:inc|llc|ltd|corporation|foundation)[^\p{L}\p{N}\n]*$)"
+    r"(?md)^[^\p{L}\p{N}©(\n]*(?:copyright(?:[^\p{L}\p{N}\n]*(?:[©<{\[]|c\)|\d|by[^\p{L}\p{N}\n])|[^\n]*(?:19|20)\d\d|[^\n]*(?:inc|llc|ltd|corporation|foundation)[^\p{L}\p{N}\n]*$)"
     r"|\(c\)[^\p{L}\p{N}\n]*(?:copyright|\d{4})|©)[^\n]*$"
 )
 RESERVED_LINE = r"(?md)^[^\p{L}\p{N}\n]*all rights reserved[^\p{L}\p{N}\n]*$"

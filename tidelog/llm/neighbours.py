@@ -435,6 +435,46 @@ def nearest(vectors: DataFrame, every: int = 50, top: int = 5, width: int = 200,
     heads = heads.withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy("vec_id"))).where(F.col("r") <= top + 1).select("node", "vec_id", "vector")
     pairs = best.join(heads, "node").where("vec_id != query").join(queries.select("query", F.col("vector").alias("own")), "query")
 
+    return _ranked(pairs, top)
+
+
+def _ranked(pairs: DataFrame, top: int) -> DataFrame:
+    """The ``top`` of ``pairs(query, own, vec_id, vector)`` of each query."""
     exact = pairs.select(F.col("query").alias("query_id"), "vec_id", cosine("own", "vector").alias("score"))
     ranked = exact.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
+
+
+def exact_nearest(vectors: DataFrame, every: int = 50, top: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scope: Scope | None = None) -> DataFrame:
+    """What :func:`nearest` approximates, by brute force: every block of queries meets every block of vectors. To measure recall with."""
+    scope = Scope.of(scope, vectors)
+    rows, _, dim = number_vectors(vectors, id_col, vector_col, scope)
+    blocks = max(1, -(-rows.count() // BLOCK))
+
+    def packed(rows: pa.Table) -> pa.Table:
+        vecs = unit(np.array(rows["vector"].to_pylist(), F64).reshape(-1, dim))
+        return pa.table({"block": rows["block"].slice(0, 1), "ids": pa.array([rows["vec_id"].to_numpy().astype(IDX).tobytes()], pa.binary()), "vecs": pa.array([vecs.tobytes()], pa.binary())})
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                queries, ids = np.frombuffer(r["queries"], IDX), np.frombuffer(r["ids"], IDX)
+                s = np.frombuffer(r["own"], F64).reshape(-1, dim) @ np.frombuffer(r["vecs"], F64).reshape(-1, dim).T
+                s[queries[:, None] == ids[None, :]] = -3
+                order = np.argsort(ids)
+                best = order[np.argsort(-s[:, order], axis=1, kind="stable")[:, : top + 3]]
+                yield pa.record_batch({"query": np.repeat(queries, best.shape[1]), "vec_id": ids[best].ravel()})
+
+    of = lambda df: df.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks))).groupBy("block").applyInArrow(packed, "block long, ids binary, vecs binary")
+    asked = rows.where(F.pmod("vec_id", F.lit(every)) == 0)
+    queries = of(asked).select(F.col("ids").alias("queries"), F.col("vecs").alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
+    found = queries.join(of(rows), "block").select("queries", "own", "ids", "vecs").mapInArrow(met, "query long, vec_id long").where("query != vec_id")
+    each = rows.select("vec_id", "vector")
+    pairs = found.join(each, "vec_id").join(asked.select(F.col("vec_id").alias("query"), F.col("vector").alias("own")), "query")
+    return _ranked(pairs, top)
+
+
+def recall(found: DataFrame, exact: DataFrame) -> float:
+    """The share of the exact neighbours that were found."""
+    both = exact.select("query_id", "vec_id").join(found.select("query_id", "vec_id", F.lit(1).alias("hit")), ["query_id", "vec_id"], "left")
+    return both.agg(F.avg(F.coalesce("hit", F.lit(0)))).first()[0]

@@ -67,7 +67,7 @@ _SPELLED = "MAP {" + ", ".join(f"{_text(a)}: {_text(b)}" for a, b in EQUIVALENT)
 
 def _lines(text: str) -> str:
     """The canonical lines of a text: words are found and mapped one by one."""
-    after = r"[^\p{L}\p{N}]*([©<\[]|c\)|[0-9]|by[^\p{L}\p{N}])|.*(19|20)[0-9][0-9]|.*(inc|llc|ltd|corporation|foundation)[^\p{L}\p{N}]*$"
+    after = r"[^\p{L}\p{N}]*([©<{\[]|c\)|[0-9]|by[^\p{L}\p{N}])|.*(19|20)[0-9][0-9]|.*(inc|llc|ltd|corporation|foundation)[^\p{L}\p{N}]*$"
     begins = rf"regexp_matches(l, '^[^\p{{L}}\p{{N}}©(]*(copyright({after})|\(c\)[^\p{{L}}\p{{N}}]*(copyright|[0-9][0-9][0-9][0-9])|©)')"
     reserved = r"regexp_matches(l, '^[^\p{L}\p{N}]*all rights reserved[^\p{L}\p{N}]*$')"
     lines = f"list_filter(string_split(lower(coalesce({text}, '')), chr(10)), lambda l: NOT {begins} AND NOT {reserved})"
