@@ -48,15 +48,19 @@ def _arrow(**columns) -> pa.Table:
     return pa.table({c: pa.array(v, kinds.get(c, pa.binary())) for c, v in columns.items()})
 
 
-def _cut(order_by: np.ndarray, *arrays: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
-    """Arrays by the block of ``order_by``."""
-    block = order_by // BLOCK
-    order = np.argsort(block, kind="stable")
-    block = block[order]
-    at = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
+def _by(key: np.ndarray, *arrays: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """Arrays by key, in order."""
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    at = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), len(key)]
     for i, j in zip(at, at[1:]):
         if j > i:
-            yield int(block[i]), [a[order[i:j]] for a in arrays]
+            yield int(key[i]), [a[order[i:j]] for a in arrays]
+
+
+def _cut(order_by: np.ndarray, *arrays: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """Arrays by the block of ``order_by``."""
+    return _by(order_by // BLOCK, *arrays)
 
 
 def _join(table: pa.Table, column: str, kind) -> np.ndarray:
@@ -304,6 +308,33 @@ def _adjacency(index: Index, k: int, back: int, scope: Scope) -> DataFrame:
 
 
 STATE = "query long, block long, vec binary, ids binary, sims binary, seen binary, open int"
+ASK = "block long, asker binary, home binary, least binary, vec binary, at binary, ids binary"
+
+
+class _Asks:
+    """What some queries ask of a block: nodes ``ids``, each by the query at place ``at``. Of a query, its block, its vector and what it takes is known.
+
+    One message from block to block carries all queries, however many there are.
+    """
+
+    def __init__(self, asker: np.ndarray, home: np.ndarray, least: np.ndarray, vecs: np.ndarray, at: np.ndarray, ids: np.ndarray):
+        self.asker, self.home, self.least, self.vecs, self.at, self.ids = asker, home, least, vecs, at, ids
+
+    @classmethod
+    def read(cls, sent: pa.Table, dim: int) -> _Asks:
+        places = [np.frombuffer(x, np.uint32).astype(IDX) for x in sent["at"].to_pylist()]
+        counts = [len(x) // 8 for x in sent["asker"].to_pylist()]
+        at = np.concatenate([np.zeros(0, IDX), *(x + n for x, n in zip(places, np.cumsum([0, *counts])))])
+        asker, first, again = np.unique(_join(sent, "asker", IDX), return_index=True, return_inverse=True)
+        return cls(asker, _join(sent, "home", IDX)[first], _join(sent, "least", F64)[first], _join(sent, "vec", F32).reshape(-1, dim)[first], again[at], _join(sent, "ids", IDX))
+
+    def sent(self) -> pa.Table:
+        rows = []
+        for block, (at, ids) in _cut(self.ids, self.at, self.ids):
+            used, place = np.unique(at, return_inverse=True)
+            rows.append((block, *(x[used].tobytes() for x in (self.asker, self.home, self.least, self.vecs)), place.astype(np.uint32).tobytes(), ids.tobytes()))
+        c = list(zip(*rows)) or [[]] * 7
+        return _arrow(**{name: list(x) for name, x in zip(("block", "asker", "home", "least", "vec", "at", "ids"), c)})
 
 
 def search(index: Index, queries: DataFrame, width: int = 200, k: int = 30, back: int = 60, scope: Scope | None = None) -> DataFrame:
@@ -322,68 +353,69 @@ def search(index: Index, queries: DataFrame, width: int = 200, k: int = 30, back
 
     def asks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[tuple] = []
-            for r in batch.to_pylist():
+            rows, least, new = batch.to_pylist(), [], []
+            for r in rows:
                 ids, sims, seen = np.frombuffer(r["ids"], IDX), np.frombuffer(r["sims"], F64), np.frombuffer(r["seen"], np.uint8)
-                least = sims[-1:] if len(sims) >= width else np.full(1, -2, F64)
-                for b, (x,) in _cut(ids[seen == 0], ids[seen == 0]):
-                    rows.append((b, r["query"], r["block"], r["vec"], x.tobytes(), least.tobytes()))
-            yield from _rows(rows)
-
-    def _rows(rows: list[tuple]) -> list[pa.RecordBatch]:
-        c = list(zip(*rows)) or [[]] * 6
-        return _arrow(block=list(c[0]), query=list(c[1]), src=list(c[2]), vec=list(c[3]), ids=list(c[4]), least=list(c[5])).to_batches()
+                least.append(sims[-1] if len(sims) >= width else -2.0)
+                new.append(ids[seen == 0])
+            if rows:
+                asker, home = (np.array([r[c] for r in rows], IDX) for c in ("query", "block"))
+                vecs = np.concatenate([np.frombuffer(r["vec"], F32) for r in rows]).reshape(-1, dim)
+                yield from _Asks(asker, home, np.array(least), vecs, np.repeat(np.arange(len(rows)), [len(x) for x in new]), np.concatenate(new)).sent().to_batches()
 
     def expanded(own: pa.Table, asked: pa.Table) -> pa.Table:
-        row = own.to_pylist()[0] if asked.num_rows else None
-        rows: list[tuple] = []
-        if row:
-            start, at, ids = row["block"] * BLOCK, np.frombuffer(row["at"], IDX), np.frombuffer(row["ids"], IDX)
-            for r in asked.to_pylist():
-                found = np.unique(np.concatenate([ids[at[x] : at[x + 1]] for x in np.frombuffer(r["ids"], IDX) - start]))
-                for b, (x,) in _cut(found, found):
-                    rows.append((b, r["query"], r["src"], r["vec"], x.tobytes(), r["least"]))
-        return pa.Table.from_batches(_rows(rows)) if rows else _arrow(block=[], query=[], src=[], vec=[], ids=[], least=[])
+        a = _Asks.read(asked, dim)
+        if len(a.ids):
+            row = own.to_pylist()[0]
+            at, ids = np.frombuffer(row["at"], IDX), np.frombuffer(row["ids"], IDX)
+            x = a.ids - row["block"] * BLOCK
+            n = at[x + 1] - at[x]
+            found = ids[np.repeat(at[x] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+            asker = np.repeat(a.at, n)
+            order = np.lexsort((found, asker))
+            asker, found = asker[order], found[order]
+            new = np.ones(len(found), bool)
+            new[1:] = (np.diff(found) != 0) | (np.diff(asker) != 0)
+            a.at, a.ids = asker[new], found[new]
+        return a.sent()
 
     def scored(own: pa.Table, asked: pa.Table) -> pa.Table:
+        a = _Asks.read(asked, dim)
         rows: list[tuple] = []
-        if asked.num_rows:
+        if len(a.ids):
             row = own.to_pylist()[0]
-            start, vecs = row["block"] * BLOCK, unit(np.frombuffer(row["vecs"], F32).reshape(-1, dim))
-            for r in asked.to_pylist():
-                ids = np.frombuffer(r["ids"], IDX)
-                sims = vecs[ids - start] @ unit(np.frombuffer(r["vec"], F32).reshape(1, dim))[0]
-                near = sims > np.frombuffer(r["least"], F64)[0]
-                if near.any():
-                    rows.append((r["src"], r["query"], ids[near].tobytes(), sims[near].tobytes()))
+            vecs, theirs = unit(np.frombuffer(row["vecs"], F32).reshape(-1, dim)), unit(a.vecs)
+            x, step = a.ids - row["block"] * BLOCK, 1 << 16
+            sims = np.concatenate([np.einsum("ij,ij->i", vecs[x[i : i + step]], theirs[a.at[i : i + step]]) for i in range(0, len(x), step)])
+            near = sims > a.least[a.at]
+            for home, found in _by(a.home[a.at[near]], a.asker[a.at[near]], a.ids[near], sims[near]):
+                rows.append((home, *(y.tobytes() for y in found)))
         c = list(zip(*rows)) or [[]] * 4
-        return _arrow(block=list(c[0]), query=list(c[1]), ids=list(c[2]), sims=list(c[3]))
+        return _arrow(block=list(c[0]), asker=list(c[1]), ids=list(c[2]), sims=list(c[3]))
 
     def merged(states: pa.Table, found: pa.Table) -> pa.Table:
-        got: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-        for r in found.to_pylist():
-            got.setdefault(r["query"], []).append((np.frombuffer(r["ids"], IDX), np.frombuffer(r["sims"], F64)))
+        asker = _join(found, "asker", IDX)
+        order = np.argsort(asker, kind="stable")
+        asker, more_ids, more_sims = asker[order], _join(found, "ids", IDX)[order], _join(found, "sims", F64)[order]
         rows = []
         for r in states.to_pylist():
-            ids, sims = np.frombuffer(r["ids"], IDX), np.frombuffer(r["sims"], F64)
-            more = got.get(r["query"], [])
-            ids, sims = np.concatenate([ids, *(x for x, _ in more)]), np.concatenate([sims, *(x for _, x in more)])
+            i, j = np.searchsorted(asker, [r["query"], r["query"] + 1])
+            ids, sims = np.concatenate([np.frombuffer(r["ids"], IDX), more_ids[i:j]]), np.concatenate([np.frombuffer(r["sims"], F64), more_sims[i:j]])
             seen = np.zeros(len(ids), np.uint8)
             seen[: len(r["seen"])] = 1  # all that were there have been expanded now
             ids, first = np.unique(ids, return_index=True)
             sims, seen = sims[first], seen[first]
             order = np.lexsort((ids, -sims))[:width]
             rows.append((r["query"], r["block"], r["vec"], ids[order].tobytes(), sims[order].tobytes(), seen[order].tobytes(), int((seen[order] == 0).any())))
-        c = list(zip(*rows))
+        c = list(zip(*rows)) or [[]] * 7
         out = _arrow(query=list(c[0]), block=list(c[1]), vec=list(c[2]), ids=list(c[3]), sims=list(c[4]), seen=list(c[5]))
         return out.append_column("open", pa.array(list(c[6]), pa.int32()))
 
-    ask = "block long, query long, src long, vec binary, ids binary, least binary"
     state = scope.stored(queries.select("query", "vector", "node").mapInArrow(begin, STATE), "state")
     while state.where("open > 0").limit(1).count():
-        sent = state.where("open > 0").mapInArrow(asks, ask)
-        spread = _grouped(graph).cogroup(_grouped(sent)).applyInArrow(expanded, ask)
-        found = _grouped(graph).cogroup(_grouped(spread)).applyInArrow(scored, "block long, query long, ids binary, sims binary")
+        sent = state.where("open > 0").mapInArrow(asks, ASK)
+        spread = _grouped(graph).cogroup(_grouped(sent)).applyInArrow(expanded, ASK)
+        found = _grouped(graph).cogroup(_grouped(spread)).applyInArrow(scored, "block long, asker binary, ids binary, sims binary")
         new = scope.stored(_grouped(state).cogroup(_grouped(found)).applyInArrow(merged, STATE), "state")
         scope.drop(state)
         state = new
