@@ -164,7 +164,7 @@ def probe_edits(docs: DataFrame, chain: int = 2, num: int = 3, den: int = 4, id_
     scope = Scope.of(scope, docs)
     spark = docs.sparkSession
     classes = _classes(docs, chain, num, den, id_col, text_col, scope)
-    linked = classes.where("digest IS NOT NULL AND NOT (label <=> id)").select(F.col("id").alias("doc_id"), "digest", F.col("label").alias("component")).distinct()
+    linked = classes.where("digest IS NOT NULL AND NOT (label <=> id)").select(F.col("id").alias("doc_id"), "digest", F.col("label").alias("component"))
     linked = scope.stored(linked, "linked", free=True)
 
     key = F.coalesce("doc_id", F.lit(LOWEST)).alias("key")
