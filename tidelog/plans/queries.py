@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.functions.attributes import normalized
 from tidelog.functions.cursor import page_token
-from tidelog.functions.times import BUCKETS, ArgumentError, day_label, day_of_label, micros_text, parse_instant
+from tidelog.functions.times import BUCKETS, ArgumentError, day_label, day_of_label, micros_text
 from tidelog.operators import buckets, filters, paging, retention, summary, validate
 from tidelog.operators.filters import LogFilters
 from tidelog.operators.ids import assign_ids
