@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm.known_licenses import DIGESTS, EQUIVALENT, TEXTS, TITLES
+from tidelog.names import unused
 
 #: A line that begins with a copyright sign, or with the word and then a sign, a year, a bracket or the name of a company: other lines are a part of the text.
 COPYRIGHT_LINE = (
@@ -31,27 +32,35 @@ def _any(text: Column, parts: Sequence[str]) -> Column:
     return found
 
 
-def canonical_lines(text: Column) -> Column:
-    """The lines of a text that have words, in lower case and one spelling, with single spaces; without copyright and title lines. Null has none."""
-    out = F.lower(F.coalesce(text, F.lit("")))
+def with_lines(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """``df`` with ``lines``: those of a text that have words, in lower case and one spelling, with single spaces; without copyright and title lines. Null has none.
+
+    A step is a column of its own, since what several conditions read would be made again for each.
+    """
+    (step,) = unused([*df.columns, "lines"], "step")
+    text = F.col(step)
     # Most texts have none of these, and a look for them is cheaper than their removal.
-    out = F.when(_any(out, ("copyright", "(c)", "©", "all rights reserved")), F.regexp_replace(F.regexp_replace(out, COPYRIGHT_LINE, ""), RESERVED_LINE, "")).otherwise(out)
-    spelled = out
-    for a, b in EQUIVALENT:
-        spelled = F.regexp_replace(spelled, rf"(?<![\p{{L}}\p{{N}}]){a}(?![\p{{L}}\p{{N}}])", b)
-    out = F.when(_any(out, [a for a, _ in EQUIVALENT]), spelled).otherwise(out)
-    lines = F.split(F.regexp_replace(out, r"[^\p{L}\p{N}\n]+", " "), "\n")
-    return F.filter(F.transform(lines, lambda x: F.trim(x)), lambda x: (x != "") & ~x.isin(*TITLES))
+    plain = F.regexp_replace(F.regexp_replace(text, COPYRIGHT_LINE, ""), RESERVED_LINE, "")
+    pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in EQUIVALENT])
+    word = lambda x: F.concat(F.lit(r"(?<![\p{L}\p{N}])"), x, F.lit(r"(?![\p{L}\p{N}])"))
+    any_of = rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(a for a, _ in EQUIVALENT)})"
+    mapped = F.aggregate(pairs, text, lambda t, p: F.when(F.contains(t, p["a"]), F.regexp_replace(t, word(p["a"]), p["b"])).otherwise(t))
+    out = df.withColumn(step, F.lower(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))))
+    out = out.withColumn(step, F.when(_any(text, ("copyright", "(c)", "©", "all rights reserved")), plain).otherwise(text))
+    out = out.withColumn(step, F.when(text.rlike(any_of), mapped).otherwise(text))
+    lines = F.transform(F.split(F.regexp_replace(text, r"[^\p{L}\p{N}\n]+", " "), "\n"), lambda x: F.trim(x))
+    return out.withColumn("lines", F.filter(lines, lambda x: (x != "") & ~x.isin(*TITLES))).drop(step)
 
 
 def digest(lines: Column) -> Column:
-    """Of :func:`canonical_lines`, without spaces: words may be joined, hyphenated or broken across lines."""
+    """Of :func:`with_lines`, without spaces: words may be joined, hyphenated or broken across lines."""
     return F.sha2(F.replace(F.array_join(lines, ""), F.lit(" "), F.lit("")), 256)
 
 
 def known_digests(spark: SparkSession, texts: Sequence[tuple[str, str]] = TEXTS, digests: Sequence[tuple[str, str]] = DIGESTS) -> DataFrame:
     """One row per digest: the first name, by code point, of the known texts that have it; texts are given as such or by their digest."""
-    rows = spark.createDataFrame([tuple(x) for x in texts], "license string, text string").select("license", digest(canonical_lines(F.col("text"))).alias("digest"))
+    rows = spark.createDataFrame([tuple(x) for x in texts], "license string, text string")
+    rows = with_lines(rows).select("license", digest(F.col("lines")).alias("digest"))
     if digests:
         rows = rows.union(spark.createDataFrame([tuple(x) for x in digests], "license string, digest string"))
     return rows.groupBy("digest").agg(F.min("license").alias("license"))
@@ -67,7 +76,7 @@ def scan_licenses(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", tex
     """
     if known.count() <= MOST_BROADCAST:
         known = F.broadcast(known)
-    own = docs.select(F.col(f"`{id_col}`").alias("doc_id"), canonical_lines(F.col(f"`{text_col}`").cast("string")).alias("lines")).select("doc_id", "lines", digest(F.col("lines")).alias("digest"))
+    own = with_lines(docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))).select("doc_id", "lines", digest(F.col("lines")).alias("digest"))
     unit = lambda d, whole: F.struct(d.alias("d"), F.lit(whole).alias("whole"))
     units = F.concat(F.array(unit(F.col("digest"), True)), F.transform("lines", lambda x: unit(digest(F.array(x)), False)))
     each = own.select("doc_id", "digest", F.explode(units).alias("unit")).select("doc_id", "digest", "unit.d", "unit.whole")
