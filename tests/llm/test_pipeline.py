@@ -61,7 +61,7 @@ def test_run_gives_the_last_stage(spark):
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_same_rows_as_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "labels", "embeddings"):
+    for t in ("documents", "labels", "embeddings", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     found = QUERIES[name](spark, SF)
     want = con.execute(ORACLE_SQL[name])
