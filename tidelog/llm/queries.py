@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import jaccard, language, licenses, middles, mixing, neighbours, packing, quality, repeats, spotsigs, tokens
+from tidelog.llm import divergence, jaccard, language, licenses, middles, mixing, neighbours, packing, quality, repeats, spotsigs, tokens
 from tidelog.llm.oracles import ORACLE_SQL
 from tidelog.llm.storage import table
 
@@ -70,6 +70,10 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents"), least_docs=10, top=10)
+
+
 def op12_middles(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = middles.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"), seed=7, fim_percent=100, spm_percent=50)
     sha256 = lambda c: F.sha2(F.encode(c, "UTF-8"), 256)
@@ -77,6 +81,6 @@ def op12_middles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", F.col("n_units").alias("n"), "form", "prefix_chars", "middle_chars", sha256(F.col("fim_text")).alias("output_sha256"), sha256(back).alias("restored_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_jaccard, op2_mixing, op3_packing, op4_quality, op5_tokens, op6_language, op7_licenses, op8_spotsigs, op9_neighbours, op10_repeats, op12_middles)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_jaccard, op2_mixing, op3_packing, op4_quality, op5_tokens, op6_language, op7_licenses, op8_spotsigs, op9_neighbours, op10_repeats, op11_divergence, op12_middles)}
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
