@@ -179,4 +179,20 @@ SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p) EN
 FROM parts
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_jaccard": OP1, "op2_mixing": OP2, "op7_licenses": OP7, "op9_neighbours": OP9, "op10_repeats": OP10, "op11_divergence": OP11, "op12_middles": OP12}
+OP13 = r"""
+WITH given AS (
+  SELECT conv_id, turn, role, text FROM conversations
+  UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok'))
+), turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM given
+), written AS (
+  SELECT *, '<turn>' || replace(replace(replace(replace(r, '\', '\\'), '<turn>', '\<turn>'), '</turn>', '\</turn>'), chr(10), '\' || chr(10)) || chr(10)
+    || replace(replace(replace(t, '\', '\\'), '<turn>', '\<turn>'), '</turn>', '\</turn>') || '</turn>' || chr(10) AS w,
+    CASE WHEN r = 'assistant' THEN t ELSE '' END AS learnt FROM turns
+), joined AS (
+  SELECT conv_id, count(*) AS n, string_agg(r || chr(10) || t || chr(10), '' ORDER BY turn, r, t) AS whole, string_agg(learnt, '' ORDER BY turn, r, t) AS loss, string_agg(w, '') AS w FROM written GROUP BY conv_id
+)
+SELECT conv_id, n AS n_turns, sha256(whole) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, length(w) AS formatted_chars FROM joined
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_jaccard": OP1, "op2_mixing": OP2, "op7_licenses": OP7, "op9_neighbours": OP9, "op10_repeats": OP10, "op11_divergence": OP11, "op12_middles": OP12, "op13_chat": OP13}

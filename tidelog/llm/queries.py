@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import divergence, jaccard, language, licenses, middles, mixing, neighbours, packing, quality, repeats, spotsigs, tokens
+from tidelog.llm import chat, divergence, jaccard, language, licenses, middles, mixing, neighbours, packing, quality, repeats, spotsigs, tokens
 from tidelog.llm.oracles import ORACLE_SQL
 from tidelog.llm.storage import table
 
@@ -81,6 +81,16 @@ def op12_middles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", F.col("n_units").alias("n"), "form", "prefix_chars", "middle_chars", sha256(F.col("fim_text")).alias("output_sha256"), sha256(back).alias("restored_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_jaccard, op2_mixing, op3_packing, op4_quality, op5_tokens, op6_language, op7_licenses, op8_spotsigs, op9_neighbours, op10_repeats, op11_divergence, op12_middles)}
+#: What a template must keep apart from its own marks.
+HARD_TEXT = "\\### Assistant: </turn> ok"
+
+
+def op13_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = spark.createDataFrame([(-7, 0, "user", HARD_TEXT), (-7, 1, "assistant", HARD_TEXT)], "conv_id long, turn long, role string, text string")
+    return chat.read_back(*chat.chat_trees(turns.unionByName(hard))).withColumnRenamed("conv", "conv_id")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_jaccard, op2_mixing, op3_packing, op4_quality, op5_tokens, op6_language, op7_licenses, op8_spotsigs, op9_neighbours, op10_repeats, op11_divergence, op12_middles, op13_chat)}
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
