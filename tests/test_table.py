@@ -10,7 +10,7 @@ from tidelog.names import unused
 from tidelog.operators import retention
 from tidelog.operators.ids import assign_ids, running_sums
 from tidelog.operators.retention import Retention
-from tidelog.sources.logs import append_logs, read_logs
+from tidelog.sources.logs import append_logs, read_logs, read_stored
 from tidelog.sources.requests import request_documents, request_lines
 from tidelog.streaming.ingest import OVERLOADED, Places, committed, ingest_batch, ingest_stream
 
@@ -22,7 +22,7 @@ def body(*times, **changes):
 
 
 def places(tmp_path):
-    return Places(*(str(tmp_path / x) for x in ("logs", "rejected", "reports", "ids")))
+    return Places(*(str(tmp_path / x) for x in ("logs", "rejected", "reports")))
 
 
 def bodies(spark, *texts):
@@ -75,18 +75,18 @@ def test_a_batch_without_reports_is_not_committed(spark, tmp_path, monkeypatch):
 
     at, both = places(tmp_path), bodies(spark, body("2026-08-08T10:00:00Z", "2026-08-09T09:00:00Z"))
     ingest_batch(both, at, NOW, "run", 0)
-    write = ingest._replace
+    write = ingest._write
 
     def dies(df, path, *rest):
         if path == at.rejected:
             raise OSError("lost")
         write(df, path, *rest)
 
-    monkeypatch.setattr(ingest, "_replace", dies)
+    monkeypatch.setattr(ingest, "_write", dies)
     with pytest.raises(OSError):
         ingest_batch(both, at, NOW, "run", 1)
-    assert committed(spark, at).count() == 2 and read_logs(spark, at.logs).count() == 4
-    monkeypatch.setattr(ingest, "_replace", write)
+    assert committed(spark, at).count() == read_logs(spark, at.logs).count() == 2 and read_stored(spark, at.logs).count() == 4
+    monkeypatch.setattr(ingest, "_write", write)
     ingest_batch(both, at, NOW, "run", 1)
     assert sorted(r["id"] for r in committed(spark, at).collect()) == [1, 2, 3, 4]
 

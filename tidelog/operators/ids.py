@@ -1,7 +1,9 @@
-"""Ids and running sums in an order, over sorted ranges."""
+"""Ids and running sums in an order: over sorted ranges, or as rows were stored."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,6 +42,24 @@ def numbered(rows: DataFrame, order: tuple[str, ...], name: str = "id", path: st
     return found.select(number, *quoted([c for c in rows.columns if c != name])), sum(n for _, n in parts)
 
 
+def numbered_as_stored(rows: DataFrame, name: str = "id") -> tuple[DataFrame, int]:
+    """``rows``, read from Parquet files that one job wrote, with a dense long column ``name``, counted from 1 in the order in which that job had them, and how many there are.
+
+    A file knows the place of each of its rows, so there is nothing to sort or to send: a count for each file is gathered, from footers alone.
+    """
+    file, place, before = unused(rows.columns, "file", "place", "before")
+    placed = rows.select("*", F.col("_metadata.file_name").alias(file), F.col("_metadata.row_index").alias(place))
+    task = lambda f: tuple(int(x) for x in re.search(r"part-(\d+)-.*[.-]c(\d+)", f).groups())
+    counts = sorted((tuple(x) for x in placed.groupBy(file).count().collect()), key=lambda x: task(x[0]))
+    at, offsets = 0, []
+    for f, n in counts:
+        offsets.append((f, at))
+        at += n
+    known = F.broadcast(rows.sparkSession.createDataFrame(offsets, f"`{file}` string, `{before}` long"))
+    number = (F.col(before) + F.col(place) + 1).alias(name)
+    return placed.join(known, file).select(number, *quoted([c for c in rows.columns if c != name])), at
+
+
 def assign_ids(rows: DataFrame, order: tuple[str, ...], base: int = 0) -> DataFrame:
     """``rows`` with a dense long ``id`` from ``base + 1`` on, rising in ``order``; only a count for each partition is gathered."""
     found, _ = numbered(rows, order)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidelog.functions.times import EPOCH, ArgumentError, parse_instant
 from tidelog.schema import LOGS
-from tidelog.sources.logs import LAYOUT, read_logs
+from tidelog.sources.logs import LAYOUT, read_logs, read_stored
 
 DAY = timedelta(days=1)
 #: Beside the days of a table; readers skip names that begin so.
@@ -130,7 +130,7 @@ def trim_cutoff_day(spark: SparkSession, path: str, at: datetime) -> int:
     day = at.date()
     if day not in list_days(spark, path):
         return 0
-    rows = read_logs(spark, path).where(F.col("day") == F.lit(day))
+    rows = read_stored(spark, path, [day])
     old = rows.where(F.col("timestamp") < F.lit(at)).count()
     if not old:
         return 0

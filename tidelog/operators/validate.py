@@ -11,6 +11,8 @@ from tidelog.operators.filters import blank
 from tidelog.schema import LEVELS
 
 FUTURE_MS = 5 * 60 * 1000
+#: How the error of a request begins that has a row whose day isn't open, or that goes with one.
+UNWRITABLE = "no partition of logs for "
 
 
 def _kind(v: Column) -> Column:
@@ -23,9 +25,13 @@ def _object(v: Column) -> Column:
     return v.try_cast("map<string,variant>")
 
 
-def requests(bodies: DataFrame) -> DataFrame:
-    """``bodies(request_id, body)`` with its ``logs`` and ``refused``, the reason that the whole request is refused for, or null."""
-    parsed = bodies.select("request_id", "body", F.try_parse_json("body").alias("v")).withColumn("top", _object(F.col("v")))
+def requests(bodies: DataFrame, in_order: bool = False) -> DataFrame:
+    """``bodies(request_id, body)`` with its ``logs`` and ``refused``, the reason that the whole request is refused for, or null.
+
+    With ``in_order``, ``seq`` rises with the rows of ``bodies``, of which each has its own.
+    """
+    seq = [F.monotonically_increasing_id().alias("seq")] * in_order
+    parsed = bodies.select("request_id", "body", *seq, F.try_parse_json("body").alias("v")).withColumn("top", _object(F.col("v")))
     parsed = parsed.withColumn("logs", F.col("top")["logs"].try_cast("array<variant>"))
     refused = (
         F.when(F.col("v").isNull(), "request body must be valid JSON")
@@ -33,18 +39,18 @@ def requests(bodies: DataFrame) -> DataFrame:
         .when(F.col("logs").isNull(), "logs must be an array")
         .when(F.size("logs") == 0, "logs must contain at least one entry")
     )
-    return parsed.select("request_id", "body", "logs", refused.alias("refused"))
+    return parsed.select("request_id", "body", *["seq"] * in_order, "logs", refused.alias("refused"))
 
 
 def entries(parsed: DataFrame, refused: bool = False) -> DataFrame:
     """``(request_id, index, v, raw)`` of the entries of requests that aren't refused, in order; ``raw`` is an entry's text.
 
-    With ``refused``, a column of that name is kept, and each refused request has one row without an index.
+    With ``refused``, a column of that name is kept, and each refused request has one row without an index. A column ``seq`` is kept where there is one.
     """
     # The variant keeps types, the text keeps the order of keys.
     both = F.arrays_zip(F.col("logs").alias("v"), F.from_json("body", "logs array<string>")["logs"].alias("raw"))
     rows = parsed if refused else parsed.where("refused IS NULL")
-    kept = ["request_id", *["refused"] * refused]
+    kept = ["request_id", *["refused"] * refused, *(c for c in ("seq",) if c in parsed.columns)]
     found = rows.select(*kept, F.posexplode_outer(F.when(F.col("refused").isNull(), both)).alias("index", "e"))
     return found.select(*kept, "index", F.col("e.v").alias("v"), F.col("e.raw").alias("raw"))
 
@@ -144,7 +150,7 @@ def validated(checked: DataFrame) -> DataFrame:
     """Checked entries with the types of stored logs, which can be written once and read by all that follows; values of refused entries are null."""
     good = lambda c: F.when(F.col("reason").isNull(), c)
     rows = checked.select(
-        *[c for c in ("request_id", "refused") if c in checked.columns],
+        *[c for c in ("request_id", "refused", "seq") if c in checked.columns],
         "index",
         "reason",
         "raw",
@@ -174,9 +180,14 @@ def rejected(rows: DataFrame) -> DataFrame:
 def reports(rows: DataFrame) -> DataFrame:
     """One row for each request of checked entries that were made with ``refused``: ``request_id, status, error, accepted, rejected``.
 
-    The status is ``ok``, ``all_invalid`` (nothing is written for it), or ``bad_request`` with its error.
+    The status is ``ok``, ``all_invalid`` (nothing is written for it), or ``bad_request`` or ``failed`` with its error.
     """
     entry = F.col("index").isNotNull()
     counts = rows.groupBy("request_id").agg(F.max("refused").alias("error"), F.count_if(entry & F.col("reason").isNull()).alias("accepted"), F.count_if(entry & F.col("reason").isNotNull()).alias("rejected"))
-    status = F.when(F.col("error").isNotNull(), "bad_request").when(F.col("accepted") > 0, "ok").otherwise("all_invalid")
-    return counts.select("request_id", status.alias("status"), "error", "accepted", "rejected")
+    return outcomes(counts.withColumnRenamed("accepted", "n"))
+
+
+def outcomes(requests: DataFrame) -> DataFrame:
+    """Reports of requests with their ``error``, and ``n`` accepted and ``rejected`` entries; ``failed`` is one whose logs could not be written."""
+    status = F.when(F.startswith("error", F.lit(UNWRITABLE)), "failed").when(F.col("error").isNotNull(), "bad_request").when(F.col("n") > 0, "ok").otherwise("all_invalid")
+    return requests.select("request_id", status.alias("status"), "error", F.col("n").alias("accepted"), "rejected")

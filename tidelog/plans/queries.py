@@ -285,7 +285,7 @@ def ingest_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _places(spark: SparkSession) -> Places:
-    return Places(*(new_path(spark, x) for x in ("logs", "rejected", "reports", "ids")))
+    return Places(*(new_path(spark, x) for x in ("logs", "rejected", "reports")))
 
 
 _WHOLE = f"""{LOGS_SQL} SELECT row_number() OVER (ORDER BY id) AS id, CAST(CAST(timestamp AS DATE) AS VARCHAR) AS day, {MICROS} AS timestamp, level, service, message, CASE WHEN (id - 1) % 20 = 14 THEN '{{}}' ELSE replace(attributes, ' ', '') END AS attributes FROM logs WHERE (id - 1) % 20 >= 14"""
@@ -294,7 +294,7 @@ _WHOLE = f"""{LOGS_SQL} SELECT row_number() OVER (ORDER BY id) AS id, CAST(CAST(
 @register("ingest_batch", _WHOLE)
 def batch_ingested(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bodies to table and back, written twice: the second time replaces the first."""
-    bodies, places = raw.bodies(events(spark, sf_dir)), _places(spark)
+    bodies, places = raw.bodies(events(spark, sf_dir)).orderBy("request_id"), _places(spark)
     for _ in range(2):
         ingest_batch(bodies, places, raw.NOW, "run", 0)
     return read_logs(spark, places.logs).select("id", F.col("day").cast("string").alias("day"), micros_text(F.col("timestamp")).alias("timestamp"), *_LOG_COLUMNS)

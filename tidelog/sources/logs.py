@@ -2,27 +2,65 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from datetime import date
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.schema import LOGS, STORED
+from tidelog.sources import batches
+from tidelog.sources.batches import Batch
 
 #: A batch that is written again replaces its own folders and nothing else.
 LAYOUT = ("day", "run_id", "batch_id")
 
 
-def read_logs(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(STORED).parquet(path)
+def read_stored(spark: SparkSession, path: str, days: Iterable[date] | None = None) -> DataFrame:
+    """All rows, those of pending batches too; with ``days``, only the folders of these are listed."""
+    reader = spark.read.schema(STORED)
+    if days is None:
+        return reader.parquet(path)
+    folders = [f"{path}/day={d:%Y-%m-%d}" for d in days]
+    return reader.option("basePath", path).parquet(*folders) if folders else spark.createDataFrame([], STORED)
 
 
-def append_logs(logs: DataFrame, path: str, run_id: str, batch_id: int = 0) -> None:
-    """Write a batch; the job's commit publishes it day by day. No rows are no change.
+def without(rows: DataFrame, hidden: Iterable[tuple[str, int]]) -> DataFrame:
+    """``rows`` of a table in folders by run and batch without those of the named batches, whose folders aren't read."""
+    for run_id, batch_id in sorted(hidden):
+        rows = rows.where(~((F.col("run_id") == run_id) & (F.col("batch_id") == batch_id)))
+    return rows
+
+
+def read_logs(spark: SparkSession, path: str, days: Iterable[date] | None = None) -> DataFrame:
+    """The rows of published batches.
+
+    Batches are looked up before and after the files: one that began or was published in between may have been listed in part, and is left out.
+    """
+    before = batches.noted(spark, path)
+    rows = read_stored(spark, path, days)
+    after = batches.noted(spark, path)
+    seen = {b.own for b in before if b.published}
+    return without(rows, {b.own for b in (*before, *after) if not b.published} | {b.own for b in after if b.own not in seen})
+
+
+def write_logs(logs: DataFrame, path: str, run_id: str, batch_id: int = 0) -> None:
+    """Write the rows of a batch to its folders. No rows are no change.
 
     Rows are rebalanced by day, which splits a day that holds most of them, and sorted so that row groups can be skipped by service and time.
     """
     rows = logs.select(*LOGS.fieldNames()).withColumns({"run_id": F.lit(run_id), "batch_id": F.lit(batch_id).cast("long")})
     laid_out = rows.hint("rebalance", "day").sortWithinPartitions(*LAYOUT, "service", "timestamp")
-    laid_out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*LAYOUT).parquet(path)
+    laid_out.write.mode("append").partitionBy(*LAYOUT).parquet(path)
+
+
+def append_logs(logs: DataFrame, path: str, run_id: str, batch_id: int = 0) -> None:
+    """Write a batch and publish it: all its days appear at once, in place of what it wrote before, if it did."""
+    spark = logs.sparkSession
+    pending = batches.begin(spark, path, batches.find(batches.noted(spark, path), run_id, batch_id) or Batch(run_id, batch_id))
+    drop_batch(spark, path, run_id, batch_id)
+    write_logs(logs, path, run_id, batch_id)
+    batches.publish(spark, path, pending)
 
 
 def drop_batch(spark: SparkSession, path: str, run_id: str, batch_id: int) -> None:
