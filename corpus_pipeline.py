@@ -8,20 +8,8 @@ from pyspark.sql import functions as F
 from tidelog.llm import jaccard, language, mixing, packing, repeats
 from tidelog.llm.storage import Scope, table
 
-#: What a stage that was called by itself has stored, by the folder of its tables. The next stage over the same folder follows when the result of
-#: this one has been written, and deletes it.
-_last: dict[str, Scope] = {}
-
-
-def _scope(spark: SparkSession, sf_dir: str) -> Scope:
-    if sf_dir in _last:
-        _last.pop(sf_dir).release()
-    return _last.setdefault(sf_dir, Scope(spark))
-
-
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, scope: Scope | None = None) -> DataFrame:
     """Documents whose language is known well enough; those without one get it."""
-    scope or _scope(spark, sf_dir)
     model = language.fit_language_model(docs, F.lit(True))
     found = language.identify(docs, model).where("NOT rejected")
     return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
@@ -29,27 +17,27 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, scope: Sco
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, scope: Scope | None = None) -> DataFrame:
     """One document of each group of near copies."""
-    return jaccard.drop_near_duplicates(docs, size=5, num=3, den=4, scope=scope or _scope(spark, sf_dir))
+    return jaccard.drop_near_duplicates(docs, size=5, num=3, den=4, scope=scope)
 
 
 def substrings_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, scope: Scope | None = None) -> DataFrame:
     """Texts without passages that occur earlier; documents of which nothing is left go."""
-    kept = repeats.remove_repeats(docs, window=20, scope=scope or _scope(spark, sf_dir)).where("n_removed = 0 OR n_removed < n_words")
+    kept = repeats.remove_repeats(docs, window=20, scope=scope).where("n_removed = 0 OR n_removed < n_words")
     text = F.when(F.col("n_removed") == 0, F.col("text")).otherwise(F.col("kept_text"))
     return kept.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, scope: Scope | None = None) -> DataFrame:
     """Each document as often as its source's target asks for."""
-    return mixing.mix(docs, weights=(5, 2, 1), most=3.0, scope=scope or _scope(spark, sf_dir))
+    return mixing.mix(docs, weights=(5, 2, 1), most=3.0, scope=scope)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, scope: Scope | None = None) -> DataFrame:
     """Bins of words, one row for each piece of a document."""
-    return packing.pack(docs.select("doc_id", mixing.word_count(F.col("text")).alias("size")), scope=scope or _scope(spark, sf_dir))
+    return packing.pack(docs.select("doc_id", mixing.word_count(F.col("text")).alias("size")), scope=scope)
 
 
-#: Each function takes (spark, docs, sf_dir).
+#: Each function takes (spark, docs, sf_dir). What it stores on the way stays until the driver ends, or until who gave a scope releases it.
 STAGES = [
     ("language", language_stage),
     ("near_duplicates", near_duplicates_stage),

@@ -68,7 +68,7 @@ def bucket_count(total_bytes: int) -> int:
 
 
 def chunk_table(docs: DataFrame, content: Column, id_col: str, total_bytes: int, scope: Scope, rest: list[str]) -> DataFrame:
-    """``(chunk long, row long, id long, content, rest)`` of ``docs``, as a table in the warehouse that is bucketed by chunk.
+    """``(chunk long, row long, id long, content, rest)`` of ``docs``, as a table in the shared folder that is bucketed by chunk.
 
     ``row`` is a number of its own for each row. ``rest`` has the columns of that name in a struct, where none can clash; it is left out if there are none.
     """

@@ -18,12 +18,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidelog.llm.chunks import chunk_table, text_bytes
-from tidelog.llm.sketch import SharedCells, shard_count, shared_cells, width_bits
+from tidelog.llm.sketch import SharedCells, dealt, packed, shard_count, shared_cells, width_bits
 from tidelog.llm.storage import Scope
 from tidelog.llm.words import Words, buffers, rolling, words_of
 
 FIRST = np.iinfo(np.int64).min
-PLACES_SCHEMA = "shard int, chunk long, h binary, h2 binary, doc binary, pos binary"
+PLACES_SCHEMA = "part int, chunk long, messages array<struct<shard:int,h:binary,h2:binary,doc:binary,pos:binary>>"
 
 
 def _narrow(a: np.ndarray) -> bytes:
@@ -123,7 +123,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
         full = np.flatnonzero(np.diff(at))
         cut = lambda x, write: pa.array([write(x[order[at[s] : at[s + 1]]]) for s in full], pa.binary())
         steps = lambda x: _narrow(x[:1]) + _narrow(np.diff(x))
-        return pa.table({"shard": pa.array(full, pa.int32()), "chunk": pa.array([number] * len(full), pa.int64()), "h": cut(h, np.ndarray.tobytes), "h2": cut(h2, np.ndarray.tobytes), "doc": cut(doc, steps), "pos": cut(pos, _narrow)})
+        return pa.Table.from_batches([packed(number, full, shards, h=cut(h, np.ndarray.tobytes), h2=cut(h2, np.ndarray.tobytes), doc=cut(doc, steps), pos=cut(pos, _narrow))])
 
     def later(shard: pa.Table) -> pa.Table:
         read = lambda c, kind: [np.frombuffer(x, kind) for x in shard[c].to_pylist()]
@@ -164,7 +164,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
 
     shared = shared_cells(chunks, keys, total)
     found = chunks.select("chunk", "id", "content").groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(places, PLACES_SCHEMA)
-    removed = found.repartition(shards, "shard").groupBy("shard").applyInArrow(later, "chunk long, h binary, h2 binary")
+    removed = dealt(found, shards).applyInArrow(later, "chunk long, h binary, h2 binary")
     passed = ["content", *(["rest"] if rest else [])]
     schema = T.StructType([*(chunks.schema[c] for c in passed), *(T.StructField(c, T.LongType()) for c in added[:2]), T.StructField(added[2], T.StringType())])
     out = chunks.select("chunk", "id", *passed).groupBy("chunk").cogroup(removed.groupBy("chunk")).applyInArrow(remove, schema)

@@ -2,9 +2,11 @@
 
 A sketch is one row of counters, far wider than the number of keys: about ``CELLS_PER_BYTE`` cells for a byte of text. So
 wide a row is nearly empty in each chunk of documents, and is sent as its sorted cells with their counts, at about two bytes a
-key. A shard is a range of cells; merging adds the chunks' counts. A merged count is never below the true count of any key in
-the cell, so a key in a cell that counts one occurs once. Each chunk gets back those of its own cells that count two or more:
-nothing is broadcast and nothing passes through the driver.
+key. A shard is a range of cells; merging adds the chunks' counts, which a chunk cuts at 255. So a merged count is one only if a single key of
+the cell occurs, and once; above that it says how common a key is, and decides nothing but an order. Each chunk gets back those of its own cells that
+count two or more: nothing is broadcast and nothing passes through the driver.
+
+Shards are dealt to a bounded number of tasks. A chunk sends one message to each, with what it has for the task's shards; the task merges one shard after another.
 """
 
 from __future__ import annotations
@@ -15,12 +17,15 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tidelog.llm.chunks import MOST_CHUNK, chunk_bytes
 
 CELLS_PER_BYTE = 3
-SKETCH_SCHEMA = "shard int, chunk long, cells binary, counts binary"
+SKETCH_SCHEMA = "part int, chunk long, messages array<struct<shard:int,cells:binary,counts:binary>>"
 SHARED_SCHEMA = "chunk long, cells binary, codes binary"
+#: Tasks that shards are dealt to, at most.
+MOST_PARTS = 20_000
 #: Keys of a run of texts: they may repeat, and each occurrence counts.
 Keys = Callable[[pa.Array], Iterable[np.ndarray]]
 
@@ -34,6 +39,25 @@ def shard_count(total_bytes: int) -> int:
     return max(24, -(-total_bytes // min(MOST_CHUNK, 4 * chunk_bytes(total_bytes))))
 
 
+def shards_of_part(shards: int) -> int:
+    return -(-shards // MOST_PARTS)
+
+
+def packed(chunk: int, full: list[int] | np.ndarray, shards: int, **columns: pa.Array) -> pa.RecordBatch:
+    """What a chunk has for shards, in their order, as one row for each part: ``part, chunk, messages``."""
+    part = np.asarray(full, np.int64) // shards_of_part(shards)
+    first = np.flatnonzero(np.diff(part, prepend=-1))
+    values = pa.StructArray.from_arrays([pa.array(full, pa.int32()), *columns.values()], ["shard", *columns])
+    messages = pa.ListArray.from_arrays(pa.array(np.append(first, len(part)), pa.int32()), values)
+    return pa.record_batch({"part": pa.array(part[first], pa.int32()), "chunk": pa.array([chunk] * len(first), pa.int64()), "messages": messages})
+
+
+def dealt(sent: DataFrame, shards: int):
+    """Rows of :func:`packed` grouped by ``part`` and ``shard``, with one shuffle; each part is a task's."""
+    parts = -(-shards // shards_of_part(shards))
+    return sent.repartitionById(parts, "part").select("part", "chunk", F.explode("messages").alias("m")).select("part", "chunk", "m.*").groupBy("part", "shard")
+
+
 def cells_of(keys: np.ndarray, bits: int) -> np.ndarray:
     return keys >> np.uint64(64 - bits)
 
@@ -95,14 +119,8 @@ def shared_cells(chunks: DataFrame, keys: Keys, total_bytes: int) -> DataFrame:
             at = [0, *np.searchsorted(cells, edges).tolist(), len(cells)]
             full = [s for s in range(shards) if at[s + 1] > at[s]]
             if full:
-                yield pa.record_batch(
-                    {
-                        "shard": pa.array(full, pa.int32()),
-                        "chunk": pa.array([chunk] * len(full), pa.int64()),
-                        "cells": pa.array([encode(cells[at[s] : at[s + 1]]) for s in full], pa.binary()),
-                        "counts": pa.array([counts[at[s] : at[s + 1]].tobytes() for s in full], pa.binary()),
-                    }
-                )
+                own = lambda write: pa.array([write(slice(at[x], at[x + 1])) for x in full], pa.binary())
+                yield packed(chunk, full, shards, cells=own(lambda x: encode(cells[x])), counts=own(lambda x: counts[x].tobytes()))
 
     def merge(shard: pa.Table) -> pa.Table:
         parts = [decode(x) for x in shard["cells"].to_pylist()]
@@ -120,8 +138,7 @@ def shared_cells(chunks: DataFrame, keys: Keys, total_bytes: int) -> DataFrame:
 
     # A bucket's files are read one after another; sorted, a chunk's rows are together.
     sketches = chunks.select("chunk", "content").sortWithinPartitions("chunk").mapInArrow(partition_sketches, SKETCH_SCHEMA)
-    # About a shard to a task, however large the partitions that a cluster likes: what a Python worker is sent stays small.
-    return sketches.repartition(shards, "shard").groupBy("shard").applyInArrow(merge, SHARED_SCHEMA)
+    return dealt(sketches, shards).applyInArrow(merge, SHARED_SCHEMA)
 
 
 class SharedCells:

@@ -33,6 +33,8 @@ ANCHORS = (
 SEPARATORS = tuple(b for b in range(128) if not chr(b).isalnum())
 #: Rows that are fingerprinted at once; keys that are drawn for each range of ids to find where it ends.
 ROWS, DRAWN = 256, 20
+#: Ranges that texts are dealt in, at most. A task goes through its range in order, so how long a range is doesn't matter to its memory.
+MOST_RANGES = 20_000
 LOWEST = -(1 << 63)
 
 
@@ -170,7 +172,7 @@ def probe_edits(docs: DataFrame, chain: int = 2, num: int = 3, den: int = 4, id_
     key = F.coalesce("doc_id", F.lit(LOWEST)).alias("key")
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text")).select("doc_id", "text", key)
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    ranges = max(24, -(-total // (2 * chunk_bytes(total))))
+    ranges = min(MOST_RANGES, max(24, -(-total // (2 * chunk_bytes(total)))))
     bounds = _cuts(rows, ranges)
 
     @F.arrow_udf("int")
@@ -188,7 +190,7 @@ def probe_edits(docs: DataFrame, chain: int = 2, num: int = 3, den: int = 4, id_
     known = known.withColumn("range", range_of("key"))
     # In a range, by key: the classes of a key's rows, then the rows; the tail is last.
     order = ("range", F.col("kind") == 2, "key", "kind", "text")
-    together = dealt.unionByName(tails).unionByName(known).repartition(ranges, "range").sortWithinPartitions(*order)
+    together = dealt.unionByName(tails).unionByName(known).repartitionById(ranges, "range").sortWithinPartitions(*order)
 
     def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple | None = None  # a row that waits for the next

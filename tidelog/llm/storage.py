@@ -1,85 +1,12 @@
-"""Where intermediate tables live: always the folder that the cluster shares, and until their scope is released."""
+"""Tables that the operators read, and where they store what they need in between (:class:`tidelog.scratch.Scope`)."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.scratch import new_path
-
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-class Scope:
-    """What one call stores. Operators take one; whoever gave it releases it, alone, when the results are written.
-
-    ``with Scope(spark) as scope`` releases it at the end. What no one releases is deleted when the driver ends.
-    """
-
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
-        self._held: list[tuple[DataFrame | None, str, bool]] = []
-
-    @classmethod
-    def of(cls, scope: Scope | None, df: DataFrame) -> Scope:
-        return scope or cls(df.sparkSession)
-
-    def __enter__(self) -> Scope:
-        return self
-
-    def __exit__(self, *_) -> None:
-        self.release()
-
-    def _path(self, path: str):
-        place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return place.getFileSystem(self.spark._jsc.hadoopConfiguration()), place
-
-    def stored(self, df: DataFrame, name: str, free: bool = False) -> DataFrame:
-        """Write ``df`` to a new place in the shared folder and read it back: its lineage ends there.
-
-        With ``free``, the shuffle files of the write are deleted as it ends, not when the driver next collects garbage.
-        """
-        path, before = new_path(self.spark, name), self.spark.conf.get(CLEANUP)
-        self.spark.conf.set(CLEANUP, "true" if free else before)
-        try:
-            df.write.parquet(path)
-        finally:
-            self.spark.conf.set(CLEANUP, before)
-        found = self.spark.read.schema(df.schema).parquet(path)
-        self._held.append((found, path, False))
-        return found
-
-    def place(self, name: str) -> str:
-        """A new place in the shared folder for what others write."""
-        path = new_path(self.spark, name)
-        self._held.append((None, path, False))
-        return path
-
-    def bucketed(self, df: DataFrame, buckets: int, column: str, name: str) -> DataFrame:
-        """Write ``df`` to a new table in the warehouse, bucketed by ``column``, and read it back."""
-        name = f"tidelog_{name}_{uuid.uuid4().hex}"
-        df.write.format("parquet").option("compression", "zstd").bucketBy(buckets, column).saveAsTable(name)
-        found = self.spark.table(name)
-        self._held.append((found, name, True))
-        return found
-
-    def _delete(self, place: str, is_table: bool) -> None:
-        if is_table:
-            self.spark.sql(f"DROP TABLE IF EXISTS {place}")
-        else:
-            files, path = self._path(place)
-            files.delete(path.getParent(), True)
-
-    def drop(self, *dfs: DataFrame) -> None:
-        """Delete what was stored as ``dfs``, which this scope has returned; others are left alone."""
-        for held in [x for x in self._held if any(x[0] is df for df in dfs)]:
-            self._delete(*held[1:])
-            self._held = [x for x in self._held if x is not held]
+from tidelog.scratch import Scope
 
-    def release(self) -> None:
-        """Delete all that this scope has stored. DataFrames that still read it fail: call it when their results are written."""
-        self.drop(*[x[0] for x in self._held])
+__all__ = ["Scope", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
