@@ -109,6 +109,71 @@ def test_pages_are_a_partition_of_the_sorted_rows(spark):
     assert seen == [[5, 4], [3, 2], [1, 6]]
 
 
+@pytest.fixture(scope="module")
+def table(spark, tmp_path_factory):
+    """Thirty days: rows of ``rare`` on the oldest alone, many at one instant, in two batches."""
+    from tidelog.sources.logs import append_logs
+
+    path = str(tmp_path_factory.mktemp("pages") / "t")
+    rows = [log(30 * i + d, f"2026-07-{d:02d}T{i % 24:02d}:00:00", service="rare" if d == 1 and i < 3 else "api") for d in range(1, 31) for i in range(40)]
+    for batch in (0, 1):
+        append_logs(spark.createDataFrame([r for r in rows if r[0] % 2 == batch], LOGS), path, "run", batch)
+    return path
+
+
+@pytest.fixture
+def read(monkeypatch):
+    """The days that pages read, for each look."""
+    seen, stored = [], paging.read_logs
+    monkeypatch.setattr(paging, "read_logs", lambda spark, path, days=None, at=None: (seen.append(list(days)) if days else None, stored(spark, path, days, at))[1])
+    return seen
+
+
+@pytest.mark.parametrize(
+    ("wanted", "spec", "days"),
+    [
+        (LogFilters(), PageSpec(30), 1),
+        (LogFilters(), PageSpec(41), 3),
+        (LogFilters(service="api"), PageSpec(100, ("2026-07-20T03:00:00Z", 10_000)), 7),
+        (LogFilters(until="2026-07-10T00:00:00Z"), PageSpec(5), 3),
+        (LogFilters(since="2026-07-29T00:00:00Z"), PageSpec(1000), 2),
+        (LogFilters(service="rare"), PageSpec(2), 30),
+        (LogFilters(service="none"), PageSpec(2), 30),
+        (LogFilters(), PageSpec(1000), 30),
+        (LogFilters(since="2026-08-01T00:00:00Z"), PageSpec(10), 0),
+    ],
+)
+@pytest.mark.parametrize("slice_bytes", [1 << 30, 4000])
+def test_stored_pages_stop_early(spark, table, read, monkeypatch, wanted, spec, days, slice_bytes):
+    from tidelog.sources.logs import read_logs
+
+    monkeypatch.setattr(paging, "SLICE_BYTES", slice_bytes)
+    found = [tuple(r) for r in paging.stored_page(spark, table, wanted, spec).collect()]
+    assert found == [tuple(r) for r in paging.page(read_logs(spark, table), wanted, spec).collect()]
+    assert len({d for own in read for d in own}) <= days
+    assert paging.read_stored_page(spark, table, wanted, spec) == paging.read_page(read_logs(spark, table), wanted, spec)
+
+
+def test_a_page_reads_the_files_of_its_day_alone(spark, table):
+    from datetime import date
+
+    from tidelog.sources.logs import read_logs
+
+    files = read_logs(spark, table, [date(2026, 7, 30)]).inputFiles()
+    assert files and all("day=2026-07-30" in f for f in files)
+
+
+def test_days_are_looked_through_in_growing_runs():
+    from datetime import date
+
+    days = [date(2026, 7, d) for d in range(1, 31)]
+    runs = list(paging.spans(days))
+    assert [len(own) for own, _ in runs] == [1, 2, 4, 8, 15] and [d for own, _ in runs for d in own] == days[::-1]
+    first = list(paging.spans(days[:1], 20))
+    assert [(since is None, len(own)) for own, since in first] == [(False, 1), (False, 1), (False, 1), (True, 1)] and first[0][1] > first[1][1] > first[2][1]
+    assert list(paging.spans([])) == []
+
+
 def test_page_rows_and_tokens(logs):
     rows = paging.page(logs, LogFilters(service="checkout")).collect()
     assert [r["id"] for r in rows] == [2, 1] and rows[1]["timestamp"] == "2026-08-09T12:00:00.000000Z"
@@ -142,6 +207,7 @@ def test_summaries(spark):
     df = spark.createDataFrame([(float(x),) for x in range(1, 101)] + [(None,)], "x double")
     assert tuple(summary.latency_summary(df, "x").first()) == (100, 50.0, 95.0, 99.0, 50.5)
     assert tuple(summary.latency_summary(df.where("x < 0"), "x").first()) == (0, None, None, None, None)
+    assert tuple(summary.latency_summary(df.limit(0), "x").first()) == (0, None, None, None, None)
     reports = spark.createDataFrame([("a", "ok", 3, 1), ("b", "all_invalid", 0, 2)], "request_id string, status string, accepted long, rejected long")
     assert tuple(summary.ingest_summary(reports, 2.0).first()) == (3, 3, 1, 1.5)
     assert summary.ingest_summary(reports, 0.0).first()["logs_per_second"] is None
@@ -151,3 +217,21 @@ def test_synthetic_rows_are_functions_of_their_number(spark):
     rows = synthetic(spark, 3601, "2026-08-09T12:00:00Z").orderBy("id").collect()
     assert rows[0]["timestamp"] == rows[3600]["timestamp"] and rows[1]["service"] == "auth" and rows[3]["level"] == "error"
     assert json.loads(rows[1]["attributes"]) == {"run_id": "run", "region": "us-east", "retries": 1, "premium": False}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_percentiles_are_exact(spark, seed):
+    import math
+    import random
+
+    rng = random.Random(seed)
+    draw = [lambda: rng.random(), lambda: float(rng.randint(0, 3)), lambda: rng.expovariate(1), lambda: 7.0][seed]
+    rows = [(rng.choice(["a", "a", "a", None, "b"]), draw() if rng.random() < 0.9 else None) for _ in range(rng.choice([50, 3000]))] + [("empty", None)]
+    found = {r["g"]: r for r in summary.latency_summary(spark.createDataFrame(rows, "g string, x double").repartition(3), "x", ("g",)).collect()}
+    assert set(found) == {g for g, _ in rows}
+    for g in found:
+        values = sorted(x for k, x in rows if k == g and x is not None)
+        assert found[g]["samples"] == len(values)
+        for p in (50, 95, 99):
+            want = round(values[math.ceil(p * len(values) / 100) - 1], 2) if values else None
+            assert found[g][f"p{p}"] == pytest.approx(want) if values else found[g][f"p{p}"] is None

@@ -5,7 +5,7 @@ from __future__ import annotations
 import calendar
 import re
 from dataclasses import dataclass
-from datetime import datetime, timedelta, timezone
+from datetime import date, datetime, timedelta, timezone
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -69,6 +69,16 @@ def day_of_label(label: Column) -> Column:
     return F.when(label.rlike(r"^logs_\d{4}_\d{2}_\d{2}\z"), F.to_date(F.try_to_timestamp(F.substring(label, 6, 10), F.lit("yyyy_MM_dd"))))
 
 
+def day_of(name: str) -> date | None:
+    """The day of a label; None for other names and impossible dates."""
+    if not re.fullmatch(r"logs_\d{4}_\d{2}_\d{2}", name, re.ASCII):
+        return None
+    try:
+        return date(int(name[5:9]), int(name[10:12]), int(name[13:15]))
+    except ValueError:
+        return None
+
+
 @dataclass(frozen=True)
 class Instant:
     """Microseconds since 1970, exact also for years that ``datetime`` has not."""

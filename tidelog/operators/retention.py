@@ -8,9 +8,9 @@ from datetime import date, datetime, timedelta, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.functions.times import EPOCH, ArgumentError, parse_instant
+from tidelog.functions.times import EPOCH, ArgumentError, day_of, parse_instant
 from tidelog.schema import LOGS
-from tidelog.sources.logs import LAYOUT, read_logs, read_stored
+from tidelog.sources.logs import LAYOUT, files_at, list_days, read_logs, read_stored
 
 DAY = timedelta(days=1)
 #: Beside the days of a table; readers skip names that begin so.
@@ -49,31 +49,6 @@ def label(day: date) -> str:
     return f"logs_{day:%Y_%m_%d}"
 
 
-def day_of(name: str) -> date | None:
-    """The day of a label; None for other names and impossible dates."""
-    import re
-
-    if not re.fullmatch(r"logs_\d{4}_\d{2}_\d{2}", name, re.ASCII):
-        return None
-    try:
-        return date(int(name[5:9]), int(name[10:12]), int(name[13:15]))
-    except ValueError:
-        return None
-
-
-def _files(spark: SparkSession, path: str):
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
-
-
-def list_days(spark: SparkSession, path: str) -> list[date]:
-    """Days that the table has folders for, ascending; other names are ignored."""
-    files, place = _files(spark, path)
-    names = [x.getPath().getName() for x in files.listStatus(place)] if files.exists(place) else []
-    found = (day_of("logs_" + n[4:].replace("-", "_")) for n in names if n.startswith("day="))
-    return sorted(d for d in found if d)
-
-
 def kept(logs: DataFrame, at: datetime) -> DataFrame:
     """Rows that a cutoff keeps; the row at the cutoff itself is kept."""
     return logs.where((F.col("timestamp") >= F.lit(at)) & (F.col("day") >= F.lit(at.date())))
@@ -81,7 +56,7 @@ def kept(logs: DataFrame, at: datetime) -> DataFrame:
 
 def drop_expired_days(spark: SparkSession, path: str, at: datetime) -> list[str]:
     """Delete the folders of days that end at or before the cutoff; no rows are read. Labels in order."""
-    files, _ = _files(spark, path)
+    files, _ = files_at(spark, path)
     gone = [d for d in list_days(spark, path) if datetime(d.year, d.month, d.day, tzinfo=timezone.utc) + DAY <= at]
     for d in gone:
         files.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/day={d:%Y-%m-%d}"), True)
@@ -108,7 +83,7 @@ def recover(spark: SparkSession, path: str) -> None:
     A trim writes the day's survivors beside the table (``new``), moves the day's folder there (``old``), moves the survivors in, and deletes what is
     beside the table. Whatever it had come to, each row is in one of the three folders, and which are there says what is left to do.
     """
-    files, place = _files(spark, f"{path}/{STAGING}")
+    files, place = files_at(spark, f"{path}/{STAGING}")
     hadoop = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
     for found in files.listStatus(place) if files.exists(place) else []:
         name = found.getPath().getName()
@@ -134,7 +109,7 @@ def trim_cutoff_day(spark: SparkSession, path: str, at: datetime) -> int:
     old = rows.where(F.col("timestamp") < F.lit(at)).count()
     if not old:
         return 0
-    files, _ = _files(spark, path)
+    files, _ = files_at(spark, path)
     hadoop = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
     name = f"day={day:%Y-%m-%d}"
     folder, staging = f"{path}/{name}", f"{path}/{STAGING}/{name}"

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidelog.functions.attributes import normalized
 from tidelog.functions.cursor import page_token
 from tidelog.functions.times import BUCKETS, ArgumentError, day_label, day_of_label, micros_text
-from tidelog.operators import buckets, filters, paging, retention, summary, validate
+from tidelog.operators import admission, buckets, filters, paging, retention, summary, validate
 from tidelog.operators.filters import LogFilters
 from tidelog.operators.ids import assign_ids
 from tidelog.plans import raw
@@ -20,7 +20,7 @@ from tidelog.session import configure
 from tidelog.sources.logs import append_logs, from_events, read_logs
 from tidelog.sources.requests import request_documents, request_lines
 from tidelog.sources.synthetic import LEVELS, MESSAGES, SERVICES, synthetic_logs
-from tidelog.streaming.ingest import Places, committed, ingest_batch, ingest_stream, limited
+from tidelog.streaming.ingest import OVERLOADED, Places, committed, ingest_batch, ingest_stream, limited, publish_batch, read_reports, stage_batch, waiting
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -148,6 +148,36 @@ def page_next(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paging.page(logs(spark, sf_dir), LogFilters(), paging.PageSpec(25, ("2024-01-15T12:00:00.123456Z", 5000)))
 
 
+_stored: dict[tuple[str, str], str] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str) -> str:
+    """The place of the events as a log table, which is written once for a session."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _stored:
+        path, rows = new_path(spark, "table"), with_map(logs(spark, sf_dir))
+        append_logs(rows.withColumn("timestamp", F.col("timestamp").cast("timestamp")).withColumn("day", F.to_date("timestamp")), path, "run")
+        _stored[key] = path
+    configure(spark)
+    return _stored[key]
+
+
+@register("stored_page_first", f"{LOGS_SQL} {_PAGE} FROM logs WHERE service = 'svc-1' ORDER BY logs.timestamp DESC, id DESC LIMIT 100")
+def stored_page_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paging.stored_page(spark, stored(spark, sf_dir), LogFilters(service="svc-1"))
+
+
+@register("stored_page_next", f"{LOGS_SQL} {_PAGE} FROM logs WHERE (timestamp, id) < (TIMESTAMP '2024-01-15 12:00:00.123456', 5000) ORDER BY logs.timestamp DESC, id DESC LIMIT 25")
+def stored_page_next(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paging.stored_page(spark, stored(spark, sf_dir), LogFilters(), paging.PageSpec(25, ("2024-01-15T12:00:00.123456Z", 5000)))
+
+
+@register("stored_page_rare", f"{LOGS_SQL} {_PAGE} FROM logs WHERE level = 'warn' AND contains(lower(message), 'by user 7') AND json_extract_string(attributes, '$.k') = '42' ORDER BY logs.timestamp DESC, id DESC LIMIT 1000")
+def stored_page_rare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page whose rows are spread thinly over all days."""
+    return paging.stored_page(spark, stored(spark, sf_dir), LogFilters(level="warn", q="BY USER 7", attributes={"k": "42"}), paging.PageSpec(1000))
+
+
 @register("newest_first", f"{LOGS_SQL} SELECT id, {MICROS} AS timestamp, row_number() OVER (ORDER BY logs.timestamp DESC, id DESC) AS place FROM logs")
 def newest_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = paging.newest(logs(spark, sf_dir)).select(F.col("id").alias("log_id"), "timestamp")
@@ -344,6 +374,75 @@ def limited_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsed.groupBy(F.coalesce("refused", F.lit("taken")).alias("outcome")).agg(F.count("*").alias("requests"))
 
 
+_HOURS = "SELECT epoch(date_trunc('hour', ts))::BIGINT // 3600 AS seq, count(*) AS n FROM events GROUP BY 1"
+#: Entries of a micro-batch, and of all that may wait, for requests that are the events of an hour.
+_TOGETHER, _ROOM = 40, 200
+
+
+def _by_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hour = F.unix_seconds(F.date_trunc("hour", "ts").cast("timestamp")) / 3600
+    return events(spark, sf_dir).groupBy(hour.cast("long").alias("seq")).agg(F.count("*").alias("n"))
+
+
+@register("request_microbatches", f"""WITH RECURSIVE sizes AS (SELECT seq, n, row_number() OVER (ORDER BY seq) AS i FROM ({_HOURS})),
+    cut AS (SELECT seq, i, 1::BIGINT AS microbatch, n AS fill FROM sizes WHERE i = 1 UNION ALL
+      SELECT s.seq, s.i, CASE WHEN fill + n > {_TOGETHER} THEN microbatch + 1 ELSE microbatch END, CASE WHEN fill + n > {_TOGETHER} THEN n ELSE fill + n END FROM cut JOIN sizes s ON s.i = cut.i + 1)
+    SELECT seq, microbatch FROM cut""")
+def request_microbatches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole requests in groups of a bounded number of entries, larger ones alone; the partitions of the order are days here."""
+    sizes = _by_hour(spark, sf_dir)
+    shifted = (F.floor(F.col("seq") / 24) * (1 << admission.WITHIN) + F.col("seq") % 24).cast("long")
+    cut = admission.microbatches(sizes.withColumn("seq", shifted), _TOGETHER)
+    back = F.shiftright("seq", admission.WITHIN) * 24 + F.col("seq").bitwiseAND((1 << admission.WITHIN) - 1)
+    return cut.select(back.alias("seq"), "microbatch")
+
+
+@register("request_admission", f"""WITH RECURSIVE sizes AS (SELECT seq, n, row_number() OVER (ORDER BY seq) AS i FROM ({_HOURS})),
+    gone AS (SELECT seq, i, n > {_ROOM} AS over, CASE WHEN n > {_ROOM} THEN 0 ELSE n END AS used FROM sizes WHERE i = 1 UNION ALL
+      SELECT s.seq, s.i, used + n > {_ROOM}, CASE WHEN used + n > {_ROOM} THEN used ELSE used + n END FROM gone JOIN sizes s ON s.i = gone.i + 1)
+    SELECT seq FROM gone WHERE over""")
+def request_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The requests that don't fit into what may wait; later ones that are small enough do."""
+    sizes = _by_hour(spark, sf_dir)
+    shifted = (F.floor(F.col("seq") / 24) * (1 << admission.WITHIN) + F.col("seq") % 24).cast("long")
+    back = F.shiftright("seq", admission.WITHIN) * 24 + F.col("seq").bitwiseAND((1 << admission.WITHIN) - 1)
+    return admission.beyond(sizes.withColumn("seq", shifted), _ROOM).select(back.alias("seq"))
+
+
+_GOOD = f"SELECT event_id // 100 AS r, count(*) AS n FROM events WHERE event_id % {raw.EVERY} >= 14 GROUP BY 1"
+
+
+@register("ingest_waiting", f"""WITH good AS ({_GOOD}), more AS (SELECT n, sum(n) OVER (ORDER BY r) AS upto, (SELECT sum(n) FROM good) AS whole FROM good)
+    SELECT 'while one batch waits' AS at, count(*) AS requests, CAST((SELECT sum(n) FROM good) AS BIGINT) AS readable FROM more WHERE upto + whole > whole + 100
+    UNION ALL SELECT 'when it is published', 0, CAST(2 * (SELECT sum(n) FROM good) + sum(n) FILTER (upto <= 100) AS BIGINT) FROM more""")
+def ingest_waiting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch that isn't published takes room from the next, and none of it can be read; published, it takes none."""
+    bodies, places = raw.bodies(events(spark, sf_dir)).orderBy("request_id"), _places(spark)
+    ingest_batch(bodies, places, raw.NOW, "run", 0)
+    pending = stage_batch(bodies, places, raw.NOW, "run", 1)
+    readable = read_logs(spark, places.logs).count()
+    room = waiting(spark, places) + 100
+    ingest_batch(bodies, places, raw.NOW, "run", 2, most_logs=room)
+    publish_batch(spark, places, pending)
+    refused = F.count_if(F.col("error") == OVERLOADED).alias("requests")
+    second = spark.read.parquet(places.reports).where("batch_id = 2").agg(refused).select(F.lit("while one batch waits").alias("at"), "requests", F.lit(readable).cast("long").alias("readable"))
+    after = read_logs(spark, places.logs).agg(F.count("*").alias("readable")).select(F.lit("when it is published").alias("at"), F.lit(waiting(spark, places)).cast("long").alias("requests"), "readable")
+    return second.union(after)
+
+
+@register("ingest_microbatches", f"""WITH RECURSIVE good AS (SELECT event_id // 100 AS r, count(*) AS n, bool_or(CAST(ts AS DATE) < {_OPEN}) AS shut FROM events WHERE event_id % {raw.EVERY} >= 14 GROUP BY 1),
+    sizes AS (SELECT *, row_number() OVER (ORDER BY r) AS i FROM good),
+    cut AS (SELECT r, i, n, shut, 1 AS m, n AS fill FROM sizes WHERE i = 1 UNION ALL SELECT s.r, s.i, s.n, s.shut, CASE WHEN fill + s.n > 70 THEN m + 1 ELSE m END, CASE WHEN fill + s.n > 70 THEN s.n ELSE fill + s.n END FROM cut JOIN sizes s ON s.i = cut.i + 1),
+    failed AS (SELECT m, bool_or(shut) AS f FROM cut GROUP BY m)
+    SELECT CASE WHEN f THEN 'failed' ELSE 'ok' END AS status, count(*) AS requests, CAST(sum(CASE WHEN f THEN 0 ELSE n END) AS BIGINT) AS accepted FROM cut JOIN failed USING (m) GROUP BY 1""")
+def ingest_microbatches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row of a day that isn't open fails the requests of its micro-batch, and those alone."""
+    bodies, places = raw.bodies(events(spark, sf_dir)).orderBy("request_id"), _places(spark)
+    ingest_batch(bodies, places, raw.NOW, "run", 0, _POLICY, early_days="microbatch", logs_per_batch=70)
+    reports = read_reports(spark, places).where("accepted > 0 OR status = 'failed'")
+    return reports.groupBy("status").agg(F.count("*").alias("requests"), F.sum("accepted").alias("accepted"))
+
+
 @register("day_admission", "SELECT strftime(CAST(ts AS DATE), 'logs_%Y_%m_%d') AS label, CAST(ts AS DATE) BETWEEN DATE '2024-01-16' AND DATE '2024-02-01' AS open, count(*) AS rows FROM events GROUP BY ALL")
 def day_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The days of the rows, and whether the day window is open to them."""

@@ -91,7 +91,8 @@ def publish(spark: SparkSession, path: str, batch: Batch) -> Batch:
     """Let readers see a pending batch."""
     files, _ = _folder(spark, path)
     done = replace(batch, published=True)
-    if not files.rename(_file(spark, path, batch), _file(spark, path, done)):
+    pending = _file(spark, path, batch)
+    if not files.exists(pending) or not files.rename(pending, _file(spark, path, done)):
         raise OSError(f"batch {batch.batch_id} of {batch.run_id} is not pending")
     old = sorted((b for b in noted(spark, path) if b.published), key=lambda b: b.last)[:-KEPT]
     for b in old:

@@ -8,6 +8,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidelog.functions.times import day_of
 from tidelog.schema import LOGS, STORED
 from tidelog.sources import batches
 from tidelog.sources.batches import Batch
@@ -32,12 +33,31 @@ def without(rows: DataFrame, hidden: Iterable[tuple[str, int]]) -> DataFrame:
     return rows
 
 
-def read_logs(spark: SparkSession, path: str, days: Iterable[date] | None = None) -> DataFrame:
-    """The rows of published batches.
+def files_at(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def list_days(spark: SparkSession, path: str) -> list[date]:
+    """Days that the table has folders for, ascending; other names are ignored."""
+    files, place = files_at(spark, path)
+    names = [x.getPath().getName() for x in files.listStatus(place)] if files.exists(place) else []
+    found = (day_of("logs_" + n[4:].replace("-", "_")) for n in names if n.startswith("day="))
+    return sorted(d for d in found if d)
+
+
+def day_bytes(spark: SparkSession, path: str, day: date) -> int:
+    """The size of a day's files."""
+    files, place = files_at(spark, f"{path}/day={day:%Y-%m-%d}")
+    return files.getContentSummary(place).getLength()
+
+
+def read_logs(spark: SparkSession, path: str, days: Iterable[date] | None = None, at: list[Batch] | None = None) -> DataFrame:
+    """The rows of published batches; with ``at``, of those that had been published when :func:`batches.noted` gave that.
 
     Batches are looked up before and after the files: one that began or was published in between may have been listed in part, and is left out.
     """
-    before = batches.noted(spark, path)
+    before = batches.noted(spark, path) if at is None else at
     rows = read_stored(spark, path, days)
     after = batches.noted(spark, path)
     seen = {b.own for b in before if b.published}
