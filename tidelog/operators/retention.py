@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 
 from tidelog.functions.times import EPOCH, ArgumentError, day_of, parse_instant
 from tidelog.schema import LOGS
+from tidelog.sources import notes
 from tidelog.sources.logs import LAYOUT, files_at, list_days, read_logs, read_stored
 
 DAY = timedelta(days=1)
 #: Beside the days of a table; readers skip names that begin so.
-STAGING = "_trim"
+STAGING, PLAN = "_trim", "_plan"
 
 
 @dataclass(frozen=True)
@@ -54,71 +55,116 @@ def kept(logs: DataFrame, at: datetime) -> DataFrame:
     return logs.where((F.col("timestamp") >= F.lit(at)) & (F.col("day") >= F.lit(at.date())))
 
 
+def expired_days(spark: SparkSession, path: str, at: datetime) -> list[date]:
+    """Days of the table that end at or before the cutoff, ascending."""
+    return [d for d in list_days(spark, path) if datetime(d.year, d.month, d.day, tzinfo=timezone.utc) + DAY <= at]
+
+
 def drop_expired_days(spark: SparkSession, path: str, at: datetime) -> list[str]:
     """Delete the folders of days that end at or before the cutoff; no rows are read. Labels in order."""
     files, _ = files_at(spark, path)
-    gone = [d for d in list_days(spark, path) if datetime(d.year, d.month, d.day, tzinfo=timezone.utc) + DAY <= at]
+    gone = expired_days(spark, path, at)
     for d in gone:
         files.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/day={d:%Y-%m-%d}"), True)
     return [label(d) for d in gone]
 
 
 def _move(files, place, source: str, target: str) -> None:
+    """Move a file to a place whose folder may not be there yet; if it has been moved before, that is all right."""
+    if not files.exists(place(source)) and files.exists(place(target)):
+        return
+    files.mkdirs(place(target).getParent())
     if not files.rename(place(source), place(target)):
         raise OSError(f"{source} could not be moved to {target}")
 
 
-def _merge(files, place, source: str, target: str) -> None:
-    """Move a day's batches into the day's folder, which may have others by now."""
-    for run in files.listStatus(place(source)):
-        for batch in files.listStatus(run.getPath()):
-            into = f"{target}/{run.getPath().getName()}"
-            files.mkdirs(place(into))
-            _move(files, place, batch.getPath().toString(), f"{into}/{batch.getPath().getName()}")
-
+def _files_below(files, place, folder: str) -> list[str]:
+    """The data files below a folder, named from there."""
+    out, found = [], files.listFiles(place(folder), True) if files.exists(place(folder)) else None
+    top = files.makeQualified(place(folder)).toUri().getPath()
+    while found is not None and found.hasNext():
+        name = found.next().getPath().toUri().getPath().removeprefix(f"{top}/")
+        if not any(part.startswith(("_", ".")) for part in name.split("/")):
+            out.append(name)
+    return sorted(out)
 
-def recover(spark: SparkSession, path: str) -> None:
-    """Finish trims that were cut off.
 
-    A trim writes the day's survivors beside the table (``new``), moves the day's folder there (``old``), moves the survivors in, and deletes what is
-    beside the table. Whatever it had come to, each row is in one of the three folders, and which are there says what is left to do.
+def _swap(spark: SparkSession, path: str, name: str) -> int:
+    """Finish the trim of a day that has been decided: the files that it replaces go out, those that replace them come in. The rows that this deletes."""
+    files, _ = files_at(spark, path)
+    hadoop = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
+    staging = f"{path}/{STAGING}/{name}"
+    decided = notes.read(spark, f"{staging}/decided")
+    for f in decided["replaced"]:
+        _move(files, hadoop, f"{path}/{name}/{f}", f"{staging}/old/{f}")
+    for f in _files_below(files, hadoop, f"{staging}/new/{name}"):
+        _move(files, hadoop, f"{staging}/new/{name}/{f}", f"{path}/{name}/{f}")
+    if not _files_below(files, hadoop, f"{path}/{name}"):
+        files.delete(hadoop(f"{path}/{name}"), True)
+    return decided["deleted"]
+
+
+def recover(spark: SparkSession, path: str) -> dict[str, int]:
+    """Finish trims that were cut off; the rows that each of these days has lost by it. They are forgotten with :func:`forget`.
+
+    A trim writes what survives of the files that it replaces beside the table, decides with a note that names them, and moves files. Before the note
+    the day is as it was, and what is beside the table goes; after it, moving goes on where it stopped.
     """
     files, place = files_at(spark, f"{path}/{STAGING}")
-    hadoop = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
-    for found in files.listStatus(place) if files.exists(place) else []:
-        name = found.getPath().getName()
-        folder, staging = f"{path}/{name}", f"{path}/{STAGING}/{name}"
-        if files.exists(hadoop(f"{staging}/old")) and files.exists(hadoop(f"{staging}/new/{name}")):
-            _merge(files, hadoop, f"{staging}/new/{name}", folder)
-        # Without ``old`` the day is as it was; what was written beside it may be incomplete.
-        files.delete(hadoop(f"{staging}/new"), True)
-        files.delete(hadoop(staging), True)
+    found = {}
+    for day in files.listStatus(place) if files.exists(place) else []:
+        name = day.getPath().getName()
+        if notes.read(spark, f"{path}/{STAGING}/{name}/decided") is None:
+            forget(spark, path, name)
+        else:
+            found[name] = _swap(spark, path, name)
+    return found
 
 
-def trim_cutoff_day(spark: SparkSession, path: str, at: datetime) -> int:
-    """Delete the rows of the cutoff's day that are before it; the number deleted.
+def forget(spark: SparkSession, path: str, name: str) -> None:
+    """Delete what the trim of a day has left beside the table."""
+    files, place = files_at(spark, f"{path}/{STAGING}/{name}")
+    files.delete(place, True)
+
 
-    Overwriting a partition with no rows would leave it as it is, so folders are swapped. A trim that is cut off at any point loses nothing once
-    :func:`recover` has run, which this does first. Not while something else writes that day.
+def _decide(spark: SparkSession, path: str, at: datetime) -> str | None:
+    """Ready the trim of the cutoff's day, up to its note; the day's folder, or None if nothing in it is old.
+
+    A file's statistics say whether it holds anything old, so files that begin at the cutoff or later aren't read, and stay where they are.
     """
-    recover(spark, path)
     day = at.date()
     if day not in list_days(spark, path):
-        return 0
+        return None
+    name = f"day={day:%Y-%m-%d}"
     rows = read_stored(spark, path, [day])
-    old = rows.where(F.col("timestamp") < F.lit(at)).count()
+    old = rows.where(F.col("timestamp") < F.lit(at)).groupBy(F.col("_metadata.file_path").alias("f")).count().collect()
     if not old:
-        return 0
+        return None
     files, _ = files_at(spark, path)
-    hadoop = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
-    name = f"day={day:%Y-%m-%d}"
-    folder, staging = f"{path}/{name}", f"{path}/{STAGING}/{name}"
-    rows.where(F.col("timestamp") >= F.lit(at)).write.partitionBy(*LAYOUT).parquet(f"{staging}/new")
-    _move(files, hadoop, folder, f"{staging}/old")
-    if files.exists(hadoop(f"{staging}/new/{name}")):
-        _move(files, hadoop, f"{staging}/new/{name}", folder)
-    files.delete(hadoop(staging), True)
-    return old
+    staging, folder = f"{path}/{STAGING}/{name}", spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+    top = files.makeQualified(folder).toUri().getPath()
+    whole = [spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(r["f"])) for r in old]
+    replaced = [p.toUri().getPath().removeprefix(f"{top}/") for p in whole]
+    among = rows.where(F.col("_metadata.file_path").isin([r["f"] for r in old]) & (F.col("timestamp") >= F.lit(at)))
+    among.write.partitionBy(*LAYOUT).parquet(f"{staging}/new")
+    notes.write(spark, f"{staging}/decided", {"replaced": replaced, "deleted": sum(r["count"] for r in old)})
+    return name
+
+
+def trim_cutoff_day(spark: SparkSession, path: str, at: datetime) -> int:
+    """Delete the rows of the cutoff's day that are before it; the number deleted.
+
+    Only files that hold such rows are written anew, in their batches' folders. A trim that is cut off at any point loses nothing once :func:`recover` has run,
+    which this does first. Not while something else writes those files.
+    """
+    for name in recover(spark, path):
+        forget(spark, path, name)
+    name = _decide(spark, path, at)
+    if not name:
+        return 0
+    deleted = _swap(spark, path, name)
+    forget(spark, path, name)
+    return deleted
 
 
 def outside_window(logs: DataFrame, now: str, policy: Retention) -> DataFrame:
@@ -138,24 +184,61 @@ def admit(logs: DataFrame, now: str, policy: Retention) -> DataFrame:
 def maintain(spark: SparkSession, path: str, now: str, policy: Retention, known: list[date] | None = None) -> DataFrame:
     """One run: open days, drop expired ones, trim the cutoff's day; its report as one row.
 
-    A run that is cut off is completed by the next: that drops and trims whatever the earlier one was to, and has a later cutoff.
+    What a run means to do is noted before it does anything, and each step as it is done. A run that is cut off is finished by the next, whose
+    report has all that both did: days that either dropped, and rows that either deleted.
     Days need no folder to be open; those reported as created are the window's days beyond ``known`` (by default the days that have rows).
     """
-    recover(spark, path)
-    at = cutoff(now, policy)
+    folder, at = f"{path}/{PLAN}", cutoff(now, policy)
     first, last = day_window(now, policy)
     have = set(list_days(spark, path) if known is None else known)
-    created = [label(d) for d in (first + i * DAY for i in range((last - first).days + 1)) if d not in have]
-    dropped = drop_expired_days(spark, path, at)
-    deleted = trim_cutoff_day(spark, path, at)
+    before = notes.read(spark, folder) or {"created": [], "dropped": [], "deleted": 0, "trimmed": []}
+    plan = {
+        "created": sorted({*before["created"], *(label(d) for d in (first + i * DAY for i in range((last - first).days + 1)) if d not in have)}),
+        "dropped": sorted({*before["dropped"], *map(label, expired_days(spark, path, at))}),
+        "deleted": before["deleted"],
+        # Trims that are counted already; what they left may be there still.
+        "trimmed": before["trimmed"],
+    }
+    notes.write(spark, folder, plan)
+
+    def count(name: str, deleted: int) -> None:
+        if name not in plan["trimmed"]:
+            plan["deleted"] += deleted
+            plan["trimmed"] = [*plan["trimmed"], name]
+            notes.write(spark, folder, plan)
+        forget(spark, path, name)
+        plan["trimmed"] = [x for x in plan["trimmed"] if x != name]
+
+    for name, deleted in recover(spark, path).items():
+        count(name, deleted)
+    if before["trimmed"]:  # all that was left is gone now
+        plan["trimmed"] = []
+        notes.write(spark, folder, plan)
+    drop_expired_days(spark, path, at)
+    name = _decide(spark, path, at)
+    if name:
+        count(name, _swap(spark, path, name))
+    notes.clear(spark, folder)
     schema = "cutoff timestamp, createdPartitions array<string>, droppedPartitions array<string>, deletedCutoffRows long"
-    return spark.createDataFrame([(at, created, dropped, deleted)], schema)
+    return spark.createDataFrame([(at, plan["created"], plan["dropped"], plan["deleted"])], schema)
+
 
+def backfill_normalized(spark: SparkSession, path: str, target: str, days_at_once: int = 16) -> None:
+    """Rewrite a table to ``target`` with normalized attributes made anew; an empty object gives an empty map.
 
-def backfill_normalized(spark: SparkSession, path: str, target: str) -> None:
-    """Rewrite a table to ``target`` with normalized attributes made anew; an empty object gives an empty map."""
+    Days are rewritten in runs, which are noted in ``target`` as they are done: a backfill that was cut off goes on with the first that isn't.
+    """
     from tidelog.functions.attributes import normalized
 
-    rows = read_logs(spark, path)
+    folder, days = f"{target}/{PLAN}", list_days(spark, path)
+    done = notes.read(spark, folder) or []
+    left = [d for d in days if d.isoformat() not in done]
     empty = F.create_map().cast(LOGS["attributes_normalized"].dataType)
-    rows.withColumn("attributes_normalized", F.coalesce(normalized(F.col("attributes")), empty)).write.partitionBy(*LAYOUT).parquet(target)
+    for run in (left[i : i + days_at_once] for i in range(0, len(left), days_at_once)):
+        for d in run:
+            files, place = files_at(spark, f"{target}/day={d:%Y-%m-%d}")
+            files.delete(place, True)
+        rows = read_logs(spark, path, run).withColumn("attributes_normalized", F.coalesce(normalized(F.col("attributes")), empty))
+        rows.write.mode("append").partitionBy(*LAYOUT).parquet(target)
+        done = [*done, *(d.isoformat() for d in run)]
+        notes.write(spark, folder, done)
