@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.functions.times import BUCKETS, ArgumentError, bucket_start, seconds_text
-from tidelog.operators.filters import LogFilters, look_back, where
+from tidelog.functions.times import BUCKETS, DAY_MICROS, EPOCH, ArgumentError, Instant, bucket_start, seconds_text
+from tidelog.operators.filters import LogFilters, instant, look_back, where
+from tidelog.sources import batches
+from tidelog.sources.logs import MINUTE, list_days, read_counts, read_logs
 
 #: The largest count that a reader of JSON numbers gets exactly.
 MOST = (1 << 53) - 1
@@ -37,7 +39,10 @@ def exact(count: Column) -> Column:
 
 def _counted(found: DataFrame, spec: BucketSpec) -> DataFrame:
     group = [F.col(spec.group_by).alias("group")] if spec.group_by else []
-    counts = found.groupBy(bucket_start(F.col("timestamp"), spec.bucket).alias("at"), *group).agg(F.count("*").alias("n"))
+    return _shown(found.groupBy(bucket_start(F.col("timestamp"), spec.bucket).alias("at"), *group).agg(F.count("*").alias("n")), group)
+
+
+def _shown(counts: DataFrame, group: list[Column]) -> DataFrame:
     shown = F.col("group") if group else F.lit(None).cast("string").alias("group")
     out = counts.orderBy("at", *([F.asc_nulls_first("group")] if group else []))
     return out.select(seconds_text(F.timestamp_micros("at")).alias("start"), shown, exact(F.col("n")).alias("count"))
@@ -51,6 +56,34 @@ def bucket_counts(logs: DataFrame, filters: LogFilters, spec: BucketSpec) -> Dat
     return _counted(where(logs, filters), spec)
 
 
+def stored_bucket_counts(spark: SparkSession, path: str, filters: LogFilters, spec: BucketSpec) -> DataFrame:
+    """:func:`bucket_counts` of the table at ``path``, from its counts by minute; only what sticks out of whole minutes at either end is counted from logs.
+
+    Filters on attributes or messages need the logs themselves.
+    """
+    for name in ("since", "until"):
+        if getattr(filters, name) is None:
+            raise ArgumentError(f"{name} is required")
+    since, until = filters.since_at.micros, filters.until_at.micros
+    noted = batches.noted(spark, path)
+    between = lambda a, b: [d for d in list_days(spark, path) if a // DAY_MICROS <= (d - EPOCH.date()).days <= (b - 1) // DAY_MICROS] if a < b else []
+    if filters.attributes or filters.q is not None:
+        return bucket_counts(read_logs(spark, path, between(since, until), noted), filters, spec)
+    first, last = -(-since // MINUTE) * MINUTE, until // MINUTE * MINUTE
+    group = [F.col(spec.group_by).alias("group")] if spec.group_by else []
+    same = lambda rows: where(rows, replace(filters, since=None, until=None))
+    at = lambda ts: bucket_start(ts, spec.bucket).alias("at")
+    minutes = same(read_counts(spark, path, between(first, last), noted)).where((F.col("minute") >= first) & (F.col("minute") < last))
+    counts = minutes.groupBy(at(F.timestamp_micros("minute")), *group).agg(F.sum("n").alias("n"))
+    for a, b in {(since, min(first, until)), (max(last, since), until)}:
+        if a < b:
+            ends = read_logs(spark, path, between(a, b), noted)
+            kind = ends.schema["timestamp"].dataType
+            ends = same(ends).where((F.col("timestamp") >= instant(Instant(a), kind)) & (F.col("timestamp") < instant(Instant(b), kind)))
+            counts = counts.union(ends.groupBy(at(F.col("timestamp")), *group).agg(F.count("*").alias("n")))
+    return _shown(counts.groupBy("at", *(["group"] if group else [])).agg(F.sum("n").alias("n")), group)
+
+
 def recent_bucket_counts(logs: DataFrame, now: str, hours: int = 2, spec: BucketSpec = BucketSpec("5m", "service")) -> DataFrame:
     """The same over a look-back range without an upper bound."""
     return _counted(look_back(logs, now, hours), spec)

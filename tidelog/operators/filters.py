@@ -79,7 +79,7 @@ def day_bound(at: Instant) -> Column:
 
 def conditions(logs: DataFrame, filters: LogFilters) -> list[Column]:
     """The filters as conditions on ``logs``; bounds of time also bound the partition column ``day``, where there is one."""
-    kind, by_day = logs.schema["timestamp"].dataType, "day" in logs.columns
+    kind, by_day = logs.schema["timestamp"].dataType if filters.since_at or filters.until_at else None, "day" in logs.columns
     out = []
     if filters.service is not None:
         out.append(F.col("service") == F.lit(filters.service))

@@ -10,14 +10,13 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.functions.cursor import page_token
-from tidelog.functions.times import EPOCH, ArgumentError, Instant, micros_text, parse_instant
+from tidelog.functions.times import DAY_MICROS, EPOCH, ArgumentError, Instant, micros_text, parse_instant
 from tidelog.operators.filters import LogFilters, before_position, instant, look_back, where
 from tidelog.sources import batches
 from tidelog.sources.logs import day_bytes, list_days, read_logs
 
 DEFAULT_LIMIT, MAX_LIMIT = 100, 1000
 COLUMNS = ("id", "timestamp", "level", "service", "message", "attributes")
-DAY_MICROS = 86_400_000_000
 #: What a page reads of a day at first, about.
 SLICE_BYTES = 512 << 20
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidelog.functions.times import EPOCH, ArgumentError, day_of, parse_instant
 from tidelog.schema import LOGS
 from tidelog.sources import notes
-from tidelog.sources.logs import LAYOUT, files_at, list_days, read_logs, read_stored
+from tidelog.sources.logs import COUNTS, LAYOUT, files_at, list_days, read_logs, read_stored, write_counts
 
 DAY = timedelta(days=1)
 #: Beside the days of a table; readers skip names that begin so.
@@ -65,7 +65,8 @@ def drop_expired_days(spark: SparkSession, path: str, at: datetime) -> list[str]
     files, _ = files_at(spark, path)
     gone = expired_days(spark, path, at)
     for d in gone:
-        files.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/day={d:%Y-%m-%d}"), True)
+        for top in (path, f"{path}/{COUNTS}"):
+            files.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{top}/day={d:%Y-%m-%d}"), True)
     return [label(d) for d in gone]
 
 
@@ -95,12 +96,13 @@ def _swap(spark: SparkSession, path: str, name: str) -> int:
     hadoop = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
     staging = f"{path}/{STAGING}/{name}"
     decided = notes.read(spark, f"{staging}/decided")
-    for f in decided["replaced"]:
-        _move(files, hadoop, f"{path}/{name}/{f}", f"{staging}/old/{f}")
-    for f in _files_below(files, hadoop, f"{staging}/new/{name}"):
-        _move(files, hadoop, f"{staging}/new/{name}/{f}", f"{path}/{name}/{f}")
-    if not _files_below(files, hadoop, f"{path}/{name}"):
-        files.delete(hadoop(f"{path}/{name}"), True)
+    for kind, folder in (("new", f"{path}/{name}"), ("counts", f"{path}/{COUNTS}/{name}")):
+        for f in decided["replaced"][kind]:
+            _move(files, hadoop, f"{folder}/{f}", f"{staging}/old/{kind}/{f}")
+        for f in _files_below(files, hadoop, f"{staging}/{kind}/{name}"):
+            _move(files, hadoop, f"{staging}/{kind}/{name}/{f}", f"{folder}/{f}")
+        if not _files_below(files, hadoop, folder):
+            files.delete(hadoop(folder), True)
     return decided["deleted"]
 
 
@@ -147,7 +149,10 @@ def _decide(spark: SparkSession, path: str, at: datetime) -> str | None:
     replaced = [p.toUri().getPath().removeprefix(f"{top}/") for p in whole]
     among = rows.where(F.col("_metadata.file_path").isin([r["f"] for r in old]) & (F.col("timestamp") >= F.lit(at)))
     among.write.partitionBy(*LAYOUT).parquet(f"{staging}/new")
-    notes.write(spark, f"{staging}/decided", {"replaced": replaced, "deleted": sum(r["count"] for r in old)})
+    # The day is counted anew, from four columns of it.
+    write_counts(rows.where(F.col("timestamp") >= F.lit(at)), f"{staging}/counts")
+    counted = _files_below(files, lambda p: spark._jvm.org.apache.hadoop.fs.Path(p), f"{path}/{COUNTS}/{name}")
+    notes.write(spark, f"{staging}/decided", {"replaced": {"new": replaced, "counts": counted}, "deleted": sum(r["count"] for r in old)})
     return name
 
 
@@ -236,9 +241,11 @@ def backfill_normalized(spark: SparkSession, path: str, target: str, days_at_onc
     empty = F.create_map().cast(LOGS["attributes_normalized"].dataType)
     for run in (left[i : i + days_at_once] for i in range(0, len(left), days_at_once)):
         for d in run:
-            files, place = files_at(spark, f"{target}/day={d:%Y-%m-%d}")
-            files.delete(place, True)
+            for top in (target, f"{target}/{COUNTS}"):
+                files, place = files_at(spark, f"{top}/day={d:%Y-%m-%d}")
+                files.delete(place, True)
         rows = read_logs(spark, path, run).withColumn("attributes_normalized", F.coalesce(normalized(F.col("attributes")), empty))
         rows.write.mode("append").partitionBy(*LAYOUT).parquet(target)
+        write_counts(rows, f"{target}/{COUNTS}")
         done = [*done, *(d.isoformat() for d in run)]
         notes.write(spark, folder, done)

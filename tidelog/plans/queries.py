@@ -178,6 +178,30 @@ def stored_page_rare(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paging.stored_page(spark, stored(spark, sf_dir), LogFilters(level="warn", q="BY USER 7", attributes={"k": "42"}), paging.PageSpec(1000))
 
 
+def _stored_buckets() -> None:
+    since, until = "2024-01-05T07:12:30.250000Z", "2024-01-20T12:30:59.999999Z"
+    sql_range = "timestamp >= TIMESTAMP '2024-01-05 07:12:30.25' AND timestamp < TIMESTAMP '2024-01-20 12:30:59.999999'"
+    for bucket, width, group in (("1m", "1 minute", None), ("5m", "5 minutes", "service"), ("1h", "1 hour", "level"), ("1d", "1 day", "service")):
+        sql = f"""{LOGS_SQL} SELECT strftime(time_bucket(INTERVAL '{width}', timestamp, TIMESTAMP '1970-01-01'), '%Y-%m-%dT%H:%M:%SZ') AS start,
+          {group or "CAST(NULL AS VARCHAR)"} AS "group", count(*) AS count FROM logs WHERE {sql_range} AND level <> 'debug' GROUP BY ALL"""
+
+        def query(spark: SparkSession, sf_dir: str, bucket: str = bucket, group: str | None = group) -> DataFrame:
+            """Whole minutes from the counts of the table, the ends from its logs; a level at a time, as filters have no more."""
+            found = [buckets.stored_bucket_counts(spark, stored(spark, sf_dir), LogFilters(level=level, since=since, until=until), buckets.BucketSpec(bucket, group)) for level in ("info", "warn", "error")]
+            return found[0].union(found[1]).union(found[2]).groupBy("start", "group").agg(F.sum("count").alias("count"))
+
+        register(f"stored_bucket_{bucket}" + (f"_{group}" if group else ""), sql)(query)
+
+
+_stored_buckets()
+
+
+@register("stored_bucket_all", f"""{LOGS_SQL} SELECT strftime(time_bucket(INTERVAL '5 minutes', timestamp, TIMESTAMP '1970-01-01'), '%Y-%m-%dT%H:%M:%SZ') AS start, service AS "group", count(*) AS count FROM logs WHERE {RANGE} GROUP BY ALL""")
+def stored_bucket_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of ``bucket_5m_service``, from counts by minute alone."""
+    return buckets.stored_bucket_counts(spark, stored(spark, sf_dir), LogFilters(since=SINCE, until=UNTIL), buckets.BucketSpec("5m", "service"))
+
+
 @register("newest_first", f"{LOGS_SQL} SELECT id, {MICROS} AS timestamp, row_number() OVER (ORDER BY logs.timestamp DESC, id DESC) AS place FROM logs")
 def newest_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = paging.newest(logs(spark, sf_dir)).select(F.col("id").alias("log_id"), "timestamp")

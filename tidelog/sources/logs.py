@@ -1,12 +1,14 @@
-"""The log table: Parquet in folders by day, and by the run and batch that wrote them."""
+"""The log table: Parquet in folders by day, and by the run and batch that wrote them; beside it, in folders of the same kind, its counts by minute."""
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidelog.functions.times import day_of
 from tidelog.schema import LOGS, STORED
@@ -15,15 +17,20 @@ from tidelog.sources.batches import Batch
 
 #: A batch that is written again replaces its own folders and nothing else.
 LAYOUT = ("day", "run_id", "batch_id")
+#: Beside the days of a table; readers of logs skip names that begin so.
+COUNTS = "_counts"
+COUNTED = T.StructType([T.StructField("minute", T.LongType()), T.StructField("service", T.StringType()), T.StructField("level", T.StringType()), T.StructField("n", T.LongType()), *(STORED[c] for c in LAYOUT)])
+MINUTE = 60_000_000
 
 
-def read_stored(spark: SparkSession, path: str, days: Iterable[date] | None = None) -> DataFrame:
-    """All rows, those of pending batches too; with ``days``, only the folders of these are listed."""
-    reader = spark.read.schema(STORED)
+def read_stored(spark: SparkSession, path: str, days: Iterable[date] | None = None, schema: T.StructType = STORED) -> DataFrame:
+    """All rows, those of pending batches too; with ``days``, only the folders of these are listed, and one that isn't there has no rows."""
+    reader = spark.read.schema(schema)
     if days is None:
         return reader.parquet(path)
-    folders = [f"{path}/day={d:%Y-%m-%d}" for d in days]
-    return reader.option("basePath", path).parquet(*folders) if folders else spark.createDataFrame([], STORED)
+    there = set(list_days(spark, path))
+    folders = [f"{path}/day={d:%Y-%m-%d}" for d in days if d in there]
+    return reader.option("basePath", path).parquet(*folders) if folders else spark.createDataFrame([], schema)
 
 
 def without(rows: DataFrame, hidden: Iterable[tuple[str, int]]) -> DataFrame:
@@ -52,26 +59,54 @@ def day_bytes(spark: SparkSession, path: str, day: date) -> int:
     return files.getContentSummary(place).getLength()
 
 
-def read_logs(spark: SparkSession, path: str, days: Iterable[date] | None = None, at: list[Batch] | None = None) -> DataFrame:
-    """The rows of published batches; with ``at``, of those that had been published when :func:`batches.noted` gave that.
+def _published(spark: SparkSession, path: str, read: Callable[[], DataFrame], at: list[Batch] | None) -> DataFrame:
+    """What ``read`` lists of published batches.
 
     Batches are looked up before and after the files: one that began or was published in between may have been listed in part, and is left out.
     """
     before = batches.noted(spark, path) if at is None else at
-    rows = read_stored(spark, path, days)
+    rows = read()
     after = batches.noted(spark, path)
     seen = {b.own for b in before if b.published}
     return without(rows, {b.own for b in (*before, *after) if not b.published} | {b.own for b in after if b.own not in seen})
 
 
+def read_logs(spark: SparkSession, path: str, days: Iterable[date] | None = None, at: list[Batch] | None = None) -> DataFrame:
+    """The rows of published batches; with ``at``, of those that had been published when :func:`batches.noted` gave that."""
+    return _published(spark, path, lambda: read_stored(spark, path, days), at)
+
+
+def read_counts(spark: SparkSession, path: str, days: Iterable[date], at: list[Batch] | None = None) -> DataFrame:
+    """``(minute, service, level, n, ...)``: the logs of published batches by minute, in microseconds since 1970, as each batch has counted them."""
+    return _published(spark, path, lambda: read_stored(spark, f"{path}/{COUNTS}", days, COUNTED), at)
+
+
+def minute_of(ts: Column) -> Column:
+    micros = F.unix_micros(ts.cast("timestamp"))
+    return micros - F.pmod(micros, F.lit(MINUTE))
+
+
+def write_counts(rows: DataFrame, path: str) -> None:
+    """Write the counts of rows of the table to their batches' folders."""
+    counts = rows.groupBy(*LAYOUT, minute_of(F.col("timestamp")).alias("minute"), "service", "level").agg(F.count("*").alias("n"))
+    counts.select(*COUNTED.fieldNames()).hint("rebalance", "day").write.mode("append").partitionBy(*LAYOUT).parquet(path)
+
+
 def write_logs(logs: DataFrame, path: str, run_id: str, batch_id: int = 0) -> None:
-    """Write the rows of a batch to its folders. No rows are no change.
+    """Write the rows of a batch to its folders, and their counts. No rows are no change.
 
     Rows are rebalanced by day, which splits a day that holds most of them, and sorted so that row groups can be skipped by service and time.
     """
     rows = logs.select(*LOGS.fieldNames()).withColumns({"run_id": F.lit(run_id), "batch_id": F.lit(batch_id).cast("long")})
     laid_out = rows.hint("rebalance", "day").sortWithinPartitions(*LAYOUT, "service", "timestamp")
-    laid_out.write.mode("append").partitionBy(*LAYOUT).parquet(path)
+    at_once(lambda: laid_out.write.mode("append").partitionBy(*LAYOUT).parquet(path), lambda: write_counts(rows, f"{path}/{COUNTS}"))
+
+
+def at_once(*jobs: Callable[[], None]) -> None:
+    """Run jobs that don't need each other side by side; when all have ended, the first failure is raised."""
+    with ThreadPoolExecutor(len(jobs)) as pool:
+        for done in [pool.submit(job) for job in jobs]:
+            done.result()
 
 
 def append_logs(logs: DataFrame, path: str, run_id: str, batch_id: int = 0) -> None:
@@ -92,6 +127,8 @@ def drop_batch(spark: SparkSession, path: str, run_id: str, batch_id: int) -> No
     days = [x.getPath() for x in files.listStatus(top) if x.getPath().getName().startswith("day=")] if files.exists(top) else []
     for folder in (top, *days):
         files.delete(jvm.org.apache.hadoop.fs.Path(folder, own), True)
+    if files.exists(counts := jvm.org.apache.hadoop.fs.Path(top, COUNTS)):
+        drop_batch(spark, counts.toString(), run_id, batch_id)
 
 
 def from_events(events: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ from tidelog.schema import LOGS
 from tidelog.scratch import Scope
 from tidelog.sources import batches
 from tidelog.sources.batches import Batch
-from tidelog.sources.logs import drop_batch, read_logs, without, write_logs
+from tidelog.sources.logs import at_once, drop_batch, read_logs, without, write_logs
 
 OVERLOADED = "too many logs are waiting"
 SHUT = "timestamp is outside the days that are kept"
@@ -132,9 +132,11 @@ def stage_batch(bodies: DataFrame, places: Places, now: str, run_id: str, batch_
         pending = batches.begin(spark, places.logs, Batch(run_id, batch_id, base, count, now, written))
         for place in (places.reports, places.rejected, places.logs):
             drop_batch(spark, place, run_id, batch_id)
-        write_logs(logs.withColumn("id", F.col("id") + F.lit(base)), places.logs, run_id, batch_id)
-        _write(validate.refusals(refused), places.rejected, run_id, batch_id)
-        _write(validate.outcomes(requests), places.reports, run_id, batch_id)
+        at_once(
+            lambda: write_logs(logs.withColumn("id", F.col("id") + F.lit(base)), places.logs, run_id, batch_id),
+            lambda: _write(validate.refusals(refused), places.rejected, run_id, batch_id),
+            lambda: _write(validate.outcomes(requests), places.reports, run_id, batch_id),
+        )
     return pending
 
 
