@@ -228,7 +228,7 @@ def test_a_maintenance_that_is_cut_off_is_reported_whole(spark, tmp_path, monkey
     if not done:
         assert (report["createdPartitions"], report["droppedPartitions"], report["deletedCutoffRows"]) == (["logs_2026_08_12"], ["logs_2026_08_07", "logs_2026_08_08"], 1)
     assert sorted(r["id"] for r in read_logs(spark, path).collect()) == [3]
-    assert sorted(p.name for p in (tmp_path / "t").iterdir() if p.name[0] == "_" and p.name not in ("_SUCCESS", "_batches", "_trim")) == []
+    assert sorted(p.name for p in (tmp_path / "t").iterdir() if p.name[0] == "_" and p.name not in ("_SUCCESS", "_batches", "_counts", "_trim")) == []
     assert not any((tmp_path / "t" / retention.STAGING).glob("*"))
 
 
