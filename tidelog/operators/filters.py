@@ -91,8 +91,10 @@ def conditions(logs: DataFrame, filters: LogFilters) -> list[Column]:
     if filters.until_at:
         out.append(F.col("timestamp") < instant(filters.until_at, kind))
         out += [F.col("day") <= day_bound(filters.until_at)] * by_day
+    # A stored table may have columns for some attributes, which a scan can skip row groups by.
+    own = {f.metadata["attribute"]: f.name for f in logs.schema if "attribute" in (f.metadata or {})} if filters.attributes else {}
     for key, value in filters.attributes:
-        out.append(F.col("attributes_normalized")[F.lit(key)] == F.lit(value))
+        out.append((F.col(own[key]) if key in own else F.col("attributes_normalized")[F.lit(key)]) == F.lit(value))
     if filters.q is not None:
         out.append(F.contains(F.lower("message"), F.lower(F.lit(filters.q))))
     return out

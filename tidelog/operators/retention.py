@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from tidelog.functions.times import EPOCH, ArgumentError, day_of, parse_instant
 from tidelog.schema import LOGS
 from tidelog.sources import notes
-from tidelog.sources.logs import COUNTS, LAYOUT, files_at, list_days, read_logs, read_stored, write_counts
+from tidelog.sources.files import files_at
+from tidelog.sources.logs import COUNTS, key_columns, list_days, promote, read_logs, read_stored, write_counts, write_rows
 
 DAY = timedelta(days=1)
 #: Beside the days of a table; readers skip names that begin so.
@@ -148,7 +149,10 @@ def _decide(spark: SparkSession, path: str, at: datetime) -> str | None:
     whole = [spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(r["f"])) for r in old]
     replaced = [p.toUri().getPath().removeprefix(f"{top}/") for p in whole]
     among = rows.where(F.col("_metadata.file_path").isin([r["f"] for r in old]) & (F.col("timestamp") >= F.lit(at)))
-    among.write.partitionBy(*LAYOUT).parquet(f"{staging}/new")
+    keys = [f.metadata["attribute"] for f in key_columns(spark, path)]
+    if keys:
+        promote(spark, f"{staging}/new", keys)
+    write_rows(among, f"{staging}/new")
     # The day is counted anew, from four columns of it.
     write_counts(rows.where(F.col("timestamp") >= F.lit(at)), f"{staging}/counts")
     counted = _files_below(files, lambda p: spark._jvm.org.apache.hadoop.fs.Path(p), f"{path}/{COUNTS}/{name}")
@@ -228,8 +232,8 @@ def maintain(spark: SparkSession, path: str, now: str, policy: Retention, known:
     return spark.createDataFrame([(at, plan["created"], plan["dropped"], plan["deleted"])], schema)
 
 
-def backfill_normalized(spark: SparkSession, path: str, target: str, days_at_once: int = 16) -> None:
-    """Rewrite a table to ``target`` with normalized attributes made anew; an empty object gives an empty map.
+def backfill_normalized(spark: SparkSession, path: str, target: str, days_at_once: int = 16, keys: tuple[str, ...] = ()) -> None:
+    """Rewrite a table to ``target`` with normalized attributes made anew; an empty object gives an empty map. ``keys`` get columns there (:func:`logs.promote`).
 
     Days are rewritten in runs, which are noted in ``target`` as they are done: a backfill that was cut off goes on with the first that isn't.
     """
@@ -238,6 +242,8 @@ def backfill_normalized(spark: SparkSession, path: str, target: str, days_at_onc
     folder, days = f"{target}/{PLAN}", list_days(spark, path)
     done = notes.read(spark, folder) or []
     left = [d for d in days if d.isoformat() not in done]
+    if keys and not list_days(spark, target):
+        promote(spark, target, keys)
     empty = F.create_map().cast(LOGS["attributes_normalized"].dataType)
     for run in (left[i : i + days_at_once] for i in range(0, len(left), days_at_once)):
         for d in run:
@@ -245,7 +251,7 @@ def backfill_normalized(spark: SparkSession, path: str, target: str, days_at_onc
                 files, place = files_at(spark, f"{top}/day={d:%Y-%m-%d}")
                 files.delete(place, True)
         rows = read_logs(spark, path, run).withColumn("attributes_normalized", F.coalesce(normalized(F.col("attributes")), empty))
-        rows.write.mode("append").partitionBy(*LAYOUT).parquet(target)
+        write_rows(rows, target)
         write_counts(rows, f"{target}/{COUNTS}")
         done = [*done, *(d.isoformat() for d in run)]
         notes.write(spark, folder, done)

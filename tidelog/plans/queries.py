@@ -17,7 +17,7 @@ from tidelog.operators.ids import assign_ids
 from tidelog.plans import raw
 from tidelog.scratch import new_path
 from tidelog.session import configure
-from tidelog.sources.logs import append_logs, from_events, read_logs
+from tidelog.sources.logs import append_logs, from_events, promote, read_logs
 from tidelog.sources.requests import request_documents, request_lines
 from tidelog.sources.synthetic import LEVELS, MESSAGES, SERVICES, synthetic_logs
 from tidelog.streaming.ingest import OVERLOADED, Places, committed, ingest_batch, ingest_stream, limited, publish_batch, read_reports, stage_batch, waiting
@@ -156,6 +156,7 @@ def stored(spark: SparkSession, sf_dir: str) -> str:
     key = spark.sparkContext.applicationId, sf_dir
     if key not in _stored:
         path, rows = new_path(spark, "table"), with_map(logs(spark, sf_dir))
+        promote(spark, path, ["k"])
         append_logs(rows.withColumn("timestamp", F.col("timestamp").cast("timestamp")).withColumn("day", F.to_date("timestamp")), path, "run")
         _stored[key] = path
     configure(spark)
@@ -178,6 +179,13 @@ def stored_page_rare(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paging.stored_page(spark, stored(spark, sf_dir), LogFilters(level="warn", q="BY USER 7", attributes={"k": "42"}), paging.PageSpec(1000))
 
 
+@register("stored_attr_equals", f"{LOGS_SQL} SELECT id, {MICROS} AS timestamp, service FROM logs WHERE json_extract_string(attributes, '$.k') = '42' AND level = 'warn'")
+def stored_attr_equals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An attribute that the table has a column for; its map isn't read."""
+    found = filters.where(read_logs(spark, stored(spark, sf_dir)), LogFilters(level="warn", attributes={"k": "42"}))
+    return found.select("id", micros_text(F.col("timestamp")).alias("timestamp"), "service")
+
+
 def _stored_buckets() -> None:
     since, until = "2024-01-05T07:12:30.250000Z", "2024-01-20T12:30:59.999999Z"
     sql_range = "timestamp >= TIMESTAMP '2024-01-05 07:12:30.25' AND timestamp < TIMESTAMP '2024-01-20 12:30:59.999999'"

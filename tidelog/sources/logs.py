@@ -12,8 +12,9 @@ from pyspark.sql import types as T
 
 from tidelog.functions.times import day_of
 from tidelog.schema import LOGS, STORED
-from tidelog.sources import batches
+from tidelog.sources import batches, notes
 from tidelog.sources.batches import Batch
+from tidelog.sources.files import files_at
 
 #: A batch that is written again replaces its own folders and nothing else.
 LAYOUT = ("day", "run_id", "batch_id")
@@ -21,10 +22,28 @@ LAYOUT = ("day", "run_id", "batch_id")
 COUNTS = "_counts"
 COUNTED = T.StructType([T.StructField("minute", T.LongType()), T.StructField("service", T.StringType()), T.StructField("level", T.StringType()), T.StructField("n", T.LongType()), *(STORED[c] for c in LAYOUT)])
 MINUTE = 60_000_000
+#: Beside the days: attributes that have a column of their own.
+KEYS = "_keys"
 
 
-def read_stored(spark: SparkSession, path: str, days: Iterable[date] | None = None, schema: T.StructType = STORED) -> DataFrame:
+def key_columns(spark: SparkSession, path: str) -> list[T.StructField]:
+    """The columns of attributes that have one; each says in its metadata which attribute it is."""
+    return [T.StructField(f"attribute_{i}", T.StringType(), metadata={"attribute": key}) for i, key in enumerate(notes.read(spark, f"{path}/{KEYS}") or ())]
+
+
+def promote(spark: SparkSession, path: str, keys: Iterable[str]) -> None:
+    """Give attributes a column of their own in a table that has no rows yet (:func:`retention.backfill_normalized` moves rows to such a table).
+
+    Filters on them then read that column alone, and skip row groups that can't have the value.
+    """
+    if list_days(spark, path):
+        raise ValueError("a table that has rows can't be given columns")
+    notes.write(spark, f"{path}/{KEYS}", list(dict.fromkeys(keys)))
+
+
+def read_stored(spark: SparkSession, path: str, days: Iterable[date] | None = None, schema: T.StructType | None = None) -> DataFrame:
     """All rows, those of pending batches too; with ``days``, only the folders of these are listed, and one that isn't there has no rows."""
+    schema = schema or T.StructType([*LOGS.fields[:-1], *key_columns(spark, path), *STORED.fields[len(LOGS.fields) - 1 :]])
     reader = spark.read.schema(schema)
     if days is None:
         return reader.parquet(path)
@@ -40,11 +59,6 @@ def without(rows: DataFrame, hidden: Iterable[tuple[str, int]]) -> DataFrame:
     return rows
 
 
-def files_at(spark: SparkSession, path: str):
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
-
-
 def list_days(spark: SparkSession, path: str) -> list[date]:
     """Days that the table has folders for, ascending; other names are ignored."""
     files, place = files_at(spark, path)
@@ -99,7 +113,17 @@ def write_logs(logs: DataFrame, path: str, run_id: str, batch_id: int = 0) -> No
     """
     rows = logs.select(*LOGS.fieldNames()).withColumns({"run_id": F.lit(run_id), "batch_id": F.lit(batch_id).cast("long")})
     laid_out = rows.hint("rebalance", "day").sortWithinPartitions(*LAYOUT, "service", "timestamp")
-    at_once(lambda: laid_out.write.mode("append").partitionBy(*LAYOUT).parquet(path), lambda: write_counts(rows, f"{path}/{COUNTS}"))
+    at_once(lambda: write_rows(laid_out, path), lambda: write_counts(rows, f"{path}/{COUNTS}"))
+
+
+def write_rows(rows: DataFrame, path: str) -> None:
+    """Append rows that have all columns of the layout, with the columns of attributes that the table has."""
+    keys = key_columns(rows.sparkSession, path)
+    shown = [*LOGS.fieldNames()[:-1], *LAYOUT]
+    writer = rows.select(*shown, *[F.col("attributes_normalized")[F.lit(f.metadata["attribute"])].alias(f.name) for f in keys]).write.mode("append").partitionBy(*LAYOUT)
+    for f in keys:
+        writer = writer.option(f"parquet.bloom.filter.enabled#{f.name}", "true")
+    writer.parquet(path)
 
 
 def at_once(*jobs: Callable[[], None]) -> None:

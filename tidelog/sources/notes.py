@@ -7,7 +7,7 @@ from typing import Any
 
 from pyspark.sql import SparkSession
 
-from tidelog.sources.logs import files_at
+from tidelog.sources.files import files_at
 
 
 def _numbers(files, place) -> list[int]:
