@@ -179,6 +179,27 @@ def test_licence_files_however_they_are_wrapped(spark, width):
     assert [(r["doc_id"], r["license"]) for r in sorted(scanned(spark, rows))] == [(i, n) for i, (n, _) in enumerate(whole)]
 
 
+def test_what_source_files_say(spark):
+    mit = next(t for n, t in known_licenses.TEXTS if n == "MIT" and len(t) > 500)
+    apache = 'Licensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law'
+    gpl = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version."
+    comment = lambda mark, text: "\n".join(f"{mark} {x}" for x in text.split("\n"))
+    rows = [
+        (1, "MIT License\n\nCopyright The Kubernetes Authors.\n\n" + mit),
+        (2, "// SPDX-License-Identifier: MIT\npackage main"),
+        (3, "/*\n" + comment(" *", apache) + "\n */\nint main() {}"),
+        (4, comment("#", "Copyright Some Person\n\n" + gpl) + "\n\nimport os"),
+        (5, "# SPDX-License-Identifier: GPL-2.0-or-later"),
+        (6, "copyright notice\nand nothing else of note"),
+        (7, "Copyright\ncopyright holders"),
+        (8, "SPDX-License-Identifier: made up"),
+        (9, apache.replace("Version 2.0", "Version 2.1")),
+        (10, "one line\n\n\n" + mit[:80] + "\n" + mit[80:] + "\n\nanother"),
+    ]
+    found = {r["doc_id"]: (r["license"], r["line_licenses"]) for r in scanned(spark, rows)}
+    assert found == {1: ("MIT", ["MIT"]), 2: (None, ["MIT"]), 3: (None, ["Apache-2.0"]), 4: (None, ["GPL-3.0"]), 5: ("GPL-2.0", ["GPL-2.0"]), 6: (None, []), 7: (None, []), 8: (None, []), 9: (None, []), 10: (None, ["MIT"])}
+
+
 @pytest.mark.skipif(not Path("/usr/share/common-licenses/GPL-3").exists(), reason="no licence files here")
 def test_digests_of_whole_texts(spark):
     names = {"Apache-2.0": "Apache-2.0", "BSD": "BSD-3-Clause", "CC0-1.0": "CC0-1.0", "GFDL-1.2": "GFDL-1.2", "GFDL-1.3": "GFDL-1.3", "GPL-1": "GPL-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2": "LGPL-2.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0", "Artistic": "Artistic-1.0-Perl"}

@@ -152,6 +152,37 @@ TEXTS = (
     ),
 )
 
+# The paragraphs that source files begin with, and the line by which they name a licence.
+_APACHE_END = 'the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at'
+_GNU = "{what} is free software{mark} you can redistribute it and/or modify it under the terms of the GNU {kind}General Public License as published by the Free Software Foundation{how} version {n} of the License{later}."
+HEADERS = (
+    ("Apache-2.0", f"Licensed under {_APACHE_END}"),
+    ("Apache-2.0", f"Licensed under {_APACHE_END} http://www.apache.org/licenses/LICENSE-2.0"),
+    (
+        "Apache-2.0",
+        "Licensed to the Apache Software Foundation (ASF) under one or more contributor license agreements. See the NOTICE file distributed with this work for additional information regarding copyright ownership. "
+        f"The ASF licenses this file to You under {_APACHE_END}",
+    ),
+    (
+        "MPL-2.0",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    ),
+    *(
+        (f"{name}-{version}", _GNU.format(what=what, mark=mark, kind=kind, how=how, n=n, later=later))
+        for name, kind, versions in (("GPL", "", (("2.0", "2"), ("3.0", "3"))), ("LGPL", "Lesser ", (("2.1", "2.1"), ("3.0", "3"))), ("AGPL", "Affero ", (("3.0", "3"),)))
+        for version, n in versions
+        for what in ("This program", "This library")
+        for mark in (";", ":")
+        for how, later in ((", either", ", or (at your option) any later version"), (";", ""), (",", ""))
+    ),
+)
+_SPDX = (
+    *("0BSD", "AGPL-3.0", "Apache-2.0", "Artistic-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-SA-4.0", "CC0-1.0", "EPL-2.0"),
+    *("GFDL-1.2", "GFDL-1.3", "GPL-1.0", "GPL-2.0", "GPL-3.0", "ISC", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "MIT", "MIT-0", "MPL-1.1", "MPL-2.0", "Unlicense", "WTFPL", "Zlib"),
+)
+_VARIANTS = {"AGPL", "GFDL", "GPL", "LGPL"}
+IDENTIFIERS = tuple((name, f"SPDX-License-Identifier: {name}{more}") for name in _SPDX for more in (("", "-only", "-or-later", "+") if name.split("-")[0] in _VARIANTS else ("",)))
+
 # Digests of the canonical form of whole texts, as their publishers distribute them.
 DIGESTS: tuple[tuple[str, str], ...] = (
     ("Apache-2.0", "616beafc01d122b7fa90c42ab6fb5928871fd932cf7d4f8acfd9393299e0e712"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidelog.llm.known_licenses import DIGESTS, EQUIVALENT, TEXTS, TITLES
+from tidelog.llm.known_licenses import DIGESTS, EQUIVALENT, HEADERS, IDENTIFIERS, TEXTS, TITLES
 
 
 def _text(x: str) -> str:
@@ -65,30 +65,43 @@ SELECT doc_id, size, source_size, target, (size * (floor(rate) + CASE WHEN draw
 _SPELLED = "MAP {" + ", ".join(f"{_text(a)}: {_text(b)}" for a, b in EQUIVALENT) + "}"
 
 
-def _lines(text: str) -> str:
-    """The canonical lines of a text: words are found and mapped one by one."""
+def _canonical(text: str) -> str:
+    """The canonical lines of a text, empty where there are no words to keep: words are found and mapped one by one."""
     after = r"[^\p{L}\p{N}]*([©<{\[]|c\)|[0-9]|by[^\p{L}\p{N}])|.*(19|20)[0-9][0-9]|.*(inc|llc|ltd|corporation|foundation)[^\p{L}\p{N}]*$"
     begins = rf"regexp_matches(l, '^[^\p{{L}}\p{{N}}©(]*(copyright({after})|\(c\)[^\p{{L}}\p{{N}}]*(copyright|[0-9][0-9][0-9][0-9])|©)')"
     reserved = r"regexp_matches(l, '^[^\p{L}\p{N}]*all rights reserved[^\p{L}\p{N}]*$')"
-    lines = f"list_filter(string_split(lower(coalesce({text}, '')), chr(10)), lambda l: NOT {begins} AND NOT {reserved})"
-    words = rf"list_transform(regexp_extract_all(l, '[\p{{L}}\p{{N}}]+'), lambda w: coalesce({_SPELLED}[w], w))"
-    return f"list_filter(list_transform({lines}, lambda l: array_to_string({words}, ' ')), lambda l: l <> '' AND l NOT IN ({', '.join(map(_text, TITLES))}))"
+    words = rf"array_to_string(list_transform(regexp_extract_all(l, '[\p{{L}}\p{{N}}]+'), lambda w: coalesce({_SPELLED}[w], w)), ' ')"
+    kept = f"list_transform(string_split(lower(coalesce({text}, '')), chr(10)), lambda l: CASE WHEN {begins} OR {reserved} THEN '' ELSE {words} END)"
+    return f"list_transform({kept}, lambda l: CASE WHEN l IN ({', '.join(map(_text, TITLES))}) THEN '' ELSE l END)"
+
+
+def _plain(x: str) -> str:
+    return f"sha256(replace(replace({x}, ' ', ''), chr(10), ''))"
 
 
 OP7 = rf"""
 WITH given AS (
-  SELECT * FROM (VALUES {", ".join(f"({_text(a)}, {_text(b)})" for a, b in TEXTS)}) AS k(license, text)
+  SELECT * FROM (VALUES {", ".join(f"({_text(a)}, {_text(b)})" for a, b in (*TEXTS, *HEADERS, *IDENTIFIERS))}) AS k(license, text)
+), canonical AS (
+  SELECT doc_id, NULL AS license, {_canonical("text")} AS c FROM documents UNION ALL SELECT NULL, license, {_canonical("text")} FROM given
+), full_lines AS (
+  SELECT *, list_filter(c, lambda l: l <> '') AS f FROM canonical
+), split AS (
+  SELECT *, list_filter(range(1, len(f) + 1), lambda i: NOT starts_with(f[i], 'copyright')) AS own FROM full_lines
+), lined AS (
+  SELECT doc_id, license, CASE WHEN len(own) = 0 THEN [] ELSE f[own[1]:] END AS lines,
+    list_filter(string_split_regex(array_to_string(c, chr(10)), '\n\n+'), lambda p: contains(p, chr(10)) AND p <> chr(10)) AS paragraphs FROM split
 ), known AS (
   SELECT d, min(license) AS license FROM (
-    SELECT license, sha256(replace(array_to_string(lines, ''), ' ', '')) AS d FROM (SELECT license, {_lines("text")} AS lines FROM given)
+    SELECT license, {_plain("array_to_string(lines, '')")} AS d FROM lined WHERE license IS NOT NULL
     UNION ALL SELECT * FROM (VALUES {", ".join(f"({_text(a)}, {_text(b)})" for a, b in DIGESTS)}) AS k(license, d)
   ) GROUP BY d
 ), own AS (
-  SELECT doc_id, lines, sha256(replace(array_to_string(lines, ''), ' ', '')) AS digest FROM (SELECT doc_id, {_lines("text")} AS lines FROM documents)
+  SELECT doc_id, lines, paragraphs, {_plain("array_to_string(lines, '')")} AS digest FROM lined WHERE license IS NULL
 ), units AS (
   SELECT doc_id, digest, digest AS d, true AS whole FROM own
   UNION ALL
-  SELECT doc_id, digest, sha256(replace(line, ' ', '')) AS d, false AS whole FROM (SELECT doc_id, digest, unnest(lines) AS line FROM own)
+  SELECT doc_id, digest, {_plain("part")} AS d, false AS whole FROM (SELECT doc_id, digest, unnest(lines || paragraphs) AS part FROM own)
 )
 SELECT doc_id, digest, max(CASE WHEN whole THEN license END) AS license,
   coalesce(string_agg(DISTINCT CASE WHEN NOT whole THEN license END, ',' ORDER BY CASE WHEN NOT whole THEN license END), '') AS line_licenses,
