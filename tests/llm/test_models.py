@@ -212,3 +212,20 @@ def test_descent_finds_the_neighbours_of_a_small_table_too(spark):
     index, _ = neighbours.build_index(vectors)
     assert index.nodes < neighbours.BLOCK
     assert neighbours.recall(neighbours.nearest(vectors), neighbours.exact_nearest(vectors)) == 1.0
+
+
+def test_long_vectors_come_in_smaller_blocks(spark):
+    rng = np.random.default_rng(3)
+    # A hub: what all others lie around.
+    x = rng.normal(size=(400, 1024)) * 0.5
+    x[0] = 0
+    x += rng.normal(size=1024)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    assert neighbours.block_size(1024) == 128 and neighbours.block_size(64) == neighbours.block_size(1) == neighbours.BLOCK
+    assert neighbours.recall(neighbours.nearest(df, every=20, top=5, width=60), neighbours.exact_nearest(df, every=20, top=5)) >= 0.9
+
+
+def test_vectors_of_other_lengths_take_no_part(spark):
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 1.0]), (2, [1.0, 0.0, 0.0]), (50, [0.0, 1.0, 0.0]), (100, [0.0, 1.0]), (3, [0.0, 1.0, 1.0])]
+    found = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert {(r["query_id"], r["rank"], r["vec_id"]) for r in found} == {(0, 1, 1), (0, 2, 100), (100, 1, 1), (100, 2, 0)}

@@ -25,7 +25,7 @@ from tidelog.llm.storage import Scope
 from tidelog.llm.words import mix
 from tidelog.operators.ids import numbered
 
-#: Nodes in a block, nodes among which each finds its first neighbours, and random nodes that it tries in a round.
+#: Nodes in a block at 64 dimensions or fewer, nodes among which each finds its first neighbours, and random nodes that it tries in a round.
 BLOCK, FIRST, DRAWN = 2048, 256, 4
 GRAPH = "block long, vecs binary, nbr binary, sim binary, fresh binary"
 IDX, F32, F64 = np.int64, np.float32, np.float64
@@ -58,9 +58,14 @@ def _by(key: np.ndarray, *arrays: np.ndarray) -> Iterator[tuple[int, list[np.nda
             yield int(key[i]), [a[order[i:j]] for a in arrays]
 
 
-def _cut(order_by: np.ndarray, *arrays: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
+def block_size(dim: int) -> int:
+    """Nodes of a block: fewer where vectors are long, so that what a block fetches in a round takes as much memory in any dimension."""
+    return max(64, min(BLOCK, BLOCK * 64 // max(dim, 1)))
+
+
+def _cut(dim: int, order_by: np.ndarray, *arrays: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
     """Arrays by the block of ``order_by``."""
-    return _by(order_by // BLOCK, *arrays)
+    return _by(order_by // block_size(dim), *arrays)
 
 
 def _join(table: pa.Table, column: str, kind) -> np.ndarray:
@@ -108,7 +113,7 @@ class _Graph:
         row = table.slice(0, 1).to_pylist()[0]
         self.block = row["block"]
         self.vecs = np.frombuffer(row["vecs"], F32).reshape(-1, dim)
-        self.start, self.m = self.block * BLOCK, len(self.vecs)
+        self.start, self.m = self.block * block_size(dim), len(self.vecs)
         self.nbr = np.frombuffer(row["nbr"], IDX).reshape(self.m, k)
         self.sim = np.frombuffer(row["sim"], F64).reshape(self.m, k)
         self.fresh = np.frombuffer(row["fresh"], np.uint8).reshape(self.m, k).astype(bool)
@@ -141,7 +146,8 @@ def _grouped(df: DataFrame):
 def number_vectors(vectors: DataFrame, id_col: str, vector_col: str, scope: Scope) -> tuple[DataFrame, int, int]:
     """``(vec_id, vector, node)`` of all vectors that take part, those of equal direction with one node; how many nodes, and the dimension.
 
-    Null and zero vectors, and those with null or non-finite components, take no part, nor do those of another than the most frequent length.
+    Null and zero vectors, and those with null or non-finite components, take no part, nor do those of another than the most frequent length, of equally
+    frequent ones the shortest: a table has one length, and to others a cosine isn't defined.
     """
     usable = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vector", lambda x: x != 0)
     rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{vector_col}`").cast("array<double>").alias("vector")).where(F.col("vec_id").isNotNull() & F.col("vector").isNotNull()).where(usable)
@@ -159,7 +165,7 @@ def build_index(vectors: DataFrame, k: int = 30, sample: int = 12, least_change:
     """The graph of the ``k`` nearest found for every node, and the numbered vectors. A round that changes less than ``least_change`` of the edges is the last."""
     scope = Scope.of(scope, vectors)
     rows, nodes, dim = number_vectors(vectors, id_col, vector_col, scope)
-    each = rows.groupBy("node").agg(F.any_value("vector").alias("vector")).withColumn("block", F.floor(F.col("node") / BLOCK))
+    each = rows.groupBy("node").agg(F.any_value("vector").alias("vector")).withColumn("block", F.floor(F.col("node") / block_size(dim)))
 
     def first(block: pa.Table) -> pa.Table:
         block = block.sort_by("node")
@@ -172,7 +178,7 @@ def build_index(vectors: DataFrame, k: int = 30, sample: int = 12, least_change:
             np.fill_diagonal(s, -3)
             n = min(k, len(own) - 1)
             top = np.argsort(-s, axis=1, kind="stable")[:, :n]
-            nbr[i : i + len(own), :n] = top + i + number * BLOCK
+            nbr[i : i + len(own), :n] = top + i + number * block_size(dim)
             sim[i : i + len(own), :n] = np.take_along_axis(s, top, 1)
         return _arrow(block=[number], vecs=[vecs.tobytes()], nbr=[nbr.tobytes()], sim=[sim.tobytes()], fresh=[(nbr >= 0).astype(np.uint8).tobytes()])
 
@@ -198,25 +204,28 @@ def _descend(graph: DataFrame, dim: int, k: int, sample: int, round_: int, nodes
             for i in range(batch.num_rows):
                 g = _Graph(pa.Table.from_batches([batch.slice(i, 1)]), dim, k)
                 rows, nbr, fresh = g.tried(sample, round_, nodes)
-                parts = list(_cut(nbr, nbr, rows + g.start, fresh.astype(np.uint8)))
-                yield from _arrow(block=[b for b, _ in parts], u=[x[0].tobytes() for _, x in parts], v=[x[1].tobytes() for _, x in parts], fresh=[x[2].tobytes() for _, x in parts]).to_batches()
+                # Of those that have a node as their neighbour, as many are sent as can be drawn for it, by what decides the draw.
+                draw = np.random.default_rng((round_, g.block, 1)).random(len(nbr)).astype(F32)
+                _, end = np.unique(2 * nbr + fresh, return_inverse=True)
+                at, _ = _first_of_each(end, int(end.max(initial=-1)) + 1, wide, draw)
+                parts = list(_cut(dim, nbr[at], nbr[at], rows[at] + g.start, fresh[at].astype(np.uint8), draw[at]))
+                yield from _arrow(block=[b for b, _ in parts], **{c: [x[i].tobytes() for _, x in parts] for i, c in enumerate(("u", "v", "fresh", "draw"))}).to_batches()
 
     def candidates(own: pa.Table, sent: pa.Table) -> pa.Table:
         g = _Graph(own, dim, k)
         u, v, kind = _join(sent, "u", IDX), _join(sent, "v", IDX), _join(sent, "fresh", np.uint8).astype(bool)
         rows, nbr, fresh = g.tried(sample, round_, nodes)
-        rng = np.random.default_rng((round_, g.block, 1))
-        lists = []
+        draw, lists = _join(sent, "draw", F32), []
         for which in (True, False):
             c = np.full((g.m, 2 * wide), -1, IDX)
             at, rank = _first_of_each(rows[fresh == which], g.m, wide, np.zeros(int((fresh == which).sum())))
             c[rows[fresh == which][at], rank] = nbr[fresh == which][at]
             back = np.flatnonzero(kind == which)
-            at, rank = _first_of_each(u[back] - g.start, g.m, wide, rng.random(len(back)))
+            at, rank = _first_of_each(u[back] - g.start, g.m, wide, draw[back])
             c[u[back][at] - g.start, wide + rank] = v[back][at]
             lists.append(c)
         wanted = np.unique(np.concatenate([x[x >= 0] for x in lists]))
-        asks = list(_cut(wanted, wanted))
+        asks = list(_cut(dim, wanted, wanted))
         return _arrow(
             kind=[0, *[1] * len(asks)],
             block=[g.block, *(b for b, _ in asks)],
@@ -251,7 +260,7 @@ def _descend(graph: DataFrame, dim: int, k: int, sample: int, round_: int, nodes
                 ends = {1: a[at[0], at[1]], 2: b[at[0], at[2]]}
                 out.append((ends[mine], ends[other], s[at]))
         found = nearest_k(*(np.concatenate(x) for x in zip(*out)), k) if out else (np.zeros(0, IDX), np.zeros(0, IDX), np.zeros(0, F64))
-        parts = list(_cut(found[0], *found))
+        parts = list(_cut(dim, found[0], *found))
         return _arrow(block=[b for b, _ in parts], dst=[x[0].astype(IDX).tobytes() for _, x in parts], other=[x[1].astype(IDX).tobytes() for _, x in parts], sim=[x[2].astype(F64).tobytes() for _, x in parts])
 
     def merged(own: pa.Table, updates: pa.Table) -> pa.Table:
@@ -274,7 +283,7 @@ def _descend(graph: DataFrame, dim: int, k: int, sample: int, round_: int, nodes
         new[d - g.start, rank] = ~within(before) | (within(before) & ~within(stale))
         return _arrow(block=[g.block], vecs=[g.vecs.tobytes()], nbr=[nbr.tobytes()], sim=[near.tobytes()], fresh=[new.tobytes()])
 
-    sent = graph.mapInArrow(ends, "block long, u binary, v binary, fresh binary")
+    sent = graph.mapInArrow(ends, "block long, u binary, v binary, fresh binary, draw binary")
     lists = scope.stored(_grouped(graph).cogroup(_grouped(sent)).applyInArrow(candidates, "kind int, block long, src long, a binary, b binary"), "lists")
     fetched = _grouped(graph).cogroup(_grouped(lists.where("kind = 1"))).applyInArrow(served, "block long, ids binary, vecs binary, least binary")
     updates = _grouped(lists.where("kind = 0")).cogroup(_grouped(fetched)).applyInArrow(paired, "block long, dst binary, other binary, sim binary")
@@ -292,7 +301,9 @@ def _adjacency(index: Index, k: int, back: int, scope: Scope) -> DataFrame:
             for i in range(batch.num_rows):
                 g = _Graph(pa.Table.from_batches([batch.slice(i, 1)]), dim, k)
                 rows, places = np.nonzero(g.nbr >= 0)
-                parts = list(_cut(g.nbr[rows, places], g.nbr[rows, places], rows + g.start, g.sim[rows, places]))
+                # What a block has beyond these for a node, the node would not keep.
+                end, own, near = nearest_k(g.nbr[rows, places], rows + g.start, g.sim[rows, places], back)
+                parts = list(_cut(dim, end, end, own, near))
                 yield from _arrow(block=[b for b, _ in parts], u=[x[0].tobytes() for _, x in parts], v=[x[1].tobytes() for _, x in parts], sim=[x[2].tobytes() for _, x in parts]).to_batches()
 
     def both(own: pa.Table, sent: pa.Table) -> pa.Table:
@@ -330,7 +341,7 @@ class _Asks:
 
     def sent(self) -> pa.Table:
         rows = []
-        for block, (at, ids) in _cut(self.ids, self.at, self.ids):
+        for block, (at, ids) in _cut(self.vecs.shape[1], self.ids, self.at, self.ids):
             used, place = np.unique(at, return_inverse=True)
             rows.append((block, *(x[used].tobytes() for x in (self.asker, self.home, self.least, self.vecs)), place.astype(np.uint32).tobytes(), ids.tobytes()))
         c = list(zip(*rows)) or [[]] * 7
@@ -348,7 +359,7 @@ def search(index: Index, queries: DataFrame, width: int = 200, k: int = 30, back
             vecs = unit(np.array(batch.column("vector").to_pylist(), F64).reshape(-1, dim)).astype(F32)
             n = len(vecs)
             nodes = batch.column("node").to_numpy().astype(IDX)
-            out = _arrow(query=batch.column("query").to_pylist(), block=(nodes // BLOCK).tolist(), vec=[v.tobytes() for v in vecs], ids=[x.tobytes() for x in nodes], sims=[np.ones(1, F64).tobytes()] * n, seen=[b"\0"] * n)
+            out = _arrow(query=batch.column("query").to_pylist(), block=(nodes // block_size(dim)).tolist(), vec=[v.tobytes() for v in vecs], ids=[x.tobytes() for x in nodes], sims=[np.ones(1, F64).tobytes()] * n, seen=[b"\0"] * n)
             yield from out.append_column("open", pa.array([1] * n, pa.int32())).to_batches()
 
     def asks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -368,7 +379,7 @@ def search(index: Index, queries: DataFrame, width: int = 200, k: int = 30, back
         if len(a.ids):
             row = own.to_pylist()[0]
             at, ids = np.frombuffer(row["at"], IDX), np.frombuffer(row["ids"], IDX)
-            x = a.ids - row["block"] * BLOCK
+            x = a.ids - row["block"] * block_size(dim)
             n = at[x + 1] - at[x]
             found = ids[np.repeat(at[x] - np.cumsum(n) + n, n) + np.arange(n.sum())]
             asker = np.repeat(a.at, n)
@@ -385,7 +396,7 @@ def search(index: Index, queries: DataFrame, width: int = 200, k: int = 30, back
         if len(a.ids):
             row = own.to_pylist()[0]
             vecs, theirs = unit(np.frombuffer(row["vecs"], F32).reshape(-1, dim)), unit(a.vecs)
-            x, step = a.ids - row["block"] * BLOCK, 1 << 16
+            x, step = a.ids - row["block"] * block_size(dim), 1 << 16
             sims = np.concatenate([np.einsum("ij,ij->i", vecs[x[i : i + step]], theirs[a.at[i : i + step]]) for i in range(0, len(x), step)])
             near = sims > a.least[a.at]
             for home, found in _by(a.home[a.at[near]], a.asker[a.at[near]], a.ids[near], sims[near]):
