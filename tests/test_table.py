@@ -232,12 +232,33 @@ def test_a_maintenance_that_is_cut_off_is_reported_whole(spark, tmp_path, monkey
     assert not any((tmp_path / "t" / retention.STAGING).glob("*"))
 
 
+@pytest.mark.parametrize("at_step", [0, 1, 3])
+def test_a_batch_that_is_written_again_wins_over_a_trim_that_was_cut_off(spark, tmp_path, monkeypatch, at_step):
+    path, at, times = str(tmp_path / "t"), retention.cutoff("2026-08-11T12:00:00Z", Retention(2, 1)), ("2026-08-09T10:00:00Z", "2026-08-09T12:00:00Z")
+    table(spark, path, *times)
+    steps, move = [], retention._move
+
+    def dies(*args):
+        steps.append(args)
+        if len(steps) > at_step:
+            raise Lost
+        move(*args)
+
+    monkeypatch.setattr(retention, "_move", dies)
+    with pytest.raises(Lost):
+        retention.trim_cutoff_day(spark, path, at)
+    monkeypatch.undo()
+    table(spark, path, *times, "2026-08-09T13:00:00Z")
+    retention.trim_cutoff_day(spark, path, at)
+    assert sorted(r["id"] for r in read_logs(spark, path).collect()) == [1, 2]
+
+
 def test_a_trim_writes_only_files_that_hold_old_rows(spark, tmp_path):
     path = tmp_path / "t"
     for i, hour in enumerate((10, 11, 13, 14)):
         rows = spark.createDataFrame([(i, f"2026-08-09T{hour}:00:00Z"), (10 + i, f"2026-08-09T{hour}:40:00Z")], "id long, timestamp string").withColumn("timestamp", F.col("timestamp").cast("timestamp"))
         append_logs(rows.withColumns({"level": F.lit("info"), "service": F.lit("a, [b]"), "message": F.lit("m"), "attributes": F.lit("{}"), "attributes_normalized": F.create_map().cast("map<string,string>"), "day": F.to_date("timestamp")}), str(path), "a=b [c], d", i)
-    files = lambda: {str(p.relative_to(path)): p.stat().st_mtime_ns for p in path.rglob("*.parquet")}
+    files = lambda: {str(p.relative_to(path)): p.stat().st_mtime_ns for p in path.rglob("*.parquet") if "_counts" not in p.parts}
     before = files()
     assert retention.trim_cutoff_day(spark, str(path), retention.cutoff("2026-08-11T11:30:00Z", Retention(2, 1))) == 3
     after = files()

@@ -12,11 +12,11 @@ from tidelog.functions.times import EPOCH, ArgumentError, day_of, parse_instant
 from tidelog.schema import LOGS
 from tidelog.sources import notes
 from tidelog.sources.files import files_at
-from tidelog.sources.logs import COUNTS, key_columns, list_days, promote, read_logs, read_stored, write_counts, write_rows
+from tidelog.sources.logs import COUNTS, STAGING, key_columns, list_days, promote, read_logs, read_stored, write_counts, write_rows
 
 DAY = timedelta(days=1)
 #: Beside the days of a table; readers skip names that begin so.
-STAGING, PLAN = "_trim", "_plan"
+PLAN = "_plan"
 
 
 @dataclass(frozen=True)
@@ -99,7 +99,10 @@ def _swap(spark: SparkSession, path: str, name: str) -> int:
     decided = notes.read(spark, f"{staging}/decided")
     for kind, folder in (("new", f"{path}/{name}"), ("counts", f"{path}/{COUNTS}/{name}")):
         for f in decided["replaced"][kind]:
-            _move(files, hadoop, f"{folder}/{f}", f"{staging}/old/{kind}/{f}")
+            source, target = f"{folder}/{f}", f"{staging}/old/{kind}/{f}"
+            # One that is nowhere was of a batch that has been written again since, which has deleted what was to replace it.
+            if files.exists(hadoop(source)) or files.exists(hadoop(target)):
+                _move(files, hadoop, source, target)
         for f in _files_below(files, hadoop, f"{staging}/{kind}/{name}"):
             _move(files, hadoop, f"{staging}/{kind}/{name}/{f}", f"{folder}/{f}")
         if not _files_below(files, hadoop, folder):

@@ -22,6 +22,8 @@ LAYOUT = ("day", "run_id", "batch_id")
 COUNTS = "_counts"
 COUNTED = T.StructType([T.StructField("minute", T.LongType()), T.StructField("service", T.StringType()), T.StructField("level", T.StringType()), T.StructField("n", T.LongType()), *(STORED[c] for c in LAYOUT)])
 MINUTE = 60_000_000
+#: Beside the days: what a trim is about to move into a day, in folders by kind and then as in the table.
+STAGING = "_trim"
 #: Beside the days: attributes that have a column of their own.
 KEYS = "_keys"
 
@@ -143,7 +145,10 @@ def append_logs(logs: DataFrame, path: str, run_id: str, batch_id: int = 0) -> N
 
 
 def drop_batch(spark: SparkSession, path: str, run_id: str, batch_id: int) -> None:
-    """Delete what a batch has written to a table in folders by run and batch, or by day and these: an overwrite leaves folders for which it has no rows."""
+    """Delete what a batch has written to a table in folders by run and batch, or by day and these: an overwrite leaves folders for which it has no rows.
+
+    What a trim that was cut off has kept of it goes too.
+    """
     jvm = spark._jvm
     escape = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
     top = jvm.org.apache.hadoop.fs.Path(path)
@@ -151,8 +156,11 @@ def drop_batch(spark: SparkSession, path: str, run_id: str, batch_id: int) -> No
     days = [x.getPath() for x in files.listStatus(top) if x.getPath().getName().startswith("day=")] if files.exists(top) else []
     for folder in (top, *days):
         files.delete(jvm.org.apache.hadoop.fs.Path(folder, own), True)
-    if files.exists(counts := jvm.org.apache.hadoop.fs.Path(top, COUNTS)):
-        drop_batch(spark, counts.toString(), run_id, batch_id)
+    trims = jvm.org.apache.hadoop.fs.Path(top, STAGING)
+    more = [jvm.org.apache.hadoop.fs.Path(x.getPath(), kind) for x in (files.listStatus(trims) if files.exists(trims) else []) for kind in ("new", "counts")]
+    for place in (jvm.org.apache.hadoop.fs.Path(top, COUNTS), *more):
+        if files.exists(place):
+            drop_batch(spark, place.toString(), run_id, batch_id)
 
 
 def from_events(events: DataFrame) -> DataFrame:
