@@ -217,9 +217,9 @@ def test_descent_finds_the_neighbours_of_a_small_table_too(spark):
 def test_long_vectors_come_in_smaller_blocks(spark):
     rng = np.random.default_rng(3)
     # A hub: what all others lie around.
-    x = rng.normal(size=(400, 1024)) * 0.5
+    x = rng.normal(size=(300, 512)) * 0.5
     x[0] = 0
-    x += rng.normal(size=1024)
+    x += rng.normal(size=512)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
     assert neighbours.block_size(1024) == 128 and neighbours.block_size(64) == neighbours.block_size(1) == neighbours.BLOCK
     assert neighbours.recall(neighbours.nearest(df, every=20, top=5, width=60), neighbours.exact_nearest(df, every=20, top=5)) >= 0.9
