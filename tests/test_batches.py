@@ -96,6 +96,13 @@ def test_a_reader_is_not_shown_what_is_published_while_it_lists(spark, at, monke
     assert read_logs(spark, at.logs).count() == 12
 
 
+def test_ids_go_on_from_what_was_appended(spark, at):
+    ingest_batch(some(spark), at, NOW, "run", 0)
+    append_logs(read_stored(spark, at.logs).withColumn("id", F.col("id") + 1000), at.logs, "other")
+    ingest_batch(some(spark, 1), at, NOW, "run", 1)
+    assert sorted(r["id"] for r in read_logs(spark, at.logs).collect()) == [*range(1, 7), *range(1001, 1009)]
+
+
 def test_names_of_batches_say_all(spark, tmp_path):
     path = str(tmp_path / "t")
     for b in (Batch("r,1/ä.published", 3, 5, 7, NOW, 6), Batch("", 0)):

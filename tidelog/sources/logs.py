@@ -136,12 +136,14 @@ def at_once(*jobs: Callable[[], None]) -> None:
 
 
 def append_logs(logs: DataFrame, path: str, run_id: str, batch_id: int = 0) -> None:
-    """Write a batch and publish it: all its days appear at once, in place of what it wrote before, if it did."""
+    """Write a batch and publish it: all its days appear at once, in place of what it wrote before, if it did. Its largest id is noted, so that ingest goes on from there."""
     spark = logs.sparkSession
-    pending = batches.begin(spark, path, batches.find(batches.noted(spark, path), run_id, batch_id) or Batch(run_id, batch_id))
+    batches.begin(spark, path, batches.find(batches.noted(spark, path), run_id, batch_id) or Batch(run_id, batch_id))
     drop_batch(spark, path, run_id, batch_id)
     write_logs(logs, path, run_id, batch_id)
-    batches.publish(spark, path, pending)
+    own = read_stored(spark, path).where((F.col("run_id") == run_id) & (F.col("batch_id") == batch_id))
+    last, n = own.agg(F.max("id"), F.count("*")).first()
+    batches.publish(spark, path, batches.begin(spark, path, Batch(run_id, batch_id, 0, max(last or 0, 0), "", n)))
 
 
 def drop_batch(spark: SparkSession, path: str, run_id: str, batch_id: int) -> None:
