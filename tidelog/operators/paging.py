@@ -8,6 +8,7 @@ from datetime import date
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidelog.functions.cursor import page_token
 from tidelog.functions.times import DAY_MICROS, EPOCH, ArgumentError, Instant, micros_text, parse_instant
@@ -17,6 +18,7 @@ from tidelog.sources.logs import day_bytes, list_days, read_logs
 
 DEFAULT_LIMIT, MAX_LIMIT = 100, 1000
 COLUMNS = ("id", "timestamp", "level", "service", "message", "attributes")
+SHOWN = T.StructType([T.StructField(c, T.LongType() if c == "id" else T.StringType()) for c in (*COLUMNS, "cursor")])
 #: What a page reads of a day at first, about.
 SLICE_BYTES = 512 << 20
 
@@ -101,8 +103,7 @@ def stored_page(spark: SparkSession, path: str, filters: LogFilters = LogFilters
 
     Days that bounds or position shut out aren't looked at. A large newest day is read from its end back. At most ``limit + extra`` rows reach the driver.
     """
-    shown = page(read_logs(spark, path, []), filters, spec, extra).schema
-    return spark.createDataFrame(_stored_rows(spark, path, filters, spec, extra), shown)
+    return spark.createDataFrame(_stored_rows(spark, path, filters, spec, extra), SHOWN)
 
 
 def read_stored_page(spark: SparkSession, path: str, filters: LogFilters = LogFilters(), spec: PageSpec = PageSpec()) -> tuple[list[Row], tuple[str, int] | None]:

@@ -356,9 +356,10 @@ _WHOLE = f"""{LOGS_SQL} SELECT row_number() OVER (ORDER BY id) AS id, CAST(CAST(
 @register("ingest_batch", _WHOLE)
 def batch_ingested(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bodies to table and back, written twice: the second time replaces the first."""
-    bodies, places = raw.bodies(events(spark, sf_dir)).orderBy("request_id"), _places(spark)
+    source, places = new_path(spark, "bodies"), _places(spark)
+    raw.bodies(events(spark, sf_dir)).orderBy("request_id").write.parquet(source)
     for _ in range(2):
-        ingest_batch(bodies, places, raw.NOW, "run", 0)
+        ingest_batch(spark.read.parquet(source), places, raw.NOW, "run", 0)
     return read_logs(spark, places.logs).select("id", F.col("day").cast("string").alias("day"), micros_text(F.col("timestamp")).alias("timestamp"), *_LOG_COLUMNS)
 
 

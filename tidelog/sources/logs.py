@@ -49,8 +49,7 @@ def read_stored(spark: SparkSession, path: str, days: Iterable[date] | None = No
     reader = spark.read.schema(schema)
     if days is None:
         return reader.parquet(path)
-    there = set(list_days(spark, path))
-    folders = [f"{path}/day={d:%Y-%m-%d}" for d in days if d in there]
+    folders = [f for f in (f"{path}/day={d:%Y-%m-%d}" for d in days) if is_there(spark, f)]
     return reader.option("basePath", path).parquet(*folders) if folders else spark.createDataFrame([], schema)
 
 
@@ -69,6 +68,11 @@ def list_days(spark: SparkSession, path: str) -> list[date]:
     return sorted(d for d in found if d)
 
 
+def is_there(spark: SparkSession, path: str) -> bool:
+    files, place = files_at(spark, path)
+    return files.exists(place)
+
+
 def day_bytes(spark: SparkSession, path: str, day: date) -> int:
     """The size of a day's files."""
     files, place = files_at(spark, f"{path}/day={day:%Y-%m-%d}")
