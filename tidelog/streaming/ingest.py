@@ -103,21 +103,21 @@ def stage_batch(bodies: DataFrame, places: Places, now: str, run_id: str, batch_
         path = scope.place("entries")
         checked.sortWithinPartitions("taken", "seq", "index").write.partitionBy("taken").parquet(path)
         staged = spark.read.schema(checked.schema).parquet(path)
-        if policy and early_days == "fail":
-            bad = staged.where(F.col("taken") & shut).select(day_label(F.col("day"))).limit(1).collect()
-            if bad:
-                raise ArgumentError(f"{validate.UNWRITABLE}{bad[0][0]}")
+        early = staged.where(F.col("taken") & shut).select(day_label(F.col("day"))).limit(1).collect() if policy and early_days != "reject" else []
+        if early and early_days == "fail":
+            raise ArgumentError(f"{validate.UNWRITABLE}{early[0][0]}")
 
         (logs, count), refused = numbered_as_stored(staged.where("taken")), staged
         requests = _sizes(staged)
+        room = count if most_logs is None else most_logs - waiting(spark, places, but=(run_id, batch_id))
+        # Where all entries fit none is beyond, and without a shut day no micro-batch fails: then no request has to be looked at.
         lost = []
-        if most_logs is not None or logs_per_batch:
+        if count > room or early:
             requests = scope.stored(requests, "requests")
-        if most_logs is not None:
-            room = most_logs - waiting(spark, places, but=(run_id, batch_id))
+        if count > room:
             over = scope.stored(beyond(requests, room), "beyond")
             lost.append(over.withColumn("failure", F.lit(OVERLOADED)))
-        if early_days == "microbatch" and policy:
+        if early:
             fit = requests.join(lost[0], "seq", "left_anti") if lost else requests
             lost.append(_failing(staged, requests, microbatches(fit, logs_per_batch), shut, scope))
         if lost:
