@@ -126,8 +126,9 @@ def test_files_of_old_batches_go(spark, tmp_path, monkeypatch):
 
 
 def test_what_waits_takes_room(spark, at):
-    pending = stage_batch(some(spark), at, NOW, "run", 0)
+    pending, before = stage_batch(some(spark), at, NOW, "run", 0), scratch(spark)
     ingest_batch(some(spark), at, NOW, "run", 1, most_logs=8)
+    assert scratch(spark) == before
     found = {(r["batch_id"], r["request_id"]): (r["status"], r["error"], r["accepted"]) for r in spark.read.parquet(at.reports).collect()}
     assert found[1, "0"] == ("ok", None, 2) and found[1, "1"] == found[1, "2"] == ("bad_request", OVERLOADED, 0)
     publish_batch(spark, at, pending)
@@ -138,12 +139,12 @@ def test_what_waits_takes_room(spark, at):
 
 def test_a_shut_day_fails_its_micro_batch_alone(spark, at):
     good, late = body("2026-08-09T10:00:00Z", "2026-08-09T11:00:00Z"), body("2026-08-09T10:00:00Z", "2026-08-01T10:00:00Z")
-    given = bodies(spark, good, late, "not json", good, good, body("x"), late)
+    given, before = bodies(spark, good, late, "not json", good, good, body("x"), late), scratch(spark)
     ingest_batch(given, at, NOW, "run", 0, Retention(2, 1), early_days="microbatch", logs_per_batch=4)
     found = {r["request_id"]: (r["status"], r["error"], r["accepted"], r["rejected"]) for r in read_reports(spark, at).collect()}
     failed = ("failed", "no partition of logs for logs_2026_08_01", 0, 0)
     assert found == {"0": failed, "1": failed, "2": ("bad_request", "request body must be valid JSON", 0, 0), "3": ("ok", None, 2, 0), "4": ("ok", None, 2, 0), "5": ("all_invalid", None, 0, 1), "6": failed}
-    assert read_logs(spark, at.logs).count() == 4 and spark.read.parquet(at.rejected).count() == 1
+    assert read_logs(spark, at.logs).count() == 4 and spark.read.parquet(at.rejected).count() == 1 and scratch(spark) == before
     with pytest.raises(ValueError, match="logs_per_batch"):
         ingest_batch(given, at, NOW, "run", 1, Retention(2, 1), early_days="microbatch")
 
