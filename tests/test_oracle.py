@@ -1,4 +1,6 @@
+import json
 import os
+from datetime import datetime
 
 import duckdb
 import pytest
@@ -20,6 +22,20 @@ def test_same_rows_as_sql(spark, name):
     assert sorted(map(repr, (tuple(r[c] for c in names) for r in found.collect()))) == sorted(map(repr, map(tuple, want.fetchall())))
 
 
+def test_ids_of_a_batch_rise_by_request_whatever_the_sizes_of_its_files(spark, tmp_path):
+    """Later requests are longer, so their files are read first."""
+    rows = [(i, datetime(2024, 1, 1, 0, 0, i % 60), i % 7, "click", json.dumps({"k": i, "x": "y" * i}, separators=(",", ":"))) for i in range(0, 1000, 5)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, props string").write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = QUERIES["ingest_batch"](spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sorted(map(tuple, found)) == con.execute(f"SELECT * FROM ({ORACLE_SQL['ingest_batch']}) ORDER BY id").fetchall()
+
+
 def test_every_query_has_sql():
     assert set(QUERIES) == set(ORACLE_SQL)
 

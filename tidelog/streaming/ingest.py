@@ -147,7 +147,7 @@ def publish_batch(spark: SparkSession, places: Places, pending: Batch) -> None:
 def ingest_batch(bodies: DataFrame, places: Places, now: str, run_id: str, batch_id: int = 0, policy: Retention | None = None, early_days: str = "fail", most_logs: int | None = None, logs_per_batch: int | None = None) -> None:
     """Validate ``bodies(request_id, body)`` and write logs, refused entries and reports; written again, a batch replaces itself.
 
-    Requests arrive in the order of the rows of ``bodies``, and ids rise in it. With a ``policy``, a row whose day isn't open makes the whole batch fail before anything is
+    Requests arrive in the order of the rows of ``bodies``, and ids rise in it; what is read from several files has none (Spark reads larger files first) unless it is sorted. With a ``policy``, a row whose day isn't open makes the whole batch fail before anything is
     written; with ``early_days="microbatch"``, its micro-batch of at most ``logs_per_batch`` logs alone (:func:`admission.microbatches`), whose requests are reported as
     failed; with ``"reject"`` it is refused by itself. Requests that would make more than ``most_logs`` wait, those of batches that aren't published yet included, are
     refused whole (:func:`admission.beyond`).
@@ -163,7 +163,7 @@ def ingest_stream(spark: SparkSession, source: str, places: Places, checkpoint:
     """A stream over files with one request a line; a request is never split between batches.
 
     ``files_per_batch`` or, if given, ``bytes_per_batch`` says how much is admitted at once: what is beyond waits in the source, and
-    a larger file goes alone. Requests that would make more than ``most_logs`` logs wait are refused instead. A batch that fails stops the stream, and is run again
+    a larger file goes alone. Within a batch requests arrive as Spark reads its files, larger ones first. Requests that would make more than ``most_logs`` logs wait are refused instead. A batch that fails stops the stream, and is run again
     from the checkpoint, whose name belongs to ``run_id``. Without ``interval`` the stream reads what is there and stops when that is written.
     """
     reader = spark.readStream.schema("value string")
