@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -95,3 +96,27 @@ def test_long_texts_are_counted_in_pieces(monkeypatch):
         assert want in (None, found)
         want = found
     assert want == [("ab", 0, 101, 1), ("cd", 0, 51, 2), ("q", 1, 1, 1), ("z" * 300, 0, 1, 1)]
+
+
+def test_a_worker_holds_little_beside_the_texts_it_counts():
+    rng = np.random.default_rng(1)
+    vocabulary = np.array([f"w{chr(97 + a)}{chr(97 + b)}{chr(97 + c)}" for a in range(26) for b in range(26) for c in range(3)])
+    words = vocabulary[rng.integers(0, len(vocabulary), (8000, 200))]
+    texts, groups = pa.array([" ".join(x) for x in words]), np.arange(8000) % 5
+    tracemalloc.start()
+    try:
+        group, n, docs, terms = divergence.count_terms(texts, groups)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    _, which = np.unique(words, return_inverse=True)
+    which = which.reshape(words.shape)
+    want_n, want_docs = np.zeros((2, 5, which.max() + 1), np.int64)
+    for g in range(5):
+        want_n[g] = np.bincount(which[groups == g].ravel(), minlength=want_n.shape[1])
+    for g, own in zip(groups, which):
+        want_docs[g, np.unique(own)] += 1
+    place = {t: k for k, t in enumerate(sorted(vocabulary.tolist()))}
+    at = [place[t] for t in terms.to_pylist()]
+    assert len(n) == np.count_nonzero(want_n) and (want_n[group, at] == n).all() and (want_docs[group, at] == docs).all()
+    assert peak < 8 * texts.nbytes

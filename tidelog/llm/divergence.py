@@ -17,12 +17,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.llm.storage import Scope
-from tidelog.llm.words import SLICE_BYTES, Words, buffers
+from tidelog.llm.words import SLICE_BYTES, Words, buffers, sliced
 
 #: Everything ASCII that isn't a letter.
 SEPARATORS = tuple(b for b in range(128) if not chr(b).isalpha())
-#: Terms of a strip and sources of a tile, about; pairs of quadrants that are looked at in one go.
+#: Terms of a strip and sources of a tile, about; pairs of quadrants, and terms whose letters are gathered, that are looked at in one go.
 STRIP, TILE, AT_ONCE = 4096, 96, 1 << 16
+#: Counts by text that are added up in one go, and bytes of texts whose counts are: they bound a worker's memory, not a text's length.
+FOLDED, RUN_BYTES = 1 << 18, 1 << 24
 SCALE = 1_000_000_000
 COUNTS_SCHEMA = "lang string, source string, term string, n long, docs long"
 SUMS_SCHEMA = "lang string, a string, b string, value long"
@@ -63,37 +65,60 @@ def _summed(keys: tuple[np.ndarray, ...], sums: tuple[np.ndarray, ...]) -> tuple
 def _texts(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> pa.Array:
     """The lower-cased texts at places of ``data``."""
     ends = np.concatenate([[0], np.cumsum(length)])
-    at = np.arange(ends[-1]) + np.repeat(start - ends[:-1], length)
-    letters = data[at]
-    letters = np.where((letters >= 65) & (letters <= 90), letters + 32, letters).astype(np.uint8)
+    letters = np.empty(ends[-1], np.uint8)
+    for k in range(0, len(start), AT_ONCE):
+        some = slice(k, k + AT_ONCE)
+        own = ends[k : k + AT_ONCE + 1]
+        letters[own[0] : own[-1]] = data[np.arange(own[0], own[-1]) + np.repeat(start[some] - own[:-1], length[some])]
+    letters[(letters >= 65) & (letters <= 90)] += 32
     return pa.Array.from_buffers(pa.large_string(), len(start), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(letters)]).cast(pa.string())
 
 
 def count_terms(texts: pa.Array, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
     """(group, occurrences, documents, term) of the terms of some texts that belong to groups. Terms are told apart by hashes of 64 bits."""
     data, offsets = buffers(texts)
-    found: list[tuple[np.ndarray, ...]] = []
+    parts: list[tuple[np.ndarray, ...]] = []
+    whole: list[tuple[np.ndarray, ...]] = []
+
+    def close() -> None:
+        """Add up by group what was counted by text; no text of it goes on."""
+        h, doc, n, start, length = (np.concatenate(x) for x in zip(*parts))
+        parts.clear()
+        first, (n,) = _summed((h, doc), (n,))  # pieces of one text
+        h, group, start, length = h[first], groups[doc[first]], start[first], length[first]
+        first, (n, docs) = _summed((h, group), (n, np.ones(len(h), np.int64)))
+        whole.append((h[first], group[first], n, docs, start[first], length[first]))
+
+    last = -1
     for i, j, own, at, begin in _pieces(data, offsets, SLICE_BYTES):
+        if i != last and sum(len(x[0]) for x in parts) >= FOLDED:
+            close()
+        last = i
         words = Words(own, at, True, SEPARATORS, 0)
         if not len(words.hashes):
             continue
         doc = np.repeat(np.arange(i, j), words.counts())
         length = words.ends - words.starts
         by_doc, (n,) = _summed((words.hashes, doc), (np.ones(len(doc), np.int64),))
-        found.append((words.hashes[by_doc], doc[by_doc], n, words.starts[by_doc] + begin, length[by_doc]))
-    if not found:
+        parts.append((words.hashes[by_doc], doc[by_doc], n, words.starts[by_doc] + begin, length[by_doc]))
+    if parts:
+        close()
+    if not whole:
         none = np.zeros(0, np.int64)
         return none, none, none, pa.array([], pa.string())
-    h, doc, n, start, length = (np.concatenate(x) for x in zip(*found))
-    first, (n,) = _summed((h, doc), (n,))  # pieces of one text
-    h, doc, start, length = h[first], doc[first], start[first], length[first]
-    first, (n, docs) = _summed((h, groups[doc]), (n, np.ones(len(h), np.int64)))
-    return groups[doc[first]], n, docs, _texts(data, start[first], length[first])
+    h, group, n, docs, start, length = (np.concatenate(x) for x in zip(*whole))
+    whole.clear()
+    first, (n, docs) = _summed((h, group), (n, docs))
+    return group[first], n, docs, _texts(data, start[first], length[first])
 
 
 def term_counts(docs: DataFrame, lang_col: str, source_col: str, text_col: str) -> DataFrame:
     """``(lang, source, term, n, docs)``: occurrences of a term, and documents that have it. A row without a term is there for each lang and source."""
 
+    def rows(names: list[tuple[str, str]], groups: np.ndarray, n: np.ndarray, docs: np.ndarray, terms: pa.Array) -> pa.RecordBatch:
+        langs, sources = (pa.array([x[k] for x in names], pa.string()).take(pa.array(groups)) for k in (0, 1))
+        return pa.record_batch({"lang": langs, "source": sources, "term": terms, "n": pa.array(n), "docs": pa.array(docs)})
+
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
@@ -101,16 +126,14 @@ def term_counts(docs: DataFrame, lang_col: str, source_col: str, text_col: str)
             both = list(zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist()))
             names = sorted(set(both))
             number = {x: k for k, x in enumerate(names)}
-            groups, n, docs, terms = count_terms(batch.column("text"), np.array([number[x] for x in both]))
-            groups = np.concatenate([np.arange(len(names)), groups])
-            nothing = np.zeros(len(names), np.int64)
-            langs, sources = (pa.array([x[k] for x in names], pa.string()).take(pa.array(groups)) for k in (0, 1))
-            terms = pa.concat_arrays([pa.nulls(len(names), pa.string()), terms])
-            yield pa.record_batch({"lang": langs, "source": sources, "term": terms, "n": pa.array(np.concatenate([nothing, n])), "docs": pa.array(np.concatenate([nothing, docs]))})
+            of = np.array([number[x] for x in both])
+            yield rows(names, np.arange(len(names)), *[np.zeros(len(names), np.int64)] * 2, pa.nulls(len(names), pa.string()))
+            for i, j, _, _ in sliced(batch.column("text"), RUN_BYTES):
+                yield rows(names, *count_terms(batch.column("text").slice(i, j - i), of[i:j]))
 
     text = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))
-    rows = docs.select(text(lang_col).alias("lang"), text(source_col).alias("source"), text(text_col).alias("text"))
-    return rows.mapInArrow(counted, COUNTS_SCHEMA).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    given = docs.select(text(lang_col).alias("lang"), text(source_col).alias("source"), text(text_col).alias("text"))
+    return given.mapInArrow(counted, COUNTS_SCHEMA).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def price(n: np.ndarray, total: np.ndarray, kept: int) -> np.ndarray:
